@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -69,3 +70,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def held_out(doc_id: str = "doc_id"):
     """crc32 of the id's text, modulo 3, is 1."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
+
+
+def dropped(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes staged tables that no later step reads, and lets Spark remove the
+    shuffle files of finished steps, so that disk holds one step's files at a time."""
+    jvm = spark.sparkContext._jvm
+    for df in tables:
+        for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(f)
+            if path.getName().startswith("curlew-"):
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
