@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .embeddings import op8_embedding_near_dedup
 from .packing import op1_best_fit_packing
+from .piece_bpe import op5_merge_dropout
 from .quality import op6_quality_classifier
 from .simhash import op3_simhash
 from .sketch import op10_scaled_sketch
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_simhash": op3_simhash,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_merge_dropout": op5_merge_dropout,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_token_files": op7_token_files,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,

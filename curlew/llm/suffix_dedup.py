@@ -354,3 +354,40 @@ def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed_spans(table(spark, sf_dir, "documents"), LENGTH).drop("kept")
+
+
+def _whole_characters(data: bytes, runs: list, length: int) -> bytes:
+    """What is left if removed runs give up the characters they cut in two."""
+    low = np.array([r["low"] for r in runs], np.int64)
+    starts, stops = merged(low, low + np.array([r["more"] for r in runs], np.int64) + length)
+    kept, at = [], 0
+    for a, b in zip(starts.tolist(), stops.tolist(), strict=True):
+        while a < b and data[a] & 0xC0 == 0x80:  # the rest of a character that began before
+            a += 1
+        while b > a and b < len(data) and data[b] & 0xC0 == 0x80:  # a character that goes on
+            b -= 1
+        kept.append(data[at:a])
+        at = b
+    return b"".join([*kept, data[at:]])
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """All rows and columns of ``docs``, with repeated strings cut out of ``text`` (a
+    character that is only partly covered stays) and ``n_chars``, if there, counted
+    anew. Texts without repeats are returned as they are."""
+    lists, _ = _with_runs(docs, length)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    lists = lists.select(F.col("id_").alias("_run_id"), F.col("tag_").alias("_run_tag"), F.col("runs").alias("_runs"))
+    joined = docs.join(lists, docs["doc_id"].cast("long").eqNullSafe(F.col("_run_id")) & (F.hash(text) == F.col("_run_tag")), "left").drop("_run_id", "_run_tag")
+    at = joined.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs = batch.column(batch.num_columns - 1).to_pylist()
+            texts = [t if not r else _whole_characters(t.encode(), r, length).decode() for t, r in zip(batch.column(at).to_pylist(), runs, strict=True)]
+            cols = batch.columns[:-1]
+            cols[at] = pa.array(texts, pa.string())
+            yield pa.record_batch(cols, names=batch.schema.names[:-1])
+
+    out = joined.mapInArrow(run, docs.schema)
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
