@@ -11,9 +11,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows of one Arrow batch. Texts may be long, so batches are short: a worker
-# holds one batch of texts, its results and its tables, whatever the input's size.
+# An Arrow batch ends at so many rows or bytes, whichever comes first: a worker holds
+# one batch of texts, its results and its tables, however long the texts are.
 BATCH_ROWS = 512
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,6 +48,7 @@ def short_batches(spark: SparkSession) -> None:
     """Before Python operators run: short Arrow batches, and this package on the
     path of every worker, whichever way the driver found it."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     sc = spark.sparkContext
     if getattr(sc, "_curlew_shipped", None):
         return
