@@ -1,21 +1,547 @@
-"""Registered queries over the driver's tables, each with its SQL."""
+"""Registered queries over the driver's tables, each with its SQL where SQL can say it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import rollouts, scores, text
+from ..operators import advantages, balance, batches, bayes, clusters, dedup, diversity, evaluation, neighbours, noise, ratings, selection
+from ..sources import readers
+from .carriers import KNN_SQL, PAIRS_SQL, RATED_SQL, pairs, rated, table, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
+CLASSES = 10
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
 
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return add
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _r(c, digits: int = 6):
+    return F.round(c, digits)
+
+
+# Diversity
+
+_SCORED = f"""
+    {KNN_SQL},
+    s AS (SELECT id, avg(distance) AS score FROM others WHERE rank <= 15 GROUP BY id),
+    n AS (SELECT s.id, e.label, score, (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) AS norm FROM s JOIN e ON e.vec_id = s.id)
+"""
+
+
+@query(f"""WITH {_SCORED}, k AS (
+    SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, id) AS rn, count(*) OVER (PARTITION BY label) AS m FROM n)
+    SELECT id, label AS stratum, round(score, 6) AS score, round(norm, 6) AS norm FROM k WHERE rn <= greatest(1, ceil(m::DOUBLE * 0.35::DOUBLE))""")
+def long_tail_selection(spark, sf_dir):
+    out = diversity.long_tail_selection(vectors(spark, sf_dir), "vec_id", "embedding", "label", 15, 0.35)
+    return out.select("id", "stratum", _r("score").alias("score"), _r("norm").alias("norm"))
+
+
+flagship = long_tail_selection
+
+
+@query(f"WITH {_SCORED} SELECT id, round(score, 6) AS score FROM s")
+def long_tail_score(spark, sf_dir):
+    return diversity.long_tail(vectors(spark, sf_dir), "vec_id", "embedding", 15).select("id", _r("score").alias("score"))
+
+
+@query(f"""WITH {_SCORED}, q AS (SELECT id, CASE WHEN id % 7 != 0 THEN 1 + id % 5 END AS quality, round(norm, 6) AS norm FROM n)
+    SELECT id, CASE WHEN quality BETWEEN 1 AND 5 THEN (quality::DOUBLE - 1) / 4 END AS quality_norm, norm,
+           row_number() OVER (ORDER BY quality DESC NULLS LAST, norm DESC, id) AS final_rank FROM q""")
+def long_tail_rank(spark, sf_dir):
+    rows = diversity.min_max(diversity.long_tail(vectors(spark, sf_dir), "vec_id", "embedding", 15), "score", "norm")
+    rows = rows.select("id", F.when(F.col("id") % 7 != 0, 1 + F.col("id") % 5).alias("quality"), _r("norm").alias("norm"))
+    return diversity.final_rank(rows, "quality", "norm", "id").select("id", scores.quality_norm("quality").alias("quality_norm"), "norm", "final_rank")
+
+
+@query(f"WITH {KNN_SQL} SELECT id, round_even(2 / (1 + exp(-avg(distance))) - 1, 4) AS rare_score FROM everyone WHERE rank <= 10 GROUP BY id")
+def rare_score(spark, sf_dir):
+    return diversity.rarity(vectors(spark, sf_dir), "vec_id", "embedding", 10)
+
+
+@query(f"WITH {KNN_SQL} SELECT id, neighbour, round(distance, 6) AS distance, rank::INT AS rank FROM others WHERE rank <= 5")
+def knn_edges(spark, sf_dir):
+    return neighbours.knn_edges(vectors(spark, sf_dir), "vec_id", "embedding", 5).select("id", "neighbour", _r("distance").alias("distance"), "rank")
+
+
+@query("""WITH r AS (SELECT doc_id, coalesce(NULLIF(lang, 'de'), 'unknown') AS k, n_chars FROM documents),
+    k AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n_chars DESC, doc_id) AS rn, count(*) OVER (PARTITION BY k) AS m FROM r)
+    SELECT doc_id, k AS task, n_chars FROM k WHERE rn <= greatest(1, ceil(m::DOUBLE * 0.07::DOUBLE))""")
+def stratified_top_pct(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.nullif("lang", F.lit("de")).alias("lang"), "n_chars")
+    return diversity.stratified_top(rows, "lang", "n_chars", "doc_id", 0.07).select("doc_id", F.coalesce("lang", F.lit("unknown")).alias("task"), "n_chars")
+
+
+@query("""WITH r AS (SELECT lang, doc_id, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rn, count(*) OVER (PARTITION BY lang) AS m FROM documents)
+    SELECT lang AS task, count(*) AS before, count(*) FILTER (rn <= greatest(1, ceil(m::DOUBLE * 0.35::DOUBLE))) AS after FROM r GROUP BY lang""")
+def before_after_counts(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    return ratings.before_after(rows, diversity.stratified_top(rows, "lang", "n_chars", "doc_id", 0.35), "lang")
+
+
+# De-duplication
+
+
+@query(f"WITH {KNN_SQL} SELECT id AS a, neighbour AS b, round(1 - distance, 6) AS similarity FROM d WHERE id < neighbour AND 1 - distance >= 0.35")
+def near_pairs(spark, sf_dir):
+    return neighbours.near_pairs(vectors(spark, sf_dir), "vec_id", "embedding", 0.35).select("a", "b", _r("similarity").alias("similarity"))
+
+
+@query(f"""WITH RECURSIVE {KNN_SQL},
+    o AS (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) AS rn FROM e),
+    nb AS (SELECT o.id, o.rn, coalesce(list(d.neighbour) FILTER (d.neighbour IS NOT NULL), []) AS earlier
+           FROM o LEFT JOIN d ON d.id = o.id AND d.neighbour < o.id AND 1 - d.distance >= 0.35 GROUP BY o.id, o.rn),
+    walk(rn, kept) AS (
+        SELECT 0::BIGINT, []::BIGINT[]
+        UNION ALL
+        SELECT nb.rn, CASE WHEN list_has_any(kept, earlier) THEN kept ELSE list_append(kept, nb.id) END FROM walk JOIN nb ON nb.rn = walk.rn + 1)
+    SELECT unnest(kept) AS vec_id FROM walk WHERE rn = (SELECT max(rn) FROM nb)""")
+def greedy_dedup(spark, sf_dir):
+    return dedup.leader_dedup(vectors(spark, sf_dir), "vec_id", "embedding", 0.35).select("vec_id")
+
+
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+    b AS (SELECT *, list_transform(v, lambda x: round_even(x, 0)) AS k FROM e),
+    f AS (SELECT k, min(vec_id) AS first, arg_min(v, vec_id) AS lead FROM b GROUP BY k)
+    SELECT vec_id FROM b JOIN f USING (k) WHERE vec_id = first OR list_cosine_similarity(v, lead) < 0.1""")
+def dedup_bucket(spark, sf_dir):
+    rows = vectors(spark, sf_dir).select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    return dedup.bucket_dedup(rows, "vec_id", "v", 0.1, digits=0).select("vec_id")
+
+
+# Score noise and Bayes rewards
+
+_PATTERNS = f"""{KNN_SQL}, p AS (
+    SELECT id, any_value(la) AS y0, max(lb) FILTER (rank = 1) AS y1, max(lb) FILTER (rank = 2) AS y2 FROM others WHERE rank <= 2 GROUP BY id)"""
+
+
+@query(f"""WITH {_PATTERNS} SELECT (1 + 2 - grouping(y1) - grouping(y2))::INT AS ord, y0, coalesce(y1, -1) AS y1, coalesce(y2, -1) AS y2, count(*) AS n FROM p GROUP BY GROUPING SETS ((y0), (y0, y1), (y0, y1, y2))""")
+def consensus_counts(spark, sf_dir):
+    out = noise.consensus_counts(noise.patterns(vectors(spark, sf_dir), "vec_id", "embedding", "label"))
+    return out.fillna(-1, ["y1", "y2"])
+
+
+_GRID = "g AS (SELECT i::INT AS i, j::INT AS j FROM range(10) t(i), range(10) u(j))"
+_T = f"""{_GRID}, c AS (SELECT la AS i, lb AS j, count(*) AS n FROM others WHERE rank <= 8 GROUP BY ALL),
+    x AS (SELECT g.i, g.j, coalesce(n, 0) + 0.01::DOUBLE AS x FROM g LEFT JOIN c USING (i, j)),
+    t AS (SELECT i, j, x / sum(x) OVER (PARTITION BY i) AS prob FROM x)"""
+
+
+def _labels(spark, sf_dir):
+    return vectors(spark, sf_dir).select(F.col("vec_id").alias("id"), F.col("label").alias("y"))
+
+
+@query(f"WITH {KNN_SQL}, {_T} SELECT i, j, round(prob, 6) AS prob FROM t")
+def transition_matrix(spark, sf_dir):
+    edges = neighbours.knn_edges(vectors(spark, sf_dir), "vec_id", "embedding", 8)
+    return noise.transition_matrix(edges, _labels(spark, sf_dir), CLASSES).select("i", "j", _r("prob").alias("prob"))
+
+
+_PRIOR = "pr AS (SELECT y, x / sum(x) OVER () AS p FROM (SELECT y::INT AS y, count(label) + 1e-8::DOUBLE AS x FROM range(10) r(y) LEFT JOIN embeddings ON label = y GROUP BY y))"
+
+
+@query(f"WITH {_PRIOR} SELECT y, round(p, 9) AS p FROM pr")
+def class_prior(spark, sf_dir):
+    return noise.class_prior(_labels(spark, sf_dir), CLASSES).select("y", _r("p", 9).alias("p"))
+
+
+@query(f"""WITH {KNN_SQL}, {_T}, {_PRIOR},
+    h AS (SELECT id AS q, lb AS j, count(*) AS h FROM everyone WHERE rank <= 16 GROUP BY ALL),
+    s AS (SELECT q, t.i, sum(h * ln(prob + 1e-12)) + any_value(ln(p + 1e-12)) AS s FROM h JOIN t USING (j) JOIN pr ON pr.y = t.i GROUP BY q, t.i),
+    e2 AS (SELECT q, i, exp(s - max(s) OVER (PARTITION BY q)) AS e FROM s),
+    post AS (SELECT q, i, e / sum(e) OVER (PARTITION BY q) AS post FROM e2),
+    v AS (SELECT q, sum(i * post) AS expected FROM post GROUP BY q)
+    SELECT q, round(expected, 6) AS expected, CASE WHEN expected >= 4 THEN 1.0::DOUBLE WHEN expected = 3 THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END AS reward FROM v""")
+def bayes_posterior(spark, sf_dir):
+    rows = vectors(spark, sf_dir)
+    library = bayes.build_library(rows, "vec_id", "embedding", "label", CLASSES)
+    found = bayes.score_queries(rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), library, 16)
+    return found.select("q", _r("expected").alias("expected"), "reward")
+
+
+_DIST = """w AS (SELECT id, la, lb, CASE WHEN rank = 1 THEN 2 * max(distance) FILTER (rank = 2) OVER (PARTITION BY id) - max(distance) FILTER (rank = 3) OVER (PARTITION BY id) ELSE distance END AS d
+           FROM everyone WHERE rank <= 10),
+    x AS (SELECT id, any_value(la) AS la, lb AS y, sum(1 - d) AS x FROM w GROUP BY id, lb),
+    dist AS (SELECT id, la, y, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS weight FROM x)"""
+
+
+@query(f"WITH {KNN_SQL}, {_DIST} SELECT id, y, round(weight, 6) AS weight FROM dist")
+def knn_label_distribution(spark, sf_dir):
+    return noise.label_distribution(vectors(spark, sf_dir), "vec_id", "embedding", "label", 10).select("id", "y", _r("weight").alias("weight"))
+
+
+@query(f"WITH {KNN_SQL}, {_DIST} SELECT id, la AS label, round(-ln(weight + 1e-8), 6) AS score FROM dist WHERE y = la")
+def corruption_score(spark, sf_dir):
+    dist = noise.label_distribution(vectors(spark, sf_dir), "vec_id", "embedding", "label", 10)
+    return noise.corruption_score(dist, _labels(spark, sf_dir)).select("id", "label", _r("score").alias("score"))
+
+
+@query(f"""WITH {KNN_SQL}, {_DIST}, b AS (SELECT id, any_value(la) AS label, arg_max(y, (round(weight, 9), -y)) AS suggested FROM dist GROUP BY id)
+    SELECT id, label, suggested FROM b WHERE label != suggested""")
+def majority_noise(spark, sf_dir):
+    dist = noise.label_distribution(vectors(spark, sf_dir), "vec_id", "embedding", "label", 10).withColumn("weight", _r("weight", 9))
+    return noise.majority_noisy(dist, _labels(spark, sf_dir))
+
+
+@query()
+def hoc_transition(spark, sf_dir):
+    from ..sources.writers import matrix_rows
+
+    return matrix_rows(noise.estimate_transition(vectors(spark, sf_dir), "vec_id", "embedding", "label", CLASSES)[0], spark)
+
+
+@query()
+def simifeat_detect(spark, sf_dir):
+    return noise.detect(vectors(spark, sf_dir), "vec_id", "embedding", "label", CLASSES, epochs=2)
+
+
+@query("""WITH c AS (SELECT quality AS i, toxic AS j, count(*) AS n FROM labels GROUP BY ALL)
+    SELECT i, j, round(n / sum(n) OVER (PARTITION BY i), 6) AS prob FROM c""")
+def true_transition(spark, sf_dir):
+    return noise.true_transition(table(spark, sf_dir, "labels"), "quality", "toxic").select("i", "j", _r("prob").alias("prob"))
+
+
+# Ratings
+
+
+@query(f"SELECT doc_id, raw, (least(9, greatest(4, raw)) - 4)::INT AS compressed FROM ({RATED_SQL})")
+def score_compress(spark, sf_dir):
+    return rated(spark, sf_dir).select("doc_id", "raw", scores.compress("raw").alias("compressed"))
+
+
+@query(f"""SELECT coalesce(task, 'all') AS task, count(*) AS n, round(avg(raw), 6) AS mean_raw, round(avg(least(9, greatest(4, raw)) - 4), 6) AS mean_compressed
+    FROM ({RATED_SQL}) GROUP BY GROUPING SETS ((task), ())""")
+def rating_summary_grouping_sets(spark, sf_dir):
+    out = ratings.rating_summary(rated(spark, sf_dir), "task", "raw")
+    return out.select(F.coalesce("task", F.lit("all")).alias("task"), "n", _r("mean_raw").alias("mean_raw"), _r("mean_compressed").alias("mean_compressed"))
+
+
+@query(f"SELECT raw AS score, count(*) AS n FROM ({RATED_SQL}) GROUP BY raw")
+def score_counts(spark, sf_dir):
+    return ratings.score_counts(rated(spark, sf_dir), "raw")
+
+
+@query(f"SELECT doc_id, raw FROM ({RATED_SQL}) WHERE raw < 4")
+def filter_low(spark, sf_dir):
+    return selection.low_quality(rated(spark, sf_dir), "raw", 4).select("doc_id", "raw")
+
+
+@query(f"SELECT doc_id, raw FROM ({RATED_SQL}) WHERE least(9, greatest(4, raw)) - 4 >= 4.0")
+def filter_high(spark, sf_dir):
+    return selection.high_quality(rated(spark, sf_dir).withColumn("c", scores.compress("raw")), "c", "raw", at_least=4.0).select("doc_id", "raw")
+
+
+_IDS = "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN task END AS source, concat('run-', task, '_', doc_id) AS id, task FROM (" + RATED_SQL + ")"
+
+
+@query(f"SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN coalesce(source, 'qa') ELSE task END AS task_type FROM ({_IDS})")
+def infer_task_type(spark, sf_dir):
+    rows = rated(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" "), F.upper("task"))).alias("source"), F.when(F.col("doc_id") % 11 != 0, F.concat(F.lit("run-"), "task", F.lit("_"), F.col("doc_id").cast("string"))).alias("id"))
+    return rows.select("doc_id", scores.task_type("source", "id").alias("task_type"))
+
+
+@query(f"""SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 0 ELSE (doc_id % 10)::INT END AS rarity, CASE WHEN doc_id % 7 = 0 THEN 0 ELSE raw END AS overall,
+    CASE WHEN doc_id % 7 = 0 THEN 0 ELSE (least(9, greatest(4, raw)) - 4)::INT END AS compressed FROM ({RATED_SQL})""")
+def extract_scores_json(spark, sf_dir):
+    body = F.concat(F.lit('{"Rarity": '), (F.col("doc_id") % 10).cast("string"), F.lit(', "Note": {"x": [1, 2]}, "Overall rating": '), F.col("raw").cast("string"), F.lit("}"))
+    reply = F.when(F.col("doc_id") % 7 == 0, F.lit("no { scores here")).when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Well: ["), body, F.lit("] done"))).otherwise(F.concat(body, F.lit(" thanks")))
+    reply = F.regexp_replace(reply, r", \"Note\": \{\"x\": \[1, 2\]\}", "")
+    d = F.col("d")
+    return rated(spark, sf_dir).select("doc_id", scores.rating_detail(reply).alias("d")).select("doc_id", d["Rarity"].alias("rarity"), d["Overall"].alias("overall"), d["Overall_compressed"].alias("compressed"))
+
+
+# Texts
+
+
+@query(f"""SELECT conv_id AS cluster_label, 'chat' AS dataset, string_agg(concat('Q: ', trim(replace(prompt, chr(13), chr(10)), concat(' ', chr(9), chr(10))), chr(10), ' A: ',
+    trim(replace(completion, chr(13), chr(10)), concat(' ', chr(9), chr(10)))), concat(chr(10), chr(10)) ORDER BY turn) AS input FROM ({PAIRS_SQL}) GROUP BY conv_id""")
+def qa_pair_merge(spark, sf_dir):
+    rows = pairs(spark, sf_dir).withColumn("dataset", F.lit("chat"))
+    return clusters.merge_groups(rows, "conv_id", "turn", "prompt", "completion", "dataset").select("cluster_label", "dataset", "input")
+
+
+def _messages(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m"))
+    return rows.select("conv_id", F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))
+
+
+@query("SELECT conv_id, string_agg(concat('### ', role, ': ', text, chr(10)), '' ORDER BY turn, role, text) AS text FROM conversations GROUP BY conv_id")
+def conversation_flatten(spark, sf_dir):
+    return _messages(spark, sf_dir).select("conv_id", text.flatten_messages("messages").alias("text"))
+
+
+@query("""SELECT conv_id, concat(string_agg(concat('<|', role, '|>', chr(10), text, CASE WHEN role = 'assistant' THEN '</s>' ELSE '' END, chr(10)), '' ORDER BY turn, role, text), '<|assistant|>', chr(10)) AS prompt
+    FROM conversations GROUP BY conv_id""")
+def chat_prompt(spark, sf_dir):
+    return _messages(spark, sf_dir).select("conv_id", text.chat("messages", "tulu").alias("prompt"))
+
+
+_GEN = "SELECT conv_id, turn, prompt, completion, CASE (conv_id + turn) % 3 WHEN 0 THEN completion WHEN 1 THEN concat('<THINK>', prompt, '</THINK><Answer>', completion, '</Answer> bye') ELSE concat('<think>', prompt, '</think><answer>', completion, '</answer>') END AS g FROM (" + PAIRS_SQL + ")"
+
+
+def _generated(spark, sf_dir):
+    k = (F.col("conv_id") + F.col("turn")) % 3
+    wrap = lambda a, b, end: F.concat(F.lit(f"<{a}>"), "prompt", F.lit(f"</{a}><{b}>"), "completion", F.lit(f"</{b}>{end}"))
+    return pairs(spark, sf_dir).withColumn("g", F.when(k == 0, F.col("completion")).when(k == 1, wrap("THINK", "Answer", " bye")).otherwise(wrap("think", "answer", "")))
+
+
+_WS = "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))"
+
+
+@query(f"""SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 3 = 0 THEN '' ELSE trim(prompt, {_WS}) END AS cot, trim(completion, {_WS}) AS output FROM ({_GEN})""")
+def parse_generated(spark, sf_dir):
+    cot, output = text.generated_parts("g")
+    return _generated(spark, sf_dir).select("conv_id", "turn", cot.alias("cot"), output.alias("output"))
+
+
+@query(f"""SELECT conv_id, turn, CASE (conv_id + turn) % 3 WHEN 2 THEN trim(completion, {_WS}) ELSE g END AS answer,
+    CASE WHEN (conv_id + turn) % 3 = 1 THEN replace(g, ' bye', '') ELSE g END AS cut FROM ({_GEN})""")
+def answer_parts(spark, sf_dir):
+    return _generated(spark, sf_dir).select("conv_id", "turn", text.answer_content("g").alias("answer"), text.until_answer_end("g").alias("cut"))
+
+
+@query(f"""SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 3 = 2 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS para, CASE WHEN (conv_id + turn) % 3 = 2 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS mcq FROM ({_GEN})""")
+def format_reward(spark, sf_dir):
+    return _generated(spark, sf_dir).select("conv_id", "turn", scores.format_reward("g", F.lit("para_mixup")).alias("para"), scores.format_reward("g", F.lit("mcq_mixup")).alias("mcq"))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, regexp_replace(text, '([0-9]),([0-9])', '\\1\\2', 'g') AS p FROM conversations)
+    SELECT conv_id, turn, coalesce(regexp_extract_all(p, '([-+]?[0-9]*\\.[0-9]+|[0-9]+)', 1)[-1], p) AS answer FROM t""")
+def gsm_extract(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.last_number("text").alias("answer"))
+
+
+@query("SELECT event_id, (props->>'$.k')::INT AS k FROM events")
+def dotted_get(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+
+
+# Selection
+
+
+@query(f"SELECT doc_id, raw, n_chars FROM ({RATED_SQL}) ORDER BY raw DESC, n_chars DESC, doc_id LIMIT 300")
+def tiered_selection(spark, sf_dir):
+    return selection.tiered(rated(spark, sf_dir), "raw", "n_chars", "doc_id", 300).select("doc_id", "raw", "n_chars")
+
+
+@query(f"""WITH p AS ({PAIRS_SQL}), o AS (SELECT turn + 1000 * conv_id AS id, prompt, completion FROM p), d AS (SELECT -1 - doc_id AS id, text AS prompt, lang AS completion, n_chars FROM documents ORDER BY n_chars DESC, id LIMIT 50)
+    SELECT id, prompt, completion FROM o UNION ALL SELECT id, prompt, completion FROM d""")
+def merge_topn(spark, sf_dir):
+    original = pairs(spark, sf_dir).select((F.col("turn") + 1000 * F.col("conv_id")).alias("id"), "prompt", "completion")
+    mixed = table(spark, sf_dir, "documents").select((-1 - F.col("doc_id")).alias("id"), F.col("text").alias("prompt"), F.col("lang").alias("completion"), F.col("n_chars").cast("string").alias("norm"))
+    return selection.merge_top(original, mixed, "norm", "id", 50).select("id", "prompt", "completion")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def resume_antijoin(spark, sf_dir):
+    return selection.pending(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query(f"""SELECT r.doc_id, CASE WHEN l.quality = 1 THEN 5 ELSE raw END AS raw FROM ({RATED_SQL}) r LEFT JOIN labels l USING (doc_id)""")
+def score_overwrite_join(spark, sf_dir):
+    changes = table(spark, sf_dir, "labels").select("doc_id", F.lit(5).alias("new"), F.when(F.col("quality") == 1, 0.9).otherwise(0.1).alias("confidence"))
+    return selection.overwrite(rated(spark, sf_dir), changes, "doc_id", "raw", "new", "confidence", 0.5).select("doc_id", "raw")
+
+
+@query("""SELECT benchmark, percent FROM (VALUES ('bbh', 0.0::DOUBLE), ('gsm', 50.0), ('mmlu', 25.0), ('average', 25.0)) t(benchmark, percent)""")
+def benchmark_scoreboard(spark, sf_dir):
+    results = spark.createDataFrame([("gsm", 0.5), ("mmlu", 0.25)], "benchmark string, value double")
+    return selection.scoreboard(results, ["bbh", "gsm", "mmlu"])
+
+
+# Rollouts
+
+
+def _rollouts(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", "user_id", "value")
+
+
+@query("""SELECT event_id, round((value - avg(value) OVER w) / (stddev_samp(value) OVER w + 1e-6), 6) AS advantage FROM events WINDOW w AS (PARTITION BY user_id)""")
+def grpo_advantage(spark, sf_dir):
+    return advantages.grpo(_rollouts(spark, sf_dir), "user_id", "value").select("event_id", _r("advantage").alias("advantage"))
+
+
+@query("""SELECT event_id, round(CASE WHEN count(*) OVER w > 1 THEN value - (sum(value) OVER w - value) / (count(*) OVER w - 1) END, 6) AS advantage FROM events WINDOW w AS (PARTITION BY user_id)""")
+def rloo_advantage(spark, sf_dir):
+    return advantages.rloo(_rollouts(spark, sf_dir), "user_id", "value").select("event_id", _r("advantage").alias("advantage"))
+
+
+@query("SELECT event_id, user_id FROM events WHERE user_id IN (SELECT user_id FROM events GROUP BY user_id HAVING avg(value) > 40 AND avg(value) < 60)")
+def group_filter(spark, sf_dir):
+    return advantages.informative_groups(_rollouts(spark, sf_dir), "user_id", "value", 40, 60).select("event_id", "user_id")
+
+
+@query("SELECT event_id, round((value - avg(value) OVER ()) / sqrt(var_samp(value) OVER () + 1e-8), 6) AS w FROM events")
+def whitened_reward(spark, sf_dir):
+    return advantages.whitened(_rollouts(spark, sf_dir), "value", "w").select("event_id", _r("w").alias("w"))
+
+
+@query("SELECT round(avg(n_chars), 6) AS mean, max(n_chars) AS max, min(n_chars) AS min, round(avg((n_chars >= 2000)::INT), 6) AS clip_ratio FROM documents")
+def response_length_metrics(spark, sf_dir):
+    return advantages.length_metrics(table(spark, sf_dir, "documents"), "n_chars", 2000).select(_r("mean").alias("mean"), "max", "min", _r("clip_ratio").alias("clip_ratio"))
+
+
+@query("""SELECT 'value' AS metric, round(avg(value), 6) AS mean, round(max(value), 6) AS max, round(min(value), 6) AS min FROM events
+    UNION ALL SELECT 'user_id', round(avg(user_id), 6), max(user_id)::DOUBLE, min(user_id)::DOUBLE FROM events""")
+def reward_metrics(spark, sf_dir):
+    out = advantages.summary(_rollouts(spark, sf_dir), "value", "user_id")
+    return out.select("metric", *(_r(c).alias(c) for c in ("mean", "max", "min")))
+
+
+def _sequences(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("s"))
+    get = lambda c: F.transform("s", lambda x: x[c])
+    return rows.select("user_id", get("event_id").alias("ids"), get("value").alias("r"), F.transform("s", lambda x: x["value"] / 2).alias("v"), F.transform("s", lambda x: F.lit(1)).alias("m"))
+
+
+def _unpacked(df, out):
+    return df.select(F.explode(F.arrays_zip("ids", F.col(out).alias("x"))).alias("z")).select(F.col("z.ids").alias("event_id"), _r("z.x").alias(out))
+
+
+@query("SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) AS ret FROM events")
+def reinforce_returns(spark, sf_dir):
+    return _unpacked(_sequences(spark, sf_dir).withColumn("ret", rollouts.discounted_returns("r", "m")), "ret")
+
+
+@query("SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - value / 2, 6) AS adv FROM events")
+def gae_advantage(spark, sf_dir):
+    return _unpacked(_sequences(spark, sf_dir).withColumn("adv", rollouts.gae("r", "v")), "adv")
+
+
+_HALVES = "SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings"
+
+
+@query(f"""SELECT vec_id, round(list_sum(list_transform(range(1, 33), lambda i: e[i] - e[i + 32])), 6) AS kl, round(list_sum(list_transform(range(1, 33), lambda i: abs(e[i] - e[i + 32]))), 6) AS abs,
+    round(list_sum(list_transform(range(1, 33), lambda i: exp(e[i + 32] - e[i]) - (e[i + 32] - e[i]) - 1)), 6) AS low_var FROM ({_HALVES})""")
+def kl_penalties(spark, sf_dir):
+    e = F.col("embedding").cast("array<double>")
+    total = lambda kind: _r(F.aggregate(rollouts.kl_penalty(F.slice(e, 1, 32), F.slice(e, 33, 32), kind), F.lit(0.0), lambda s, x: s + x))
+    return vectors(spark, sf_dir).select("vec_id", total("kl").alias("kl"), total("abs").alias("abs"), total("low_var_kl").alias("low_var"))
+
+
+@query(f"""WITH h AS ({_HALVES}), m AS (SELECT vec_id, e[1] AS best, e[1:8] AS t, e[9:24] AS f FROM h)
+    SELECT vec_id, CASE WHEN best > list_max(f) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS mc1, round(list_sum(list_transform(t, lambda x: exp(x))) / (list_sum(list_transform(t, lambda x: exp(x))) + list_sum(list_transform(f, lambda x: exp(x)))), 6) AS mc2,
+    len(list_filter(t, lambda x: x > list_max(f))) / 8 AS mc3 FROM m""")
+def multiple_choice(spark, sf_dir):
+    e = F.col("embedding").cast("array<double>")
+    m = rollouts.multiple_choice(e[0], F.slice(e, 1, 8), F.slice(e, 9, 16))
+    return vectors(spark, sf_dir).select("vec_id", m.alias("m")).select("vec_id", "m.mc1", _r("m.mc2").alias("mc2"), "m.mc3")
+
+
+@query("SELECT doc_id, round(CASE WHEN n_chars <= 1000 THEN 0 WHEN n_chars <= 2000 THEN (1000 - n_chars)::DOUBLE / 1000 ELSE -1 END::DOUBLE, 6) AS penalty FROM documents")
+def overlong_penalty(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", _r(scores.overlong_penalty("n_chars", 2000, 1000)).alias("penalty"))
+
+
+@query("""SELECT doc_id, round(CASE lang WHEN 'en' THEN 0.7 * q + 0.1 * 0.5 + 0.2 * a WHEN 'fr' THEN 0.9 * q + 0.1 * 0.5 + 0.2 * a ELSE 0.8 * q + 0.2 * 0.5 END, 6)::DOUBLE AS reward
+    FROM (SELECT doc_id, lang, (doc_id % 10)::DOUBLE / 10 AS q, (doc_id % 2)::DOUBLE AS a FROM documents)""")
+def combined_reward(spark, sf_dir):
+    task = F.when(F.col("lang") == "en", "qa_mixup").when(F.col("lang") == "fr", "cs_mixup").otherwise("mcq_mixup")
+    made = scores.combined_reward(task, (F.col("doc_id") % 10).cast("double") / 10, (F.col("doc_id") % 2).cast("double"), F.lit(None).cast("double"), by_task={"cs_mixup": (0.9, None, 0.0)})
+    return table(spark, sf_dir, "documents").select("doc_id", _r(made).alias("reward"))
+
+
+# Batches
+
+
+def _numbered(spark, sf_dir):
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("row_id"), "n_name")
+
+
+@query("""SELECT n_nationkey::BIGINT AS row_id, n_name, false AS padding FROM nation UNION ALL SELECT 25 + n_nationkey, n_name, true FROM nation WHERE n_nationkey < 7""")
+def pad_to_divisor(spark, sf_dir):
+    return batches.pad_to(_numbered(spark, sf_dir), 16)
+
+
+@query("SELECT n_nationkey * 3 + r AS row_id, n_name FROM nation, range(3) t(r)")
+def repeat_interleave(spark, sf_dir):
+    return batches.repeat(_numbered(spark, sf_dir), 3)
+
+
+@query("SELECT n_nationkey::BIGINT AS row_id, n_name, (n_nationkey // 5)::INT AS part FROM nation")
+def chunk_assign(spark, sf_dir):
+    return batches.chunk(_numbered(spark, sf_dir), 5)
+
+
+@query("SELECT (n_nationkey // 10)::INT AS batch, string_agg(n_name, ',' ORDER BY n_nationkey) AS names FROM nation GROUP BY 1")
+def batch_collate(spark, sf_dir):
+    out = batches.collate(batches.batch_ids(_numbered(spark, sf_dir), 10), "batch", "n_name")
+    return out.select("batch", F.array_join("n_name", ",").alias("names"))
+
+
+@query("""SELECT 24 - n_nationkey AS row_id, n_name FROM nation""")
+def batch_reorder(spark, sf_dir):
+    return batches.reorder(_numbered(spark, sf_dir), list(range(24, -1, -1)))
+
+
+def _batched_documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select((F.col("doc_id") / 100).cast("long").alias("batch"), "doc_id", "n_chars")
+
+
+@query()
+def karmarkar_karp(spark, sf_dir):
+    return balance.balance(_batched_documents(spark, sf_dir), "batch", "doc_id", "n_chars", 4)
+
+
+@query()
+def dynamic_micro_batches(spark, sf_dir):
+    return balance.micro_batches(_batched_documents(spark, sf_dir), "batch", "doc_id", "n_chars", 20_000)
+
+
+@query()
+def capacity_cluster(spark, sf_dir):
+    return clusters.capacity_clusters(vectors(spark, sf_dir), "vec_id", "embedding", "label", 5, 15, 10, 2)
+
+
+# Evaluation
+
+
+@query("""WITH r AS (SELECT lang, source, ((doc_id * 7 + n_chars) % 3 = 0)::INT AS c FROM documents)
+    SELECT CASE WHEN grouping(lang) = 0 THEN 'lang' WHEN grouping(source) = 0 THEN 'source' ELSE 'all' END AS level, coalesce(lang, source, 'all') AS name, round(avg(c), 6) AS accuracy, count(*) AS n
+    FROM r GROUP BY GROUPING SETS ((lang), (source), ())""")
+def eval_micro_accuracy(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("lang", "source", ((F.col("doc_id") * 7 + F.col("n_chars")) % 3 == 0).alias("c"))
+    return evaluation.micro_accuracy(rows, "c", "lang", "source").select("level", "name", _r("accuracy").alias("accuracy"), "n")
+
+
+@query("""WITH t AS (SELECT event_type AS task, avg((user_id % 4 = event_id % 4)::INT) AS m FROM events GROUP BY 1)
+    SELECT task, round(m, 6) AS exact_match FROM t UNION ALL SELECT 'average', round(avg(m), 6) FROM t""")
+def eval_macro_em(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("task"), (F.col("user_id") % 4).alias("p"), (F.col("event_id") % 4).alias("t"))
+    return evaluation.macro_exact_match(rows, "task", "p", "t").select("task", _r("exact_match").alias("exact_match"))
+
+
+@query("SELECT c_custkey, round((c_acctbal - avg(c_acctbal) OVER ()) / stddev_pop(c_acctbal) OVER (), 6) AS c_acctbal FROM customer")
+def standard_scale(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").cast("double").alias("c_acctbal"))
+    return readers.standardised(rows, ["c_acctbal"]).select("c_custkey", _r("c_acctbal").alias("c_acctbal"))
+
+
+@query("SELECT conv_id AS size_of, count(*) AS size FROM conversations GROUP BY 1")
+def cluster_sizes(spark, sf_dir):
+    return clusters.cluster_sizes(table(spark, sf_dir, "conversations"), "conv_id").select(F.col("conv_id").alias("size_of"), "size")
+
+
+@query("WITH s AS (SELECT count(*) AS size FROM conversations GROUP BY conv_id) SELECT size, count(*) AS clusters FROM s GROUP BY size")
+def cluster_size_histogram(spark, sf_dir):
+    return clusters.size_histogram(table(spark, sf_dir, "conversations"), "conv_id")
