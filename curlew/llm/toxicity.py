@@ -1,8 +1,10 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are lower-cased words and word beginnings of 4, 5 and 6 letters (so that
-inflected forms share a term). A vocabulary of terms that mark one label is chosen
-from labelled examples; inverse document frequencies are counted over all documents.
+Terms are lower-cased words and word beginnings of 4 to 7 letters (so that inflected
+forms share a term). A vocabulary of terms that mark one label is chosen from labelled
+examples; inverse document frequencies are counted over all documents. Beside it stands
+a common term that every text holds, once for each started run of 50 words: it keeps
+one chance hit in a long text apart from many hits in a short one.
 The labelled examples form an inverted index with postings in blocks; each block
 knows its largest weight per term, which bounds the cosine of every example in it.
 Blocks are visited from the largest bound down, until no bound can reach the k-th best
@@ -13,11 +15,11 @@ Examples are a bounded sample: at most ``max_examples`` per label, those with th
 smallest hash of the id, never of the held-out third. Labels, lang, source and doc_id
 are never inputs of a score; equal texts have equal scores.
 
-Defined cases: a null, empty or unmarked text has no vector; its score is the share of
-label 1 among examples without a vector. Labels other than 0 and 1 are ignored. Among
-equal cosines the example with the smallest doc_id is nearer. Without examples of
-both labels, scores are the share of label 1 (0 without labels). An empty table gives
-no row; further columns are kept by ``filter_toxic`` and ignored elsewhere.
+Defined cases: a null or empty text holds the common term alone, like any text without
+a term of the vocabulary. Labels other than 0 and 1 are ignored. Among equal cosines the
+example with the smallest doc_id is nearer. Without examples of both labels, or without
+a term that marks one, scores are the share of label 1 (0 without labels). An empty
+table gives no row; further columns are kept by ``filter_toxic`` and ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -35,7 +37,9 @@ from pyspark.sql import functions as F
 
 from .shared import held_out, short_batches, staged, table
 
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7)
+COMMON_WORDS = 50  # words for each occurrence of the common term
+COMMON_WEIGHT = 3.0  # its weight, in place of an inverse document frequency
 BLOCK = 64
 MEMO = 300_000
 _WORDS = re.compile(r"[^\W\d_]+").findall
@@ -47,7 +51,7 @@ def terms_of(word: str) -> list[str]:
 
 
 class Vectoriser:
-    """Texts to term counts over a vocabulary."""
+    """Texts to term counts over a vocabulary; the common term is numbered last."""
 
     def __init__(self, vocabulary: list[str]):
         self.place = {t: i for i, t in enumerate(vocabulary)}
@@ -56,10 +60,8 @@ class Vectoriser:
 
     def counts(self, text: str | None) -> tuple[tuple[int, int], ...]:
         """(term, count) pairs in ascending order of the term's number."""
-        if not text:
-            return ()
         found: dict[int, int] = {}
-        words = Counter(_WORDS(text.lower()))
+        words = Counter(_WORDS((text or "").lower()))
         for word in words.keys() - self._none:
             at = self._known.get(word)
             if at is None:
@@ -72,7 +74,7 @@ class Vectoriser:
                     self._none.add(word)
             for i in at:
                 found[i] = found.get(i, 0) + words[word]
-        return tuple(sorted(found.items()))
+        return (*sorted(found.items()), (len(self.place), 1 + words.total() // COMMON_WORDS))
 
 
 @dataclass
@@ -87,7 +89,7 @@ class Index:
 
     @classmethod
     def build(cls, idf: np.ndarray, examples: list[tuple[int, int, tuple]]) -> Index:
-        """``examples``: (doc_id, label, counts), with non-empty counts."""
+        """``examples``: (doc_id, label, counts)."""
         examples = sorted(examples, key=lambda e: (e[0], e[1]))
         out = cls(idf, np.array([e[0] for e in examples], "i8"), np.array([e[1] for e in examples], "f8"))
         blocks = -(-len(examples) // BLOCK)
@@ -154,7 +156,7 @@ def monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 class Model:
     vocabulary: list[str]
     index: Index | None
-    unmarked: float  # score of texts without a vector
+    base: float  # score where there is no index
     k: int = 15
     steps: tuple[np.ndarray, np.ndarray] | None = None
 
@@ -178,13 +180,13 @@ class Model:
 
     def explain(self, counts: tuple) -> tuple[float, list[tuple[int, float]]]:
         """Score and the neighbours that gave it (place in the index, cosine)."""
-        if not counts or self.index is None:
-            return self.unmarked, []
+        if self.index is None:
+            return self.base, []
         if counts not in self._memo:
             near = self.index.nearest(counts, self.k)
             if len(self._memo) >= 50_000:
                 self._memo.clear()
-            self._memo[counts] = (self.calibrated(self.index.vote(near)) if near else self.unmarked), near
+            self._memo[counts] = self.calibrated(self.index.vote(near)), near
         return self._memo[counts]
 
     def scores(self, texts: list[str | None]) -> list[float]:
@@ -204,6 +206,24 @@ def _vectors(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, terms array<int>, counts array<int>")
 
 
+def _document_frequencies(rows: DataFrame, size: int) -> tuple[np.ndarray, int]:
+    """Documents with each term, and all documents. A task sends one row, the sums of all
+    that it has read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n = np.zeros(size, np.int64), 0
+        for batch in batches:
+            df += np.bincount(batch.column(0).flatten().to_numpy(), minlength=size)
+            n += batch.num_rows
+        yield pa.record_batch([pa.array([df.tolist()], pa.list_(pa.int64())), pa.array([n], pa.int64())], names=["df", "n"])
+
+    df, n = np.zeros(size, np.int64), 0
+    for r in rows.select("terms").mapInArrow(run, "df array<long>, n long").toLocalIterator():
+        df += np.array(r.df, np.int64)
+        n += r.n
+    return df, n
+
+
 def _examples(labels: DataFrame, column: str, max_examples: int) -> tuple[dict[tuple[int, int], None], dict[int, int]]:
     """The chosen (doc_id, label) pairs, and how many labelled rows each label has."""
     known = labels.select(F.col("doc_id").cast("long"), F.col(column).cast("int").alias("label"))
@@ -233,7 +253,9 @@ def _vocabulary(docs: DataFrame, size: int, least: int, lift: float, least_g: fl
             yield pa.record_batch([pa.array(part), pa.array([seen[0][t] for t in part], pa.int64()), pa.array([seen[1][t] for t in part], pa.int64())], names=["term", "a", "b"])
         yield pa.record_batch([pa.array([None], pa.string()), pa.array([n[0]], pa.int64()), pa.array([n[1]], pa.int64())], names=["term", "a", "b"])
 
-    counted = docs.select(F.col("text").cast("string"), "label").mapInArrow(run, "term string, a long, b long")
+    # Copies of a text under one label are one example of what marks the label.
+    kinds = docs.select(F.col("text").cast("string").alias("text"), "label").withColumn("h", F.sha2("text", 256)).dropDuplicates(["h", "label"]).select("text", "label")
+    counted = kinds.mapInArrow(run, "term string, a long, b long")
     counted = staged(counted.groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "terms")
     total = counted.filter(F.col("term").isNull()).collect()
     n = (total[0].a, total[0].b) if total else (0, 0)
@@ -275,34 +297,27 @@ def fit(
     if not vocabulary:
         return Model([], None, base), None
     rows = staged(_vectors(docs, vocabulary), "vectors")
-    stats = rows.select(F.explode("terms").alias("t")).groupBy("t").count().collect()
-    everything = rows.count()
-    df = np.zeros(len(vocabulary))
-    for r in stats:
-        df[r.t] = r["count"]
+    df, everything = _document_frequencies(rows, len(vocabulary) + 1)
     idf = np.log((everything + 1) / (df + 1)) + 1
+    idf[-1] = COMMON_WEIGHT
     examples = [(r.doc_id, r.label, tuple(zip(r.terms, r.counts, strict=True))) for r in rows.join(wanted, "doc_id").collect()]
     sampled = Counter(e[1] for e in examples)
-    weight = {c: totals.get(c, 0) / sampled[c] if sampled[c] else 0.0 for c in (0, 1)}
-    bare = [e for e in examples if not e[2]]
-    mass = [sum(weight[e[1]] for e in bare if e[1] == c) for c in (0, 1)]
-    unmarked = (mass[1] + base) / (sum(mass) + 1)
-    marked = [e for e in examples if e[2]]
-    if not marked:
+    if min(sampled[0], sampled[1]) == 0 or len(examples) < 3:
         return Model([], None, base), rows
-    index = Index.build(idf, marked)
-    marked.sort(key=lambda e: (e[0], e[1]))
+    weight = {c: totals.get(c, 0) / sampled[c] for c in (0, 1)}
+    index = Index.build(idf, examples)
+    examples.sort(key=lambda e: (e[0], e[1]))
     votes, truth, w, memo = [], [], [], {}
-    for place, (_, label, counts) in enumerate(marked):
+    for place, (_, label, counts) in enumerate(examples):
         key = (counts, label)
         if key not in memo:  # leave one of these out: the others are equal
             near = index.nearest(counts, k, skip=place)
-            memo[key] = index.vote(near) if near else base
+            memo[key] = index.vote(near)
         votes.append(memo[key])
         truth.append(label)
         w.append(weight[label])
     x, y = monotone(np.array(votes), np.array(truth, float), np.array(w))
-    return Model(vocabulary, index, unmarked, k, (x, y)), rows
+    return Model(vocabulary, index, base, k, (x, y)), rows
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
