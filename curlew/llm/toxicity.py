@@ -86,13 +86,20 @@ class Index:
     labels: np.ndarray
     postings: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)  # examples, weights, block starts
     largest: np.ndarray | None = None  # term x block
+    first_ids: np.ndarray | None = None  # smallest doc_id of each block
+
+    @staticmethod
+    def ordered(examples: list[tuple[int, int, tuple]]) -> list[tuple[int, int, tuple]]:
+        """Like vectors side by side, so that the bounds of a block are tight."""
+        return sorted(examples, key=lambda e: (e[2], e[0], e[1]))
 
     @classmethod
     def build(cls, idf: np.ndarray, examples: list[tuple[int, int, tuple]]) -> Index:
         """``examples``: (doc_id, label, counts)."""
-        examples = sorted(examples, key=lambda e: (e[0], e[1]))
+        examples = cls.ordered(examples)
         out = cls(idf, np.array([e[0] for e in examples], "i8"), np.array([e[1] for e in examples], "f8"))
         blocks = -(-len(examples) // BLOCK)
+        out.first_ids = np.array([out.ids[b * BLOCK : b * BLOCK + BLOCK].min() for b in range(blocks)], "i8")
         lists: list[list[tuple[int, float]]] = [[] for _ in idf]
         for n, (_, _, counts) in enumerate(examples):
             for term, weight in out.vector(counts):
@@ -117,11 +124,11 @@ class Index:
         bounds = np.zeros(self.largest.shape[1])
         for t, w in query:
             bounds += w * self.largest[t]
-        best: list[tuple[float, int]] = []  # (-cosine, place), ascending
+        best: list[tuple[float, int, int]] = []  # (-cosine, doc_id, place), ascending
         for b in np.argsort(-bounds, kind="stable"):
             if bounds[b] <= 0 or len(best) == k and bounds[b] < -best[-1][0] - 1e-9:
                 break
-            if len(best) == k and bounds[b] <= -best[-1][0] + 1e-9 and b * BLOCK > best[-1][1]:
+            if len(best) == k and bounds[b] <= -best[-1][0] + 1e-9 and self.first_ids[b] > best[-1][1]:
                 continue  # at best as near, and of larger ids
             sums = np.zeros(BLOCK)
             for t, w in query:
@@ -129,10 +136,10 @@ class Index:
                 low, high = starts[b], starts[b + 1]
                 sums[rows[low:high] - b * BLOCK] += w * weights[low:high]
             places = np.flatnonzero(sums)
-            best += [(-round(float(sums[i]), 12), int(b * BLOCK + i)) for i in places if b * BLOCK + i != skip]
+            best += [(-round(float(sums[i]), 12), int(self.ids[b * BLOCK + i]), int(b * BLOCK + i)) for i in places if b * BLOCK + i != skip]
             best.sort()
             del best[k:]
-        return [(place, -c) for c, place in best]
+        return [(place, -c) for c, _, place in best]
 
     def vote(self, near: list[tuple[int, float]]) -> float:
         weights = [1 / (1 - min(c, 1.0) + 0.05) for _, c in near]
@@ -306,7 +313,7 @@ def fit(
         return Model([], None, base), rows
     weight = {c: totals.get(c, 0) / sampled[c] for c in (0, 1)}
     index = Index.build(idf, examples)
-    examples.sort(key=lambda e: (e[0], e[1]))
+    examples = Index.ordered(examples)
     votes, truth, w, memo = [], [], [], {}
     for place, (_, label, counts) in enumerate(examples):
         key = (counts, label)
