@@ -4,10 +4,16 @@ A fingerprint's bit is 1 if more than half of the hashes of the text's word shin
 (repeats included) have it set. Distinct fingerprints are mapped to the bit counts of
 their 32 segments of 2 bits. The Manhattan distance of two such vectors is a lower
 bound of the Hamming distance. Fingerprints within 3 bits are within 1 in the first or
-in the last 16 segments, so two grids of exact cells hold all of them: a fingerprint is
-stored in its own cell of each grid, and probes that cell and the cells one step away.
-(One step changes the parity of the cell's sum, so only even cells probe their
-neighbours.) Pairs that meet are verified by their Hamming distance inside the join.
+in the last 16 segments, so two grids of exact cells hold all of them (up to 7 bits:
+four grids of 8 segments): a fingerprint is stored in its own cell of each grid, and
+probes that cell and the cells one step away. (One step changes the parity of the
+cell's sum, so only even cells probe their neighbours.) Pairs that meet are verified by
+their Hamming distance inside the join.
+
+With ``length_ratio`` only texts whose numbers of words are near can link: the grids get
+one more dimension, the logarithm of that number in steps of the ratio, and cells meet
+in the same and the next step. Two texts whose shingle sets have a similarity s have
+lengths within a ratio of about s, so nothing similar is lost, and far fewer cells meet.
 
 Groups of equal fingerprints are one row from the start, whatever their size.
 
@@ -20,6 +26,7 @@ columns are kept by ``deduplicate`` and ignored elsewhere.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,14 +41,14 @@ SEED = 42
 MAX_BITS = 3
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """Unsigned 64-bit SimHash of a whole text. A-Z is lower-cased; words are runs of
-    anything but ASCII white space."""
+def fingerprint(text: str | None, shingle: int) -> tuple[int, int]:
+    """Unsigned 64-bit SimHash of a whole text, and its number of words. A-Z is
+    lower-cased; words are runs of anything but ASCII white space."""
     import xxhash
 
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return 0, 0
     data, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= shingle:
         hashes = [digest(data, SEED)]
@@ -56,64 +63,83 @@ def fingerprint(text: str | None, shingle: int) -> int:
     for low in range(0, n, 65_536):  # bounded memory for very long texts
         part = rows[low : low + 65_536].view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
+    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big"), len(words)
 
 
-def with_fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """doc_id and fp (the 64 bits as a long) of each document."""
+def with_fingerprints(docs: DataFrame, shingle: int = 5, length_ratio: float | None = None) -> DataFrame:
+    """doc_id, fp (the 64 bits as a long) and size (the step of the number of words; 0
+    without ``length_ratio``) of each document."""
     short_batches(docs.sparkSession)
+    if length_ratio is not None and not 0 < length_ratio < 1:
+        raise ValueError("length_ratio lies between 0 and 1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.record_batch([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            found = [fingerprint(t, shingle) for t in batch.column(1).to_pylist()]
+            fp = np.array([f for f, _ in found], np.uint64)
+            size = [0 if length_ratio is None else -2 if not n else int(math.log(n) / -math.log(length_ratio)) for _, n in found]
+            yield pa.record_batch([batch.column(0), pa.array(fp.view(np.int64)), pa.array(size, pa.int32())], names=["doc_id", "fp", "size"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long, size int")
 
 
 def near_pairs(fingerprints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Pairs ``fp_a < fp_b`` of distinct fingerprints (column ``fp``) that differ in at
-    most ``max_bits`` (0 to 3) bits, each pair once."""
-    if not 0 <= max_bits <= 3:
-        raise ValueError("the two grids find distances up to 3")
-    # Bit counts of 2-bit segments, packed: of each half of the bits, 16 counts in a long.
-    half = lambda n, bits: f"named_struct('half', {n}, 'cell', {bits} - (shiftrightunsigned({bits}, 1) & 1431655765L), 'ones', bit_count({bits}))"
-    halves = F.expr(f"array({half(0, 'shiftrightunsigned(fp, 32)')}, {half(1, '(fp & 4294967295L)')})")
-    rows = fingerprints.select("fp").distinct().select("fp", F.explode(halves).alias("h")).select("fp", "h.half", "h.cell", "h.ones")
-    steps = """
-        flatten(transform(sequence(0, 15), i ->
+    """fp_a, size_a, fp_b, size_b: pairs of different rows of ``fingerprints(fp[, size])``
+    whose fingerprints differ in at most ``max_bits`` (0 to 7) bits and whose sizes
+    in at most 1, each pair once."""
+    if not 0 <= max_bits <= 7:
+        raise ValueError("the grids find distances up to 7")
+    grids = 2 if max_bits <= 3 else 4
+    bits = 64 // grids
+    sized = "size" in fingerprints.columns
+    mask = (1 << bits) - 1
+    # Bit counts of 2-bit segments, packed in a long for each grid.
+    counts = lambda x: f"{x} - (shiftrightunsigned({x}, 1) & {0x5555555555555555 & mask}L)"
+    part = lambda g: f"(shiftrightunsigned(fp, {g * bits}) & {mask}L)"
+    cells = ", ".join(f"named_struct('grid', {g}, 'cell', {counts(part(g))}, 'ones', bit_count({part(g)}))" for g in range(grids))
+    rows = fingerprints.select("fp", F.col("size") if sized else F.lit(0).alias("size")).distinct()
+    rows = rows.select("fp", "size", F.explode(F.expr(f"array({cells})")).alias("h")).select("fp", "size", "h.grid", "h.cell", "h.ones")
+    steps = f"""
+        flatten(transform(sequence(0, {bits // 2 - 1}), i ->
             filter(array(
                 if((shiftright(cell, 2 * i) & 3) < 2, cell + shiftleft(1L, 2 * i), -1L),
                 if((shiftright(cell, 2 * i) & 3) > 0, cell - shiftleft(1L, 2 * i), -1L)), x -> x >= 0)))
     """
-    probes = F.expr(f"if(ones % 2 = 0, concat(array(cell), {steps}), array(cell))")
-    left = rows.select(F.col("fp").alias("fp_l"), "half", F.col("cell").alias("own"), F.explode(probes).alias("cell"))
-    right = rows.select(F.col("fp").alias("fp_r"), "half", "cell")
+    left = rows.select(F.col("fp").alias("fp_l"), F.col("size").alias("size_l"), "grid", F.col("cell").alias("own"), F.explode(F.expr(f"if(ones % 2 = 0, concat(array(cell), {steps}), array(cell))")).alias("cell"))
+    if sized:
+        # From its own cell a row meets the same and the next size, from others also the one before.
+        at = F.col("size_l")
+        left = left.withColumn("size", F.explode(F.when(F.col("own") == F.col("cell"), F.array(at, at + 1)).otherwise(F.array(at - 1, at, at + 1))))
+    else:
+        left = left.withColumn("size", F.col("size_l"))
+    right = rows.select(*(F.col(c).alias(f"{c}_r") for c in ("fp", "size", "grid", "cell")))
     near = F.bit_count(F.col("fp_l").bitwiseXOR(F.col("fp_r"))) <= max_bits
-    once = (F.col("own") != right["cell"]) | (F.col("fp_l") < F.col("fp_r"))
-    met = left.join(right, (left["half"] == right["half"]) & (left["cell"] == right["cell"]) & near & once & (F.col("fp_l") != F.col("fp_r")))
-    return met.select(F.least("fp_l", "fp_r").alias("fp_a"), F.greatest("fp_l", "fp_r").alias("fp_b")).distinct()
+    once = (F.col("own") != F.col("cell_r")) | (F.col("size_l") != F.col("size_r")) | (F.col("fp_l") < F.col("fp_r"))
+    same = (F.col("grid") == F.col("grid_r")) & (F.col("cell") == F.col("cell_r")) & (F.col("size") == F.col("size_r"))
+    met = left.join(right, same & near & once)
+    l, r = (F.struct(F.col(f"fp_{x}").alias("fp"), F.col(f"size_{x}").alias("size")) for x in "lr")  # noqa: E741
+    both = met.select(F.least(l, r).alias("a"), F.greatest(l, r).alias("b")).distinct()
+    return both.select(F.col("a.fp").alias("fp_a"), F.col("a.size").alias("size_a"), F.col("b.fp").alias("fp_b"), F.col("b.size").alias("size_b"))
 
 
-def grouped(docs: DataFrame, shingle: int = 5, max_bits: int = MAX_BITS) -> DataFrame:
+def grouped(docs: DataFrame, shingle: int = 5, max_bits: int = MAX_BITS, length_ratio: float | None = None) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id reachable over links) of each
     document with an id."""
-    rows = staged(with_fingerprints(docs, shingle).filter("doc_id IS NOT NULL"), "fingerprints")
-    classes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    pairs = near_pairs(classes, max_bits)
-    named = lambda c: classes.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_id"))
-    links = pairs.join(named("fp_a"), "fp_a").join(named("fp_b"), "fp_b")
-    # A document id may name several classes only if ids repeat; the link stands all the same.
-    same_id = classes.select(F.col("first").alias("node"), "fp")
-    groups = components(links, "fp_a_id", "fp_b_id")
-    labelled = same_id.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return rows.join(labelled, "fp").select("doc_id", "fp", "component_id")
-
-
-def deduplicate(docs: DataFrame, shingle: int = 5, max_bits: int = MAX_BITS) -> DataFrame:
+    rows = staged(with_fingerprints(docs, shingle, length_ratio).filter("doc_id IS NOT NULL"), "fingerprints")
+    classes = staged(rows.groupBy("fp", "size").agg(F.min("doc_id").alias("first")), "classes")
+    pairs = near_pairs(classes if length_ratio else classes.drop("size"), max_bits)
+    named = lambda c: classes.select(F.col("fp").alias(f"fp_{c}"), F.col("size").alias(f"size_{c}"), F.col("first").alias(f"first_{c}"))
+    links = pairs.join(named("a"), ["fp_a", "size_a"]).join(named("b"), ["fp_b", "size_b"])
+    # Classes are nodes by their first doc_id; classes that share an id (ids that repeat) are one node.
+    groups = components(links, "first_a", "first_b")
+    labelled = classes.join(groups, classes["first"] == groups["node"], "left").select("fp", "size", F.coalesce("component", "first").alias("component_id"))
+    return rows.join(labelled, ["fp", "size"]).select("doc_id", "fp", "component_id")
+
+
+def deduplicate(docs: DataFrame, shingle: int = 5, max_bits: int = 7, length_ratio: float | None = 0.8) -> DataFrame:
     """One document of each group: the one with the smallest doc_id (and of rows that
     share it, all). Documents without an id stay."""
-    kept = grouped(docs, shingle, max_bits).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
+    kept = grouped(docs, shingle, max_bits, length_ratio).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
     stay = docs.join(kept, docs["doc_id"].cast("long") == kept["_kept_id"], "left_semi")
     return stay.unionByName(docs.filter(docs["doc_id"].isNull()))
 
