@@ -116,18 +116,35 @@ def flatten_messages(messages: ColumnLike, spaced: bool = True) -> Column:
     return F.array_join(F.transform(_c(messages), line), "")
 
 
-def chat(messages: ColumnLike, style: str = "tulu", bos: str = "<s>", eos: str = "</s>") -> Column:
-    """Messages as one prompt in a chat style: tulu, zephyr or llama2."""
-    m = _c(messages)
-    if style == "tulu":
-        end = lambda x: F.when(x["role"] == "assistant", F.concat(x["content"], F.lit(eos + "\n"))).otherwise(F.concat(x["content"], F.lit("\n")))
-        return F.concat(F.array_join(F.transform(m, lambda x: F.concat(F.lit("<|"), x["role"], F.lit("|>\n"), end(x))), ""), F.lit("<|assistant|>\n"))
-    if style == "zephyr":
-        return F.concat(F.array_join(F.transform(m, lambda x: F.concat(F.lit("<|"), x["role"], F.lit("|>\n"), x["content"], F.lit(eos + "\n"))), ""), F.lit("<|assistant|>\n"))
-    if style == "llama2":
-        one = lambda x: F.when(x["role"] == "assistant", F.concat(F.lit(" "), x["content"], F.lit(f" {eos}{bos}"))).otherwise(F.concat(F.lit("[INST] "), x["content"], F.lit(" [/INST]")))
-        return F.concat(F.lit(bos), F.array_join(F.transform(m, one), ""))
-    raise ValueError(f"unknown style {style}")
+# What stands before and after a message of each role in a chat style, and
+# what opens and closes the prompt.
+CHAT_STYLES = {
+    "tulu": {"user": ("<|user|>\n", "\n"), "system": ("<|system|>\n", "\n"), "assistant": ("<|assistant|>\n", "</s>\n"), "open": "", "close": "<|assistant|>\n"},
+    "olmo": {"user": ("<|user|>\n", "\n"), "system": ("<|system|>\n", "\n"), "assistant": ("<|assistant|>\n", "<|endoftext|>\n"), "open": "<|endoftext|>", "close": "<|assistant|>\n"},
+    "zephyr": {"user": ("<|user|>\n", "</s>\n"), "system": ("<|system|>\n", "</s>\n"), "assistant": ("<|assistant|>\n", "</s>\n"), "open": "", "close": "<|assistant|>\n"},
+    "llama2": {"user": ("[INST] ", " [/INST]"), "system": ("<<SYS>>\n", "\n<</SYS>>\n\n"), "assistant": (" ", " </s><s>"), "open": "<s>", "close": ""},
+    "llama3": {"user": ("<|start_header_id|>user<|end_header_id|>\n\n", "<|eot_id|>"), "system": ("<|start_header_id|>system<|end_header_id|>\n\n", "<|eot_id|>"), "assistant": ("<|start_header_id|>assistant<|end_header_id|>\n\n", "<|eot_id|>"), "open": "<|begin_of_text|>", "close": "<|start_header_id|>assistant<|end_header_id|>\n\n"},
+    "mistral": {"user": ("[INST] ", " [/INST]"), "system": ("", "\n\n"), "assistant": (" ", "</s>"), "open": "<s>", "close": ""},
+    "gemma": {"user": ("<start_of_turn>user\n", "<end_of_turn>\n"), "system": ("<start_of_turn>user\n", "<end_of_turn>\n"), "assistant": ("<start_of_turn>model\n", "<end_of_turn>\n"), "open": "<bos>", "close": "<start_of_turn>model\n"},
+    "phi": {"user": ("<|user|>\n", "<|end|>\n"), "system": ("<|system|>\n", "<|end|>\n"), "assistant": ("<|assistant|>\n", "<|end|>\n"), "open": "", "close": "<|assistant|>\n"},
+    "xwin": {"user": ("USER: ", " "), "system": ("", " "), "assistant": ("ASSISTANT: ", "</s>"), "open": "", "close": "ASSISTANT:"},
+}
+
+
+def chat(messages: ColumnLike, style: str = "tulu") -> Column:
+    """Messages as one prompt in a chat style; messages of unknown roles are left out."""
+    if style not in CHAT_STYLES:
+        raise ValueError(f"unknown style {style}")
+    marks = CHAT_STYLES[style]
+
+    def one(m: Column) -> Column:
+        out = F.when(F.lit(False), F.lit(""))
+        for role in ("user", "system", "assistant"):
+            before, after = marks[role]
+            out = out.when(m["role"] == role, F.concat(F.lit(before), F.coalesce(m["content"], F.lit("")), F.lit(after)))
+        return out.otherwise(F.lit(""))
+
+    return F.concat(F.lit(marks["open"]), F.array_join(F.transform(_c(messages), one), ""), F.lit(marks["close"]))
 
 
 def merge_request(instruction: ColumnLike, input: ColumnLike) -> Column:  # noqa: A002

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -12,15 +11,25 @@ def grpo(df: DataFrame, group: str, score: str, out: str = "advantage", eps: flo
     deviation: null, or an error if ``strict``."""
     if strict and not df.groupBy(group).count().filter("count < 2").isEmpty():
         raise ValueError("a group has fewer than two rows")
-    w = W.partitionBy(group)
-    return df.withColumn(out, (F.col(score) - F.avg(score).over(w)) / (F.stddev_samp(score).over(w) + eps))
+    stats = _group_stats(df, group, F.avg(score).alias("_m"), F.stddev_samp(score).alias("_s"))
+    return _with_stats(df, group, stats).withColumn(out, (F.col(score) - F.col("_m")) / (F.col("_s") + eps)).drop("_m", "_s")
 
 
 def rloo(df: DataFrame, group: str, score: str, out: str = "advantage") -> DataFrame:
     """Score less the mean of the group's other scores; null in a group of one."""
-    w = W.partitionBy(group)
-    n = F.count(score).over(w)
-    return df.withColumn(out, F.when(n > 1, F.col(score) - (F.sum(score).over(w) - F.col(score)) / (n - 1)))
+    stats = _group_stats(df, group, F.sum(score).alias("_t"), F.count(score).alias("_n"))
+    others = (F.col("_t") - F.col(score)) / F.when(F.col("_n") > 1, F.col("_n") - 1)
+    return _with_stats(df, group, stats).withColumn(out, F.col(score) - others).drop("_t", "_n")
+
+
+def _group_stats(df: DataFrame, group: str, *aggregates) -> DataFrame:
+    return df.groupBy(F.col(group).alias("_g")).agg(*aggregates)
+
+
+def _with_stats(df: DataFrame, group: str, stats: DataFrame) -> DataFrame:
+    """Rows meet the numbers of their group in a join: those come from partial sums, and a
+    hot group is split, where a window would put it in one task."""
+    return df.join(stats, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
 
 
 def remax(df: DataFrame, score: str, baseline: str, out: str = "advantage") -> DataFrame:

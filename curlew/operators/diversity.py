@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import staged
 from .neighbours import knn_edges
 
 
@@ -37,26 +38,34 @@ def final_rank(df: DataFrame, quality: str, score: str, id: str, out: str = "fin
     return place(df, order, out)
 
 
-def place(df: DataFrame, order: list, out: str) -> DataFrame:
-    """1-based place in a total order, without one task that holds all rows: a range
-    partitioned sort, places within each partition, and sizes of the partitions before."""
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    local = ranged.withColumn("_row", F.row_number().over(W.partitionBy("_part").orderBy(*order)))
-    sizes = local.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return local.join(F.broadcast(before), "_part").withColumn(out, (F.col("_before") + F.col("_row")).cast("long")).drop("_part", "_row", "_before")
+def place(df: DataFrame, order: list, out: str, within: str | None = None) -> DataFrame:
+    """1-based place in a total order, over the table or ``within`` each value of a column,
+    without one task that holds a whole group: a range-partitioned sort, places within
+    each partition, and the sizes of the partitions before. The sizes have a row per
+    partition and value."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = F.col(within) if within else F.lit(0)
+    rows = df.withColumn("_key", key)
+    ranged = rows.repartitionByRange(n, F.col("_key"), *order).withColumn("_part", F.spark_partition_id())
+    # Both uses must see the same partitions, so the ranged rows are written once.
+    ranged = staged(ranged)
+    local = ranged.withColumn("_row", F.row_number().over(W.partitionBy("_key", "_part").orderBy(*order)))
+    sizes = ranged.groupBy("_key", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy("_key").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    sizes = sizes.select(F.col("_key").alias("_k"), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    joined = local.join(sizes, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_part") == F.col("_p")))
+    return joined.withColumn(out, (F.col("_before") + F.col("_row")).cast("long")).drop("_key", "_part", "_row", "_k", "_p", "_before")
 
 
 def stratified_top(df: DataFrame, stratum: str, score: str, id: str, share: float) -> DataFrame:  # noqa: A002
     """Of each stratum (missing: ``unknown``) the ``max(1, ceil(m * share))`` rows with the
     highest score."""
     key = F.coalesce(F.col(stratum).cast("string"), F.lit("unknown"))
-    sizes = df.groupBy(key.alias("_key")).agg(F.count(F.lit(1)).alias("_m"))
-    ranked = df.withColumn("_key", key).withColumn("_row", F.row_number().over(W.partitionBy("_key").orderBy(F.desc(score), id)))
+    rows = df.withColumn("_stratum", key)
+    sizes = rows.groupBy(F.col("_stratum").alias("_s")).agg(F.count(F.lit(1)).alias("_m"))
+    ranked = place(rows, [F.desc(score), F.asc(id)], "_place", within="_stratum")
     keep = F.greatest(F.lit(1), F.ceil(F.col("_m").cast("double") * F.lit(float(share))))
-    return ranked.join(F.broadcast(sizes), "_key").filter(F.col("_row") <= keep).drop("_key", "_row", "_m")
+    return ranked.join(sizes, F.col("_stratum") == F.col("_s")).filter(F.col("_place") <= keep).drop("_stratum", "_place", "_s", "_m")
 
 
 def long_tail_selection(df: DataFrame, id: str, vector: str, stratum: str, k: int = 15, share: float = 0.35) -> DataFrame:  # noqa: A002

@@ -78,6 +78,7 @@ def merge_top(original: DataFrame, mixed: DataFrame, value: str, id: str, n: int
 
 def sample_per(df: DataFrame, group: str, id: str, n: int, seed: int = 42) -> DataFrame:  # noqa: A002
     """At most ``n`` rows of each group, chosen by a hash."""
+    # A limit by rank within a group is applied before the shuffle too.
     rank = F.row_number().over(W.partitionBy(group).orderBy(F.xxhash64(F.col(id), F.lit(seed)), id))
     return df.withColumn("_row", rank).filter(F.col("_row") <= n).drop("_row")
 

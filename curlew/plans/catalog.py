@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rollouts, scores, text
-from ..operators import advantages, balance, batches, bayes, clusters, dedup, diversity, evaluation, neighbours, noise, ratings, selection
+from ..operators import advantages, balance, batches, bayes, centrality, clusters, dedup, diversity, evaluation, neighbours, noise, prompts, ratings, selection
 from ..sources import readers
 from .carriers import KNN_SQL, PAIRS_SQL, RATED_SQL, pairs, rated, table, vectors
 
@@ -336,6 +336,22 @@ def dotted_get(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 
+@query("""WITH d AS (SELECT user_id % 7 AS g, event_id, concat('Q: ', event_type, chr(10), 'A: ', user_id, chr(10), chr(10)) AS t, row_number() OVER (PARTITION BY user_id % 7 ORDER BY event_id) AS rn FROM events),
+    s AS (SELECT g, string_agg(t, '' ORDER BY event_id) AS demos FROM d WHERE rn <= 3 GROUP BY g)
+    SELECT c_custkey, concat('Answer.', chr(10), coalesce(demos, ''), 'Q: ', c_mktsegment, chr(10), 'A:') AS prompt FROM customer LEFT JOIN s ON g = c_custkey % 8""")
+def few_shot_prompt(spark, sf_dir):
+    examples = table(spark, sf_dir, "events").withColumn("g", F.col("user_id") % 7)
+    line = F.concat(F.lit("Q: "), "event_type", F.lit("\nA: "), F.col("user_id").cast("string"), F.lit("\n\n"))
+    shots = prompts.demonstrations(examples, "g", "event_id", line, 3)
+    asked = table(spark, sf_dir, "customer").withColumn("g", F.col("c_custkey") % 8)
+    return prompts.few_shot(asked, shots, "g", F.concat(F.lit("Q: "), "c_mktsegment", F.lit("\nA:")), "Answer.\n").select("c_custkey", "prompt")
+
+
+@query()
+def lexrank(spark, sf_dir):
+    return centrality.lexrank(neighbours.near_pairs(vectors(spark, sf_dir), "vec_id", "embedding", 0.35), damping=0.85)
+
+
 # Selection
 
 

@@ -159,3 +159,12 @@ def test_losses(spark):
     assert one(spark, rollouts.kl_penalty("o", "n", "low_var_kl"), o=([0.0], d), n=([1.0], d)) == pytest.approx([math.e - 2])
     mc = one(spark, rollouts.multiple_choice(F.lit(-1.0), "t", "f"), t=([-1.0, -3.0], d), f=([-2.0], d))
     assert (mc.mc1, mc.mc3) == (1.0, 0.5)
+
+
+@pytest.mark.parametrize("style", sorted(text.CHAT_STYLES))
+def test_chat_styles(spark, style):
+    m = [("system", "s"), ("user", "u"), ("assistant", "a"), ("tool", "t")]
+    got = one(spark, text.chat("m", style), m=(m, "array<struct<role: string, content: string>>"))
+    marks = text.CHAT_STYLES[style]
+    parts = "".join(marks[r][0] + c + marks[r][1] for r, c in m if r in marks)
+    assert got == marks["open"] + parts + marks["close"]

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from curlew.operators import advantages, balance, batches, bayes, clusters, dedup, diversity, evaluation, neighbours, noise, ratings, selection
+from curlew.operators import advantages, balance, batches, bayes, centrality, clusters, dedup, diversity, evaluation, neighbours, noise, prompts, ratings, selection
 
 
 @pytest.fixture(scope="module")
@@ -297,3 +297,36 @@ def test_evaluation(spark):
     assert evaluation.completion_scores(lp, "p", "c", "l").first().scores == {"a": -3.0, "b": -5.0}
     j = spark.createDataFrame([("m", 0.9, 0.1), ("m", 0.8, 0.7)], "model string, a double, b double")
     assert tuple(evaluation.joint_accuracy(j, "model", "a", "b").first())[1:] == (1.0, 0.5, 0.5)
+
+
+def test_place_within_groups(spark):
+    rows = [(i, None if i % 5 == 0 else "b" if i % 3 else "c", i % 4) for i in range(80)]
+    df = spark.createDataFrame(rows, "id long, g string, x int")
+    got = {r.id: r.p for r in diversity.place(df, [F.desc("x"), F.asc("id")], "p", within="g").collect()}
+    for g in (None, "b", "c"):
+        mine = sorted((r for r in rows if r[1] == g), key=lambda r: (-r[2], r[0]))
+        assert [got[r[0]] for r in mine] == list(range(1, len(mine) + 1))
+
+
+def test_prompts(spark):
+    demos = "Q: a\nA: Let's think step by step. x. So the answer is 1.\n\nQ: b\nA: 2"
+    got = spark.createDataFrame([(demos,)], "d string").select(prompts.without_reasoning(F.col("d")).alias("x")).first().x
+    assert got == "Q: a\nA: 1.\n\nQ: b\nA: 2"
+    ex = spark.createDataFrame([("s", 2, "two "), ("s", 1, "one "), ("s", 3, "three ")], "subject string, id int, t string")
+    shots = prompts.demonstrations(ex, "subject", "id", F.col("t"), 2)
+    q = spark.createDataFrame([("s", "q1"), ("z", "q2")], "subject string, q string")
+    assert sorted(r.prompt for r in prompts.few_shot(q, shots, "subject", F.col("q"), "> ").collect()) == ["> one two q1", "> q2"]
+    words = spark.createDataFrame([("s", "hello")], "lang string, hi string")
+    assert prompts.by_language(q.withColumnRenamed("subject", "lang"), words).filter("hi IS NOT NULL").count() == 1
+
+
+def test_lexrank(spark):
+    star = spark.createDataFrame([(0, i, 0.5) for i in range(1, 6)], "a long, b long, similarity double")
+    got = {r.id: r.score for r in centrality.lexrank(star).collect()}
+    w = np.eye(6)
+    w[0, 1:] = w[1:, 0] = 0.5
+    p = w / w.sum(1, keepdims=True)
+    x = np.ones(6)
+    for _ in range(500):
+        x = x @ p
+    assert [got[i] for i in range(6)] == pytest.approx(x.tolist(), abs=1e-4)
