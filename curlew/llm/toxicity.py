@@ -41,7 +41,8 @@ PREFIXES = (4, 5, 6, 7)
 COMMON_WORDS = 50  # words for each occurrence of the common term
 COMMON_WEIGHT = 3.0  # its weight, in place of an inverse document frequency
 BLOCK = 64
-MEMO = 300_000
+MEMO = 300_000  # words without a term that a worker remembers
+SCORES = 20_000  # vectors whose score it remembers
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
 
@@ -189,15 +190,21 @@ class Model:
         """Score and the neighbours that gave it (place in the index, cosine)."""
         if self.index is None:
             return self.base, []
-        if counts not in self._memo:
-            near = self.index.nearest(counts, self.k)
-            if len(self._memo) >= 50_000:
+        near = self.index.nearest(counts, self.k)
+        return self.calibrated(self.index.vote(near)), near
+
+    def score(self, counts: tuple) -> float:
+        """The score alone, remembered for vectors that come again."""
+        found = self._memo.get(counts)
+        if found is None:
+            found = self.explain(counts)[0]
+            if len(self._memo) >= SCORES:
                 self._memo.clear()
-            self._memo[counts] = self.calibrated(self.index.vote(near)), near
-        return self._memo[counts]
+            self._memo[counts] = found
+        return found
 
     def scores(self, texts: list[str | None]) -> list[float]:
-        return [self.explain(self._vectoriser.counts(t))[0] for t in texts]
+        return [self.score(self._vectoriser.counts(t)) for t in texts]
 
 
 def _vectors(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
@@ -327,23 +334,28 @@ def fit(
     return Model(vocabulary, index, base, k, (x, y)), rows
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, with_evidence: bool = True, **options) -> DataFrame:
     """doc_id, held_out, score, predicted and the evidence of each document: its
-    nearest examples with their cosine and label."""
+    nearest examples with their cosine and label (without it, equal vectors are
+    searched once)."""
     model, rows = fit(docs, labels, **options)
     if rows is None:
         rows = docs.select(F.col("doc_id").cast("long"), F.array().cast("array<int>").alias("terms"), F.array().cast("array<int>").alias("counts"))
-    schema = "doc_id long, score double, evidence array<struct<doc_id: long, cosine: double, label: int>>"
+    schema = "doc_id long, score double" + ", evidence array<struct<doc_id: long, cosine: double, label: int>>" * with_evidence
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
         for batch in batches:
-            found = [model.explain(tuple(zip(t, c, strict=True))) for t, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            vectors = [tuple(zip(t, c, strict=True)) for t, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            if not with_evidence:
+                yield pa.record_batch([batch.column(0), pa.array([model.score(v) for v in vectors], pa.float64())], names=["doc_id", "score"])
+                continue
+            found = [model.explain(v) for v in vectors]
             evidence = [[{"doc_id": int(model.index.ids[p]), "cosine": c, "label": int(model.index.labels[p])} for p, c in near] for _, near in found]
             yield pa.record_batch([batch.column(0), pa.array([f[0] for f in found], pa.float64()), pa.array(evidence, kind)], names=["doc_id", "score", "evidence"])
 
     scored = rows.mapInArrow(run, schema)
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *(["evidence"] if with_evidence else []))
 
 
 def filter_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
@@ -360,4 +372,4 @@ def filter_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **o
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7).drop("evidence")
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7, with_evidence=False)
