@@ -3,7 +3,8 @@
 Pieces and scores come from a SentencePiece BPE model. A text is cut where no piece can
 reach across (before each run of spaces, and between characters that no piece holds
 side by side); the agenda of each segment pops the best merge, and skips it if a keyed
-hash of seed, segment, variant, place and size falls below the dropout rate. Without
+hash of seed, segment, variant, place and size falls below the dropout rate (a hash of
+the segment, moved by place and size, points into a keyed table of draws). Without
 dropout the ids are those of the library. Characters that are no piece become byte
 pieces, a literal U+2581 too, so that decoding gives back every text.
 
@@ -31,8 +32,10 @@ from pyspark.sql import functions as F
 from .shared import short_batches, table
 
 SPACE = "▁"
-MEMO_SEGMENTS = 320_000  # over all variants, in each of two generations
+MEMO_SEGMENTS = 800_000  # over all variants, in each of two generations
 _M = (1 << 64) - 1
+_DRAW = (1 << 20) - 1
+_NEVER = float("inf")
 
 
 class _Memo(dict):
@@ -52,6 +55,12 @@ class _Memo(dict):
         return out
 
 
+def _draws(seed: int, dropout: float) -> bytes:
+    """One byte per draw, 1 if it skips a merge: 2**20 draws from a keyed hash of the seed."""
+    stream = np.frombuffer(hashlib.shake_256(f"merge-dropout:{seed}".encode()).digest(4 << 20), "<u4")
+    return (stream < dropout * (1 << 32)).astype(np.uint8).tobytes()
+
+
 class PieceBpe:
     def __init__(self, path: str, dropout: float = 0.0, seed: int = 0, variants: int = 4):
         import sentencepiece
@@ -65,8 +74,8 @@ class PieceBpe:
         self.joins = {p[k : k + 2] for p in self.cost for k in range(len(p) - 1)}
         if any(j[1] == SPACE and j[0] != SPACE for j in self.joins):
             raise ValueError("pieces of this model reach across spaces")
-        self.dropped = int(dropout * (1 << 32))
         self.seed = seed
+        self.dropped = _draws(seed, dropout) if dropout else b""
         self.variants = variants if dropout else 1
         room = MEMO_SEGMENTS // self.variants
         self._memo = [_Memo(lambda s, v=v: self._segment(s, v), room) for v in range(self.variants)]
@@ -77,22 +86,50 @@ class PieceBpe:
             raw[i] = bytes([b])
         self.raw = np.array(raw, object)
 
+    def _key(self, segment: str, variant: int) -> int:
+        return xxhash.xxh64_intdigest(segment.encode(), (self.seed * 0x9E3779B97F4A7C15 + variant) & _M) & _DRAW
+
+    def _merge_short(self, segment: str, variant: int) -> list[str]:
+        """The agenda as a list of the costs of neighbouring parts: for a word, looking
+        for its least entry is cheaper than a heap."""
+        get, parts, dropped = self.cost.get, list(segment), self.dropped
+        costs = [get(segment[i : i + 2], _NEVER) for i in range(len(parts) - 1)]
+        if dropped:
+            key, starts = self._key(segment, variant), list(range(len(parts)))
+        while costs:
+            least = min(costs)
+            if least == _NEVER:
+                break
+            i = costs.index(least)
+            merged = parts[i] + parts[i + 1]
+            if dropped:
+                if dropped[(key + starts[i] * 40_503 + len(merged) * 611_953) & _DRAW]:
+                    costs[i] = _NEVER
+                    continue
+                del starts[i + 1]
+            parts[i] = merged
+            del parts[i + 1], costs[i]
+            if i:
+                costs[i - 1] = get(parts[i - 1] + merged, _NEVER)
+            if i < len(costs):
+                costs[i] = get(merged + parts[i + 1], _NEVER)
+        return parts
+
     def _merge(self, segment: str, variant: int) -> list[str]:
-        """The agenda: best score first, leftmost among equals."""
+        """The agenda as a heap: best score first, leftmost among equals."""
         cost, parts, n = self.cost, list(segment), len(segment)
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
         agenda = [(cost[m], i, 2) for i in range(n - 1) if (m := segment[i : i + 2]) in cost]
         heapq.heapify(agenda)
         dropped = self.dropped
-        key = xxhash.xxh64_intdigest(segment.encode(), (self.seed * 0x9E3779B97F4A7C15 + variant) & _M) if dropped else 0
+        key = self._key(segment, variant) if dropped else 0
         while agenda:
             _, i, size = heapq.heappop(agenda)
             j = right[i]
             if not parts[i] or j < 0 or len(parts[i]) + len(parts[j]) != size:
                 continue
             if dropped:
-                draw = ((key ^ (i * 0x9E3779B97F4A7C15 + size * 0xC2B2AE3D27D4EB4F)) & _M) * 0xFF51AFD7ED558CCD & _M
-                if draw >> 32 < dropped:
+                if dropped[(key + i * 40_503 + size * 611_953) & _DRAW]:
                     continue
             parts[i] += parts[j]
             parts[j] = ""
@@ -113,14 +150,16 @@ class PieceBpe:
         if len(segment) > 2 and segment[-2:] not in self.joins:  # as in "word,"
             memo = self._memo[variant]
             return memo[segment[:-1]] + memo[segment[-1]]
-        out = []
-        for p in self._merge(segment, variant):
-            i = self.ids.get(p)
-            if i is None:
-                out += [self.byte[b] for b in p.encode()]
-            else:
-                out.append(i)
-        return array("H" if len(self.raw) <= 1 << 16 else "I", out).tobytes()
+        parts = self._merge_short(segment, variant) if len(segment) <= 48 else self._merge(segment, variant)
+        kind = "H" if len(self.raw) <= 1 << 16 else "I"
+        try:
+            return array(kind, map(self.ids.__getitem__, parts)).tobytes()
+        except KeyError:  # a character that is no piece
+            out = []
+            for p in parts:
+                i = self.ids.get(p)
+                out += [self.byte[b] for b in p.encode()] if i is None else [i]
+            return array(kind, out).tobytes()
 
     def _cuts(self, text: str) -> list[str]:
         """Segments of ``text`` with spaces as U+2581, cut before each run of them and at

@@ -36,6 +36,15 @@ def test_decoding_is_lossless(dropout, texts, library):
             assert library.decode(ids.tolist()) == t
 
 
+@pytest.mark.parametrize("dropout", [0.0, 0.15, 0.6])
+def test_both_agendas_agree(dropout, texts):
+    bpe = piece_bpe.PieceBpe(piece_bpe.default_path(), dropout, seed=5)
+    words = {piece_bpe.SPACE + w for t in texts.values() for w in t.split()}
+    for w in sorted(words)[:4000]:
+        for variant in range(2):
+            assert bpe._merge_short(w, variant) == bpe._merge(w, variant), w
+
+
 def test_dropout_varies_by_key_and_seed(texts):
     text = max(texts.values(), key=len)
     plain = piece_bpe.PieceBpe(piece_bpe.default_path()).encode(text)
