@@ -43,3 +43,19 @@ def test_stages_take_effect(stages):
 def test_run_equals_the_stages(spark, stages):
     key = lambda df: sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in df.collect())
     assert key(corpus_pipeline.run(spark, "/root/testdata/sf0.01")) == key(stages[-1])
+
+
+@pytest.mark.parametrize("place", range(5))
+def test_stages_take_odd_and_empty_tables(spark, edge, empty, place, tmp_path):
+    labels = spark.createDataFrame([(i, i % 2, (i + 1) % 2) for i in range(1, 10)], "doc_id long, quality int, toxic int")
+    folder = str(tmp_path)
+    labels.write.parquet(f"{folder}/labels.parquet")
+    _, stage = corpus_pipeline.STAGES[place]
+    odd = edge.select(COLUMNS)
+    rows = stage(spark, odd, folder).collect()
+    if place < 4:
+        assert {r.doc_id for r in rows} <= set(range(1, 10))
+        assert stage(spark, odd, folder).columns == COLUMNS
+    else:
+        assert len({r.doc_id for r in rows}) == 9
+    assert stage(spark, empty, folder).collect() == []
