@@ -18,7 +18,7 @@ _BYTE_TO_CHAR = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if
 
 # Chunks in one generation of a worker's memo; there are two. This bounds memory
 # only, ids do not depend on it.
-MEMO_CHUNKS = 400_000
+MEMO_CHUNKS = 600_000
 
 
 class _Memo(dict):
@@ -97,10 +97,12 @@ class ByteBpe:
         return self._word("", chunk) if _LATIN_WORD(chunk) else self._encode(chunk)
 
     def _encode_next(self, chunk: str) -> bytes:
-        if _LATIN_WORD(chunk):
-            return self._word("Ġ", chunk)
+        if chunk.isalpha():
+            if chunk.isascii() or _LATIN_WORD(chunk):
+                return self._word("Ġ", chunk)
+            return self._encode(" " + chunk)
         stem, last = chunk[:-1], chunk[-1:]
-        if last in ".,!?;:" and _LATIN_WORD(stem):
+        if last in ".,!?;:" and stem.isalpha() and (stem.isascii() or _LATIN_WORD(stem)):
             return self._next[stem] + self._first[last]
         before, line, after = chunk.partition("\n")
         if line and before and after and _VISIBLE(before[-1]) and _VISIBLE(after[0]):
