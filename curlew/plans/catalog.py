@@ -561,3 +561,161 @@ def cluster_sizes(spark, sf_dir):
 @query("WITH s AS (SELECT count(*) AS size FROM conversations GROUP BY conv_id) SELECT size, count(*) AS clusters FROM s GROUP BY size")
 def cluster_size_histogram(spark, sf_dir):
     return clusters.size_histogram(table(spark, sf_dir, "conversations"), "conv_id")
+
+
+# Token-level expressions, over the events of each user in order
+
+_BY_USER = "(PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND {})"
+
+
+def _tokens(spark, sf_dir, **columns):
+    fields = [F.col(c).alias(n) for n, c in columns.items()]
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", *fields)
+    packed = rows.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", *columns))).alias("s"))
+    get = lambda c: F.transform("s", lambda x: x[c]).alias(c)
+    return packed.select("user_id", get("event_id").alias("ids"), *map(get, columns))
+
+
+@query(f"""SELECT event_id, CASE WHEN coalesce(bool_or(event_id % 5 = 0) OVER {_BY_USER.format('1 PRECEDING')}, false) THEN 0 ELSE 1 END AS mask FROM events""")
+def response_mask(spark, sf_dir):
+    rows = _tokens(spark, sf_dir, v="event_id").withColumn("mask", rollouts.response_mask(F.transform("v", lambda x: x % 5), 0))
+    return rows.select(F.explode(F.arrays_zip("ids", "mask")).alias("z")).select(F.col("z.ids").alias("event_id"), "z.mask")
+
+
+@query(f"""SELECT event_id, greatest(sum((value > 50)::INT) OVER {_BY_USER.format('CURRENT ROW')} - 1, 0)::INT AS place FROM events""")
+def position_ids(spark, sf_dir):
+    rows = _tokens(spark, sf_dir, v="value").withColumn("place", rollouts.position_ids(F.transform("v", lambda x: (x > 50).cast("int"))))
+    return rows.select(F.explode(F.arrays_zip("ids", "place")).alias("z")).select(F.col("z.ids").alias("event_id"), "z.place")
+
+
+@query("""WITH t AS (SELECT event_id, value / 100 AS o, (user_id % 10) / 10 AS n, value - 50 AS a FROM events), r AS (SELECT *, exp(n - o) AS ratio FROM t),
+    w AS (SELECT *, greatest(-a * ratio, -a * least(greatest(ratio, 0.8), 1.2)) AS worse FROM r)
+    SELECT event_id, round(CASE WHEN a < 0 THEN least(worse, -a * 3) ELSE worse END, 5) AS loss FROM w""")
+def policy_loss(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", F.array(F.col("value") / 100).alias("o"), F.array((F.col("user_id") % 10) / 10).alias("n"), F.array(F.col("value") - 50).alias("a"))
+    return rows.select("event_id", _r(rollouts.policy_loss("o", "n", "a")[0], 5).alias("loss"))
+
+
+@query("""SELECT event_id, round(greatest(pow(value - r, 2), pow(least(greatest(value, v - 5), v + 5) - r, 2)) / 2, 6) AS loss FROM (SELECT event_id, value, (user_id % 100)::DOUBLE AS r, (event_id % 100)::DOUBLE AS v FROM events)""")
+def value_loss(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", F.array("value").alias("p"), F.array((F.col("user_id") % 100).cast("double")).alias("r"), F.array((F.col("event_id") % 100).cast("double")).alias("v"))
+    return rows.select("event_id", _r(rollouts.value_loss("p", "r", "v", 5.0)[0]).alias("loss"))
+
+
+@query("""SELECT round(sum(value * (event_id % 2)) / (sum(event_id % 2) + 1e-8), 6) AS loss, 'token' AS kind FROM events
+    UNION ALL SELECT round(avg(s / (n + 1e-8)), 6), 'sequence' FROM (SELECT sum(value * (event_id % 2)) AS s, sum(event_id % 2) AS n FROM events GROUP BY user_id)""")
+def loss_reductions(spark, sf_dir):
+    rows = _tokens(spark, sf_dir, v="value").withColumn("m", F.transform("ids", lambda x: (x % 2).cast("int")))
+    parts = [advantages.mean_loss(rows, "v", "m", by=k).select(_r("loss").alias("loss"), F.lit(k).alias("kind")) for k in ("token", "sequence")]
+    return parts[0].unionByName(parts[1])
+
+
+# Rewards and answers on made texts
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS accuracy FROM documents""")
+def final_answer_reward(spark, sf_dir):
+    n = F.col("doc_id").cast("string")
+    said = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("so Answer: 1\nAnswer: x = $"), n, F.lit("$ units"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("Answer: 1"), n)).otherwise(F.lit("none"))
+    return table(spark, sf_dir, "documents").select("doc_id", scores.final_answer_accuracy(said, n).alias("accuracy"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS format, CASE WHEN doc_id % 4 < 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS accuracy FROM documents""")
+def math_reward(spark, sf_dir):
+    n = F.col("doc_id").cast("string")
+    box = F.concat(F.lit("\\boxed{ "), F.when(F.col("doc_id") % 4 < 2, n).otherwise(F.lit("none")), F.lit(" }"))
+    said = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("< think > a </think >"), box)).otherwise(F.concat(F.lit("so "), box))
+    return table(spark, sf_dir, "documents").select("doc_id", scores.math_format_reward(said).alias("format"), scores.math_accuracy(said, n).alias("accuracy"))
+
+
+@query("""WITH t AS (SELECT p_partkey, string_split(lower(p_name), ' ') AS a, string_split(lower(p_type), ' ') AS b FROM part),
+    w AS (SELECT p_partkey, unnest(list_distinct(a)) AS w, a, b FROM t),
+    c AS (SELECT p_partkey, sum(least(len(list_filter(a, lambda x: x = w)), len(list_filter(b, lambda x: x = w)))) AS common FROM w GROUP BY 1)
+    SELECT p_partkey, round(2.0 * common / (len(a) + len(b)), 6)::DOUBLE AS f1 FROM t JOIN c USING (p_partkey)""")
+def token_f1(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", _r(evaluation.token_f1("p_name", "p_type")).alias("f1"))
+
+
+@query("""SELECT round(avg((event_id % 3 != 1)::INT), 6) AS exact_match FROM events""")
+def eval_exact_match(spark, sf_dir):
+    said = F.concat(F.upper("event_type"), F.when(F.col("event_id") % 3 == 0, ".").when(F.col("event_id") % 3 == 1, " x").otherwise("!"))
+    return evaluation.exact_match(table(spark, sf_dir, "events").select(said.alias("p"), "event_type"), "p", "event_type").select(_r("exact_match").alias("exact_match"))
+
+
+@query(f"""WITH {KNN_SQL}, r AS (SELECT id, any_value(la) AS y, list(lb ORDER BY rank) AS l FROM others WHERE rank <= 5 GROUP BY id)
+    SELECT round(avg(list_contains(l[1:1], y)::INT), 6) AS top1, round(avg(list_contains(l[1:5], y)::INT), 6) AS top5 FROM r""")
+def neighbour_accuracy(spark, sf_dir):
+    rows = vectors(spark, sf_dir)
+    labels = rows.select(F.col("vec_id").alias("neighbour"), F.col("label").alias("l"))
+    near = neighbours.knn_edges(rows, "vec_id", "embedding", 5).join(labels, "neighbour").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "l"))), lambda x: x["l"]).alias("ranked"))
+    out = evaluation.top_k_accuracy(near.join(rows.select(F.col("vec_id").alias("id"), "label"), "id"), "ranked", "label", 1, 5)
+    return out.select(_r("top1").alias("top1"), _r("top5").alias("top5"))
+
+
+@query("SELECT user_id, event_type AS completion, round(sum(value), 5) AS score FROM events GROUP BY ALL")
+def completion_scores(spark, sf_dir):
+    out = evaluation.completion_scores(table(spark, sf_dir, "events"), "user_id", "event_type", "value")
+    return out.select("user_id", F.explode("scores").alias("completion", "s")).select("user_id", "completion", _r("s", 5).alias("score"))
+
+
+@query("""SELECT user_id % 5 AS model, round(avg((value >= 50)::INT), 6) AS first, round(avg((event_id % 100 >= 50)::INT), 6) AS second, round(avg((value >= 50 AND event_id % 100 >= 50)::INT), 6) AS both FROM events GROUP BY 1""")
+def joint_accuracy(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("model"), (F.col("value") / 100).alias("a"), ((F.col("event_id") % 100) / 100).alias("b"))
+    out = evaluation.joint_accuracy(rows, "model", "a", "b")
+    return out.select("model", *(_r(c).alias(c) for c in ("first", "second", "both")))
+
+
+@query("SELECT lang AS model, round(avg(n_chars) FILTER (doc_id % 2 = 0), 6) AS even, round(avg(n_chars) FILTER (doc_id % 2 = 1), 6) AS odd FROM documents GROUP BY 1")
+def metric_table(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.col("lang").alias("model"), F.when(F.col("doc_id") % 2 == 0, "even").otherwise("odd").alias("metric"), "n_chars")
+    return evaluation.metric_table(rows, "model", "metric", "n_chars", ["even", "odd"]).select("model", _r("even").alias("even"), _r("odd").alias("odd"))
+
+
+@query("SELECT min(s) AS min, max(s) AS max, max(s) - min(s) AS difference, round(avg(s), 4) AS mean FROM (SELECT sum(n_chars) AS s FROM documents GROUP BY doc_id % 4)")
+def length_imbalance(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select((F.col("doc_id") % 4).alias("part"), "n_chars")
+    return balance.imbalance(rows, "part", "n_chars").select("min", "max", "difference", _r("mean", 4).alias("mean"))
+
+
+@query("SELECT 6.0::DOUBLE * 1000 * sum(n_chars) + 12.0::DOUBLE * 2 * 4 * sum(n_chars::DOUBLE * n_chars) AS flops FROM documents")
+def flops_estimate(spark, sf_dir):
+    return advantages.flops_estimate(table(spark, sf_dir, "documents"), "n_chars", 1000, 2, 4)
+
+
+# Records and batches
+
+
+@query("SELECT c_custkey, " + ", ".join(f"(c_mktsegment = '{s}')::INT AS c_mktsegment_{s.lower()}" for s in ("AUTOMOBILE", "BUILDING", "MACHINERY")) + " FROM customer")
+def one_hot(spark, sf_dir):
+    rows = readers.one_hot(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", ["AUTOMOBILE", "BUILDING", "MACHINERY"])
+    return rows.select("c_custkey", *(F.col(f"c_mktsegment_{s}").alias(f"c_mktsegment_{s.lower()}") for s in ("AUTOMOBILE", "BUILDING", "MACHINERY")))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN '_low' ELSE source END AS dataset FROM documents")
+def dataset_names(spark, sf_dir):
+    k = F.col("doc_id") % 4
+    path = F.when(k == 0, F.concat(F.lit("/a/b.c/"), "source", F.lit("_low.jsonl"))).when(k == 1, F.concat("source", F.lit(".json"))).when(k == 2, F.concat(F.lit("s3://x/"), "source")).otherwise(F.lit("/a/_low.jsonl"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.dataset_from_path(path).alias("dataset"))
+
+
+@query(f"""SELECT conv_id, turn, concat('Instruction: ', rtrim(prompt, {_WS}), chr(10), 'Answer: ', completion) AS text FROM (SELECT conv_id, turn, prompt, rtrim(completion, {_WS}) AS completion FROM ({PAIRS_SQL}))""")
+def instruction_text(spark, sf_dir):
+    rows = pairs(spark, sf_dir).withColumn("prompt", F.regexp_replace("prompt", r"\s+$", ""))
+    return rows.select("conv_id", "turn", text.instruction_text("prompt", "completion").alias("text"))
+
+
+@query("SELECT n_nationkey::BIGINT AS row_id, n_name, n_regionkey, n_nationkey * 2 AS twice FROM nation")
+def batch_union(spark, sf_dir):
+    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("row_id"), "n_name", "n_regionkey")
+    return batches.union_columns(rows, rows.select("row_id", "n_name", (F.col("row_id") * 2).alias("twice")))
+
+
+@query("SELECT n_nationkey::BIGINT AS step FROM nation WHERE n_nationkey IN (7, 24, 23)")
+def retained_checkpoints(spark, sf_dir):
+    return batches.retained_checkpoints(_numbered(spark, sf_dir).select(F.col("row_id").alias("step")), "step", 3, best=7)
+
+
+@query("""SELECT source, count(*) AS n FROM (SELECT source, row_number() OVER (PARTITION BY source) AS rn FROM documents) WHERE rn <= 7 GROUP BY source""")
+def capped_samples(spark, sf_dir):
+    out = selection.sample_per(table(spark, sf_dir, "documents").select("source", "doc_id"), "source", "doc_id", 7)
+    return out.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
