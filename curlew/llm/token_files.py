@@ -62,7 +62,7 @@ def train_dictionary(samples: list[bytes], size: int = 64 << 10) -> bytes:
 
 
 class ShardWriter:
-    def __init__(self, dictionary: bytes, width: int, level: int = 3):
+    def __init__(self, dictionary: bytes, width: int, level: int = 1):
         import zstandard
 
         self.hash, self.width = hashlib.sha256(dictionary).digest(), width
@@ -107,26 +107,28 @@ class ShardReader:
 
 
 def _sample(docs: DataFrame, tokenizer: str, end_id: int, width: int, n_docs: int, max_bytes: int) -> list[bytes]:
-    """Whole serialized arrays of the ``n_docs`` documents with the smallest hash
-    of the id, as many as fit ``max_bytes``. It fits the dictionary alone."""
+    """Whole serialized arrays of the ``n_docs`` documents with the smallest hash of the
+    id, as many as fit ``max_bytes``; none longer than an eighth of that. It fits
+    the dictionary alone."""
     chosen = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n_docs)
     known = [r[0] for r in chosen.collect() if r[0] is not None]
     if not known:
         return []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, left = byte_bpe.load(tokenizer), max_bytes
+        bpe = byte_bpe.load(tokenizer)
         for batch in batches:
-            out = []
-            for text in batch.column(0).to_pylist():
-                ids = pack_ids(bpe.encode(text) + struct.pack("<I", end_id), width)
-                if len(ids) <= left:
-                    left -= len(ids)
-                    out.append(ids)
-            yield pa.record_batch([pa.array(out, pa.binary())], names=["ids"])
-
-    rows = docs.filter(F.col("doc_id").isin(known)).select("text").coalesce(1).mapInArrow(run, "ids binary")
-    return [bytes(r[0]) for r in rows.collect()]
+            out = [pack_ids(bpe.encode(text) + struct.pack("<I", end_id), width) for text in batch.column(1).to_pylist()]
+            keep = pa.array([len(x) <= max_bytes // 8 for x in out])
+            yield pa.record_batch([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "ids"]).filter(keep)
+
+    rows = docs.filter(F.col("doc_id").isin(known)).mapInArrow(run, "doc_id long, ids binary").collect()
+    place, left, out = {k: i for i, k in enumerate(known)}, max_bytes, []
+    for r in sorted(rows, key=lambda r: (place[r.doc_id], r.ids)):
+        if len(r.ids) <= left:
+            left -= len(r.ids)
+            out.append(bytes(r.ids))
+    return out
 
 
 def write_token_files(
