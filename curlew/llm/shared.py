@@ -85,3 +85,10 @@ def dropped(spark: SparkSession, *tables: DataFrame) -> None:
                 path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     gc.collect()
     jvm.System.gc()
+
+
+def apart(df: DataFrame) -> DataFrame:
+    """``df``, an aggregate that is joined by its own key, dealt out evenly. Left where
+    the aggregation put it, the join would take over that partitioning and Spark could
+    not split the partition of a hot key on the other side."""
+    return df.repartition(partitions(df.sparkSession))

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import dropped, short_batches, staged, table
+from .shared import apart, dropped, short_batches, staged, table
 
 LENGTH = 200
 GRAM = 40
@@ -275,7 +275,7 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     ranked = sampled.filter("n > 0")
     # Round 1: ranks of 40 bytes; unique ones drop out.
     shared = ranked.groupBy("gram").agg(F.sum("n").alias("m")).filter("m > 1").select("gram")
-    alive = staged(ranked.join(shared, "gram").select("gram", "span", *where, "place", "n"), "alive")
+    alive = staged(ranked.join(apart(shared), "gram").select("gram", "span", *where, "place", "n"), "alive")
     inside = staged(inside, "inside")
     dropped(spark, sampled)
     # Round 2: equal spans settle.
@@ -285,26 +285,26 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     dropped(spark, alive)
     # Round 3: of spans that differ under one rank, blocks of windows.
     mixed = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("gram")
-    asked = kinds.join(mixed, "gram").select("gram", "one.*")
+    asked = kinds.join(apart(mixed), "gram").select("gram", "one.*")
     blocks = staged(_asked_of(docs, asked, _cut_into_blocks(length), BLOCKS_DDL), "blocks")
     dropped(spark, kinds)
     key = ["gram", "block", "common"]
     alike = blocks.groupBy(key).agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select(key)
-    left = staged(blocks.join(alike, key), "blocks-left")
+    left = staged(blocks.join(apart(alike), key), "blocks-left")
     dropped(spark, blocks)
     wide = left.filter("whole != 0")
     equal = wide.groupBy("gram", "block", "whole").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("gram", "block", "whole")
-    by_block = wide.join(equal, ["gram", "block", "whole"]).select(where)
+    by_block = wide.join(apart(equal), ["gram", "block", "whole"]).select(where)
     # Round 4: the windows of the blocks that are left, as pairs of ranked halves. One row
     # of each kind of whole block stands for its copies, which are settled already.
     one = F.min(F.struct("doc_id", "tag", "low", "more", F.col("first").alias("place"))).alias("one")
     kind = left.groupBy("gram", "block", "common", "whole", F.when(F.col("whole") == 0, F.struct("doc_id", "tag", "low")).alias("own")).agg(one)
     several = kind.groupBy(key).agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select(key)
-    open_ = kind.join(several, key).select("gram", "one.*")
+    open_ = kind.join(apart(several), key).select("gram", "one.*")
     windows = staged(_asked_of(docs, open_, _cut_into_windows(length), WINDOWS_DDL), "windows")
     pair = ["gram", "after", "head", "tail"]
     twice = windows.groupBy(pair).agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select(pair)
-    by_window = windows.join(twice, pair).select("doc_id", "tag", "low", F.lit(0).alias("more"))
+    by_window = windows.join(apart(twice), pair).select("doc_id", "tag", "low", F.lit(0).alias("more"))
     found = inside.unionByName(settled).unionByName(by_block).unionByName(by_window)
     return found
 
