@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import rollouts, scores, text
 from ..operators import advantages, balance, batches, bayes, centrality, clusters, dedup, diversity, evaluation, neighbours, noise, prompts, ratings, selection
 from ..sources import readers
+from ..storage import ship
 from .carriers import KNN_SQL, PAIRS_SQL, RATED_SQL, pairs, rated, table, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,10 +22,15 @@ _SQL: dict[str, str] = {}
 
 def query(sql: str | None = None):
     def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
+        @wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        _QUERIES[f.__name__] = run
         if sql:
             _SQL[f.__name__] = sql
-        return f
+        return run
 
     return add
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,3 +24,17 @@ def staged(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/curlew-stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """This package on the path of every worker, whichever way the driver found it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_curlew_shipped", None):
+        return
+    package = Path(__file__).resolve().parent
+    at = Path(tempfile.mkdtemp(prefix="curlew-code-")) / "curlew_code.zip"
+    with zipfile.ZipFile(at, "w") as code:
+        for f in sorted(package.rglob("*.py")):
+            code.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(at))
+    sc._curlew_shipped = True
