@@ -20,6 +20,8 @@ row; further columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -65,6 +67,19 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).when(smaller == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / smaller)
 
 
+def _place(x: Column, cuts: list[int]) -> Column:
+    """How many of the ascending ``cuts`` are at most ``x``: first in steps of their square
+    root, then within a step."""
+    if not cuts:
+        return F.lit(0)
+    step = math.isqrt(len(cuts)) + 1
+    blocks = [cuts[i : i + step] for i in range(0, len(cuts), step)] + [[]]
+    numbers = lambda found: F.array(*map(F.lit, found)).cast("array<bigint>")
+    passed = F.size(F.filter(numbers([b[-1] for b in blocks if len(b) == step]), lambda c: c <= x))
+    inside = F.element_at(F.array(*map(numbers, blocks)), passed + 1)
+    return passed * step + F.size(F.filter(inside, lambda c: c <= x))
+
+
 def with_neighbour(docs: DataFrame) -> DataFrame:
     """doc_id, text and ``after``: the text of the next document in ascending doc_id
     (of the last, the first). Quantiles of doc_id cut the order into ranges of about
@@ -75,18 +90,19 @@ def with_neighbour(docs: DataFrame) -> DataFrame:
     n = 4 * partitions(spark)
     cuts = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n)).first()[0] or []
     cuts = sorted(set(cuts))  # at most n numbers
-    place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
+    place = _place(F.col("doc_id"), cuts)
     ranged = rows.withColumn("part", place)
     first = {r.part: r.first for r in ranged.groupBy("part").agg(F.min("doc_id").alias("first")).collect()}
     order = sorted(first)
-    before = {first[p]: order[i - 1] for i, p in enumerate(order)}  # first id of a range -> range before it
     own = F.struct(F.col("part").alias("part"), F.lit(0).alias("guest"))
-    if before:
-        at = F.array_position(F.array(*map(F.lit, before)), F.col("doc_id")).cast("int")
-        guest = F.struct(F.element_at(F.array(*map(F.lit, before.values())), F.when(at > 0, at)).alias("part"), F.lit(1).alias("guest"))
-        places = F.when(at > 0, F.array(own, guest)).otherwise(F.array(own))
-    else:
-        places = F.array(own)
+    places = F.array(own)
+    if order:
+        before = {p: order[i - 1] for i, p in enumerate(order)}
+        every = range(max(order) + 1)
+        firsts = F.array(*(F.lit(first.get(p)) for p in every)).cast("array<bigint>")
+        befores = F.array(*(F.lit(before.get(p)) for p in every)).cast("array<int>")
+        guest = F.struct(F.element_at(befores, F.col("part") + 1).alias("part"), F.lit(1).alias("guest"))
+        places = F.when(F.element_at(firsts, F.col("part") + 1) == F.col("doc_id"), F.array(own, guest)).otherwise(places)
     dealt = ranged.select("doc_id", "text", F.explode(places).alias("at")).select("doc_id", "text", "at.part", "at.guest")
     after = F.lead("text").over(W.partitionBy("part").orderBy("guest", "doc_id", "text"))
     return dealt.withColumn("after", after).filter("guest = 0").select("doc_id", "text", "after")

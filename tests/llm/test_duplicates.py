@@ -238,6 +238,13 @@ def test_neighbours_in_order(spark, rows):
     assert got == [(*a, b[1]) for a, b in zip(known, known[1:] + known[:1], strict=True)]
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 9, 10, 50])
+def test_places_among_cuts(spark, n):
+    cuts = [3 * i for i in range(n)]
+    rows = spark.range(-2, 160).select("id", sketch._place(sketch.F.col("id"), cuts).alias("p")).collect()
+    assert all(r.p == sum(c <= r.id for c in cuts) for r in rows)
+
+
 def vector_rows(seed, n=300, dim=16):
     rng = np.random.default_rng(seed)
     v = rng.standard_normal((n, dim)).astype("f4")
