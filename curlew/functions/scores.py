@@ -107,20 +107,26 @@ def rating_detail(raw: ColumnLike, last: bool = False) -> Column:
 # The whole response, and what each task asks of its answer.
 WHOLE_FORMAT = r"(?is)^\s*<think>.*?</think>\s*<answer>.*?</answer>\s*$"
 TASK_FORMATS = {
-    "qa_mixup": r"(?is)<answer>.*?Q:.*?A:.*?</answer>",
-    "mcq_mixup": r"(?is)<answer>.*?Q:.*?A\).*?B\).*?C\).*?D\).*?Answer:.*?</answer>",
-    "cs_mixup": r"(?is)<answer>.*?C:.*?S:.*?</answer>",
-    "tfq_mixup": r"(?is)<answer>.*?Answer:.*?</answer>",
+    "qa": r"(?is)<answer>.*?Q:.*?A:.*?</answer>",
+    "mcq": r"(?is)<answer>.*?Q:.*?A\).*?B\).*?C\).*?D\).*?Answer:.*?</answer>",
+    "cs": r"(?is)<answer>.*?C:.*?S:.*?</answer>",
+    "tfq": r"(?is)<answer>.*?Answer:.*?</answer>",
 }
 
 
+def task_kind(task: ColumnLike) -> Column:
+    """The task's name up to the first ``_``: ``qa`` of ``qa_any_suffix``."""
+    return F.substring_index(_c(task), "_", 1)
+
+
 def format_reward(response: ColumnLike, task: ColumnLike) -> Column:
     """Half for a thought and an answer as the whole response, half for the form that the
-    task asks of the answer (``para_mixup``: always; other unknown tasks: never)."""
+    task asks of the answer (``para``: always; other unknown tasks: never)."""
     text = F.coalesce(_c(response), F.lit(""))
-    form = F.when(_c(task) == "para_mixup", 0.5)
+    kind = task_kind(task)
+    form = F.when(kind == "para", 0.5)
     for name, pattern in TASK_FORMATS.items():
-        form = form.when((_c(task) == name) & text.rlike(pattern), 0.5)
+        form = form.when((kind == name) & text.rlike(pattern), 0.5)
     return F.when(text.rlike(WHOLE_FORMAT), 0.5).otherwise(0.0) + form.otherwise(0.0)
 
 
@@ -153,7 +159,7 @@ def combined_reward(
     out = F.when(F.lit(False), F.lit(0.0))
     for t, own in (by_task or {}).items():
         out = out.when(_c(task) == t, mix([a or b for a, b in zip(own, common, strict=True)]))
-    return out.when(_c(task).isin("qa_mixup", "cs_mixup"), mix(common)).otherwise(mix((0.8, 0.0, 0.2)))
+    return out.when(task_kind(task).isin("qa", "cs"), mix(common)).otherwise(mix((0.8, 0.0, 0.2)))
 
 
 def boxed(x: ColumnLike) -> Column:

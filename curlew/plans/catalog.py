@@ -329,7 +329,7 @@ def answer_parts(spark, sf_dir):
 
 @query(f"""SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 3 = 2 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS para, CASE WHEN (conv_id + turn) % 3 = 2 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS mcq FROM ({_GEN})""")
 def format_reward(spark, sf_dir):
-    return _generated(spark, sf_dir).select("conv_id", "turn", scores.format_reward("g", F.lit("para_mixup")).alias("para"), scores.format_reward("g", F.lit("mcq_mixup")).alias("mcq"))
+    return _generated(spark, sf_dir).select("conv_id", "turn", scores.format_reward("g", F.lit("para")).alias("para"), scores.format_reward("g", F.lit("mcq")).alias("mcq"))
 
 
 @query("""WITH t AS (SELECT conv_id, turn, regexp_replace(text, '([0-9]),([0-9])', '\\1\\2', 'g') AS p FROM conversations)
@@ -479,8 +479,8 @@ def overlong_penalty(spark, sf_dir):
 @query("""SELECT doc_id, round(CASE lang WHEN 'en' THEN 0.7 * q + 0.1 * 0.5 + 0.2 * a WHEN 'fr' THEN 0.9 * q + 0.1 * 0.5 + 0.2 * a ELSE 0.8 * q + 0.2 * 0.5 END, 6)::DOUBLE AS reward
     FROM (SELECT doc_id, lang, (doc_id % 10)::DOUBLE / 10 AS q, (doc_id % 2)::DOUBLE AS a FROM documents)""")
 def combined_reward(spark, sf_dir):
-    task = F.when(F.col("lang") == "en", "qa_mixup").when(F.col("lang") == "fr", "cs_mixup").otherwise("mcq_mixup")
-    made = scores.combined_reward(task, (F.col("doc_id") % 10).cast("double") / 10, (F.col("doc_id") % 2).cast("double"), F.lit(None).cast("double"), by_task={"cs_mixup": (0.9, None, 0.0)})
+    task = F.when(F.col("lang") == "en", "qa").when(F.col("lang") == "fr", "cs").otherwise("mcq")
+    made = scores.combined_reward(task, (F.col("doc_id") % 10).cast("double") / 10, (F.col("doc_id") % 2).cast("double"), F.lit(None).cast("double"), by_task={"cs": (0.9, None, 0.0)})
     return table(spark, sf_dir, "documents").select("doc_id", _r(made).alias("reward"))
 
 

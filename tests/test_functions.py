@@ -110,9 +110,10 @@ def test_task_type(spark, source, id_, task):
 
 def test_rewards(spark):
     r = "<think>a</think><answer>Q: x A: y</answer>"
-    assert one(spark, scores.format_reward("r", F.lit("qa_mixup")), r=S(r)) == 1.0
-    assert one(spark, scores.format_reward("r", F.lit("mcq_mixup")), r=S(r)) == 0.5
-    assert one(spark, scores.format_reward("r", F.lit("para_mixup")), r=S(None)) == 0.5
+    assert one(spark, scores.format_reward("r", F.lit("qa")), r=S(r)) == 1.0
+    assert one(spark, scores.format_reward("r", F.lit("mcq_x")), r=S(r)) == 0.5
+    assert one(spark, scores.format_reward("r", F.lit("qa_x")), r=S(r)) == 1.0
+    assert one(spark, scores.format_reward("r", F.lit("para")), r=S(None)) == 0.5
     assert one(spark, scores.math_accuracy("r", F.lit("1/2")), r=S("so \\boxed{1 / 2}")) == 1.0
     assert one(spark, scores.math_format_reward("r"), r=S("<think> a </think> \\boxed{1}")) == 1.0
     assert one(spark, scores.tagged_accuracy("r", F.lit("7")), r=S("<answer> 7 </answer>")) == 1.0
