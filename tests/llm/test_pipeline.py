@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 import pytest
 
@@ -59,3 +61,24 @@ def test_stages_take_odd_and_empty_tables(spark, edge, empty, place, tmp_path):
     else:
         assert len({r.doc_id for r in rows}) == 9
     assert stage(spark, empty, folder).collect() == []
+
+
+def edited_pairs(spark, edits, pairs=100):
+    """Texts of 400 random words with odd ids, and copies with ``edits`` words changed far apart."""
+    rng = random.Random(edits)
+    rows = []
+    for i in range(pairs):
+        words = [f"w{rng.randrange(50_000)}" for _ in range(400)]
+        copy = list(words)
+        for k in range(edits):
+            copy[400 // edits * k + 10] = f"new{rng.randrange(50_000)}"
+        rows += [(2 * i + 1, " ".join(words), "en", "a", 0), (2 * i + 2, " ".join(copy), "en", "a", 0)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+
+
+# Similarity of five-word shingles: (396 - 5 edits) / (396 + 5 edits).
+@pytest.mark.parametrize(("edits", "least"), [(1, 0.95), (2, 0.9), (4, 0.6), (8, 0.25)])
+def test_simhash_stage_finds_planted_edits(spark, edits, least):
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, edited_pairs(spark, edits), "").collect()}
+    assert kept >= set(range(1, 200, 2))
+    assert sum(i not in kept for i in range(2, 201, 2)) / 100 >= least
