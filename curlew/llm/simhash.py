@@ -10,10 +10,11 @@ probes that cell and the cells one step away. (One step changes the parity of th
 cell's sum, so only even cells probe their neighbours.) Pairs that meet are verified by
 their Hamming distance inside the join.
 
-With ``length_ratio`` only texts whose numbers of words are near can link: the grids get
-one more dimension, the logarithm of that number in steps of the ratio, and cells meet
-in the same and the next step. Two texts whose shingle sets have a similarity s have
-lengths within a ratio of about s, so nothing similar is lost, and far fewer cells meet.
+With ``length_ratio`` only texts whose numbers of distinct shingles are near can link: the
+grids get one more dimension, the logarithm of that number in steps of the ratio, and
+cells meet in the same and the next step. Two sets of shingles with a similarity s have
+sizes within a ratio of s, so nothing similar is lost (a text and the same text repeated
+meet), and far fewer cells meet.
 
 Groups of equal fingerprints are one row from the start, whatever their size.
 
@@ -44,11 +45,16 @@ MAX_BITS = 3
 def fingerprint(text: str | None, shingle: int) -> tuple[int, int]:
     """Unsigned 64-bit SimHash of a whole text, and its number of words. A-Z is
     lower-cased; words are runs of anything but ASCII white space."""
+    return _fingerprint(text, shingle)[:2]
+
+
+def _fingerprint(text: str | None, shingle: int) -> tuple[int, int, int]:
+    """Also the number of distinct shingles."""
     import xxhash
 
     words = (text or "").encode().lower().split()
     if not words:
-        return 0, 0
+        return 0, 0, 0
     data, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= shingle:
         hashes = [digest(data, SEED)]
@@ -63,21 +69,21 @@ def fingerprint(text: str | None, shingle: int) -> tuple[int, int]:
     for low in range(0, n, 65_536):  # bounded memory for very long texts
         part = rows[low : low + 65_536].view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big"), len(words)
+    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big"), len(words), len(set(hashes))
 
 
 def with_fingerprints(docs: DataFrame, shingle: int = 5, length_ratio: float | None = None) -> DataFrame:
-    """doc_id, fp (the 64 bits as a long) and size (the step of the number of words; 0
-    without ``length_ratio``) of each document."""
+    """doc_id, fp (the 64 bits as a long) and size (the step of the number of distinct
+    shingles; 0 without ``length_ratio``) of each document."""
     short_batches(docs.sparkSession)
     if length_ratio is not None and not 0 < length_ratio < 1:
         raise ValueError("length_ratio lies between 0 and 1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t, shingle) for t in batch.column(1).to_pylist()]
-            fp = np.array([f for f, _ in found], np.uint64)
-            size = [0 if length_ratio is None else -2 if not n else int(math.log(n) / -math.log(length_ratio)) for _, n in found]
+            found = [_fingerprint(t, shingle) for t in batch.column(1).to_pylist()]
+            fp = np.array([f for f, _, _ in found], np.uint64)
+            size = [0 if length_ratio is None else -2 if not n else int(math.log(n) / -math.log(length_ratio)) for _, _, n in found]
             yield pa.record_batch([batch.column(0), pa.array(fp.view(np.int64)), pa.array(size, pa.int32())], names=["doc_id", "fp", "size"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long, size int")

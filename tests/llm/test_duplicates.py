@@ -72,6 +72,17 @@ def test_near_pairs(spark, bits, sized):
     assert set(got) == {frozenset((a, b)) for a in rows for b in rows if a < b and near(a, b)}
 
 
+@pytest.mark.parametrize("times", [2, 3])
+def test_repeated_bodies_are_grouped(spark, times):
+    rng = random.Random(times)
+    rows = []
+    for i in range(0, 40, 2):
+        body = " ".join(f"w{rng.randrange(50_000)}" for _ in range(1_000))
+        rows += [(i, body), (i + 1, "\n".join([body] * times))]
+    got = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got) == list(range(0, 40, 2))
+
+
 def test_single_edits_of_long_texts_are_grouped(spark):
     rng = random.Random(8)
     rows = []
