@@ -140,10 +140,14 @@ def given_noisy(t: np.ndarray, clean: np.ndarray, observed: np.ndarray) -> np.nd
     return t * clean[:, None] / observed[None, :]
 
 
+def _held(rates: dict[int, float]) -> dict[int, float]:
+    return {c: 0.95 if r >= 1 else 0.05 if r <= 0 else r for c, r in rates.items()}
+
+
 def flag_noisy(scores: DataFrame, rates: dict[int, float]) -> DataFrame:
     """Rows at or above their class's percentile of the corruption score. ``rates``: noise
     rate per class, held to .95 from 1 on and to .05 from 0 down."""
-    held = {c: 0.95 if r >= 1 else 0.05 if r <= 0 else r for c, r in rates.items()}
+    held = _held(rates)
     out = None
     for c, r in sorted(held.items()):
         rows = scores.filter(F.col("label") == c)
@@ -161,10 +165,11 @@ def majority_noisy(distribution: DataFrame, labels: DataFrame) -> DataFrame:
 
 def vote(flags: DataFrame, drawn: DataFrame, labels: DataFrame, classes: int) -> DataFrame:
     """Votes of several rounds. ``flags(id, suggested)`` has a row per flagged round,
-    ``drawn(id, times)`` the rounds that a row took part in. Returns id, noisy_avg, noisy,
+    ``drawn(id, times)`` the rounds that a row took part in (rows that are not there: 0, and
+    an average of 0.5, which is not noisy). Returns id, noisy_avg, noisy,
     suggested and confidence; the own label is never suggested."""
     n = flags.groupBy("id").agg(F.count(F.lit(1)).alias("f"))
-    rows = labels.join(drawn, "id").join(n, "id", "left").select("id", "y", ((F.coalesce("f", F.lit(0)) + 1) / (F.col("times") + 2)).alias("noisy_avg"), F.coalesce("f", F.lit(0)).alias("f"))
+    rows = labels.join(drawn, "id", "left").join(n, "id", "left").select("id", "y", ((F.coalesce("f", F.lit(0)) + 1) / (F.coalesce("times", F.lit(0)) + 2)).alias("noisy_avg"), F.coalesce("f", F.lit(0)).alias("f"))
     said = flags.groupBy("id", "suggested").agg(F.count(F.lit(1)).alias("c"))
     grid = rows.withColumn("suggested", F.explode(F.sequence(F.lit(0), F.lit(classes - 1)))).join(said, ["id", "suggested"], "left")
     conf = F.when(F.col("suggested") == F.col("y"), F.lit(-1.0)).otherwise((F.coalesce("c", F.lit(0)) + 1) / (F.col("f") + classes))
@@ -174,7 +179,9 @@ def vote(flags: DataFrame, drawn: DataFrame, labels: DataFrame, classes: int) ->
 
 def detect(df: DataFrame, id: str, vector: str, label: str, classes: int, epochs: int = 3, k: int = 10, share: float = 0.9, seed: int = 0, method: str = "rank") -> DataFrame:  # noqa: A002
     """Rounds over samples of ``share`` of the rows, each flagged by rank or by majority, and
-    their votes."""
+    their votes; a row of every labelled id. A round's neighbours are the nearest of its
+    own sample: they come from one search of the whole table, which is repeated for more
+    neighbours if a round has fewer than ``k`` of them."""
     labels = df.select(F.col(id).cast("long").alias("id"), F.col(label).cast("int").alias("y"))
     rates = None
     if method == "rank":
@@ -183,20 +190,40 @@ def detect(df: DataFrame, id: str, vector: str, label: str, classes: int, epochs
         rates = {c: 1 - min(float(g[c, c]), 1.0) for c in range(classes)}
     elif method != "majority":
         raise ValueError(f"unknown method {method}")
-    flags = drawn = None
-    for e in range(epochs):
-        part = df.filter(F.pmod(F.xxhash64(F.col(id), F.lit(seed + e)), F.lit(1000)) < int(1000 * share))
-        mine = labels.join(part.select(F.col(id).cast("long").alias("id")), "id")
-        dist = staged(label_distribution(part, id, vector, label, k))  # read by several steps
-        if rates is None:
-            found = majority_noisy(dist, mine).select("id", "suggested")
-        else:
-            top = dist.groupBy("id").agg(F.max(F.struct("weight", (-F.col("y")).alias("y"))).alias("t")).select("id", (-F.col("t.y")).alias("suggested"))
-            found = flag_noisy(staged(corruption_score(dist, mine)), rates).join(top, "id").select("id", "suggested")
-        one = mine.select("id")
-        flags = found if flags is None else flags.unionByName(found)
-        drawn = one if drawn is None else drawn.unionByName(one)
-    return vote(flags, drawn.groupBy("id").agg(F.count(F.lit(1)).alias("times")), labels, classes)
+    at = [F.pmod(F.xxhash64(F.col(id), F.lit(seed + e)), F.lit(1000)) < int(1000 * share) for e in range(epochs)]
+    rows = staged(df.select(F.col(id).cast("long").alias("id"), F.col(label).cast("int").alias("y"), F.array(*at).alias("drawn")))
+    judged = staged(_judged(df, rows, id, vector, k, share))  # read by several steps
+    if rates is None:
+        flags = judged.filter("suggested != y")
+    else:
+        held = _held(rates)
+        cuts = F.percentile("score", [1 - held[c] for c in range(classes)])
+        cut = judged.groupBy("round", "y").agg(cuts.alias("cuts")).select("round", "y", F.get("cuts", F.col("y")).alias("cut"))
+        flags = judged.join(cut, ["round", "y"]).filter("score >= cut AND suggested IS NOT NULL")
+    times = rows.select("id", F.size(F.filter("drawn", lambda x: x)).alias("times"))
+    return vote(staged(flags.select("id", "suggested")), times, labels, classes)
+
+
+def _judged(df: DataFrame, rows: DataFrame, id: str, vector: str, k: int, share: float) -> DataFrame:  # noqa: A002
+    """id, round, y, score and suggested (null without neighbours) of each row of
+    ``rows(id, y, drawn)`` and each round in which it is drawn; as ``label_distribution``,
+    ``corruption_score`` and ``majority_noisy`` have them over the rows of the round."""
+    total, wide = rows.count(), int(k / max(share, 0.05)) + 10
+    while True:
+        edges = knn_edges(df, id, vector, wide, include_self=True)
+        other = rows.select(F.col("id").alias("neighbour"), F.col("y").alias("label"), F.col("drawn").alias("there"))
+        near = edges.join(other, "neighbour").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "distance", "label", "there"))).alias("near"))
+        found = rows.join(near, "id", "left").select("id", "y", "near", F.posexplode("drawn").alias("round", "here")).filter("here")
+        found = found.withColumn("wide", F.size("near")).withColumn("near", F.expr(f"slice(filter(near, x -> get(x.there, round)), 1, {k})"))
+        found = staged(found.select("id", "round", "y", "wide", F.expr("transform(near, x -> struct(x.distance, x.label))").alias("near")))
+        if wide >= total or found.filter(f"wide >= {wide} AND size(near) < {k}").isEmpty():
+            break
+        wide *= 2
+    parts = "transform(near, (x, i) -> struct(x.label AS y, 1 - if(i = 0, 2 * get(near, 1).distance - get(near, 2).distance, x.distance) AS w))"
+    summed = "transform(array_distinct(parts.y), c -> struct(aggregate(filter(parts, p -> p.y = c), 0D, (a, p) -> a + coalesce(p.w, 0D)) AS x, -c AS m))"
+    found = found.withColumn("parts", F.expr(parts)).withColumn("dist", F.expr(summed))
+    weight = F.expr("try_divide(get(filter(dist, d -> -d.m = y), 0).x, sqrt(aggregate(dist, 0D, (a, d) -> a + d.x * d.x)))")
+    return found.select("id", "round", "y", (-F.log(F.coalesce(weight, F.lit(0.0)) + 1e-8)).alias("score"), (-F.array_max("dist")["m"]).alias("suggested"))
 
 
 def synthetic_noise(df: DataFrame, id: str, label: str, t: np.ndarray, seed: int) -> DataFrame:  # noqa: A002

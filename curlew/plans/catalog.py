@@ -219,7 +219,7 @@ def hoc_transition(spark, sf_dir):
 
 @query()
 def simifeat_detect(spark, sf_dir):
-    return noise.detect(vectors(spark, sf_dir), "vec_id", "embedding", "label", CLASSES, epochs=2)
+    return noise.detect(vectors(spark, sf_dir), "vec_id", "embedding", "label", CLASSES, epochs=51)
 
 
 @query("""WITH c AS (SELECT quality AS i, toxic AS j, count(*) AS n FROM labels GROUP BY ALL)

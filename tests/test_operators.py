@@ -119,6 +119,44 @@ def test_detection_finds_planted_errors(spark):
     assert not any(got[i].noisy for i in range(12, 150) if i in got)
 
 
+@pytest.mark.parametrize(("share", "method"), [(0.9, "majority"), (0.2, "majority"), (0.6, "rank")])
+def test_detection_equals_brute_force_on_every_row(spark, monkeypatch, share, method):
+    rng = np.random.default_rng(4)
+    n, k, epochs = 120, 5, 4
+    y = rng.integers(0, 3, n)
+    v = np.eye(3, 6)[y] * 3 + rng.standard_normal((n, 6))
+    y[:15] = (y[:15] + 1) % 3
+    monkeypatch.setattr(noise, "estimate_transition", lambda *a, **b: (np.eye(3) * 0.8, np.ones(3) / 3, np.ones(3) / 3))
+    df = spark.createDataFrame([(i, v[i].tolist(), int(y[i])) for i in range(n)], "id long, v array<double>, y int")
+    got = {r.id: r for r in noise.detect(df, "id", "v", "y", 3, epochs=epochs, k=k, share=share, method=method).collect()}
+    assert sorted(got) == list(range(n))
+    d = 1 - unit(v) @ unit(v).T
+    times, flags = np.zeros(n, int), np.zeros((n, 3), int)
+    for e in range(epochs):
+        part = sorted(r.id for r in df.filter(F.pmod(F.xxhash64("id", F.lit(e)), F.lit(1000)) < int(1000 * share)).collect())
+        x = np.zeros((n, 3))
+        for i in part:
+            near = sorted(part, key=lambda j: d[i, j])[:k]
+            w = [1 - d[i, j] for j in near]
+            w[0] = 1 - (2 * d[i, near[1]] - d[i, near[2]])
+            np.add.at(x[i], y[near], w)
+            x[i] = np.where(np.isin(np.arange(3), y[near]), x[i] / np.linalg.norm(x[i]), -np.inf)
+        times[part] += 1
+        score = -np.log(np.maximum(x[np.arange(n), y], 0) + 1e-8)
+        for c in range(3):
+            mine = [i for i in part if y[i] == c]
+            cut = np.percentile(score[mine], 80)
+            for i in mine:
+                if (score[i] >= cut) if method == "rank" else (x[i].argmax() != c):
+                    flags[i, x[i].argmax()] += 1
+    average = (flags.sum(1) + 1) / (times + 2)
+    assert [got[i].noisy_avg for i in range(n)] == pytest.approx(average.tolist())
+    assert [got[i].noisy for i in range(n)] == (average > 0.5).tolist()
+    conf = (flags + 1) / (flags.sum(1, keepdims=True) + 3)
+    conf[np.arange(n), y] = -1
+    assert [got[i].suggested for i in range(n)] == conf.argmax(1).tolist()
+
+
 def test_synthetic_noise_follows_the_matrix(spark):
     t = np.array([[0.7, 0.3], [0.0, 1.0]])
     df = spark.range(4000).select("id", (F.col("id") % 2).cast("int").alias("y"))
