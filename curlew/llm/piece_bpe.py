@@ -2,14 +2,14 @@
 
 Pieces and scores come from a SentencePiece BPE model. A text is cut where no piece can
 reach across (before each run of spaces, and between characters that no piece holds
-side by side); the agenda of each segment pops the best merge, and skips it if a keyed
-hash of seed, segment, variant, place and size falls below the dropout rate (a hash of
-the segment, moved by place and size, points into a keyed table of draws). Without
+side by side); the agenda of each segment pops the best merge, and skips it with the dropout rate, by draws of its own. Without
 dropout the ids are those of the library. Characters that are no piece become byte
 pieces, a literal U+2581 too, so that decoding gives back every text.
 
-Each occurrence of a segment takes one of ``variants`` segmentations, by a keyed hash of
-seed, document and occurrence; a worker remembers the segmentations of short segments.
+Each occurrence of a segment has its own draws, from a hash of seed, document and
+occurrence, as numbers of merges up to the next skip. A worker remembers the short
+segments' segmentations without a skip and after their first two skips, with the number of
+merges that follow: a draw that reaches past those takes the remembered one.
 
 Defined cases: a null text is an empty text and has no ids; a null doc_id is kept; equal
 rows get equal ids; an empty table gives no row; further columns are ignored.
@@ -19,22 +19,20 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import short_batches, table
 
 SPACE = "▁"
-MEMO_SEGMENTS = 800_000  # over all variants, in each of two generations
-_M = (1 << 64) - 1
-_DRAW = (1 << 20) - 1
+MEMO_SEGMENTS = 800_000  # half without a skip, in each of two generations
 _NEVER = float("inf")
 
 
@@ -55,14 +53,16 @@ class _Memo(dict):
         return out
 
 
-def _draws(seed: int, dropout: float) -> bytes:
-    """One byte per draw, 1 if it skips a merge: 2**20 draws from a keyed hash of the seed."""
-    stream = np.frombuffer(hashlib.shake_256(f"merge-dropout:{seed}".encode()).digest(4 << 20), "<u4")
-    return (stream < dropout * (1 << 32)).astype(np.uint8).tobytes()
+def _draws(key: str, n: int, dropout: float) -> list[int]:
+    """``n`` numbers of merges up to the next skip (geometric), from a keyed hash."""
+    if dropout >= 1:
+        return [0] * n
+    u = np.frombuffer(hashlib.shake_128(key.encode()).digest(4 * n), "<u4")
+    return (np.log((u + 0.5) / (1 << 32)) / np.log1p(-dropout)).astype(np.int64).tolist()
 
 
 class PieceBpe:
-    def __init__(self, path: str, dropout: float = 0.0, seed: int = 0, variants: int = 4):
+    def __init__(self, path: str, dropout: float = 0.0, seed: int = 0):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -75,10 +75,10 @@ class PieceBpe:
         if any(j[1] == SPACE and j[0] != SPACE for j in self.joins):
             raise ValueError("pieces of this model reach across spaces")
         self.seed = seed
-        self.dropped = _draws(seed, dropout) if dropout else b""
-        self.variants = variants if dropout else 1
-        room = MEMO_SEGMENTS // self.variants
-        self._memo = [_Memo(lambda s, v=v: self._segment(s, v), room) for v in range(self.variants)]
+        self.dropout = dropout
+        room = MEMO_SEGMENTS // 2
+        self._memo = _Memo(lambda s: self._node(s, ()), room)
+        self._after = _Memo(lambda k: self._node(k[0], k[1:]), room)
         raw = [b""] * len(pieces)
         for i in normal:
             raw[i] = pieces[i].replace(SPACE, " ").encode()
@@ -86,27 +86,33 @@ class PieceBpe:
             raw[i] = bytes([b])
         self.raw = np.array(raw, object)
 
-    def _key(self, segment: str, variant: int) -> int:
-        return xxhash.xxh64_intdigest(segment.encode(), (self.seed * 0x9E3779B97F4A7C15 + variant) & _M) & _DRAW
+    def _runs(self, key):
+        """Numbers of merges up to each skip: an unending stream by a number or text, or
+        those given and then no skip."""
+        if not self.dropout:
+            return itertools.repeat(_NEVER)
+        if isinstance(key, (int, str)):
+            return (g for n in itertools.count() for g in _draws(f"{self.seed}:{key}:{n}", 64, self.dropout))
+        return itertools.chain(key, itertools.repeat(_NEVER))
 
-    def _merge_short(self, segment: str, variant: int) -> list[str]:
+    def _merge_short(self, segment: str, key) -> list[str]:
         """The agenda as a list of the costs of neighbouring parts: for a word, looking
         for its least entry is cheaper than a heap."""
-        get, parts, dropped = self.cost.get, list(segment), self.dropped
+        get, parts = self.cost.get, list(segment)
         costs = [get(segment[i : i + 2], _NEVER) for i in range(len(parts) - 1)]
-        if dropped:
-            key, starts = self._key(segment, variant), list(range(len(parts)))
+        runs = self._runs(key)
+        run = next(runs)
         while costs:
             least = min(costs)
             if least == _NEVER:
                 break
             i = costs.index(least)
+            if not run:
+                costs[i] = _NEVER
+                run = next(runs)
+                continue
+            run -= 1
             merged = parts[i] + parts[i + 1]
-            if dropped:
-                if dropped[(key + starts[i] * 40_503 + len(merged) * 611_953) & _DRAW]:
-                    costs[i] = _NEVER
-                    continue
-                del starts[i + 1]
             parts[i] = merged
             del parts[i + 1], costs[i]
             if i:
@@ -115,22 +121,23 @@ class PieceBpe:
                 costs[i] = get(merged + parts[i + 1], _NEVER)
         return parts
 
-    def _merge(self, segment: str, variant: int) -> list[str]:
+    def _merge(self, segment: str, key) -> list[str]:
         """The agenda as a heap: best score first, leftmost among equals."""
         cost, parts, n = self.cost, list(segment), len(segment)
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
         agenda = [(cost[m], i, 2) for i in range(n - 1) if (m := segment[i : i + 2]) in cost]
         heapq.heapify(agenda)
-        dropped = self.dropped
-        key = self._key(segment, variant) if dropped else 0
+        runs = self._runs(key)
+        run = next(runs)
         while agenda:
             _, i, size = heapq.heappop(agenda)
             j = right[i]
             if not parts[i] or j < 0 or len(parts[i]) + len(parts[j]) != size:
                 continue
-            if dropped:
-                if dropped[(key + i * 40_503 + size * 611_953) & _DRAW]:
-                    continue
+            if not run:
+                run = next(runs)
+                continue
+            run -= 1
             parts[i] += parts[j]
             parts[j] = ""
             k = right[i] = right[j]
@@ -146,11 +153,30 @@ class PieceBpe:
                     heapq.heappush(agenda, (cost[m], h, len(m)))
         return [p for p in parts if p]
 
-    def _segment(self, segment: str, variant: int) -> bytes:
+    def _node(self, segment: str, path: tuple) -> tuple[float, bytes]:
+        """The number of merges after the skips of ``path``, and the ids without a further one."""
+        if self.dropout and len(segment) > 48:  # not remembered: _drawn merges each occurrence
+            return _NEVER, b""
         if len(segment) > 2 and segment[-2:] not in self.joins:  # as in "word,"
-            memo = self._memo[variant]
-            return memo[segment[:-1]] + memo[segment[-1]]
-        parts = self._merge_short(segment, variant) if len(segment) <= 48 else self._merge(segment, variant)
+            n, ids = self._after[segment[:-1], *path] if path else self._memo[segment[:-1]]
+            return n, ids + self._memo[segment[-1]][1]
+        parts = self._merge_short(segment, path) if len(segment) <= 48 else self._merge(segment, path)
+        return len(segment) - len(parts) - sum(path), self._ids(parts)
+
+    def _drawn(self, segment: str, run: int, runs) -> bytes:
+        """Ids of an occurrence that skips merges, the first after ``run`` others."""
+        if len(segment) > 48:
+            return self._ids(self._merge(segment, itertools.chain((run,), runs)))
+        path = (run,)
+        while len(path) <= 2:
+            n, ids = self._after[segment, *path]
+            run = next(runs)
+            if run >= n:
+                return ids
+            path += (run,)
+        return self._ids(self._merge_short(segment, itertools.chain(path, runs)))
+
+    def _ids(self, parts: list[str]) -> bytes:
         kind = "H" if len(self.raw) <= 1 << 16 else "I"
         try:
             return array(kind, map(self.ids.__getitem__, parts)).tobytes()
@@ -175,7 +201,7 @@ class PieceBpe:
         return out
 
     def encode(self, text: str | None, key: object = None) -> np.ndarray:
-        """Ids of a whole text; ``key`` (a document's id) chooses the variants."""
+        """Ids of a whole text; ``key`` (a document's id) keys the draws."""
         kind = np.uint16 if len(self.raw) <= 1 << 16 else np.uint32
         if not text:
             return np.zeros(0, kind)
@@ -191,13 +217,18 @@ class PieceBpe:
                 segments += self._cuts(part)
             else:
                 segments += [SPACE + w for w in part[1:].split(" ")]
-        if self.variants > 1:
-            chosen = hashlib.shake_128(f"{self.seed}:{key}".encode()).digest(len(segments))
-            memo, v = self._memo, self.variants
-            ids = b"".join([literal if s is None else memo[c % v][s] for s, c in zip(segments, chosen, strict=True)])
+        memo = self._memo
+        if self.dropout:
+            first, runs, out = _draws(f"{self.seed}:{key}", len(segments), self.dropout), self._runs(f"{key}:more"), []
+            for s, run in zip(segments, first, strict=True):
+                if s is None:
+                    out.append(literal)
+                    continue
+                n, part = memo[s]
+                out.append(part if run >= n else self._drawn(s, run, runs))
+            ids = b"".join(out)
         else:
-            memo = self._memo[0]
-            ids = b"".join([literal if s is None else memo[s] for s in segments])
+            ids = b"".join([literal if s is None else memo[s][1] for s in segments])
         return np.frombuffer(ids, kind)
 
     def decode(self, ids: np.ndarray) -> str:
@@ -221,10 +252,10 @@ def default_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def encode(docs: DataFrame, path: str | None = None, dropout: float = 0.1, seed: int = 1, variants: int = 4) -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, dropout: float = 0.1, seed: int = 1) -> DataFrame:
     """doc_id and ids of each document of ``docs(doc_id, text)``."""
     short_batches(docs.sparkSession)
-    options = (path or default_path(), dropout, seed, variants)
+    options = (path or default_path(), dropout, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(*options)
@@ -242,7 +273,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     options = (path or default_path(),)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(*options, 0.0, 0, 1) if options not in [k[:1] for k in _LOADED] else next(v for k, v in _LOADED.items() if k[:1] == options)
+        bpe = load(*options, 0.0, 0) if options not in [k[:1] for k in _LOADED] else next(v for k, v in _LOADED.items() if k[:1] == options)
         for batch in batches:
             lists = batch.column(1)
             flat, ends = lists.flatten().to_numpy(), lists.value_lengths().to_numpy(zero_copy_only=False)
@@ -263,5 +294,5 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 def op5_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes all documents with dropout and decodes them again; ``decoded_sha256`` is
     that of the text (null: empty) in UTF-8."""
-    rows = decode(encode(table(spark, sf_dir, "documents"), dropout=0.1, seed=1, variants=4))
+    rows = decode(encode(table(spark, sf_dir, "documents"), dropout=0.1, seed=1))
     return rows.select("doc_id", "n_tokens", "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"))

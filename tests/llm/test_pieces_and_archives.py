@@ -56,6 +56,20 @@ def test_dropout_varies_by_key_and_seed(texts):
     assert len(a) > len(plain)
 
 
+def test_each_occurrence_has_its_own_draws():
+    word = "internationalisation"
+    bpe = piece_bpe.PieceBpe(piece_bpe.default_path(), 0.1, 1)
+    seen = [bpe.encode(word, i).tobytes() for i in range(4000)]
+    plain = piece_bpe.PieceBpe(piece_bpe.default_path()).encode(word).tobytes()
+    n = bpe._memo[piece_bpe.SPACE + word][0]
+    assert len(set(seen)) > 8
+    assert seen.count(plain) / 4000 >= 0.9**n - 0.03
+    once = piece_bpe.PieceBpe(piece_bpe.default_path(), 0.1, 1)
+    pair = next(m for m in sorted(once.cost) if len(m) == 2 and m[0] == piece_bpe.SPACE and m[1].isalpha())
+    kept = [len(once.encode(pair[1], i)) == 1 for i in range(4000)]
+    assert abs(sum(kept) / 4000 - 0.9) < 0.02
+
+
 def test_small_memos_change_nothing(texts, monkeypatch):
     whole = piece_bpe.PieceBpe(piece_bpe.default_path(), 0.2, 1)
     monkeypatch.setattr(piece_bpe, "MEMO_SEGMENTS", 8)
