@@ -16,26 +16,21 @@ _LATIN_WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 _KEPT = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTE_TO_CHAR = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _KEPT)}
 
-# Chunks in one generation of a worker's memo; there are two. This bounds memory
+# Chunks that a worker remembers within a task, about 170 bytes each. This bounds memory
 # only, ids do not depend on it.
-MEMO_CHUNKS = 600_000
+MEMO_CHUNKS = 300_000
 
 
 class _Memo(dict):
-    """Chunk -> ids, with an older generation behind it."""
+    """Chunk -> ids, for the first chunks that come: frequent ones come early."""
 
     def __init__(self, encode):
         super().__init__()
-        self.encode, self.older = encode, {}
+        self.encode = encode
 
     def __missing__(self, chunk):
-        if len(self) >= MEMO_CHUNKS:
-            self.older = dict(self)
-            self.clear()
-        out = self.older.get(chunk)
-        if out is None:
-            out = self.encode(chunk)
-        if len(chunk) <= 64:
+        out = self.encode(chunk)
+        if len(chunk) <= 64 and len(self) < MEMO_CHUNKS:
             self[chunk] = out
         return out
 
@@ -123,6 +118,11 @@ class ByteBpe:
         head = self._first[chunks[0]]
         return head + b"".join(map(self._next.__getitem__, chunks[1:])) if len(chunks) > 1 else head
 
+    def forget(self) -> None:
+        """At the end of a task: a worker that waits or does other work holds no chunks."""
+        self._first.clear()
+        self._next.clear()
+
 
 _LOADED: dict[str, ByteBpe] = {}
 

@@ -234,6 +234,7 @@ def pieces_of(docs: DataFrame, capacity: int, tokenizer: str, end_id: int) -> Da
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        bpe.forget()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
 

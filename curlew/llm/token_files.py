@@ -13,7 +13,8 @@ small reads. Ids are little-endian, 2 bytes wide if the vocabulary has at most
 
 Defined cases: a null text is an empty text and holds the end id alone; a null
 doc_id sorts first and is kept (flagged in the index by the smallest int64); equal
-doc_ids are ordered by text; an empty table gives no shard and no row; further
+doc_ids are next to each other (unless they hold several shards' share, ordered by the
+CRC of their ids); an empty table gives no shard and no row; further
 columns of the input are ignored, whatever their names.
 """
 
@@ -27,17 +28,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import byte_bpe
 from .files import read_whole, write_whole
-from .shared import fresh_path, partitions, short_batches, table
+from .shared import fresh_path, partitions, short_batches, staged, table
 
 MAGIC = b"CTOKID01"
 HEAD = struct.Struct("<8s32sII")
 INDEX = np.dtype([("doc_id", "<i8"), ("at", "<u8"), ("size", "<u4"), ("n", "<u4")])
 NULL_ID = -(1 << 63)
-SHARD_BYTES = 24 << 20  # a writer closes a shard beyond this
+SHARD_BYTES = 16 << 20  # a writer closes a shard beyond this
 
 
 def pack_ids(ids: bytes, width: int) -> bytes:
@@ -61,21 +63,32 @@ def train_dictionary(samples: list[bytes], size: int = 64 << 10) -> bytes:
         return b""
 
 
-class ShardWriter:
+class FrameWriter:
+    """Compresses each id array on its own with the shared dictionary."""
+
     def __init__(self, dictionary: bytes, width: int, level: int = 1):
         import zstandard
 
-        self.hash, self.width = hashlib.sha256(dictionary).digest(), width
+        self.width = width
         kept = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         self._press = zstandard.ZstdCompressor(level=level, dict_data=kept, write_content_size=True).compress
+
+    def frame(self, ids: bytes) -> bytes:
+        return self._press(pack_ids(ids, self.width))
+
+
+class ShardWriter:
+    """Puts finished frames together."""
+
+    def __init__(self, dictionary: bytes, width: int):
+        self.hash, self.width = hashlib.sha256(dictionary).digest(), width
         self._begin()
 
     def _begin(self) -> None:
         self.frames, self.index, self.size = [], [], HEAD.size
 
-    def add(self, doc_id: int | None, ids: bytes) -> None:
-        frame = self._press(pack_ids(ids, self.width))
-        self.index.append((NULL_ID if doc_id is None else doc_id, self.size, len(frame), len(ids) // 4))
+    def add(self, doc_id: int | None, frame: bytes, n: int) -> None:
+        self.index.append((NULL_ID if doc_id is None else doc_id, self.size, len(frame), n))
         self.frames.append(frame)
         self.size += len(frame)
 
@@ -131,6 +144,17 @@ def _sample(docs: DataFrame, tokenizer: str, end_id: int, width: int, n_docs: in
     return out
 
 
+def _bounds(docs: DataFrame, n: int) -> np.ndarray:
+    """``n`` - 1 ids that part the documents into ``n`` ranges of about equal numbers (a null
+    id counts as the smallest). An id that holds several ranges' share is there as often."""
+    if n < 2:
+        return np.zeros(0, np.int64)
+    shares = [i / n for i in range(1, n)]
+    ids = F.coalesce("doc_id", F.lit(NULL_ID))
+    found = docs.agg(F.percentile_approx(ids, shares, min(100 * n, 1_000_000))).first()[0]
+    return np.array(found or [], np.int64)
+
+
 def write_token_files(
     docs: DataFrame,
     folder: str,
@@ -138,9 +162,11 @@ def write_token_files(
     end_id: int = 0,
     dictionary_docs: int = 512,
     dictionary_sample_bytes: int = 8 << 20,
-) -> list[dict]:
-    """Encodes ``docs(doc_id, text)`` and writes shards in ascending doc_id order.
-    Returns the manifest: path, n_docs, n_ids and start of each shard."""
+) -> DataFrame:
+    """Encodes ``docs(doc_id, text)`` and writes shards in ascending doc_id order. Returns
+    the manifest, a row per shard: path, part, shard, n_docs, n_ids.
+
+    Documents are encoded and compressed where they are read; only frames are shuffled."""
     spark = docs.sparkSession
     short_batches(spark)
     tokenizer = tokenizer or byte_bpe.default_path()
@@ -148,12 +174,29 @@ def write_token_files(
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     dictionary = train_dictionary(_sample(docs, tokenizer, end_id, width, dictionary_docs, dictionary_sample_bytes))
     write_whole(f"{folder}/dictionary.zdict", dictionary)
-    end = struct.pack("<I", end_id)
+    end, n_parts = struct.pack("<I", end_id), partitions(spark)
+    bounds = _bounds(docs, n_parts)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe, writer = byte_bpe.load(tokenizer), FrameWriter(dictionary, width)
+        for batch in batches:
+            ids = [bpe.encode(text) + end for text in batch.column(1).to_pylist()]
+            crc = np.fromiter(map(zlib.crc32, ids), np.int64, len(ids))
+            key = batch.column(0).fill_null(NULL_ID).to_numpy()
+            # An id that is a bound more than once holds several ranges; its rows are dealt out.
+            low, high = np.searchsorted(bounds, key), np.searchsorted(bounds, key, side="right")
+            low = np.where(high > low, low + 1, low)
+            part = low + (crc + np.arange(len(ids))) % (high - low + 1).clip(1)
+            yield pa.record_batch(
+                [pa.array(part, pa.int32()), batch.column(0), pa.array(crc), pa.array([len(i) // 4 for i in ids], pa.int32()), pa.array(map(writer.frame, ids), pa.binary())],
+                names=["part", "doc_id", "crc", "n", "frame"],
+            )
+        bpe.forget()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        bpe, part = byte_bpe.load(tokenizer), TaskContext.get().partitionId()
+        part = TaskContext.get().partitionId()
         writer, shard, n_ids = ShardWriter(dictionary, width), 0, 0
 
         def close():
@@ -165,37 +208,40 @@ def write_token_files(
             return row
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = bpe.encode(text) + end
-                n_ids += len(ids) // 4
-                writer.add(doc_id, ids)
+            for doc_id, n, frame in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                n_ids += n
+                writer.add(doc_id, frame, n)
                 if writer.size >= SHARD_BYTES:
                     yield close()
         if writer.index:
             yield close()
 
-    ordered = docs.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    rows = ordered.mapInArrow(run, "path string, part long, shard long, n_docs long, n_ids long").collect()
-    manifest, start = [], 0
-    for r in sorted(rows, key=lambda r: (r.part, r.shard)):
-        manifest.append({"path": r.path, "n_docs": r.n_docs, "n_ids": r.n_ids, "start": start})
-        start += r.n_ids
-    return manifest
+    rows = docs.mapInArrow(encode, "part int, doc_id long, crc long, n int, frame binary").repartitionById(n_parts, "part")
+    ordered = rows.sortWithinPartitions("doc_id", "crc", "frame").select("doc_id", "n", "frame")
+    return staged(ordered.mapInArrow(run, "path string, part long, shard long, n_docs long, n_ids long"), "manifest")
+
+
+def with_starts(manifest: DataFrame) -> DataFrame:
+    """Adds ``start``, the ids of all shards before, from sums per 1,024 parts: no task holds
+    all rows of the manifest."""
+    block = F.floor(F.col("part") / 1024)
+    sums = manifest.groupBy(block.alias("block")).agg(F.sum("n_ids").alias("n"))
+    earlier = W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    base = sums.select("block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    inside = W.partitionBy("block").orderBy("part", "shard").rowsBetween(W.unboundedPreceding, -1)
+    rows = manifest.withColumn("block", block).withColumn("start", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)))
+    return rows.join(base, "block").select("path", "part", "shard", "n_docs", "n_ids", (F.col("start") + F.col("base")).alias("start"))
 
 
-def read_token_files(spark: SparkSession, folder: str, manifest: list[dict]) -> DataFrame:
+def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     """One row per document: doc_id, start, n_tokens, ids_crc32 and the ids
     themselves as little-endian unsigned 32-bit integers."""
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary"
-    if not manifest:
-        return spark.createDataFrame([], schema)
-    starts = {m["path"].rsplit("/", 1)[1]: m["start"] for m in manifest}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dictionary = read_whole(f"{folder}/dictionary.zdict")
         for batch in batches:
-            for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                reader, start = ShardReader(data, dictionary), starts[path.rsplit("/", 1)[1]]
+            for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                reader = ShardReader(read_whole(path), dictionary)
                 for low in range(0, len(reader.index), 512):
                     x = reader.index[low : low + 512]
                     ids = [reader.ids(low + i) for i in range(len(x))]
@@ -213,9 +259,8 @@ def read_token_files(spark: SparkSession, folder: str, manifest: list[dict]) ->
                         names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
                     )
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ctok").load(folder)
-    spark.conf.set("spark.sql.sources.binaryFile.maxLength", str((1 << 31) - 1))
-    return files.select("path", "content").mapInArrow(run, schema)
+    files = with_starts(manifest).select("path", "start").repartition(partitions(spark))
+    return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,12 +45,31 @@ def test_token_files_round_trip(spark, edge, library):
     got = sorted(token_files.read_token_files(spark, folder, manifest).collect(), key=lambda r: r.start)
     rows = sorted(edge.select("doc_id", "text").collect())
     at = 0
-    for r, (doc_id, text) in zip(got, sorted(((d, t or "") for d, t in rows)), strict=True):
-        ids = [*library(text), 0]
+    assert [r.doc_id for r in got] == sorted(d for d, _ in rows)
+    texts = {d: t or "" for d, t in rows}
+    for r in got:
+        doc_id, ids = r.doc_id, [*library(texts[r.doc_id]), 0]
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32, bytes(r.ids)) == (doc_id, at, len(ids), zlib.crc32(raw(ids)), raw(ids))
         at += len(ids)
 
 
+def test_hot_and_null_ids_are_dealt_out(spark, library):
+    rows = [(None, f"none {i}") for i in range(300)] + [(5, f"five {i}") for i in range(400)] + [(i, f"text {i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    folder = fresh_path(spark, "t")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "20")
+    try:
+        manifest = token_files.write_token_files(docs, folder)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert max(r.n_docs for r in manifest.collect()) <= 120
+    got = sorted(token_files.read_token_files(spark, folder, manifest).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted((d for d, _ in rows), key=lambda d: -1 if d is None else d)
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(len(got))]
+    assert sorted(bytes(r.ids) for r in got) == sorted(raw([*library(t), 0]) for _, t in rows)
+
+
 def test_empty_token_files(spark, empty):
     folder = fresh_path(spark, "t")
     assert token_files.read_token_files(spark, folder, token_files.write_token_files(empty, folder)).collect() == []
@@ -62,10 +81,10 @@ def test_shard_reads_one_document(width, texts):
     arrays = [bpe.encode(t) + struct.pack("<I", 0) for t in texts.values()]
     dictionary = token_files.train_dictionary([token_files.pack_ids(a, width) for a in arrays])
     assert dictionary
-    writer = token_files.ShardWriter(dictionary, width)
+    writer, press = token_files.ShardWriter(dictionary, width), token_files.FrameWriter(dictionary, width)
     for doc_id, ids in zip(texts, arrays, strict=True):
-        writer.add(doc_id, ids)
-    writer.add(None, b"")
+        writer.add(doc_id, press.frame(ids), len(ids) // 4)
+    writer.add(None, press.frame(b""), 0)
     data = writer.close()
     reader = token_files.ShardReader(data, dictionary)
     assert all(reader.ids(i) == a for i, a in enumerate(arrays))
