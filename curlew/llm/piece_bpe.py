@@ -1,64 +1,52 @@
 """SentencePiece BPE encoding with seeded merge-dropout, and decoding.
 
 Pieces and scores come from a SentencePiece BPE model. A text is cut where no piece can
-reach across (before each run of spaces, and between characters that no piece holds
-side by side); the agenda of each segment pops the best merge, and skips it with the dropout rate, by draws of its own. Without
+reach across (before each run of spaces, and, in texts with other spacing, between
+characters that no piece holds side by side). The agenda of each segment takes the best
+merge (best score, leftmost among equals) and skips it with the dropout rate: each
+occurrence of a segment has its own key, from a hash of seed, document and place, and
+each candidate merge its own draw, a hash of that key and the candidate's number. Without
 dropout the ids are those of the library. Characters that are no piece become byte
 pieces, a literal U+2581 too, so that decoding gives back every text.
 
-Each occurrence of a segment has its own draws, from a hash of seed, document and
-occurrence, as numbers of merges up to the next skip. A worker remembers the short
-segments' segmentations without a skip and after their first two skips, with the number of
-merges that follow: a draw that reaches past those takes the remembered one.
+An Arrow batch of texts is encoded together: the distinct segments once without a skip,
+then the occurrences of which some draw skips a merge, as rows of a matrix
+(``pair_merges``). Nothing is remembered between batches. Segments of more than
+``LONG`` characters have an agenda of their own, with the same draws.
 
-Defined cases: a null text is an empty text and has no ids; a null doc_id is kept; equal
-rows get equal ids; an empty table gives no row; further columns are ignored.
+Defined cases: a null text is an empty text and has no ids; a null doc_id is kept (a key
+of its own); equal rows get equal ids; an empty table gives no row; further columns
+are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import heapq
-import itertools
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .pair_merges import Pairs, first_ranks, matrix, merge, mixed, skipped
 from .shared import short_batches, table
 
 SPACE = "▁"
-MEMO_SEGMENTS = 800_000  # half without a skip, in each of two generations
-_NEVER = float("inf")
-
-
-class _Memo(dict):
-    def __init__(self, make, room):
-        super().__init__()
-        self.make, self.room, self.older = make, room, {}
-
-    def __missing__(self, segment):
-        if len(self) >= self.room:
-            self.older = dict(self)
-            self.clear()
-        out = self.older.get(segment)
-        if out is None:
-            out = self.make(segment)
-        if len(segment) <= 48:
-            self[segment] = out
-        return out
+LONG = 48  # characters of a segment that still is a row of a matrix
+ROWS = 1 << 15  # rows that are merged together
+SLICE = 1 << 18  # segments whose ids are put together at once
+OTHER = 1 << 21  # symbols of characters that are in no piece begin here
+U = np.uint64
 
 
-def _draws(key: str, n: int, dropout: float) -> list[int]:
-    """``n`` numbers of merges up to the next skip (geometric), from a keyed hash."""
-    if dropout >= 1:
-        return [0] * n
-    u = np.frombuffer(hashlib.shake_128(key.encode()).digest(4 * n), "<u4")
-    return (np.log((u + 0.5) / (1 << 32)) / np.log1p(-dropout)).astype(np.int64).tolist()
+def _ragged(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places begins[i] .. begins[i] + sizes[i] - 1 of all i, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(begins - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class PieceBpe:
@@ -74,11 +62,21 @@ class PieceBpe:
         self.joins = {p[k : k + 2] for p in self.cost for k in range(len(p) - 1)}
         if any(j[1] == SPACE and j[0] != SPACE for j in self.joins):
             raise ValueError("pieces of this model reach across spaces")
-        self.seed = seed
-        self.dropout = dropout
-        room = MEMO_SEGMENTS // 2
-        self._memo = _Memo(lambda s: self._node(s, ()), room)
-        self._after = _Memo(lambda k: self._node(k[0], k[1:]), room)
+        self.seed, self.dropout = seed, dropout
+        # Symbols: ids of pieces, then characters that are only parts of pieces, then (from
+        # OTHER) all other characters.
+        chars = sorted({c for p in self.cost for c in p if c not in self.ids})
+        self.symbol = self.ids | {c: len(pieces) + i for i, c in enumerate(chars)}
+        self.n_pieces = len(pieces)
+        self.char_of = {s: c for c, s in self.symbol.items() if s >= self.n_pieces}
+        self.of_code_point = OTHER + np.arange(0x110000, dtype=np.int32)
+        for c, s in self.symbol.items():
+            if len(c) == 1:
+                self.of_code_point[ord(c)] = s
+        joined = sorted((p for p in self.cost if len(p) > 1), key=lambda p: (self.cost[p], p))
+        rows = [(self.symbol[p[:k]], self.symbol[p[k:]], r) for r, p in enumerate(joined) for k in range(1, len(p)) if p[:k] in self.symbol and p[k:] in self.symbol]
+        left, right, rank = (np.array(x, np.int64) for x in zip(*rows, strict=True))
+        self.pairs = Pairs(left, right, rank, np.array([self.ids[p] for p in joined]), np.array([self.cost[p] for p in joined]))
         raw = [b""] * len(pieces)
         for i in normal:
             raw[i] = pieces[i].replace(SPACE, " ").encode()
@@ -86,58 +84,25 @@ class PieceBpe:
             raw[i] = bytes([b])
         self.raw = np.array(raw, object)
 
-    def _runs(self, key):
-        """Numbers of merges up to each skip: an unending stream by a number or text, or
-        those given and then no skip."""
-        if not self.dropout:
-            return itertools.repeat(_NEVER)
-        if isinstance(key, (int, str)):
-            return (g for n in itertools.count() for g in _draws(f"{self.seed}:{key}:{n}", 64, self.dropout))
-        return itertools.chain(key, itertools.repeat(_NEVER))
-
-    def _merge_short(self, segment: str, key) -> list[str]:
-        """The agenda as a list of the costs of neighbouring parts: for a word, looking
-        for its least entry is cheaper than a heap."""
-        get, parts = self.cost.get, list(segment)
-        costs = [get(segment[i : i + 2], _NEVER) for i in range(len(parts) - 1)]
-        runs = self._runs(key)
-        run = next(runs)
-        while costs:
-            least = min(costs)
-            if least == _NEVER:
-                break
-            i = costs.index(least)
-            if not run:
-                costs[i] = _NEVER
-                run = next(runs)
-                continue
-            run -= 1
-            merged = parts[i] + parts[i + 1]
-            parts[i] = merged
-            del parts[i + 1], costs[i]
-            if i:
-                costs[i - 1] = get(parts[i - 1] + merged, _NEVER)
-            if i < len(costs):
-                costs[i] = get(merged + parts[i + 1], _NEVER)
-        return parts
-
-    def _merge(self, segment: str, key) -> list[str]:
-        """The agenda as a heap: best score first, leftmost among equals."""
+    def agenda(self, segment: str, key: int) -> list[str]:
+        """One segment's agenda as a heap: best score first, leftmost among equals. The n-th
+        candidate is skipped if the n-th draw of ``key`` says so."""
         cost, parts, n = self.cost, list(segment), len(segment)
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
         agenda = [(cost[m], i, 2) for i in range(n - 1) if (m := segment[i : i + 2]) in cost]
         heapq.heapify(agenda)
-        runs = self._runs(key)
-        run = next(runs)
+        draws, at = [], 0
         while agenda:
             _, i, size = heapq.heappop(agenda)
             j = right[i]
             if not parts[i] or j < 0 or len(parts[i]) + len(parts[j]) != size:
                 continue
-            if not run:
-                run = next(runs)
-                continue
-            run -= 1
+            if self.dropout:
+                if at == len(draws):
+                    draws += skipped(np.full(256, key, U), np.arange(at, at + 256), self.dropout).tolist()
+                at += 1
+                if draws[at - 1]:
+                    continue
             parts[i] += parts[j]
             parts[j] = ""
             k = right[i] = right[j]
@@ -153,40 +118,6 @@ class PieceBpe:
                     heapq.heappush(agenda, (cost[m], h, len(m)))
         return [p for p in parts if p]
 
-    def _node(self, segment: str, path: tuple) -> tuple[float, bytes]:
-        """The number of merges after the skips of ``path``, and the ids without a further one."""
-        if self.dropout and len(segment) > 48:  # not remembered: _drawn merges each occurrence
-            return _NEVER, b""
-        if len(segment) > 2 and segment[-2:] not in self.joins:  # as in "word,"
-            n, ids = self._after[segment[:-1], *path] if path else self._memo[segment[:-1]]
-            return n, ids + self._memo[segment[-1]][1]
-        parts = self._merge_short(segment, path) if len(segment) <= 48 else self._merge(segment, path)
-        return len(segment) - len(parts) - sum(path), self._ids(parts)
-
-    def _drawn(self, segment: str, run: int, runs) -> bytes:
-        """Ids of an occurrence that skips merges, the first after ``run`` others."""
-        if len(segment) > 48:
-            return self._ids(self._merge(segment, itertools.chain((run,), runs)))
-        path = (run,)
-        while len(path) <= 2:
-            n, ids = self._after[segment, *path]
-            run = next(runs)
-            if run >= n:
-                return ids
-            path += (run,)
-        return self._ids(self._merge_short(segment, itertools.chain(path, runs)))
-
-    def _ids(self, parts: list[str]) -> bytes:
-        kind = "H" if len(self.raw) <= 1 << 16 else "I"
-        try:
-            return array(kind, map(self.ids.__getitem__, parts)).tobytes()
-        except KeyError:  # a character that is no piece
-            out = []
-            for p in parts:
-                i = self.ids.get(p)
-                out += [self.byte[b] for b in p.encode()] if i is None else [i]
-            return array(kind, out).tobytes()
-
     def _cuts(self, text: str) -> list[str]:
         """Segments of ``text`` with spaces as U+2581, cut before each run of them and at
         line ends."""
@@ -200,14 +131,10 @@ class PieceBpe:
         out.append(spaced[begin:])
         return out
 
-    def encode(self, text: str | None, key: object = None) -> np.ndarray:
-        """Ids of a whole text; ``key`` (a document's id) keys the draws."""
-        kind = np.uint16 if len(self.raw) <= 1 << 16 else np.uint32
-        if not text:
-            return np.zeros(0, kind)
-        literal = array("H" if kind is np.uint16 else "I", [self.byte[b] for b in SPACE.encode()]).tobytes()
-        parts, segments = text.split(SPACE), []
-        for n, part in enumerate(parts):
+    def _segments(self, text: str) -> list[str | None]:
+        """Segments of a text; None is a literal U+2581."""
+        segments = []
+        for n, part in enumerate(text.split(SPACE) if text else ()):
             part = " " + part if n == 0 else part
             if n:
                 segments.append(None)
@@ -217,19 +144,134 @@ class PieceBpe:
                 segments += self._cuts(part)
             else:
                 segments += [SPACE + w for w in part[1:].split(" ")]
-        memo = self._memo
-        if self.dropout:
-            first, runs, out = _draws(f"{self.seed}:{key}", len(segments), self.dropout), self._runs(f"{key}:more"), []
-            for s, run in zip(segments, first, strict=True):
-                if s is None:
-                    out.append(literal)
-                    continue
-                n, part = memo[s]
-                out.append(part if run >= n else self._drawn(s, run, runs))
-            ids = b"".join(out)
-        else:
-            ids = b"".join([literal if s is None else memo[s][1] for s in segments])
-        return np.frombuffer(ids, kind)
+        return segments
+
+    def _split(self, texts: pa.Array) -> pa.Array:
+        whole = texts.to_pylist()
+        if all(t and t[0] != " " and t[-1] != " " and "  " not in t and SPACE not in t for t in whole):
+            return pc.split_pattern(pc.binary_join_element_wise(SPACE, pc.replace_substring(texts, " ", " " + SPACE), ""), " ")
+        return pa.array([self._segments(t) for t in whole], pa.list_(pa.string()))
+
+    def _plain(self, known: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols of the distinct segments' characters, where each begins, and its size."""
+        points = np.frombuffer("".join(known).encode("utf-32-le"), "<u4")
+        sizes = np.fromiter(map(len, known), np.int64, len(known))
+        return self.of_code_point[points], np.cumsum(sizes) - sizes, sizes
+
+    def _merged(self, chars: np.ndarray, begins: np.ndarray, sizes: np.ndarray, which: np.ndarray, keys: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Final symbols of the segments ``which`` (short ones), one after the other, and
+        the number of each."""
+        counts, parts = np.zeros(len(which), np.int64), []
+        order = np.argsort(sizes[which], kind="stable")  # rows of like width together
+        for low in range(0, len(which), ROWS):
+            mine = order[low : low + ROWS]
+            seg = which[mine]
+            # Each distinct segment's first ranks are looked up once.
+            one, of = np.unique(seg, return_inverse=True)
+            symbols = matrix(chars[_ragged(begins[one], sizes[one])], sizes[one])
+            ranks = first_ranks(self.pairs, symbols)
+            if len(one) < len(seg) or keys is not None:
+                symbols, ranks = symbols[of], ranks[of]
+                merge(self.pairs, symbols, ranks, None if keys is None else keys[mine], 0.0 if keys is None else self.dropout)
+            else:
+                merge(self.pairs, symbols, ranks)
+                symbols = symbols[of]
+            kept = symbols >= 0
+            counts[mine] = kept.sum(1)
+            parts.append(symbols[kept])
+        flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        # Back from the order of sizes to that of ``which``.
+        sorted_counts = counts[order]
+        begin = np.empty(len(which), np.int64)
+        begin[order] = np.cumsum(sorted_counts) - sorted_counts
+        return flat[_ragged(begin, counts)], counts
+
+    def _long(self, segment: str, key: int) -> np.ndarray:
+        parts = self.agenda(segment, key)
+        return np.array([self.symbol.get(p, OTHER + ord(p)) if len(p) == 1 else self.ids[p] for p in parts], np.int32)
+
+    def _to_ids(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, with bytes for characters that are no piece; and the number for each row."""
+        odd = np.flatnonzero(symbols >= self.n_pieces)
+        if not len(odd):
+            return symbols, sizes
+        found = [[self.byte[b] for b in (self.char_of.get(s) or chr(s - OTHER)).encode()] for s in symbols[odd].tolist()]
+        n = np.ones(len(symbols), np.int64)
+        n[odd] = [len(f) for f in found]
+        ends = np.cumsum(n)
+        out = np.repeat(symbols, n)
+        out[_ragged(ends[odd] - n[odd], n[odd])] = np.concatenate([np.array(f, np.int32) for f in found])
+        row_ends = np.concatenate(([0], ends))[np.cumsum(sizes)]
+        return out, np.diff(row_ends, prepend=0)
+
+    def encode_batch(self, texts: pa.Array, keys: list) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of whole texts (null: empty) and where those of each begin (one place more than
+        there are texts); ``keys`` (documents' ids) key the draws."""
+        texts = pc.fill_null(texts, "")
+        lists = self._split(texts)
+        each = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        bounds = np.concatenate(([0], np.cumsum(each)))
+        coded = lists.flatten().dictionary_encode()
+        known = coded.dictionary.to_pylist()
+        codes = coded.indices.fill_null(len(known)).to_numpy().astype(np.int64)  # the last: a literal U+2581
+        chars, begins, sizes = self._plain(known)
+        short = np.flatnonzero(sizes <= LONG)
+        flat, n = self._merged(chars, begins, sizes, short, None)
+        drop = self.dropout
+        counts = np.zeros(len(known) + 1, np.int64)
+        counts[short] = n
+        pool, pool_n = [flat], [n]
+        place = np.full(len(codes), -1, np.int64)  # of each occurrence in the pool
+        at_of = np.full(len(known) + 1, -1, np.int64)
+        at_of[short] = np.arange(len(short))
+        filled = len(short)
+        literal = np.array([self.byte[b] for b in SPACE.encode()], np.int32)
+        pool.append(literal)
+        pool_n.append([len(literal)])
+        at_of[len(known)] = filled
+        filled += 1
+        is_long = np.concatenate((sizes > LONG, [False]))
+        if drop and len(codes):
+            bases = np.array([int.from_bytes(hashlib.blake2b(f"{self.seed}:{k}".encode(), digest_size=8).digest(), "little") for k in keys], U)
+            own = mixed(np.repeat(bases, each) + (np.arange(len(codes)) - np.repeat(bounds[:-1], each)).astype(U) * U(0xD1342543DE82EF95))
+            # Candidates that the agenda takes if none is skipped: one for each merge.
+            merges = np.concatenate((sizes, [0])) - counts
+            merges[is_long] = 0
+            merges[-1] = 0
+            some, open_, m, j = np.zeros(len(codes), bool), np.arange(len(codes)), merges[codes], 0
+            while True:
+                open_ = open_[m[open_] > j]
+                if not len(open_):
+                    break
+                hit = skipped(own[open_], j, drop)
+                some[open_[hit]] = True
+                open_, j = open_[~hit], j + 1
+            some = np.flatnonzero(some)
+            flat, n = self._merged(chars, begins, sizes, codes[some], own[some])
+            pool.append(flat)
+            pool_n.append(n)
+            place[some] = filled + np.arange(len(some))
+            filled += len(some)
+        for i in np.flatnonzero(is_long[codes]).tolist() if is_long.any() else ():
+            flat = self._long(known[codes[i]], int(own[i]) if drop else 0)
+            pool.append(flat)
+            pool_n.append([len(flat)])
+            place[i] = filled
+            filled += 1
+        rest = place < 0
+        place[rest] = at_of[codes[rest]]
+        held, held_n = self._to_ids(np.concatenate(pool), np.concatenate(pool_n).astype(np.int64))
+        start, size = (np.cumsum(held_n) - held_n)[place], held_n[place]
+        before = np.concatenate(([0], np.cumsum(size)))
+        out = np.empty(int(before[-1]), np.int32)
+        for low in range(0, len(codes), SLICE):
+            part = slice(low, low + SLICE)
+            out[before[low] : before[min(low + SLICE, len(codes))]] = held[_ragged(start[part], size[part])]
+        return out, before[bounds]
+
+    def encode(self, text: str | None, key: object = None) -> np.ndarray:
+        """Ids of a whole text; ``key`` (a document's id) keys the draws."""
+        return self.encode_batch(pa.array([text], pa.string()), [key])[0]
 
     def decode(self, ids: np.ndarray) -> str:
         data = b"".join(self.raw[ids].tolist())
@@ -260,8 +302,8 @@ def encode(docs: DataFrame, path: str | None = None, dropout: float = 0.1, seed:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(*options)
         for batch in batches:
-            ids = [bpe.encode(t, k) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.record_batch([batch.column(0), pa.array([i.astype(np.int32) for i in ids], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            ids, starts = bpe.encode_batch(batch.column(1), batch.column(0).to_pylist())
+            yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(starts.astype(np.int32), pa.array(ids))], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -36,13 +37,58 @@ def test_decoding_is_lossless(dropout, texts, library):
             assert library.decode(ids.tolist()) == t
 
 
-@pytest.mark.parametrize("dropout", [0.0, 0.15, 0.6])
-def test_both_agendas_agree(dropout, texts):
+def brute_force(bpe, text, key):
+    """One agenda for each segment, with a draw for each candidate from its own hash."""
+    base = int.from_bytes(hashlib.blake2b(f"{bpe.seed}:{key}".encode(), digest_size=8).digest(), "little")
+    mask, out = (1 << 64) - 1, []
+
+    def mixed(h):
+        h = (h ^ (h >> 30)) * 0xBF58476D1CE4E5B9 & mask
+        h = (h ^ (h >> 27)) * 0x94D049BB133111EB & mask
+        return h ^ (h >> 31)
+
+    for place, segment in enumerate(bpe._split(pa.array([text]))[0].as_py()):
+        if segment is None:
+            out += [bpe.byte[b] for b in piece_bpe.SPACE.encode()]
+            continue
+        own, parts, draws = mixed((base + place * 0xD1342543DE82EF95) & mask), list(segment), 0
+        passed = [False] * len(parts)  # the candidate of this part and the next was skipped
+        while True:
+            open_ = [(bpe.cost[parts[i] + parts[i + 1]], i) for i in range(len(parts) - 1) if not passed[i] and parts[i] + parts[i + 1] in bpe.cost]
+            if not open_:
+                break
+            i = min(open_)[1]
+            draws += 1
+            if (mixed((own + draws * 0x9E3779B97F4A7C15) & mask) >> 11) * 2.0**-53 < bpe.dropout:
+                passed[i] = True
+                continue
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del passed[i + 1]
+            passed[i] = False
+            if i:
+                passed[i - 1] = False
+        for p in parts:
+            out += [bpe.ids[p]] if p in bpe.ids else [bpe.byte[b] for b in p.encode()]
+    return out
+
+
+@pytest.mark.parametrize("dropout", [0.0, 0.1, 0.5, 1.0])
+def test_equals_brute_force(dropout, texts):
     bpe = piece_bpe.PieceBpe(piece_bpe.default_path(), dropout, seed=5)
-    words = {piece_bpe.SPACE + w for t in texts.values() for w in t.split()}
-    for w in sorted(words)[:4000]:
-        for variant in range(2):
-            assert bpe._merge_short(w, variant) == bpe._merge(w, variant), w
+    rng = random.Random(6)
+    made = ["".join(rng.choice([*PARTS, piece_bpe.SPACE]) for _ in range(rng.randint(0, 9))) for _ in range(400)]
+    made += [t for t in texts.values() if len(t) < 20_000][:60] + ["lo" * 90, "ab" * 24, "x" * 500]
+    for i, t in enumerate(made):
+        assert bpe.encode(t, i).tolist() == brute_force(bpe, t, i), repr(t)
+
+
+def test_batches_equal_single_texts(texts):
+    bpe = piece_bpe.PieceBpe(piece_bpe.default_path(), 0.2, 1)
+    some = [*list(texts.values())[:40], None, ""]
+    for part in (some, some[:40], some[40:], []):
+        ids, at = bpe.encode_batch(pa.array(part, pa.string()), list(range(len(part))))
+        for i, t in enumerate(part):
+            assert ids[at[i] : at[i + 1]].tolist() == bpe.encode(t, i).tolist()
 
 
 def test_dropout_varies_by_key_and_seed(texts):
@@ -61,7 +107,7 @@ def test_each_occurrence_has_its_own_draws():
     bpe = piece_bpe.PieceBpe(piece_bpe.default_path(), 0.1, 1)
     seen = [bpe.encode(word, i).tobytes() for i in range(4000)]
     plain = piece_bpe.PieceBpe(piece_bpe.default_path()).encode(word).tobytes()
-    n = bpe._memo[piece_bpe.SPACE + word][0]
+    n = 1 + len(word) - len(piece_bpe.PieceBpe(piece_bpe.default_path()).encode(word))
     assert len(set(seen)) > 8
     assert seen.count(plain) / 4000 >= 0.9**n - 0.03
     once = piece_bpe.PieceBpe(piece_bpe.default_path(), 0.1, 1)
@@ -70,14 +116,6 @@ def test_each_occurrence_has_its_own_draws():
     assert abs(sum(kept) / 4000 - 0.9) < 0.02
 
 
-def test_small_memos_change_nothing(texts, monkeypatch):
-    whole = piece_bpe.PieceBpe(piece_bpe.default_path(), 0.2, 1)
-    monkeypatch.setattr(piece_bpe, "MEMO_SEGMENTS", 8)
-    small = piece_bpe.PieceBpe(piece_bpe.default_path(), 0.2, 1)
-    for i, t in list(texts.items())[:10]:
-        assert small.encode(t, i).tolist() == whole.encode(t, i).tolist()
-
-
 def test_encoded_table(spark, edge, empty):
     rows = piece_bpe.decode(piece_bpe.encode(edge, dropout=0.3)).collect()
     truth = sorted((r.doc_id, r.text or "") for r in edge.select("doc_id", "text").collect())
