@@ -1,36 +1,39 @@
 """Repeated byte strings by distributed prefix doubling over sampled positions.
 
 Removes every byte that lies in a string of ``length`` bytes which also starts anywhere
-else in the corpus. Positions are given ranks (equal ranks: equal strings from there),
-first for short strings, then for pairs of a rank and what follows at growing
-offsets. Spark groups the pairs; a position whose rank is unique drops out, one whose
-equal string has reached ``length`` is settled.
+else in the corpus. Ranks (equal ranks: equal strings) come from Spark's range sort
+(``ranks.reranked``): rows are sorted by a pair of a rank and the name or rank of what
+stands at a growing offset, numbered anew, and those whose pair is unique drop out, until
+strings of ``length`` bytes are reached.
 
-Ranking every byte of the corpus would move many times its size, so the first round
-ranks a sample that misses nothing: each window of ``length`` bytes is represented by
+Ranking every byte of the corpus would move many times its size, so the first rounds
+rank a sample that misses nothing: each window of ``length`` bytes is represented by
 the 40-byte string in it with the least hash. Equal windows have equal representatives
 at equal places, so:
 
-1. rank 40 bytes at each sampled position; unique ranks drop out;
-2. pair that rank with the *span*, all windows that the position represents (with
-   their place in it): equal spans settle all of their windows at once;
-3. of the spans of one rank that differ (edges of passages, edits), one of each kind is
-   cut into blocks of 16 windows; the rank is paired with the bytes common to the block;
-   unique blocks drop out, equal whole blocks settle;
-4. in the blocks that are left, each window's two halves of ``length`` bytes are ranked
-   and paired: equal pairs are equal strings.
+1. sort the names of the 40 bytes at each sampled position; unique ones drop out;
+2. sort pairs of that rank and the name of the *span*, all windows that the position
+   represents (with their place in it): windows of equal spans are settled;
+3. of each kind of span that shares its rank with another (edges of passages, edits), cut
+   one into blocks of 16 windows; sort triples of rank, block and the name of the bytes
+   common to the block's windows; unique ones drop out, equal whole blocks are settled;
+4. prefix doubling over the windows that are left: the positions at which their parts
+   start are sorted by the names of a quarter of ``length`` bytes and ranked; pairs (rank
+   at i, rank at i + 50) give ranks of 100 bytes, pairs (rank at i, rank at i + 100) of
+   those give ranks of 200 bytes. Positions whose rank is unique drop out in each round; windows
+   that are left in the end occur elsewhere.
 
-Rank names are 64-bit hashes of the bytes, always used together with the 64-bit hash of
-the first round (another base): 128 bits.
+Names are 64-bit polynomial hashes of the bytes, with another base in rounds 2 to 4 than in
+round 1. Ranks ascend with names, not with the bytes: equality is all that is asked of them.
 
-Large groups: equal spans within a document are merged before any shuffle, groups
-are counted with partial sums, and occurrences meet their counts in joins that Spark can
-split.
+Large groups: equal spans within a document are merged before any shuffle, and a rank that
+very many rows share lies in several ranges of the sort.
 
 Defined cases: a null text is empty; a document shorter than ``length`` loses nothing;
 a null doc_id is kept; rows that repeat a doc_id are documents of their own (told
-apart by their text; equal rows are copies and lose what copies lose); an empty table
-gives no row; further columns are kept by ``remove_repeats`` and ignored elsewhere.
+apart by a 64-bit hash of their text; equal rows are copies and lose what copies lose); an
+empty table gives no row; further columns are kept by ``remove_repeats``, whatever their
+names, and ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -40,15 +43,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import apart, dropped, short_batches, staged, table
+from .ranks import reranked
+from .shared import batches_of, dropped, partitions, short_batches, staged, table
 
 LENGTH = 200
 GRAM = 40
 BLOCK = 16
-SEGMENT = 1 << 20  # starts of windows handled at once; bounds a worker's memory
+SEGMENT = 1 << 18  # starts of windows handled at once; bounds a worker's memory
 U = np.uint64
 _LOW = U((1 << 24) - 1)
 
@@ -124,35 +129,55 @@ def merged(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts[new], reach[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(starts) - 1]))]
 
 
-SPANS = pa.schema([("gram", pa.int64()), ("span", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int32()), ("low", pa.int64()), ("more", pa.int32()), ("place", pa.int32()), ("n", pa.int32())])
-SPANS_DDL = "gram long, span long, doc_id long, tag int, low long, more int, place int, n int"
+SPANS = pa.schema([("gram", pa.int64()), ("span", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("low", pa.int64()), ("more", pa.int32()), ("place", pa.int32()), ("n", pa.int32())])
+SPANS_DDL = "gram long, span long, doc_id long, tag long, low long, more int, place int, n int"
 
 
-def _rows(parts: list[list[np.ndarray]], ids: list, tags: list, schema: pa.Schema, names: tuple[str, ...]) -> pa.RecordBatch:
-    """Columns of numbers and, for each part, a document's id and tag."""
-    sizes = [len(p[0]) for p in parts]
-    doc = np.repeat(np.arange(len(parts)), sizes)
-    at = pa.array(doc)
-    found = {n: np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, "i8") for i, n in enumerate(names)}
-    cols = []
-    for f in schema:
-        if f.name == "doc_id":
-            cols.append(pa.array(ids, pa.int64()).take(at))
-        elif f.name == "tag":
-            cols.append(pa.array(tags, pa.int32()).take(at))
-        else:
-            x = found[f.name]
-            cols.append(pa.array(x.view(np.int64) if x.dtype == U else x).cast(f.type))
-    return pa.record_batch(cols, schema=schema)
+OUT_ROWS = 1 << 16  # rows of an Arrow batch that a pass over texts gives out
+
+
+class _Rows:
+    """Columns of numbers beside a document's id and tag, given out in bounded batches."""
+
+    def __init__(self, schema: pa.Schema):
+        self.schema, self.names = schema, [n for n in schema.names if n not in ("doc_id", "tag")]
+        self._begin()
+
+    def _begin(self) -> None:
+        self.parts, self.ids, self.tags, self.n = [], [], [], 0
+
+    def add(self, doc_id: int | None, tag: int, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if len(columns[0]):
+            self.parts.append(columns)
+            self.ids.append(doc_id)
+            self.tags.append(tag)
+            self.n += len(columns[0])
+        if self.n >= OUT_ROWS:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if not self.n:
+            return
+        at = pa.array(np.repeat(np.arange(len(self.parts)), [len(p[0]) for p in self.parts]))
+        cols = []
+        for f in self.schema:
+            if f.name in ("doc_id", "tag"):
+                cols.append(pa.array(self.ids if f.name == "doc_id" else self.tags, pa.int64()).take(at))
+            else:
+                x = np.concatenate([p[self.names.index(f.name)] for p in self.parts])
+                cols.append(pa.array(x.view(np.int64) if x.dtype == U else x).cast(f.type))
+        out = pa.record_batch(cols, schema=self.schema)
+        self._begin()
+        for low in range(0, out.num_rows, OUT_ROWS):
+            yield out.slice(low, OUT_ROWS)
 
 
 def _sampled(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("gram", "span", "low", "more", "place", "n")
+        rows = _Rows(SPANS)
         for batch in batches:
-            parts, ids, tags = [], [], []
             for doc_id, tag, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for gram, span, low, more, place in spans((text or "").encode(), length):
+                for gram, span, low, more, place in spans(text.encode(), length):
                     # Equal spans of one document: one row that counts them. n = 0 marks
                     # windows settled by this alone (a run of them is one row).
                     _, first, same, n = np.unique(span ^ (gram * U(31)), return_index=True, return_inverse=True, return_counts=True)
@@ -162,18 +187,33 @@ def _sampled(length: int):
                         a, b = merged(low[twice], low[twice] + more[twice] + 1)
                         none = np.zeros(len(a), U)
                         part = [np.concatenate(x) for x in zip(part, (none, none, a, b - a - 1, np.zeros(len(a), "i8"), np.zeros(len(a), "i8")), strict=True)]
-                    parts.append(part)
-                    ids.append(doc_id)
-                    tags.append(tag)
-            yield _rows(parts, ids, tags, SPANS, names)
+                    yield from rows.add(doc_id, tag, part)
+        yield from rows.rest()
 
     return run
 
 
-BLOCKS = pa.schema([("gram", pa.int64()), ("block", pa.int32()), ("common", pa.int64()), ("whole", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int32()), ("low", pa.int64()), ("more", pa.int32()), ("first", pa.int32())])
-BLOCKS_DDL = "gram long, block int, common long, whole long, doc_id long, tag int, low long, more int, first int"
-WINDOWS = pa.schema([("gram", pa.int64()), ("after", pa.int32()), ("head", pa.int64()), ("tail", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int32()), ("low", pa.int64())])
-WINDOWS_DDL = "gram long, after int, head long, tail long, doc_id long, tag int, low long"
+BLOCKS = pa.schema([("gram", pa.int64()), ("block", pa.int64()), ("common", pa.int64()), ("whole", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("low", pa.int64()), ("more", pa.int32()), ("place", pa.int32())])
+BLOCKS_DDL = "gram long, block long, common long, whole long, doc_id long, tag long, low long, more int, place int"
+POSITIONS = pa.schema([("name", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("pos", pa.int64()), ("level", pa.int32())])
+POSITIONS_DDL = "name long, doc_id long, tag long, pos long, level int"
+
+
+def lengths_of(length: int) -> list[int]:
+    """The string lengths of the doubling: a quarter, half, all (rounded up)."""
+    return [-(-length // 4), -(-length // 2), length]
+
+
+def _asked(batch: pa.RecordBatch) -> Iterator[tuple[int | None, int, bytes, dict[str, np.ndarray]]]:
+    """doc_id, tag, text and the asked stretches' columns of each row."""
+    asked = batch.column("asked")
+    flat = asked.flatten()
+    columns = {f.name: flat.field(i).to_numpy().astype(np.int64) for i, f in enumerate(flat.type)}
+    ends = np.cumsum(pa.compute.list_value_length(asked).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    for doc_id, tag, text, end in zip(batch.column("doc_id").to_pylist(), batch.column("tag").to_pylist(), batch.column("text"), ends.tolist(), strict=True):
+        yield doc_id, tag, text.as_py().encode(), {k: v[begin:end] for k, v in columns.items()}
+        begin = end
 
 
 def _segments(text: bytes, low: np.ndarray, stop: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -196,18 +236,15 @@ def _cut_into_blocks(length: int):
     ``whole``: of all their bytes, if the span has the block in full."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("gram", "block", "common", "whole", "low", "more", "first")
+        rows = _Rows(BLOCKS)
         for batch in batches:
-            parts, ids, tags = [], [], []
-            for doc_id, tag, text, asked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = text.encode()
-                gram = np.array([r["gram"] for r in asked], np.int64).view(U)
-                low, more, place = (np.array([r[k] for r in asked], np.int64) for k in ("low", "more", "place"))
+            for doc_id, tag, data, asked in _asked(batch):
+                gram, low, more, place = (asked[k] for k in ("gram", "low", "more", "place"))
                 nearest, farthest = place - more, place  # distance from a window's start to the representative
                 first, last = nearest // BLOCK, farthest // BLOCK
                 each = last - first + 1
-                row = np.repeat(np.arange(len(asked)), each)
-                block = np.concatenate([np.arange(a, b + 1) for a, b in zip(first, last, strict=True)])
+                row = np.repeat(np.arange(len(gram)), each)
+                block = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
                 at = (low + place)[row]  # the representative
                 from_, to = np.maximum(nearest[row], block * BLOCK), np.minimum(farthest[row], block * BLOCK + BLOCK - 1)
                 start, stop = at - block * BLOCK, at - (block * BLOCK + BLOCK - 1) + length
@@ -218,43 +255,93 @@ def _cut_into_blocks(length: int):
                     wide = full[mine]
                     whole = np.zeros(len(common), U)
                     whole[wide] = _SECOND.stretch((at - to)[mine][wide] - begin, (at - from_)[mine][wide] + length - begin)
-                    parts.append([gram[row[mine]], block[mine], common, whole, (at - to)[mine], (to - from_)[mine], from_[mine]])
-                    ids.append(doc_id)
-                    tags.append(tag)
-            yield _rows(parts, ids, tags, BLOCKS, names)
+                    yield from rows.add(doc_id, tag, [gram[row[mine]], block[mine], common, whole, (at - to)[mine], (to - from_)[mine], from_[mine]])
+        yield from rows.rest()
 
     return run
 
 
-def _cut_into_windows(length: int):
+def _named_positions(length: int):
+    """Of each window asked for (``low .. low + more``): the positions at which its parts
+    start, and the names of the bytes there. ``level``: how many rounds of doubling a position
+    goes through."""
+    base, half, whole = lengths_of(length)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("gram", "after", "head", "tail", "low")
-        half = length // 2
+        rows = _Rows(POSITIONS)
         for batch in batches:
-            parts, ids, tags = [], [], []
-            for doc_id, tag, text, asked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = text.encode()
-                gram = np.array([r["gram"] for r in asked], np.int64).view(U)
-                low, more, place = (np.array([r[k] for r in asked], np.int64) for k in ("low", "more", "place"))
-                row = np.repeat(np.arange(len(asked)), more + 1)
-                step = np.concatenate([np.arange(m + 1) for m in more])
-                start = low[row] + step
-                after = (place + more)[row] - step  # from the window's start to the representative
-                for begin, piece, mine in _segments(data, start, start + length):
+            for doc_id, tag, data, asked in _asked(batch):
+                low, size = asked["low"], asked["more"] + 1
+                ends = np.cumsum(size)
+                windows = np.unique(np.repeat(low - ends + size, size) + np.arange(ends[-1]))
+                halves = np.union1d(windows, windows + whole - half)
+                pos = np.union1d(halves, halves + half - base)
+                level = np.isin(pos, halves, assume_unique=True).astype(np.int64) + np.isin(pos, windows, assume_unique=True)
+                for begin, piece, mine in _segments(data, pos, pos + base):
                     _SECOND.load(piece)
-                    s = start[mine] - begin
-                    parts.append([gram[row[mine]], after[mine], _SECOND.stretch(s, s + half), _SECOND.stretch(s + half, s + length), start[mine]])
-                    ids.append(doc_id)
-                    tags.append(tag)
-            yield _rows(parts, ids, tags, WINDOWS, names)
+                    at = pos[mine] - begin
+                    yield from rows.add(doc_id, tag, [_SECOND.stretch(at, at + base), pos[mine], level[mine]])
+        yield from rows.rest()
 
     return run
 
 
+CUT = 16  # positions are dealt out by document and stretches of 2 ** CUT bytes
+
+
+def _pairs_at(offset: int, level: int):
+    """Rows sorted by document, stretch and position to pairs of the ranks at i and at
+    i + offset, for positions that go through that many rounds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def paired(t: pa.RecordBatch) -> pa.RecordBatch:
+            doc, tag, stretch, pos, rank, lev = (t.column(c).to_numpy() for c in ("doc", "tag", "stretch", "pos", "rank", "level"))
+            group = np.cumsum(np.concatenate(([False], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (stretch[1:] != stretch[:-1]))))
+            place = (group << 40) + (pos - (stretch << CUT))
+            other = np.searchsorted(place, place + offset)
+            there = other < len(place)
+            there[there] = place[other[there]] == place[there] + offset
+            there &= (lev >= level) & (pos >> CUT == stretch)
+            keep = pa.array(there)
+            out = t.filter(keep)
+            return pa.record_batch([out.column("rank"), pa.array(rank[other[there]]), *(out.column(c) for c in ("doc_id", "tag", "pos", "level"))], names=["a", "b", "doc_id", "tag", "pos", "level"])
+
+        left = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = batch if left is None else pa.Table.from_batches([left, batch]).combine_chunks().to_batches()[0]
+            keys = np.stack([rows.column(c).to_numpy() for c in ("doc", "tag", "stretch")])
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0))
+            if len(cuts):
+                yield paired(rows.slice(0, int(cuts[-1]) + 1))
+                rows = rows.slice(int(cuts[-1]) + 1)
+            left = rows
+        if left is not None:
+            yield paired(left)
+
+    return run
+
+
+def _doubled(ranked: DataFrame, offset: int, level: int) -> DataFrame:
+    """Pairs (rank at i, rank at i + offset) of ``ranked(doc_id, tag, pos, level, rank)``, ranked."""
+    spark = ranked.sparkSession
+    stretch = F.shiftright("pos", CUT)
+    # A position just after a stretch's begin also goes to the stretch before.
+    stretches = F.when((F.col("pos") >= 1 << CUT) & (F.col("pos") - F.shiftleft(stretch, CUT) < offset), F.array(stretch, stretch - 1)).otherwise(F.array(stretch))
+    rows = ranked.select("doc_id", "tag", "pos", "level", "rank", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.explode(stretches).alias("stretch"))
+    dealt = rows.repartition(partitions(spark), "doc", "tag", "stretch").sortWithinPartitions("doc", "tag", "stretch", "pos")
+    with batches_of(spark, OUT_ROWS):
+        pairs = staged(dealt.mapInArrow(_pairs_at(offset, level), "a long, b long, doc_id long, tag long, pos long, level int"), "pairs")
+    out = reranked(pairs, ["a", "b"], "pair-ranks", ["doc_id", "tag", "pos"])
+    dropped(spark, pairs)
+    return out
+
+
 def _identified(docs: DataFrame) -> DataFrame:
     """doc_id, tag (a hash of the text, which tells rows of one id apart) and text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("tag"), text.alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))
 
 
 def _asked_of(docs: DataFrame, asked: DataFrame, cut, ddl: str) -> DataFrame:
@@ -269,85 +356,88 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     starts a string of ``length`` bytes that also starts elsewhere (not merged)."""
     spark = docs.sparkSession
     short_batches(spark)
-    where = ["doc_id", "tag", "low", "more"]
+    where, here = ["doc_id", "tag", "low", "more"], ["doc_id", "tag", "low"]
     sampled = staged(_identified(docs).select("doc_id", "tag", "text").mapInArrow(_sampled(length), SPANS_DDL), "sampled")
-    inside = sampled.filter("n = 0").select(where)
-    ranked = sampled.filter("n > 0")
     # Round 1: ranks of 40 bytes; unique ones drop out.
-    shared = ranked.groupBy("gram").agg(F.sum("n").alias("m")).filter("m > 1").select("gram")
-    alive = staged(ranked.join(apart(shared), "gram").select("gram", "span", *where, "place", "n"), "alive")
-    inside = staged(inside, "inside")
+    alive = reranked(sampled.filter("n > 0"), ["gram"], "ranks", here, weight="n")
+    inside = staged(sampled.filter("n = 0").select(where), "inside")
     dropped(spark, sampled)
-    # Round 2: equal spans settle.
-    kinds = alive.groupBy("gram", "span").agg(F.sum("n").alias("m"), F.min(F.struct("doc_id", "tag", "low", "more", "place")).alias("one"))
-    kinds = staged(kinds, "kinds")
-    settled = staged(alive.join(kinds.filter("m > 1").select("gram", "span"), ["gram", "span"]).select(where), "settled")
+    # Round 2: pairs with the span; equal spans settle, and one of each kind goes on.
+    spans_ = reranked(alive.select(F.col("rank").alias("gram"), "span", *where, "place", "n"), ["gram", "span"], "spans", here, weight="n", keep_unique=True)
     dropped(spark, alive)
-    # Round 3: of spans that differ under one rank, blocks of windows.
-    mixed = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("gram")
-    asked = kinds.join(apart(mixed), "gram").select("gram", "one.*")
-    blocks = staged(_asked_of(docs, asked, _cut_into_blocks(length), BLOCKS_DDL), "blocks")
-    dropped(spark, kinds)
-    key = ["gram", "block", "common"]
-    alike = blocks.groupBy(key).agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select(key)
-    left = staged(blocks.join(apart(alike), key), "blocks-left")
+    settled = spans_.filter("NOT alone").select(where)
+    kinds = spans_.filter("first").select("gram", *where, "place")
+    # Round 3: of kinds that share their rank with another, blocks of windows.
+    mixed = reranked(kinds, ["gram"], "kinds", here)
+    blocks = staged(_asked_of(docs, mixed.select("gram", *where, "place"), _cut_into_blocks(length), BLOCKS_DDL), "blocks")
+    dropped(spark, mixed)
+    left = reranked(blocks, ["gram", "block", "common"], "blocks-left", here)
     dropped(spark, blocks)
-    wide = left.filter("whole != 0")
-    equal = wide.groupBy("gram", "block", "whole").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("gram", "block", "whole")
-    by_block = wide.join(apart(equal), ["gram", "block", "whole"]).select(where)
-    # Round 4: the windows of the blocks that are left, as pairs of ranked halves. One row
-    # of each kind of whole block stands for its copies, which are settled already.
-    one = F.min(F.struct("doc_id", "tag", "low", "more", F.col("first").alias("place"))).alias("one")
-    kind = left.groupBy("gram", "block", "common", "whole", F.when(F.col("whole") == 0, F.struct("doc_id", "tag", "low")).alias("own")).agg(one)
-    several = kind.groupBy(key).agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select(key)
-    open_ = kind.join(apart(several), key).select("gram", "one.*")
-    windows = staged(_asked_of(docs, open_, _cut_into_windows(length), WINDOWS_DDL), "windows")
-    pair = ["gram", "after", "head", "tail"]
-    twice = windows.groupBy(pair).agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select(pair)
-    by_window = windows.join(apart(twice), pair).select("doc_id", "tag", "low", F.lit(0).alias("more"))
-    found = inside.unionByName(settled).unionByName(by_block).unionByName(by_window)
-    return found
-
-
-def _with_runs(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    # Equal whole blocks settle, and one of each kind goes on; cut blocks are kinds of their own.
+    cut = F.col("whole") == 0
+    own = [F.when(cut, c).otherwise(0).alias(f"own_{k}") for k, c in (("doc", F.coalesce("doc_id", F.lit(-(1 << 63)))), ("tag", F.col("tag")), ("low", F.col("low")))]
+    wholes = reranked(left.select(F.col("rank").alias("gram"), "whole", *own, *where, "place"), ["gram", "whole", "own_doc", "own_tag", "own_low"], "wholes", here, keep_unique=True)
+    dropped(spark, left)
+    by_block = wholes.filter("whole != 0 AND NOT alone").select(where)
+    open_ = reranked(wholes.filter("first").select("gram", *where, "place"), ["gram"], "open", here)
+    # Round 4: prefix doubling over the windows that are left.
+    base, half, whole = lengths_of(length)
+    named = staged(_asked_of(docs, open_.select("gram", *where, "place"), _named_positions(length), POSITIONS_DDL), "positions")
+    dropped(spark, open_)
+    ranked = reranked(named, ["name"], "quarter-ranks", ["doc_id", "tag", "pos"])
+    dropped(spark, named)
+    halves = _doubled(ranked, half - base, 1)
+    dropped(spark, ranked)
+    wholes_ = _doubled(halves, whole - half, 2)
+    dropped(spark, halves)
+    by_window = wholes_.select("doc_id", "tag", F.col("pos").alias("low"), F.lit(0).alias("more"))
+    return inside.unionByName(settled).unionByName(by_block).unionByName(by_window)
+
+
+def _with_runs(docs: DataFrame, length: int) -> DataFrame:
+    """id_, tag_ and the windows of each document that loses some."""
     runs = repeated_runs(docs, length)
     # Windows of one document come together here; their number is bounded by its length.
     lists = runs.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("low", "more")).alias("runs"))
-    return lists.select(F.col("doc_id").alias("id_"), F.col("tag").alias("tag_"), "runs"), runs
+    return lists.select(F.col("doc_id").alias("id_"), F.col("tag").alias("tag_"), "runs")
 
 
-def cut_out(data: bytes, runs: list, length: int) -> tuple[bytes, int, int]:
-    """What is left, the number of removed bytes and of maximal removed runs."""
-    if not runs:
-        return data, 0, 0
-    low = np.array([r["low"] for r in runs], np.int64)
-    starts, stops = merged(low, low + np.array([r["more"] for r in runs], np.int64) + length)
+def _covered(runs: pa.Array, length: int) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
+    """Starts and stops of the maximal removed runs of each row; None without any."""
+    flat = runs.flatten()
+    low, more = (flat.field(i).to_numpy().astype(np.int64) for i in (0, 1))
+    sizes = pa.compute.fill_null(pa.compute.list_value_length(runs), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    begin = 0
+    for n in sizes.tolist():
+        end = begin + n
+        yield merged(low[begin:end], low[begin:end] + more[begin:end] + length) if n else None
+        begin = end
+
+
+def cut_out(data: bytes, starts: np.ndarray, stops: np.ndarray) -> bytes:
     edges = [0, *np.stack([starts, stops], 1).ravel().tolist(), len(data)]
-    kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-    return kept, len(data) - len(kept), len(starts)
+    return b"".join([data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)])
 
 
 def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) and kept_sha256."""
-    lists, _ = _with_runs(docs, length)
+    lists = _with_runs(docs, length)
     rows = _identified(docs)
     joined = rows.join(lists, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("tag") == F.col("tag_")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = [t.encode() for t in batch.column(1).to_pylist()]
-            cut = [cut_out(d, r, length) for d, r in zip(data, batch.column(2).to_pylist(), strict=True)]
-            yield pa.record_batch(
-                [
-                    batch.column(0),
-                    pa.array([len(d) for d in data], pa.int64()),
-                    pa.array([c[1] for c in cut], pa.int64()),
-                    pa.array([c[2] for c in cut], pa.int64()),
-                    pa.array([c[0] for c in cut], pa.binary()),
-                    pa.array([hashlib.sha256(c[0]).hexdigest() for c in cut]),
-                ],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"],
-            )
+            sizes, gone, spans_, kept = [], [], [], []
+            for text, found in zip(batch.column(1).to_pylist(), _covered(batch.column(2), length), strict=True):
+                data = text.encode()
+                left = cut_out(data, *found) if found else data
+                sizes.append(len(data))
+                gone.append(len(data) - len(left))
+                spans_.append(len(found[0]) if found else 0)
+                kept.append(left)
+            numbers = [pa.array(x, pa.int64()) for x in (sizes, gone, spans_)]
+            digests = pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())
+            yield pa.record_batch([batch.column(0), *numbers, pa.array(kept, pa.binary()), digests], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
     return joined.select("doc_id", "text", "runs").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
 
@@ -356,10 +446,8 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed_spans(table(spark, sf_dir, "documents"), LENGTH).drop("kept")
 
 
-def _whole_characters(data: bytes, runs: list, length: int) -> bytes:
+def _whole_characters(data: bytes, starts: np.ndarray, stops: np.ndarray) -> bytes:
     """What is left if removed runs give up the characters they cut in two."""
-    low = np.array([r["low"] for r in runs], np.int64)
-    starts, stops = merged(low, low + np.array([r["more"] for r in runs], np.int64) + length)
     kept, at = [], 0
     for a, b in zip(starts.tolist(), stops.tolist(), strict=True):
         while a < b and data[a] & 0xC0 == 0x80:  # the rest of a character that began before
@@ -375,19 +463,22 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """All rows and columns of ``docs``, with repeated strings cut out of ``text`` (a
     character that is only partly covered stays) and ``n_chars``, if there, counted
     anew. Texts without repeats are returned as they are."""
-    lists, _ = _with_runs(docs, length)
+    lists = _with_runs(docs, length)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    lists = lists.select(F.col("id_").alias("_run_id"), F.col("tag_").alias("_run_tag"), F.col("runs").alias("_runs"))
-    joined = docs.join(lists, docs["doc_id"].cast("long").eqNullSafe(F.col("_run_id")) & (F.hash(text) == F.col("_run_tag")), "left").drop("_run_id", "_run_tag")
-    at = joined.columns.index("text")
+    # The columns travel as one struct, so that no name of theirs can clash.
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"))
+    joined = rows.join(lists, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("tag") == F.col("tag_")), "left").select("row", "runs")
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            runs = batch.column(batch.num_columns - 1).to_pylist()
-            texts = [t if not r else _whole_characters(t.encode(), r, length).decode() for t, r in zip(batch.column(at).to_pylist(), runs, strict=True)]
-            cols = batch.columns[:-1]
+            cols = batch.column(0).flatten()
+            texts = []
+            for t, found in zip(cols[at].to_pylist(), _covered(batch.column(1), length), strict=True):
+                texts.append(_whole_characters(t.encode(), *found).decode() if found else t)
             cols[at] = pa.array(texts, pa.string())
-            yield pa.record_batch(cols, names=batch.schema.names[:-1])
+            yield pa.record_batch(cols, names=docs_columns)
 
+    docs_columns = docs.columns
     out = joined.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

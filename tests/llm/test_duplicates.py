@@ -8,7 +8,7 @@ import pytest
 import xxhash
 
 from curlew.llm import components as cc
-from curlew.llm import embeddings, simhash, sketch, suffix_dedup
+from curlew.llm import embeddings, ranks, simhash, sketch, suffix_dedup
 
 
 def find_components(n, links):
@@ -190,10 +190,38 @@ def test_suffix_edges(spark, edge, empty):
     cut = suffix_dedup.remove_repeats(edge)
     assert cut.columns == edge.columns
     assert {r.doc_id: r.text for r in cut.collect()}[6] == ""
+    clash = edge.selectExpr("*", "1 AS _run_id", "2 AS _runs", "3 AS runs", "4 AS id_", "5 AS row")
+    assert suffix_dedup.remove_repeats(clash).columns == clash.columns
+    assert suffix_dedup.remove_repeats(clash).count() == 10
     twice = spark.createDataFrame([(1, "a" * 10 + "é" * 300), (1, "b" * 10 + "é" * 300), (None, None)], "doc_id long, text string")
     assert sorted(str(r.text) for r in suffix_dedup.remove_repeats(twice).collect()) == ["None", "a" * 10, "b" * 10]
 
 
+@pytest.mark.parametrize("parts", [1, 3, 8])
+@pytest.mark.parametrize("keep", [False, True])
+def test_ranks(spark, parts, keep):
+    rng = random.Random(parts)
+    rows = [(rng.choice([5, 5, 5, 9, rng.randint(0, 400)]), rng.randint(0, 1), i, 1 + (i % 50 == 0)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "a long, b long, i long, n long")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = ranks.reranked(df, ["a", "b"], "t", ["i"], weight="n", keep_unique=keep).collect()
+        assert ranks.reranked(df.limit(0), ["a", "b"], "t", ["i"]).collect() == []
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    n = Counter()
+    for a, b, _, m in rows:
+        n[a, b] += m
+    assert sorted(r.i for r in got) == sorted(i for a, b, i, _ in rows if keep or n[a, b] > 1)
+    assert all(r.alone == (n[r.a, r.b] == 1) for r in got)
+    names = {(r.a, r.b): r["rank"] for r in got}
+    assert all(names[r.a, r.b] == r["rank"] for r in got)
+    assert [names[k] for k in sorted(names)] == sorted(names.values())
+    assert len(set(names.values())) == len(names)
+    assert Counter((r.a, r.b) for r in got if r.first) == dict.fromkeys(names, 1)
+
+
 def brute_sketch(text, k=5, scale=8):
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", text.lower()) if w]
     if not words:
