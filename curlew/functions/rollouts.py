@@ -51,7 +51,11 @@ def gae(rewards: ColumnLike, values: ColumnLike, gamma: float = 1.0, lam: float
 
 
 def kl_penalty(log_probs: ColumnLike, reference: ColumnLike, kind: str = "kl") -> Column:
-    """Per-token divergence: kl, abs, mse or low_var_kl."""
+    """Per-token divergence: kl, abs, mse or low_var_kl; ``full`` takes arrays of each token's
+    log-probabilities over the vocabulary."""
+    if kind == "full":
+        term = lambda a, b: F.exp(a.cast("double")) * (a.cast("double") - b.cast("double"))
+        return F.zip_with(_c(log_probs), _c(reference), lambda a, b: F.aggregate(F.zip_with(a, b, term), F.lit(0.0), lambda s, x: s + x))
 
     def one(a, b):
         d = a.cast("double") - b.cast("double")
@@ -86,6 +90,36 @@ def policy_loss(old: ColumnLike, new: ColumnLike, advantages: ColumnLike, low: f
     return F.transform(z, one)
 
 
+def policy_metrics(old: ColumnLike, new: ColumnLike, advantages: ColumnLike, low: float = 0.2, high: float = 0.2, dual: float = 3.0) -> dict[str, Column]:
+    """Per token: clipped from above, clipped from below (negative advantages), the KL estimate
+    and the entropy estimate (means over the mask give the reported figures)."""
+    z = F.arrays_zip(_c(old).alias("o"), _c(new).alias("n"), _c(advantages).alias("a"))
+    delta = lambda x: F.least(F.greatest(x["n"] - x["o"], F.lit(-20.0)), F.lit(20.0))
+
+    def losses(x):
+        ratio = F.exp(delta(x))
+        clipped = F.least(F.greatest(ratio, F.lit(1 - low)), F.lit(1 + high))
+        return -x["a"] * ratio, -x["a"] * clipped
+
+    higher = F.transform(z, lambda x: (losses(x)[0] < losses(x)[1]).cast("double"))
+    lower = F.transform(z, lambda x: ((F.greatest(*losses(x)) > -x["a"] * dual) & (x["a"] < 0)).cast("double"))
+    return {"clip_higher": higher, "clip_lower": lower, "kl": F.transform(z, lambda x: -delta(x)), "entropy": F.transform(_c(new), lambda x: -x)}
+
+
+def value_clipped(predicted: ColumnLike, returns: ColumnLike, values: ColumnLike, clip: float = 0.5) -> Column:
+    """Per token 1 where the clipped prediction's loss is the larger one."""
+    z = F.arrays_zip(_c(predicted).alias("p"), _c(returns).alias("r"), _c(values).alias("v"))
+    held = lambda x: F.least(F.greatest(x["p"], x["v"] - clip), x["v"] + clip)
+    return F.transform(z, lambda x: (F.pow(x["p"] - x["r"], 2) < F.pow(held(x) - x["r"], 2)).cast("double"))
+
+
+def spans_masked(labels: ColumnLike, spans: ColumnLike, ignore: int = -100) -> Column:
+    """Labels with all that lies outside ``spans`` (an array of (start, stop), from 0, half-open:
+    the assistant's messages) ignored."""
+    inside = lambda i: F.exists(_c(spans), lambda s: (i >= s["start"]) & (i < s["stop"]))
+    return F.transform(_c(labels), lambda x, i: F.when(inside(i), x.cast("bigint")).otherwise(F.lit(ignore).cast("bigint")))
+
+
 def value_loss(predicted: ColumnLike, returns: ColumnLike, values: ColumnLike, clip: float = 0.5) -> Column:
     z = F.arrays_zip(_c(predicted).alias("p"), _c(returns).alias("r"), _c(values).alias("v"))
 
@@ -134,4 +168,6 @@ def multiple_choice(best: ColumnLike, true: ColumnLike, false: ColumnLike) -> Co
         F.when(_c(best) > top, 1.0).otherwise(0.0).alias("mc1"),
         (mass(t) / (mass(t) + mass(f))).alias("mc2"),
         (F.size(F.filter(t, lambda x: x > top)) / F.size(t)).alias("mc3"),
+        F.array_max(t).alias("max"),
+        (F.array_max(t) - top).alias("diff"),
     )

@@ -42,20 +42,21 @@ def quality_norm(q: ColumnLike) -> Column:
 
 
 def _balanced(text: str, opening: str, closing: str, last: bool = False) -> str | None:
-    """The first (or last) balanced bracket of the text, outermost."""
-    found, begin, depth = None, -1, 0
+    """The first (or last) balanced bracket of the text that no other one holds. An opener
+    that never closes is passed over."""
+    open_, pairs = [], []
     for i, c in enumerate(text):
         if c == opening:
-            if not depth:
-                begin = i
-            depth += 1
-        elif c == closing and depth:
-            depth -= 1
-            if not depth:
-                found = text[begin : i + 1]
-                if not last:
-                    return found
-    return found
+            open_.append(i)
+        elif c == closing and open_:
+            begin = open_.pop()
+            while pairs and pairs[-1][0] > begin:
+                pairs.pop()
+            pairs.append((begin, i))
+    if not pairs:
+        return None
+    begin, end = pairs[-1 if last else 0]
+    return text[begin : end + 1]
 
 
 def parse_scores(raw: str | None, last: bool = False) -> list[list[int]]:
@@ -74,8 +75,7 @@ def parse_scores(raw: str | None, last: bool = False) -> list[list[int]]:
             if last and not all(k in item for k in RATINGS):
                 return none
             values = [item.get(k, 0) for k in RATINGS]
-            if "Overall rating" not in item:
-                values[3] = item.get("Overall", 0)
+            values[3] = values[3] or item.get("Overall", 0)  # absent, null and 0 alike
             rows.append([int(v) for v in values])
         return rows or none
     except (ValueError, TypeError, AttributeError):
@@ -255,6 +255,7 @@ def normal_final_answer(x: ColumnLike) -> Column:
     s = F.substring_index(_c(x), "=", -1)
     for old, new in [*REPLACED, *((r, "") for r in REMOVED)]:
         s = F.replace(s, F.lit(old), F.lit(new))
+    # What these patterns take off must be the same for equal results.
     patterns = [
         (r"(.*?)(\$)(.*?)(\$)(.*)", r"\$$3\$"),
         (r"\\text\{(.*?)\}", "$1"),

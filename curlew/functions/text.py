@@ -90,11 +90,44 @@ def rated_text(field: ColumnLike, *others: ColumnLike, strict: bool = False) ->
 
 
 def answer_content(x: ColumnLike) -> Column:
-    """Inside of the first ``<answer>`` (case matters), stripped; whole text without one."""
+    """Inside of the first ``<answer>`` (case matters), stripped; without one the whole
+    text, stripped."""
     pattern = r"(?s)<answer>(.*?)</answer>"
-    return F.when(_c(x).rlike(pattern), strip(F.regexp_extract(_c(x), pattern, 1))).otherwise(_c(x))
+    return strip(F.when(_c(x).rlike(pattern), F.regexp_extract(_c(x), pattern, 1)).otherwise(_c(x)))
 
 
+def reward_text(title: ColumnLike, question: ColumnLike, answer: ColumnLike, response: ColumnLike | None = None) -> Column:
+    """Title, question and answer of a record on lines of their own, blank ones left out; the
+    answer's content comes from the response's tags if there is one."""
+    said = blank_to_null(answer) if response is None else F.coalesce(blank_to_null(answer_content(response)), blank_to_null(answer))
+    return F.concat_ws("\n", blank_to_null(title), blank_to_null(question), said)
+
+
+def content_parts(x: ColumnLike, marks: tuple[str, ...] = ("<image>", "<video>")) -> Column:
+    """A prompt's text cut at media marks: an array of (type, text), in order; empty texts
+    are left out, and a mark has its name as type."""
+    pattern = "|".join(f"(?<={m})|(?={m})" for m in marks)
+    parts = F.filter(F.split(_c(x), pattern), lambda p: p != "")
+
+    def one(p: Column) -> Column:
+        of = F.lit("text")
+        for m in marks:
+            of = F.when(p == m, F.lit(m.strip("<>"))).otherwise(of)
+        return F.struct(of.alias("type"), F.when(of == "text", p).alias("text"))
+
+    return F.transform(parts, one)
+
+
+def templated(template: str, content: ColumnLike, name: str = "content") -> Column:
+    """``{{ content | trim }}`` (or without ``trim``) of a template filled with the text."""
+    import re
+
+    out, at = [], 0
+    for m in re.finditer(r"\{\{\s*" + name + r"\s*(\|\s*trim\s*)?\}\}", template):
+        out += [F.lit(template[at : m.start()]), strip(content) if m[1] else _c(content)]
+        at = m.end()
+    return F.concat(*out, F.lit(template[at:]))
+
 def generated_parts(x: ColumnLike) -> tuple[Column, Column]:
     """Chain of thought and output of a generation, tags in any case; without an answer
     tag the output is the whole text."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import dealt
+
 
 def grpo(df: DataFrame, group: str, score: str, out: str = "advantage", eps: float = 1e-6, strict: bool = False) -> DataFrame:
     """(score - mean) / (sample deviation + eps) within each group. A group of one has no
@@ -23,12 +25,12 @@ def rloo(df: DataFrame, group: str, score: str, out: str = "advantage") -> DataF
 
 
 def _group_stats(df: DataFrame, group: str, *aggregates) -> DataFrame:
-    return df.groupBy(F.col(group).alias("_g")).agg(*aggregates)
+    return dealt(df.groupBy(F.col(group).alias("_g")).agg(*aggregates))
 
 
 def _with_stats(df: DataFrame, group: str, stats: DataFrame) -> DataFrame:
-    """Rows meet the numbers of their group in a join: those come from partial sums, and a
-    hot group is split, where a window would put it in one task."""
+    """Rows meet the numbers of their group in a join: those come from partial sums and are
+    dealt out evenly, so that Spark can split a hot group; a window would put it in one task."""
     return df.join(stats, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
 
 
@@ -42,10 +44,50 @@ def whitened(df: DataFrame, value: str, out: str, eps: float = 1e-8) -> DataFram
     return df.crossJoin(F.broadcast(stats)).withColumn(out, (F.col(value) - F.col("_m")) / F.sqrt(F.col("_v") + eps)).drop("_m", "_v")
 
 
+def masked_whitened(df: DataFrame, values: str, mask: str, out: str, eps: float = 1e-8) -> DataFrame:
+    """Token arrays with mean 0 and (sample) deviation 1 over all tokens that the mask holds;
+    every token is moved, those outside the mask too. One broadcast row of three numbers, from
+    sums of values and squares per row; a mask of at most one token has no correction."""
+    total = lambda f: F.aggregate(F.zip_with(values, mask, f), F.lit(0.0), lambda s, x: s + x)
+    held = lambda v, m: v.cast("double") * m.cast("double")
+    sums = df.select(total(lambda v, m: m.cast("double")).alias("n"), total(held).alias("s"))
+    first = sums.agg(F.sum("n").alias("_n"), F.sum("s").alias("_t")).withColumn("_m", F.col("_t") / (F.col("_n") + 1e-8))
+    centred = df.crossJoin(F.broadcast(first))
+    second = centred.select("_n", total(lambda v, m: F.pow(v.cast("double") - F.col("_m"), 2) * m.cast("double")).alias("q"))
+    var = second.agg((F.sum("q") / (F.max("_n") + 1e-8) * F.when(F.max("_n") > 1, F.max("_n") / (F.max("_n") - 1)).otherwise(1.0)).alias("_v"))
+    moved = F.transform(values, lambda v: (v.cast("double") - F.col("_m")) / F.sqrt(F.col("_v") + eps))
+    return centred.crossJoin(F.broadcast(var)).withColumn(out, moved).drop("_n", "_t", "_m", "_v")
+
+
+def token_means(df: DataFrame, mask: str, *values: str) -> DataFrame:
+    """Mean of each array column over all tokens that the mask holds."""
+    total = lambda a: F.sum(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double")))
+    n = total(F.col(mask)) + 1e-8
+    return df.agg(*((total(F.zip_with(v, mask, lambda x, m: x.cast("double") * m.cast("double"))) / n).alias(v) for v in values))
+
+
+def common_metrics(*tables: DataFrame) -> DataFrame:
+    """key and the values of several ``(key, value)`` tables, for the keys that all of them have:
+    value_0, value_1 and so on."""
+    out = tables[0].select("key", F.col("value").alias("value_0"))
+    for i, t in enumerate(tables[1:], 1):
+        out = out.join(t.select("key", F.col("value").alias(f"value_{i}")), "key")
+    return out
+
+
+def merged_metrics(*tables: DataFrame) -> DataFrame:
+    """One ``(key, value)`` table; of a key that several hold, the last table's value."""
+    rows = None
+    for i, t in enumerate(tables):
+        part = t.select("key", "value", F.lit(i).alias("_i"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.groupBy("key").agg(F.max_by("value", "_i").alias("value"))
+
+
 def informative_groups(df: DataFrame, group: str, score: str, low: float, high: float) -> DataFrame:
     """Groups whose mean score lies strictly between the bounds."""
     kept = df.groupBy(group).agg(F.avg(score).alias("_m")).filter((F.col("_m") > low) & (F.col("_m") < high)).select(group)
-    return df.join(kept, group, "left_semi")
+    return df.join(dealt(kept), group, "left_semi")
 
 
 def quota_groups(df: DataFrame, group: str, order: str, score: str, low: float, high: float, quota: int) -> DataFrame:

@@ -55,10 +55,17 @@ def greedy(lengths: list[int], k: int, equal_size: bool = False) -> list[list[in
 
 
 def balanced(lengths: list[int], k: int, equal_size: bool = False) -> list[list[int]]:
-    """Differencing, checked: every item once, no part empty."""
+    """Differencing, checked: every item once, no part empty. A part that got nothing (as
+    lengths of 0 allow) takes the shortest item of a part that has several."""
     if len(lengths) < k:
         raise ValueError(f"{len(lengths)} items cannot fill {k} parts")
     parts = differencing(lengths, k, equal_size)
+    for p in range(k):
+        if not parts[p]:
+            giver = max((q for q in range(k) if len(parts[q]) > 1), key=lambda q: (-min(lengths[i] for i in parts[q]), len(parts[q]), -q))
+            item = min(parts[giver], key=lambda i: (lengths[i], i))
+            parts[giver].remove(item)
+            parts[p].append(item)
     if sorted(i for p in parts for i in p) != list(range(len(lengths))) or not all(parts):
         raise AssertionError("parts do not cover the items")
     return parts
@@ -72,13 +79,14 @@ def _per_batch(df: DataFrame, batch: str, id: str, length: str, divide) -> DataF
         b = t.column("batch")[0].as_py()
         return pa.table([pa.array([b] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([part[i] for i in range(len(rows))], pa.int32())], names=["batch", "id", "part"])
 
-    rows = df.select(F.col(batch).cast("long").alias("batch"), F.col(id).cast("long").alias("id"), F.col(length).cast("long").alias("n"))
+    rows = df.select(F.col(batch).cast("long").alias("batch"), F.col(id).cast("long").alias("id"), F.coalesce(F.col(length).cast("long"), F.lit(0)).alias("n"))
     return rows.groupBy("batch").applyInArrow(run, "batch long, id long, part int")
 
 
 def balance(df: DataFrame, batch: str, id: str, length: str, parts: int, equal_size: bool = False) -> DataFrame:  # noqa: A002
-    """batch, id, part: balanced parts of each batch."""
-    return _per_batch(df, batch, id, length, lambda n: balanced(n, parts, equal_size))
+    """batch, id, part: balanced parts of each batch. A batch with fewer rows than ``parts`` (the
+    last one) has a part for each row. Null lengths count 0."""
+    return _per_batch(df, batch, id, length, lambda n: balanced(n, min(parts, len(n)), equal_size and len(n) >= parts))
 
 
 def micro_batches(df: DataFrame, batch: str, id: str, length: str, max_tokens: int) -> DataFrame:  # noqa: A002
@@ -91,7 +99,17 @@ def micro_batches(df: DataFrame, batch: str, id: str, length: str, max_tokens: i
     return _per_batch(df, batch, id, length, divide)
 
 
-def imbalance(df: DataFrame, part: str, length: str) -> DataFrame:
-    """Smallest and largest token sums of the parts, their difference and their mean."""
+def restored(df: DataFrame, batch: str, id: str = "row_id") -> DataFrame:  # noqa: A002
+    """Rows of micro-batches in their order before they were dealt out."""
+    return df.orderBy(batch, id).drop("part")
+
+
+def imbalance(df: DataFrame, part: str, length: str, balanced: str | None = None) -> DataFrame:
+    """Smallest and largest token sums of the parts, their difference and their mean; with
+    ``balanced`` (another part column) the smallest and largest sums of those parts too."""
     sums = df.groupBy(part).agg(F.sum(length).alias("s"))
-    return sums.agg(F.min("s").alias("min"), F.max("s").alias("max"), (F.max("s") - F.min("s")).alias("difference"), F.avg("s").alias("mean"))
+    out = sums.agg(F.min("s").alias("min"), F.max("s").alias("max"), (F.max("s") - F.min("s")).alias("difference"), F.avg("s").alias("mean"))
+    if balanced is None:
+        return out
+    even = df.groupBy(balanced).agg(F.sum(length).alias("s")).agg(F.min("s").alias("balanced_min"), F.max("s").alias("balanced_max"))
+    return out.crossJoin(even)  # one row each

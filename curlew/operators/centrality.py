@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from ..storage import staged
 
 
-def lexrank(edges: DataFrame, damping: float = 1.0, tolerance: float = 1e-6, max_rounds: int = 60) -> DataFrame:
+def lexrank(edges: DataFrame, ids: DataFrame | None = None, damping: float = 1.0, tolerance: float = 1e-6, max_rounds: int = 1000) -> DataFrame:
     """id and score of each node of ``edges(a, b, similarity)`` (undirected, each pair once;
-    every node is similar 1 to itself). Scores add up to the number of nodes."""
+    every node is similar 1 to itself) and of ``ids(id)``: a row without a partner keeps score
+    1. Scores add up to the number of nodes. Raises if ``max_rounds`` do not converge."""
     both = edges.select("a", "b", "similarity").union(edges.select("b", "a", "similarity"))
-    nodes = staged(both.select(F.col("a").alias("id")).distinct())
+    known = both.select(F.col("a").alias("id"))
+    nodes = staged((known if ids is None else known.union(ids.select("id"))).distinct())
     links = both.toDF("a", "b", "w").union(nodes.select("id", F.col("id").alias("b"), F.lit(1.0)))
     out = links.groupBy("a").agg(F.sum("w").alias("t"))
     links = staged(links.join(out, "a").select("a", "b", (F.col("w") / F.col("t")).alias("p")))
@@ -23,5 +25,5 @@ def lexrank(edges: DataFrame, damping: float = 1.0, tolerance: float = 1e-6, max
         change = step.agg(F.max(F.abs(F.col("new") - F.col("score")))).first()[0]
         rank = step.select("id", F.col("new").alias("score"))
         if change is None or change < tolerance:
-            break
-    return rank
+            return rank
+    raise RuntimeError("lexrank did not converge")

@@ -37,6 +37,16 @@ def sample_capacities(n: int, low: int, high: int, mean: float, std: float, seed
     return sizes
 
 
+def block_capacities(n: int, low: int, high: int, mean: float, std: float, seed: int = 42) -> list[int]:
+    """As ``sample_capacities``; rows that no such sizes hold (fewer than ``low``, or between
+    multiples) share the fewest clusters of at most ``high``, as evenly as they go."""
+    try:
+        return sample_capacities(n, low, high, mean, std, seed)
+    except ValueError:
+        k = math.ceil(n / high)
+        return [n // k + (i < n % k) for i in range(k)]
+
+
 def centres(df: DataFrame, vector: str, k: int, seed: int = 42, iterations: int = 20) -> np.ndarray:
     """k-means centres of unit length (k rows on the driver)."""
     rows = df.select(array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("features"))
@@ -46,7 +56,8 @@ def centres(df: DataFrame, vector: str, k: int, seed: int = 42, iterations: int
 
 
 def similarities(df: DataFrame, id: str, vector: str, middle: np.ndarray, top: int) -> DataFrame:  # noqa: A002
-    """id, centre, similarity: the ``top`` nearest centres of each row."""
+    """id, centre, similarity: the ``top`` nearest centres of each row. Rows without a vector, or
+    of another length than the centres, have none."""
 
     def run(batches):
         for b in batches:
@@ -59,7 +70,9 @@ def similarities(df: DataFrame, id: str, vector: str, middle: np.ndarray, top: i
             ids = np.repeat(b.column(0).to_numpy(), at.shape[1])
             yield pa.record_batch([pa.array(ids), pa.array(at.ravel().astype("i4")), pa.array(np.take_along_axis(s, at, 1).ravel())], names=["id", "centre", "similarity"])
 
-    return df.select(F.col(id).cast("long"), F.col(vector).cast("array<double>")).mapInArrow(run, "id long, centre int, similarity double")
+    rows = df.select(F.col(id).cast("long"), F.col(vector).cast("array<double>").alias("v"))
+    rows = rows.filter((F.size("v") == middle.shape[1]) & ~F.exists("v", lambda x: x.isNull()))
+    return rows.mapInArrow(run, "id long, centre int, similarity double")
 
 
 def constrained_assign(ids: np.ndarray, s: np.ndarray, capacities: list[int]) -> np.ndarray:
@@ -85,7 +98,7 @@ def capacity_clusters(df: DataFrame, id: str, vector: str, block: str, low: int,
         ids = ids[order]
         size = np.linalg.norm(v, axis=1, keepdims=True)
         v = v / np.where(size > 0, size, 1)
-        sizes = sample_capacities(len(ids), low, high, mean, std, seed)
+        sizes = block_capacities(len(ids), low, high, mean, std, seed)
         rng = np.random.default_rng(seed)
         mid = v[rng.choice(len(ids), len(sizes), replace=False)]
         for _ in range(10):  # k-means within the block
@@ -98,6 +111,7 @@ def capacity_clusters(df: DataFrame, id: str, vector: str, block: str, low: int,
         return pa.table([pa.array(ids), pa.array([t.column("block")[0].as_py()] * len(ids), pa.string()), pa.array(found.astype("i4"))], names=["id", "block", "cluster"])
 
     rows = df.select(F.col(id).cast("long").alias("id"), F.col(block).cast("string").alias("block"), F.col(vector).cast("array<double>").alias("v"))
+    rows = rows.filter(F.col("id").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull()))
     return rows.groupBy("block").applyInArrow(run, "id long, block string, cluster int")
 
 
@@ -116,3 +130,11 @@ def merge_groups(df: DataFrame, cluster: str, id: str, prompt: str, answer: str,
     rows = df.filter(F.col(cluster).isNotNull()).withColumn("_pair", F.struct(F.col(id).alias("k"), qa_pair(prompt, answer).alias("t")))
     text = F.array_join(F.transform(F.array_sort(F.collect_list("_pair")), lambda p: p["t"]), separator)
     return rows.groupBy(F.col(cluster).alias("cluster_label")).agg(F.min_by(dataset, id).alias("dataset"), text.alias("input")).withColumn("instruction", F.lit(instruction))
+
+
+def size_summary(df: DataFrame, cluster: str) -> DataFrame:
+    """Number of clusters, and mean, deviation, least, quartiles and largest of their sizes."""
+    quarter = lambda q: F.percentile("size", q)  # noqa: E731  one row per cluster
+    return cluster_sizes(df, cluster).agg(
+        F.count(F.lit(1)).alias("count"), F.avg("size").alias("mean"), F.stddev_samp("size").alias("std"), F.min("size").alias("min"), quarter(0.25).alias("q1"), quarter(0.5).alias("median"), quarter(0.75).alias("q3"), F.max("size").alias("max")
+    )

@@ -2,30 +2,67 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine_distance, rounded
-from ..storage import staged
+from ..storage import dealt, staged
 from .neighbours import near_pairs
 
 
-def leaders(df: DataFrame, id: str, pairs: DataFrame, max_rounds: int = 200) -> DataFrame:  # noqa: A002
+def _settled_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b, state of a), sorted by b and a, of a range of b: states of its rows, in
+    ascending order, as far as those that they depend on are known or in the same range."""
+    known: dict[int, int] = {}
+    row, hit, free, own = None, False, True, 0
+    out: list[tuple[int, int]] = []
+
+    def close() -> None:
+        if row is not None:
+            known[row] = own or (2 if hit else 1 if free else 0)
+            out.append((row, known[row]))
+
+    def given() -> pa.RecordBatch:
+        cols = list(zip(*out, strict=True)) or [[], []]
+        made = pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32())], names=["id", "now"])
+        out.clear()
+        return made
+
+    for batch in batches:
+        for a, b, sa, sb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if b != row:
+                close()
+                row, hit, free, own = b, False, True, sb
+            state = sa or known.get(a, 0)
+            hit, free = hit or state == 1, free and state == 2
+        if len(out) >= 10_000:
+            yield given()
+    close()
+    yield given()
+
+
+def leaders(df: DataFrame, id: str, pairs: DataFrame) -> DataFrame:  # noqa: A002
     """Rows kept by the rule: in ascending id, a row stays unless an earlier row that
-    stayed is near it (``pairs(a, b)``, a < b). Settled in rounds: a row whose
-    earlier neighbours are all gone stays, a row with an earlier neighbour that stays
-    goes. Each round is written, so that lineage stays short."""
+    stayed is near it (``pairs(a, b)``, a < b). Settled in rounds: links are dealt out by
+    ranges of the later id and each range is walked in order, so that chains within a range
+    settle in one round, whatever their length; a round settles at least the first open row.
+    Each round is written, so that lineage stays short. Every round settles a row, so the
+    rounds end; none are cut off."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     links = staged(pairs.select("a", "b").distinct())
-    state = staged(links.select(F.col("a").alias("id")).union(links.select("b")).distinct().select("id", F.lit(0).alias("s")))  # 0 open, 1 stays, 2 gone
-    for _ in range(max_rounds):
-        if state.filter("s = 0").isEmpty():
-            break
-        seen = links.join(state.withColumnRenamed("id", "a").withColumnRenamed("s", "sa"), "a")
-        told = seen.groupBy(F.col("b").alias("id")).agg(F.max((F.col("sa") == 1).cast("int")).alias("hit"), F.min((F.col("sa") == 2).cast("int")).alias("free"))
-        now = F.when(F.col("s") != 0, F.col("s")).when(F.col("hit") == 1, 2).when(F.coalesce("free", F.lit(1)) == 1, 1).otherwise(0)
-        state = staged(state.join(told, "id", "left").select("id", now.alias("s")))
-    else:
-        raise RuntimeError("leaders did not settle")
+    later = links.select("b").distinct()
+    first = links.select(F.col("a").alias("id")).distinct().join(later, F.col("id") == F.col("b"), "left_anti")
+    # 0 open, 1 stays, 2 gone. Rows without an earlier neighbour stay.
+    state = staged(first.select("id", F.lit(1).alias("s")).union(later.select("b", F.lit(0))))
+    while not state.filter("s = 0").isEmpty():
+        seen = links.join(state.toDF("a", "sa"), "a").join(state.toDF("b", "sb"), "b").filter("sb = 0")
+        dealt_out = seen.select("a", "b", "sa", "sb").repartitionByRange(n, "b").sortWithinPartitions("b", "a")
+        now = dealt_out.mapInArrow(_settled_in_order, "id long, now int")
+        state = staged(state.join(now, "id", "left").select("id", F.coalesce("now", "s").alias("s")))
     gone = state.filter("s = 2").select(F.col("id").alias("_gone"))
     return df.join(gone, df[id].cast("long") == gone["_gone"], "left_anti")
 
@@ -41,4 +78,4 @@ def bucket_dedup(df: DataFrame, id: str, vector: str, threshold: float, digits:
     rows = df.withColumn("_bucket", rounded(vector, digits))
     first = rows.groupBy("_bucket").agg(F.min_by(vector, id).alias("_lead"), F.min(id).alias("_id"))
     far = (F.col(id) == F.col("_id")) | (1 - cosine_distance(vector, "_lead") < threshold)
-    return rows.join(first, "_bucket").filter(far).drop("_bucket", "_lead", "_id")
+    return rows.join(dealt(first), "_bucket").filter(far).drop("_bucket", "_lead", "_id")

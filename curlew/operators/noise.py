@@ -226,6 +226,16 @@ def _judged(df: DataFrame, rows: DataFrame, id: str, vector: str, k: int, share:
     return found.select("id", "round", "y", (-F.log(F.coalesce(weight, F.lit(0.0)) + 1e-8)).alias("score"), (-F.array_max("dist")["m"]).alias("suggested"))
 
 
+def random_transition(diagonal: list[float], seed: int) -> np.ndarray:
+    """A transition matrix with the given diagonal; the rest of each row is dealt out at random."""
+    k = len(diagonal)
+    t = np.random.default_rng(seed).random((k, k))
+    np.fill_diagonal(t, 0)
+    t *= ((1 - np.array(diagonal)) / np.where(t.sum(1) > 0, t.sum(1), 1))[:, None]
+    np.fill_diagonal(t, diagonal)
+    return t
+
+
 def synthetic_noise(df: DataFrame, id: str, label: str, t: np.ndarray, seed: int) -> DataFrame:  # noqa: A002
     """Labels flipped by the rows of a transition matrix, with a hash of the id as the draw."""
     steps = np.cumsum(t, 1)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import Future, ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,10 +38,11 @@ def rating_prompt(task, text):
     return F.concat(out, text)
 
 
-def rate(df: DataFrame, rater: Callable[[str], str], field: str = "output", others: tuple[str, ...] = (), strict: bool = False, threads: int = 16, retries: int = 3) -> DataFrame:
+def rate(df: DataFrame, rater: Callable[[str], str], field: str = "output", others: tuple[str, ...] = (), strict: bool = False, threads: int = 16, retries: int = 3, delay: float = 0.0, timeout: float | None = None) -> DataFrame:
     """Adds prompt, raw reply and rating_detail. ``rater`` is called from a thread pool in
-    each task; after ``retries`` failures the reply is ``exception``, which reads as zeros.
-    Rows without a rated text are left out."""
+    each task; it is asked again ``delay`` seconds after it failed or took longer than
+    ``timeout`` seconds, and after ``retries`` failures the reply is ``exception``, which
+    reads as zeros. Rows without a rated text are left out."""
     text = rated_text(field, *others, strict=strict)
     rows = df.withColumn("_text", text).filter(F.col("_text").isNotNull())
     kind = task_type("source" if "source" in df.columns else F.lit(None).cast("string"), "id" if "id" in df.columns else F.lit(None).cast("string"))
@@ -48,18 +50,28 @@ def rate(df: DataFrame, rater: Callable[[str], str], field: str = "output", othe
     at = rows.columns.index("rating_prompt")
 
     def ask(prompt: str) -> str:
-        for _ in range(retries):
+        for i in range(retries):
             try:
                 return rater(prompt)
             except Exception:  # noqa: BLE001  a rater may fail in any way; the reply says so
-                continue
+                if i + 1 < retries and delay:
+                    time.sleep(delay)
         return "exception"
 
+    def reply(asked: Future) -> str:
+        try:
+            return asked.result(timeout and retries * (timeout + delay))
+        except TimeoutError:
+            return "exception"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with ThreadPoolExecutor(threads) as pool:
+        pool = ThreadPoolExecutor(threads)
+        try:
             for b in batches:
-                replies = list(pool.map(ask, b.column(at).to_pylist()))
-                yield pa.record_batch([*b.columns, pa.array(replies, pa.string())], names=[*b.schema.names, "raw_reply"])
+                asked = [pool.submit(ask, p) for p in b.column(at).to_pylist()]
+                yield pa.record_batch([*b.columns, pa.array(map(reply, asked), pa.string())], names=[*b.schema.names, "raw_reply"])
+        finally:
+            pool.shutdown(wait=False, cancel_futures=True)
 
     asked = rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("raw_reply", T.StringType())]))
     return asked.withColumn("rating_detail", rating_detail("raw_reply"))

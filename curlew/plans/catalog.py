@@ -356,7 +356,8 @@ def few_shot_prompt(spark, sf_dir):
 
 @query()
 def lexrank(spark, sf_dir):
-    return centrality.lexrank(neighbours.near_pairs(vectors(spark, sf_dir), "vec_id", "embedding", 0.35), damping=0.85)
+    rows = vectors(spark, sf_dir)
+    return centrality.lexrank(neighbours.near_pairs(rows, "vec_id", "embedding", 0.35), rows.select(F.col("vec_id").alias("id")), damping=0.85)
 
 
 # Selection
@@ -726,3 +727,6 @@ def retained_checkpoints(spark, sf_dir):
 def capped_samples(spark, sf_dir):
     out = selection.sample_per(table(spark, sf_dir, "documents").select("source", "doc_id"), "source", "doc_id", 7)
     return out.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+from . import file_queries, shape_queries  # noqa: E402, F401  they register theirs

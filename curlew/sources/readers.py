@@ -82,11 +82,31 @@ def tagged_files(spark: SparkSession, paths: dict[str, str], schema: SchemaLike,
     return out if out is not None else spark.createDataFrame([], _typed(schema))
 
 
+def _files(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files in a folder that hold data; none if it is a file."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+    names = [(f.getPath().getName(), f.isDirectory()) for f in found]
+    return sorted(n for n, folder in names if not folder and n[0] not in "._") if names and names[0][0] != path.rstrip("/").rsplit("/", 1)[-1] else []
+
+
 def any_format(spark: SparkSession, path: str, **options) -> DataFrame:
-    """``path@split`` or a path: format by suffix, Parquet for folders."""
-    path = path.split("@", 1)[0]
+    """``path`` or ``path@split``. A file's format is that of its suffix, a folder's that of its
+    first file; a split is the folder's files (or sub-folder) of that name."""
+    path, _, wanted = path.partition("@")
     kinds = {"jsonl": "json", "json": "json", "csv": "csv", "tsv": "csv", "parquet": "parquet", "orc": "orc", "txt": "text"}
-    suffix = path.removesuffix(".gz").rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else "parquet"
+    suffix_of = lambda name: name.removesuffix(".gz").rsplit(".", 1)[-1].lower() if "." in name else ""
+    suffix = suffix_of(path.rstrip("/").rsplit("/", 1)[-1])
+    names: list[str] = []
+    if suffix not in kinds:
+        names = _files(spark, path)
+        mine = [n for n in names if n.startswith(wanted)] if wanted else names
+        if wanted and not mine:  # a folder of its own
+            path = f"{path}/{wanted}"
+            mine = names = _files(spark, path)
+        suffix = suffix_of(mine[0]) if mine else "parquet"
+        if wanted and len(mine) < len(names):
+            options["pathGlobFilter"] = f"{wanted}*"
     reader = spark.read.options(**options)
     if suffix in ("csv", "tsv"):
         return reader.csv(path, header=True, sep="," if suffix == "csv" else "\t", inferSchema=True)
@@ -105,11 +125,11 @@ def with_dataset(df: DataFrame) -> DataFrame:
 
 
 def with_scores(conversations: DataFrame, scores: DataFrame, id: str = "row_id") -> DataFrame:  # noqa: A002
-    """Scores joined by row; both sides must have the same rows."""
-    joined = conversations.join(scores, id, "full")
-    if not joined.filter(F.col("score").isNull() | F.col(conversations.columns[-1]).isNull()).isEmpty():
+    """Scores joined by row; both sides must have the same rows. Values may be null."""
+    joined = conversations.withColumn("_left", F.lit(1)).join(scores.withColumn("_right", F.lit(1)), id, "full")
+    if not joined.filter(F.col("_left").isNull() | F.col("_right").isNull()).isEmpty():
         raise ValueError("conversations and scores have different rows")
-    return joined
+    return joined.drop("_left", "_right")
 
 
 def preference_transcripts(spark: SparkSession, path: str, roles: tuple[str, ...] = ("Human", "Assistant")) -> DataFrame:
@@ -156,11 +176,11 @@ def subject_questions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def number_questions(spark: SparkSession, path: str) -> DataFrame:
-    """question and the number after ``####``; fails on an answer that is no number."""
+    """question and the number after ``####``; fails on an answer that is no number, or 0."""
     from ..functions.text import reference_number
 
     rows = json_lines(spark, path, "question string, answer string", "fail").withColumn("answer", reference_number("answer"))
-    return rows.withColumn("answer", F.when(F.col("answer").try_cast("double").isNotNull(), F.col("answer")).otherwise(F.raise_error(F.lit("an answer is no number"))))
+    return rows.withColumn("answer", F.when(F.col("answer").try_cast("double") != 0, F.col("answer")).otherwise(F.raise_error(F.lit("an answer is no number, or 0"))))
 
 
 def task_examples(spark: SparkSession, path: str) -> DataFrame:
@@ -170,6 +190,16 @@ def task_examples(spark: SparkSession, path: str) -> DataFrame:
     return text.select("task", F.explode(F.from_json("value", kind)["examples"]).alias("e")).select("task", "e.input", "e.target")
 
 
+def with_task_prompts(spark: SparkSession, examples: DataFrame, path: str) -> DataFrame:
+    """Each task's prompt text (files ``<task>.txt``, without their first two lines) beside its
+    examples. Fails unless examples and prompts have the same tasks."""
+    text = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.txt$", 1).alias("task"), F.regexp_replace("value", r"^[^\n]*\n[^\n]*\n", "").alias("task_prompt"))
+    tasks = examples.select("task").distinct()
+    if not tasks.join(text, "task", "left_anti").isEmpty() or not text.join(tasks, "task", "left_anti").isEmpty():
+        raise ValueError("examples and prompts have different tasks")
+    return examples.join(F.broadcast(text), "task")  # one row for each task
+
+
 def reading_questions(spark: SparkSession, path: str) -> DataFrame:
     """article > paragraph > question JSON as rows; the language is the id's first part."""
     kind = "struct<data: array<struct<paragraphs: array<struct<context: string, qas: array<struct<id: string, question: string, answers: array<struct<text: string>>>>>>>>>"

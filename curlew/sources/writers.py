@@ -11,11 +11,13 @@ def json_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
-def json_array(df: DataFrame, path: str) -> None:
-    """A folder with one file that holds an array: for small results, as its size is that of
-    one file."""
-    body = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ",\n"), F.lit("]")).alias("value"))
-    body.coalesce(1).write.mode("overwrite").text(path)
+def json_array(df: DataFrame, path: str, rows: int = 10_000) -> None:
+    """A folder of files that each hold an array of at most ``rows`` objects: no task and no
+    string holds more."""
+    numbered = df.select(F.monotonically_increasing_id().alias("n"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j"))
+    lists = numbered.groupBy(F.floor(F.col("n") / rows).alias("part")).agg(F.array_sort(F.collect_list(F.struct("n", "j"))).alias("l"))
+    body = lists.select(F.concat(F.lit("["), F.array_join(F.transform("l", lambda x: x["j"]), ",\n"), F.lit("]")).alias("value"))
+    body.write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
 
 
 def by_suffix(df: DataFrame, path: str) -> None:

@@ -11,17 +11,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of this machine is made and set
-    only where that is unset."""
+    """``spark.checkpoint.dir`` of the session. Where that is unset, a local session gets a
+    folder of this machine; on a cluster that is an error, as executors would not share it."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         known = "file://" + tempfile.mkdtemp(prefix="curlew-")
         spark.sparkContext.setCheckpointDir(known)
     return known.rstrip("/")
 
 
+def fresh_folder(spark: SparkSession, kind: str) -> str:
+    return f"{shared_folder(spark)}/curlew-{kind}-{uuid.uuid4().hex}"
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """``df``, an aggregate that is joined by its own key, dealt out evenly. Left where the
+    aggregation put it, the join would take over that partitioning and Spark could not
+    split the partition of a hot key on the other side."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def staged(df: DataFrame) -> DataFrame:
-    path = f"{shared_folder(df.sparkSession)}/curlew-stage-{uuid.uuid4().hex}"
+    path = fresh_folder(df.sparkSession, "stage")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

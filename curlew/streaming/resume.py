@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import staged
+
 
 def run_new_files(spark: SparkSession, source: str, schema: str, work: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, by: str | None = None, files_per_batch: int = 100) -> int:
     """Processes the files of ``source`` that no earlier run has finished, and ends. Each
@@ -41,7 +43,7 @@ def until_quota(draw: Callable[[int], DataFrame], keep: Callable[[DataFrame], Da
     ``max_draws`` batches are not enough."""
     out, n = None, 0
     for i in range(max_draws):
-        part = keep(draw(i))
+        part = staged(keep(draw(i)))  # drawn once: what is counted is what is returned
         out = part if out is None else out.unionByName(part)
         n += part.count()
         if n >= quota:

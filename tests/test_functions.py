@@ -41,6 +41,7 @@ def test_generation_parts(spark):
     assert one(spark, out, g=S(" plain ")) == "plain"
     assert one(spark, text.until_answer_end("g"), g=S(g)) == "<THINK> a\nb </THINK> <answer>c</answer>"
     assert one(spark, text.answer_content("g"), g=S("<ANSWER>x</ANSWER>")) == "<ANSWER>x</ANSWER>"
+    assert one(spark, text.answer_content("g"), g=S(" \n plain\t")) == "plain"
 
 
 def test_roles_and_preferences(spark):
@@ -169,3 +170,13 @@ def test_chat_styles(spark, style):
     marks = text.CHAT_STYLES[style]
     parts = "".join(marks[r][0] + c + marks[r][1] for r, c in m if r in marks)
     assert got == marks["open"] + parts + marks["close"]
+
+
+def test_overall_rating_falls_back():
+    from curlew.functions.scores import parse_scores
+
+    for first in ("0", "null"):
+        assert parse_scores('{"Rarity": 1, "Complexity": 2, "Informativeness": 3, "Overall rating": %s, "Overall": 7}' % first) == [[1, 2, 3, 7]]
+    assert parse_scores('x { y {"Rarity": 3, "Complexity": 4, "Informativeness": 5, "Overall": 6} z') == [[3, 4, 5, 6]]
+    assert parse_scores('[ open {"Rarity": 3} {"Rarity": 4}') == [[3, 0, 0, 0]]
+    assert parse_scores('{"Rarity": 3, "Complexity": 1, "Informativeness": 1, "Overall rating": 1} {"Rarity": 4, "Complexity": 1, "Informativeness": 1, "Overall rating": 1} {', last=True) == [[4, 1, 1, 1]]

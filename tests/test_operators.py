@@ -54,6 +54,12 @@ def test_leader_dedup(points, block):
     assert len(kept) <= 50
 
 
+def test_leaders_of_a_long_chain(spark):
+    df = spark.range(1001)
+    chain = df.filter("id < 1000").selectExpr("id AS a", "id + 1 AS b")
+    assert [r.id for r in dedup.leaders(df, "id", chain).orderBy("id").collect()] == list(range(0, 1001, 2))
+
+
 def test_leaders_follow_the_order(spark):
     df = spark.range(5)
     chain = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (3, 4)], "a long, b long")

@@ -77,7 +77,11 @@ def test_writers(spark, tmp_path):
     assert '"t":"é"' in text
     assert '"n":null' in text
     writers.by_suffix(df, str(tmp_path / "b.json"))
-    assert len(json.loads("".join(f.read_text() for f in (tmp_path / "b.json").glob("part*")))) == 2
+    assert sum(len(json.loads(f.read_text())) for f in (tmp_path / "b.json").glob("part*")) == 2
+    writers.json_array(spark.range(25), str(tmp_path / "e.json"), rows=4)
+    found = [json.loads(f.read_text()) for f in (tmp_path / "e.json").glob("part*")]
+    assert max(map(len, found)) <= 4
+    assert sorted(r["id"] for f in found for r in f) == list(range(25))
     writers.split_folders(df, str(tmp_path / "c"), "t")
     assert len([p for p in (tmp_path / "c").iterdir() if p.is_dir()]) == 2
     writers.shards(df.coalesce(1), str(tmp_path / "d"), rows=1)
