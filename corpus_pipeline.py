@@ -19,27 +19,33 @@ from curlew.llm.toxicity import filter_toxic
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a quality score of at least 0.5."""
+    """Documents with a quality score of at least 0.5 (null and empty texts are scored too).
+    Null labels and ids of ``labels`` are no labels; without labels of both kinds all
+    documents have one score."""
     return filter_quality(docs, table(spark, sf_dir, "labels"), threshold=0.5)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score below 0.7."""
+    """Documents with a toxicity score below 0.7; nulls as in ``quality``."""
     return filter_toxic(docs, table(spark, sf_dir, "labels"), threshold=0.7)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, over five-word shingles."""
-    return deduplicate(docs, shingle=5)
+    """One document of each group of near-duplicates: sets of five-word shingles with a Jaccard
+    similarity of at least 0.8. The one with the smallest doc_id stays; documents with a
+    null doc_id stay, and of empty texts one."""
+    return deduplicate(docs, shingle=5, threshold=0.8, max_bits=7)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without strings of 200 bytes that occur more than once."""
+    """All documents, without strings of 200 bytes that occur more than once; a character that
+    is only partly covered stays, a null text stays null."""
     return remove_repeats(docs, length=200)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of each piece of each document in sequences of 1024 tokens."""
+    """The place of each piece of each document in sequences of 1024 tokens; a null text is one
+    end token, a null doc_id is kept."""
     return pack(docs, capacity=1024, end_id=2)
 
 

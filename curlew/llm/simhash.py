@@ -16,6 +16,10 @@ cells meet in the same and the next step. Two sets of shingles with a similarity
 sizes within a ratio of s, so nothing similar is lost (a text and the same text repeated
 meet), and far fewer cells meet.
 
+``deduplicate`` asks for a similarity of shingle sets rather than of fingerprints: the
+grids then hold fingerprints over single words, which nearly all texts of that similarity
+share up to 7 bits, and every pair is verified by its shingles (``similar_groups``).
+
 Groups of equal fingerprints are one row from the start, whatever their size.
 
 Defined cases: a null text is an empty text; a text without words has fingerprint
@@ -36,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import short_batches, staged, table
+from .shared import apart, batches_of, short_batches, staged, table
 
 SEED = 42
 MAX_BITS = 3
@@ -89,38 +93,49 @@ def with_fingerprints(docs: DataFrame, shingle: int = 5, length_ratio: float | N
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long, size int")
 
 
-def near_pairs(fingerprints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """fp_a, size_a, fp_b, size_b: pairs of different rows of ``fingerprints(fp[, size])``
-    whose fingerprints differ in at most ``max_bits`` (0 to 7) bits and whose sizes
-    in at most 1, each pair once."""
+def _cells(prints: DataFrame, max_bits: int) -> DataFrame:
+    """Each row of ``prints(fp, ...)`` once per grid: grid, cell (its bit counts of 2-bit
+    segments, packed in a long) and ones (their sum)."""
     if not 0 <= max_bits <= 7:
         raise ValueError("the grids find distances up to 7")
     grids = 2 if max_bits <= 3 else 4
     bits = 64 // grids
-    sized = "size" in fingerprints.columns
     mask = (1 << bits) - 1
-    # Bit counts of 2-bit segments, packed in a long for each grid.
     counts = lambda x: f"{x} - (shiftrightunsigned({x}, 1) & {0x5555555555555555 & mask}L)"
     part = lambda g: f"(shiftrightunsigned(fp, {g * bits}) & {mask}L)"
     cells = ", ".join(f"named_struct('grid', {g}, 'cell', {counts(part(g))}, 'ones', bit_count({part(g)}))" for g in range(grids))
-    rows = fingerprints.select("fp", F.col("size") if sized else F.lit(0).alias("size")).distinct()
-    rows = rows.select("fp", "size", F.explode(F.expr(f"array({cells})")).alias("h")).select("fp", "size", "h.grid", "h.cell", "h.ones")
+    return prints.select(*prints.columns, F.explode(F.expr(f"array({cells})")).alias("h")).select(*prints.columns, "h.grid", "h.cell", "h.ones")
+
+
+def _probes(cells: DataFrame, max_bits: int, sized: bool) -> DataFrame:
+    """The rows of ``_cells`` with the cells that they look into in place of their own (kept
+    as ``home``), and sizes in place of theirs (``size_l``). Even cells look one step away."""
+    bits = 32 if max_bits <= 3 else 16
     steps = f"""
         flatten(transform(sequence(0, {bits // 2 - 1}), i ->
             filter(array(
                 if((shiftright(cell, 2 * i) & 3) < 2, cell + shiftleft(1L, 2 * i), -1L),
                 if((shiftright(cell, 2 * i) & 3) > 0, cell - shiftleft(1L, 2 * i), -1L)), x -> x >= 0)))
     """
-    left = rows.select(F.col("fp").alias("fp_l"), F.col("size").alias("size_l"), "grid", F.col("cell").alias("own"), F.explode(F.expr(f"if(ones % 2 = 0, concat(array(cell), {steps}), array(cell))")).alias("cell"))
-    if sized:
-        # From its own cell a row meets the same and the next size, from others also the one before.
-        at = F.col("size_l")
-        left = left.withColumn("size", F.explode(F.when(F.col("own") == F.col("cell"), F.array(at, at + 1)).otherwise(F.array(at - 1, at, at + 1))))
-    else:
-        left = left.withColumn("size", F.col("size_l"))
-    right = rows.select(*(F.col(c).alias(f"{c}_r") for c in ("fp", "size", "grid", "cell")))
+    kept = [c for c in cells.columns if c not in ("cell", "size", "ones")]
+    out = cells.select(*kept, F.col("size").alias("size_l"), F.col("cell").alias("home"), F.explode(F.expr(f"if(ones % 2 = 0, concat(array(cell), {steps}), array(cell))")).alias("cell"))
+    if not sized:
+        return out.withColumn("size", F.col("size_l"))
+    # From its own cell a row meets the same and the next size, from others also the one before.
+    at = F.col("size_l")
+    return out.withColumn("size", F.explode(F.when(F.col("home") == F.col("cell"), F.array(at, at + 1)).otherwise(F.array(at - 1, at, at + 1))))
+
+
+def near_pairs(fingerprints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """fp_a, size_a, fp_b, size_b: pairs of different rows of ``fingerprints(fp[, size])``
+    whose fingerprints differ in at most ``max_bits`` (0 to 7) bits and whose sizes
+    in at most 1, each pair once."""
+    sized = "size" in fingerprints.columns
+    cells = _cells(fingerprints.select("fp", F.col("size") if sized else F.lit(0).alias("size")).distinct(), max_bits)
+    left = _probes(cells, max_bits, sized).withColumnRenamed("fp", "fp_l")
+    right = cells.select(*(F.col(c).alias(f"{c}_r") for c in ("fp", "size", "grid", "cell")))
     near = F.bit_count(F.col("fp_l").bitwiseXOR(F.col("fp_r"))) <= max_bits
-    once = (F.col("own") != F.col("cell_r")) | (F.col("size_l") != F.col("size_r")) | (F.col("fp_l") < F.col("fp_r"))
+    once = (F.col("home") != F.col("cell_r")) | (F.col("size_l") != F.col("size_r")) | (F.col("fp_l") < F.col("fp_r"))
     same = (F.col("grid") == F.col("grid_r")) & (F.col("cell") == F.col("cell_r")) & (F.col("size") == F.col("size_r"))
     met = left.join(right, same & near & once)
     l, r = (F.struct(F.col(f"fp_{x}").alias("fp"), F.col(f"size_{x}").alias("size")) for x in "lr")  # noqa: E741
@@ -128,6 +143,18 @@ def near_pairs(fingerprints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return both.select(F.col("a.fp").alias("fp_a"), F.col("a.size").alias("size_a"), F.col("b.fp").alias("fp_b"), F.col("b.size").alias("size_b"))
 
 
+def _across(prints: DataFrame, max_bits: int) -> DataFrame:
+    """a, b: pairs of ``prints(first, own, seed, size, fp)`` of one seed that lie within
+    ``max_bits`` bits and one size of each other and are in different groups (``own``)."""
+    cells = _cells(prints, max_bits)
+    left = _probes(cells, max_bits, True).select("seed", "grid", "cell", "size", F.col("fp").alias("fp_l"), F.col("first").alias("first_l"), F.col("own").alias("own_l"))
+    right = cells.select(*(F.col(c).alias(f"{c}_r") for c in ("seed", "grid", "cell", "size", "fp", "first", "own")))
+    same = (F.col("seed") == F.col("seed_r")) & (F.col("grid") == F.col("grid_r")) & (F.col("cell") == F.col("cell_r")) & (F.col("size") == F.col("size_r"))
+    near = F.bit_count(F.col("fp_l").bitwiseXOR(F.col("fp_r"))) <= max_bits
+    met = left.join(right, same & near & (F.col("own_l") != F.col("own_r")))
+    return met.select(F.least("first_l", "first_r").alias("a"), F.greatest("first_l", "first_r").alias("b")).distinct()
+
+
 def grouped(docs: DataFrame, shingle: int = 5, max_bits: int = MAX_BITS, length_ratio: float | None = None) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id reachable over links) of each
     document with an id."""
@@ -142,10 +169,140 @@ def grouped(docs: DataFrame, shingle: int = 5, max_bits: int = MAX_BITS, length_
     return rows.join(labelled, ["fp", "size"]).select("doc_id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, shingle: int = 5, max_bits: int = 7, length_ratio: float | None = 0.8) -> DataFrame:
-    """One document of each group: the one with the smallest doc_id (and of rows that
-    share it, all). Documents without an id stay."""
-    kept = grouped(docs, shingle, max_bits, length_ratio).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
+# Near-duplicates by words, verified by shingles
+
+
+SEEDS = (42, 7)  # of the two fingerprints over a text's distinct words
+VERIFY_ROWS = 64  # pairs of texts in an Arrow batch
+STARS = 2  # rounds that link the members of a cell to one of them
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's word shingles (fewer words: the whole
+    sequence; none: one of its own)."""
+    import xxhash
+
+    words = (text or "").encode().lower().split()
+    known = {w: xxhash.xxh64_intdigest(w, SEED) for w in set(words)}
+    h = np.array([known[w] for w in words], np.uint64)
+    n = min(shingle, max(len(h), 1))
+    rolled = np.full(max(len(h) - n + 1, 1), len(h) < n, np.uint64)
+    for i in range(min(n, len(h))):
+        rolled = (rolled * _ODD) ^ h[i : len(h) - n + 1 + i]
+        rolled ^= rolled >> np.uint64(29)
+    return np.unique(rolled)
+
+
+def _traits(text: str | None, shingle: int) -> tuple[int, int, int, list[int]]:
+    """128 bits that name the sequence of words, the number of distinct shingles, and a
+    fingerprint over the distinct words for each seed."""
+    import xxhash
+
+    words = (text or "").encode().lower().split()
+    key = xxhash.xxh3_128_intdigest(b" ".join(words))
+    distinct, fps = set(words), []
+    for seed in SEEDS:
+        rows = np.array([xxhash.xxh64_intdigest(w, seed) for w in distinct], ">u8")
+        ones = np.zeros(64, np.int64)
+        for low in range(0, len(rows), 65_536):
+            ones += np.unpackbits(rows[low : low + 65_536].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        fps.append(int.from_bytes(np.packbits(ones * 2 > max(len(rows), 1)).tobytes(), "big"))
+    return key >> 64, key & ((1 << 64) - 1), len(shingle_set(text, shingle)), fps
+
+
+def _with_traits(docs: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    short_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_traits(t, shingle) for t in batch.column(1).to_pylist()]
+            signed = lambda xs: pa.array(np.array(xs, np.uint64).view(np.int64))
+            size = [int(math.log(n) / -math.log(threshold)) for _, _, n, _ in found]
+            cols = [batch.column(0), signed([f[0] for f in found]), signed([f[1] for f in found]), pa.array(size, pa.int32())]
+            fps = np.array([f[3] for f in found], np.uint64).reshape(len(found), len(SEEDS)).view(np.int64)
+            yield pa.record_batch([*cols, pa.array(list(fps), pa.list_(pa.int64()))], names=["doc_id", "high", "low", "size", "fps"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, high long, low long, size int, fps array<long>")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """Of ``pairs(a, b)`` of doc_ids, those whose texts' shingle sets have a Jaccard similarity
+    of at least ``threshold``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, None
+        for batch in batches:
+            keep = []
+            for a, ta, tb in zip(batch.column("a").to_pylist(), batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):
+                if a != last:
+                    last, held = a, shingle_set(ta, shingle)
+                other = shingle_set(tb, shingle)
+                common = len(np.intersect1d(held, other, assume_unique=True))
+                keep.append(common >= threshold * (len(held) + len(other) - common) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("t")).filter("id IS NOT NULL")
+    first = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a")
+    both = first.join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
+    with batches_of(docs.sparkSession, VERIFY_ROWS):
+        return staged(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "verified")
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, max_bits: int = 7) -> DataFrame:
+    """doc_id and component_id (the smallest doc_id reachable) of each document with an id.
+    Documents link if a fingerprint over their distinct words (one for each of ``SEEDS``)
+    differs in at most ``max_bits`` bits and their sets of word shingles have a Jaccard
+    similarity of at least ``threshold``, which is checked exactly.
+
+    Equal sequences of words are one row from the start. In rounds, each member of a grid cell
+    is compared with one member of that cell, so a large group of near copies comes
+    together over as many links as it has members; what then is left is compared only
+    across groups. Numbers of distinct shingles within a ratio of ``threshold`` are a
+    condition of that similarity, and a dimension of the grids.
+
+    Defined cases as in the module; a text of fewer words than a shingle is similar only to
+    the same sequence of words. Rows of equal doc_id are one node."""
+    rows = staged(_with_traits(docs, shingle, threshold).filter("doc_id IS NOT NULL"), "traits")
+    classes = staged(rows.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.first("size").alias("size"), F.first("fps").alias("fps")), "classes")
+    parts = [classes.select("first", "size", F.lit(i).alias("seed"), F.col("fps")[i].alias("fp")) for i in range(len(SEEDS))]
+    prints = parts[0]
+    for p in parts[1:]:
+        prints = prints.unionByName(p)
+    links: DataFrame | None = None
+    groups: DataFrame | None = None
+
+    def labelled(df: DataFrame) -> DataFrame:
+        """With ``own``, the group of ``first`` so far."""
+        if groups is None:
+            return df.withColumn("own", F.col("first"))
+        return df.join(groups.withColumnRenamed("node", "first"), "first", "left").withColumn("own", F.coalesce("component", "first")).drop("component")
+
+    def add(pairs: DataFrame) -> None:
+        nonlocal links, groups
+        found = _verified(docs, pairs, shingle, threshold)
+        links = found if links is None else links.unionByName(found)
+        groups = staged(components(links), "groups")
+
+    for turn in range(STARS):
+        cells = _cells(labelled(prints), max_bits)
+        key = ["seed", "grid", "cell", "size"]
+        order = F.xxhash64("own", F.lit(turn)) if turn else F.col("own")
+        heads = cells.groupBy(key).agg(F.min(F.struct(order.alias("k"), "own", "first", "fp")).alias("head"))
+        met = cells.join(apart(heads), key)
+        near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("head.fp"))) <= max_bits) & (F.col("own") != F.col("head.own"))
+        # One comparison for each member: its nearest head.
+        best = met.filter(near).groupBy("first").agg(F.min(F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("head.fp"))).alias("d"), F.col("head.first").alias("other"))).alias("best"))
+        add(staged(best.select(F.least("first", "best.other").alias("a"), F.greatest("first", "best.other").alias("b")).distinct(), "star"))
+    add(staged(_across(labelled(prints), max_bits), "across"))
+    named = classes.join(groups, classes["first"] == groups["node"], "left").select("high", "low", F.coalesce("component", "first").alias("component_id"))
+    return rows.join(apart(named), ["high", "low"]).select("doc_id", "component_id")
+
+
+def deduplicate(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, max_bits: int = 7) -> DataFrame:
+    """One document of each group of ``similar_groups``: the one with the smallest doc_id (and
+    of rows that share it, all). Documents without an id stay."""
+    kept = similar_groups(docs, shingle, threshold, max_bits).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
     stay = docs.join(kept, docs["doc_id"].cast("long") == kept["_kept_id"], "left_semi")
     return stay.unionByName(docs.filter(docs["doc_id"].isNull()))
 

@@ -72,28 +72,60 @@ def test_near_pairs(spark, bits, sized):
     assert set(got) == {frozenset((a, b)) for a in rows for b in rows if a < b and near(a, b)}
 
 
-@pytest.mark.parametrize("times", [2, 3])
-def test_repeated_bodies_are_grouped(spark, times):
-    rng = random.Random(times)
+def brute_shingles(text, k):
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}
+
+
+@pytest.mark.parametrize("k", [1, 3, 5])
+def test_shingle_sets(texts, k):
+    some = [*list(texts.values())[:40], None, "", "a", "A b", "a B c", "a b c d e a b c d e a b"]
+    for t in some:
+        assert len(simhash.shingle_set(t, k)) == len(brute_shingles(t, k))
+    for t, u in zip(some, some[1:], strict=False):
+        both = len(np.intersect1d(simhash.shingle_set(t, k), simhash.shingle_set(u, k)))
+        assert both == len(brute_shingles(t, k) & brute_shingles(u, k))
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def test_similar_groups_against_brute_force(spark):
+    """Links are exactly the verified ones, and hardly any pair of that similarity is missed."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    sets = [brute_shingles(r.text, 5) for r in rows]
+    near = [(a, b) for a in range(len(rows)) for b in range(a) if min(len(sets[a]), len(sets[b])) >= 0.8 * max(len(sets[a]), len(sets[b])) and jaccard(sets[a], sets[b]) >= 0.8]
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows)).collect()}
+    place = {r.doc_id: i for i, r in enumerate(rows)}
+    brute = find_components(len(rows), near)
+    assert all(brute[place[i]] == brute[place[c]] for i, c in got.items())  # nothing else is linked
+    met = sum(got[rows[a].doc_id] == got[rows[b].doc_id] for a, b in near)
+    assert met >= 0.9 * len(near)
+
+
+def test_repeated_bodies_are_grouped(spark):
+    rng = random.Random(3)
     rows = []
     for i in range(0, 40, 2):
         body = " ".join(f"w{rng.randrange(50_000)}" for _ in range(1_000))
-        rows += [(i, body), (i + 1, "\n".join([body] * times))]
+        rows += [(i, body), (i + 1, "\n".join([body] * 3))]
     got = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r.doc_id for r in got) == list(range(0, 40, 2))
 
 
-def test_single_edits_of_long_texts_are_grouped(spark):
-    rng = random.Random(8)
+def test_large_groups_of_near_copies(spark):
+    """Each copy has edits of its own; all come together, and few pairs are compared."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
     rows = []
-    for i in range(40):
-        words = [f"w{rng.randint(0, 5000)}" for _ in range(400)]
-        rows.append((2 * i, " ".join(words)))
-        words[rng.randint(5, 390)] = "changed"
-        rows.append((2 * i + 1, " ".join(words)))
-    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sum(r.doc_id % 2 for r in kept) <= 2
-    assert sum(r.doc_id % 2 == 0 for r in kept) == 40
+    for i in range(400):
+        words = list(base)
+        for _ in range(rng.randrange(3)):
+            words[rng.randrange(300)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    got = simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(r.component_id == 0 for r in got) >= 396
 
 
 def test_simhash_groups(spark, documents, texts):
@@ -112,6 +144,7 @@ def test_simhash_edges(spark, edge, empty):
     kept = simhash.deduplicate(edge)
     assert kept.columns == edge.columns
     assert sorted(r.doc_id for r in kept.collect()) == [1, 1, 3, 5, 6, 7, 8]
+    assert simhash.deduplicate(empty).collect() == []
     lost = edge.selectExpr("CAST(NULL AS LONG) AS doc_id", "text")
     assert simhash.deduplicate(lost).count() == 10
 
