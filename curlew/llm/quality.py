@@ -136,8 +136,8 @@ class Discriminant:
 
 
 def fit(labelled: DataFrame, shrink_pooled: float = 0.1, shrink_diagonal: float = 0.05) -> Discriminant:
-    """``labelled(x, label)`` to a discriminant. Each task sums its rows; the driver
-    adds one small row per task and class."""
+    """``labelled(x, label)`` to a discriminant. Each task sums its rows, Spark adds up the
+    tasks' sums, and the driver gets as many numbers as the two classes have moments."""
     width = 1 + N + N * N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,9 +153,10 @@ def fit(labelled: DataFrame, shrink_pooled: float = 0.1, shrink_diagonal: float
         yield pa.record_batch([pa.array([0, 1], pa.int32()), pa.array(list(sums), pa.list_(pa.float64()))], names=["label", "sums"])
 
     rows = labelled.select("x", F.col("label").cast("int").alias("label")).mapInArrow(run, "label int, sums array<double>")
+    added = rows.select("label", F.posexplode("sums").alias("at", "v")).groupBy("label", "at").agg(F.sum("v").alias("v"))
     total = np.zeros((2, width))
-    for r in rows.collect():
-        total[r.label] += np.array(r.sums)
+    for r in added.collect():
+        total[r.label, r["at"]] = r.v
     n = total[:, 0]
     if min(n) < 2:
         return Discriminant(float(n[1] / n.sum()) if n.sum() else 0.5)
@@ -202,19 +203,20 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Data
 
 def filter_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents with a score of at least ``threshold``, all their columns. The
-    statistics of a text are computed beside it, so that texts are not shuffled."""
-    model = fit(learned_from(staged(with_statistics(docs), "statistics"), labels, "quality"))
-    fields, spark = docs.schema, docs.sparkSession
+    statistics of a text are computed once and written beside its row."""
+    short_batches(docs.sparkSession)
     at = docs.columns.index("text")
-    short_batches(spark)
+    # The columns travel as one struct, so that no name of theirs can clash.
+    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("x", T.ArrayType(T.DoubleType()))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                x = np.array([statistics(t) for t in batch.column(at).to_pylist()])
-                yield batch.filter(pa.array(model.score(x) >= threshold))
+            x = [statistics(t) for t in batch.column(0).field(at).cast(pa.string()).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array(x, pa.list_(pa.float64()))], names=["row", "x"])
 
-    return docs.mapInArrow(run, fields)
+    rows = staged(docs.select(F.struct("*").alias("row")).mapInArrow(measure, schema), "statistics")
+    model = fit(learned_from(rows.select(F.col("row.doc_id").cast("long").alias("doc_id"), "x"), labels, "quality"))
+    return score_with(rows, model).filter(F.col("score") >= threshold).select("row.*")
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

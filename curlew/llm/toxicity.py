@@ -2,7 +2,7 @@
 
 Terms are lower-cased words and word beginnings of 4 to 7 letters (so that inflected
 forms share a term). A vocabulary of terms that mark one label is chosen from labelled
-examples; inverse document frequencies are counted over all documents. Beside it stands
+examples (every term that passes the test, however many); inverse document frequencies are counted over all documents. Beside it stands
 a common term that every text holds, once for each started run of 50 words: it keeps
 one chance hit in a long text apart from many hits in a short one.
 The labelled examples form an inverted index with postings in blocks; each block
@@ -34,15 +34,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import held_out, short_batches, staged, table
+from .shared import held_out, partitions, short_batches, staged, table
 
 PREFIXES = (4, 5, 6, 7)
 COMMON_WORDS = 50  # words for each occurrence of the common term
 COMMON_WEIGHT = 3.0  # its weight, in place of an inverse document frequency
 BLOCK = 64
-MEMO = 300_000  # words without a term that a worker remembers
-SCORES = 20_000  # vectors whose score it remembers
+MEMO = 200_000  # words that a task remembers, with a term and without one
+SCORES = 20_000  # vectors whose neighbours it remembers
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
 
@@ -68,7 +69,8 @@ class Vectoriser:
             if at is None:
                 at = tuple(self.place[t] for t in terms_of(word) if t in self.place)
                 if at:
-                    self._known[word] = at
+                    if len(self._known) < MEMO:
+                        self._known[word] = at
                 else:
                     if len(self._none) >= MEMO:
                         self._none.clear()
@@ -186,56 +188,63 @@ class Model:
         # Between two steps the map is linear; the ends are held a little off 0 and 1.
         return float(np.clip(np.interp(vote, x, y), 0.001, 0.999))
 
-    def explain(self, counts: tuple) -> tuple[float, list[tuple[int, float]]]:
-        """Score and the neighbours that gave it (place in the index, cosine)."""
-        if self.index is None:
-            return self.base, []
-        near = self.index.nearest(counts, self.k)
-        return self.calibrated(self.index.vote(near)), near
-
-    def score(self, counts: tuple) -> float:
-        """The score alone, remembered for vectors that come again."""
+    def explain(self, counts: tuple) -> tuple[float, np.ndarray, np.ndarray]:
+        """Score, and the places and cosines of the neighbours that gave it; remembered for
+        vectors that come again."""
         found = self._memo.get(counts)
         if found is None:
-            found = self.explain(counts)[0]
+            if self.index is None:
+                found = (self.base, np.zeros(0, np.int64), np.zeros(0))
+            else:
+                near = self.index.nearest(counts, self.k)
+                found = (self.calibrated(self.index.vote(near)), np.array([p for p, _ in near], np.int64), np.array([c for _, c in near], float))
             if len(self._memo) >= SCORES:
                 self._memo.clear()
             self._memo[counts] = found
         return found
 
-    def scores(self, texts: list[str | None]) -> list[float]:
-        return [self.score(self._vectoriser.counts(t)) for t in texts]
+    def explained(self, vectors: list[tuple]) -> tuple[pa.Array, pa.Array]:
+        """Scores of vectors, and their evidence: lists of (doc_id, cosine, label)."""
+        found = [self.explain(v) for v in vectors]
+        places = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
+        ends = np.concatenate(([0], np.cumsum([len(f[1]) for f in found]))).astype(np.int32)
+        ids, labels = (self.index.ids[places], self.index.labels[places]) if self.index is not None else (places, places)
+        cosines = np.concatenate([f[2] for f in found]) if found else np.zeros(0)
+        kinds = [("doc_id", pa.int64(), ids), ("cosine", pa.float64(), cosines), ("label", pa.int32(), labels.astype(np.int32))]
+        rows = pa.StructArray.from_arrays([pa.array(x, t) for _, t, x in kinds], names=[n for n, _, _ in kinds])
+        return pa.array([f[0] for f in found], pa.float64()), pa.ListArray.from_arrays(pa.array(ends), rows)
+
 
+def _pairs_of(terms: pa.Array, counts: pa.Array) -> list[tuple]:
+    return [tuple(zip(t, c, strict=True)) for t, c in zip(terms.to_pylist(), counts.to_pylist(), strict=True)]
 
-def _vectors(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """doc_id, terms, counts over the vocabulary, for each document."""
+
+def _vectors(docs: DataFrame, vocabulary: list[str], whole_rows: bool) -> DataFrame:
+    """doc_id, terms and counts over the vocabulary for each document; ``whole_rows``: also
+    ``row``, all of its columns as one struct (so that no name of theirs can clash)."""
+    at = docs.columns.index("text")
+    fields = [T.StructField("doc_id", T.LongType()), T.StructField("terms", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Vectoriser(vocabulary)
         for batch in batches:
-            found = [made.counts(t) for t in batch.column(1).to_pylist()]
+            texts = batch.column(1).field(at).cast(pa.string()) if whole_rows else batch.column(1)
+            found = [made.counts(t) for t in texts.to_pylist()]
             cols = [pa.array([[p[i] for p in v] for v in found], pa.list_(pa.int32())) for i in (0, 1)]
-            yield pa.record_batch([batch.column(0), *cols], names=["doc_id", "terms", "counts"])
+            rest = [batch.column(1)] if whole_rows else []
+            yield pa.record_batch([batch.column(0), *cols, *rest], names=["doc_id", "terms", "counts"] + ["row"] * whole_rows)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, terms array<int>, counts array<int>")
+    second = F.struct("*") if whole_rows else F.col("text").cast("string")
+    schema = T.StructType([*fields, T.StructField("row", docs.schema)] if whole_rows else fields)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), second.alias("text")).mapInArrow(run, schema)
 
 
 def _document_frequencies(rows: DataFrame, size: int) -> tuple[np.ndarray, int]:
-    """Documents with each term, and all documents. A task sends one row, the sums of all
-    that it has read."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(size, np.int64), 0
-        for batch in batches:
-            df += np.bincount(batch.column(0).flatten().to_numpy(), minlength=size)
-            n += batch.num_rows
-        yield pa.record_batch([pa.array([df.tolist()], pa.list_(pa.int64())), pa.array([n], pa.int64())], names=["df", "n"])
-
-    df, n = np.zeros(size, np.int64), 0
-    for r in rows.select("terms").mapInArrow(run, "df array<long>, n long").toLocalIterator():
-        df += np.array(r.df, np.int64)
-        n += r.n
-    return df, n
+    """Documents with each term (as many rows as there are terms), and all documents."""
+    df = np.zeros(size, np.int64)
+    for r in rows.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect():
+        df[r.t] = r.n
+    return df, rows.count()
 
 
 def _examples(labels: DataFrame, column: str, max_examples: int) -> tuple[dict[tuple[int, int], None], dict[int, int]]:
@@ -250,7 +259,7 @@ def _examples(labels: DataFrame, column: str, max_examples: int) -> tuple[dict[t
     return chosen, totals
 
 
-def _vocabulary(docs: DataFrame, size: int, least: int, lift: float, least_g: float) -> tuple[list[str], dict[int, int]]:
+def _vocabulary(docs: DataFrame, least: int, lift: float, least_g: float) -> tuple[list[str], dict[int, int]]:
     """Terms that occur in enough examples and are at least ``lift`` times as frequent
     under one label, by the likelihood ratio. ``docs(text, label)`` are the examples."""
 
@@ -282,22 +291,40 @@ def _vocabulary(docs: DataFrame, size: int, least: int, lift: float, least_g: fl
     g = 2 * (part(a, n0 * share) + part(b, n1 * share) + part(n0 - a, n0 * (1 - share)) + part(n1 - b, n1 * (1 - share)))
     rate0, rate1 = (a + 0.5) / n0, (b + 0.5) / n1
     kept = counted.filter(F.col("term").isNotNull() & (a + b >= least) & (F.greatest(rate1 / rate0, rate0 / rate1) >= lift))
-    kept = kept.select("term", g.alias("g")).filter(F.col("g") >= least_g).orderBy(F.desc("g"), "term").limit(size)
+    kept = kept.select("term", g.alias("g")).filter(F.col("g") >= least_g).orderBy(F.desc("g"), "term")
     return [r.term for r in kept.collect()], dict(enumerate(n))
 
 
+def _votes(spark: SparkSession, index: Index, examples: list, k: int) -> list[float]:
+    """The vote for each example from the others. Equal vectors of one label are searched once
+    (leaving one of them out leaves equal others), by the executors."""
+    first: dict[tuple, int] = {}
+    for place, (_, label, counts) in enumerate(examples):
+        first.setdefault((counts, label), place)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = batch.column(0).to_pylist()
+            votes = [index.vote(index.nearest(examples[p][2], k, skip=p)) for p in places]
+            yield pa.record_batch([batch.column(0), pa.array(votes, pa.float64())], names=["place", "vote"])
+
+    asked = spark.createDataFrame([(p,) for p in first.values()], "place long").repartition(partitions(spark))
+    known = {r.place: r.vote for r in asked.mapInArrow(run, "place long, vote double").collect()}
+    return [known[first[counts, label]] for _, label, counts in examples]
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
     column: str = "toxic",
     max_examples: int = 4000,
-    vocabulary_size: int = 512,
     least_documents: int = 5,
     lift: float = 3.0,
     least_g: float = 15.0,
     k: int = 15,
+    whole_rows: bool = False,
 ) -> tuple[Model, DataFrame | None]:
-    """The model, and the staged vectors of all documents."""
+    """The model, and the staged vectors of all documents (``whole_rows``: with their rows)."""
     short_batches(docs.sparkSession)
     spark = docs.sparkSession
     chosen, totals = _examples(labels, column, max_examples)
@@ -307,69 +334,60 @@ def fit(
         return Model([], None, base), None
     # At most 2 * max_examples rows, whatever the input's size.
     wanted = F.broadcast(spark.createDataFrame(list(chosen), "doc_id long, label int"))
-    vocabulary, _ = _vocabulary(docs.select("doc_id", "text").join(wanted, "doc_id"), vocabulary_size, least_documents, lift, least_g)
+    vocabulary, _ = _vocabulary(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id"), least_documents, lift, least_g)
     if not vocabulary:
         return Model([], None, base), None
-    rows = staged(_vectors(docs, vocabulary), "vectors")
+    rows = staged(_vectors(docs, vocabulary, whole_rows), "vectors")
     df, everything = _document_frequencies(rows, len(vocabulary) + 1)
     idf = np.log((everything + 1) / (df + 1)) + 1
     idf[-1] = COMMON_WEIGHT
-    examples = [(r.doc_id, r.label, tuple(zip(r.terms, r.counts, strict=True))) for r in rows.join(wanted, "doc_id").collect()]
+    examples = [(r.doc_id, r.label, tuple(zip(r.terms, r.counts, strict=True))) for r in rows.select("doc_id", "terms", "counts").join(wanted, "doc_id").collect()]
     sampled = Counter(e[1] for e in examples)
     if min(sampled[0], sampled[1]) == 0 or len(examples) < 3:
         return Model([], None, base), rows
     weight = {c: totals.get(c, 0) / sampled[c] for c in (0, 1)}
     index = Index.build(idf, examples)
     examples = Index.ordered(examples)
-    votes, truth, w, memo = [], [], [], {}
-    for place, (_, label, counts) in enumerate(examples):
-        key = (counts, label)
-        if key not in memo:  # leave one of these out: the others are equal
-            near = index.nearest(counts, k, skip=place)
-            memo[key] = index.vote(near)
-        votes.append(memo[key])
-        truth.append(label)
-        w.append(weight[label])
-    x, y = monotone(np.array(votes), np.array(truth, float), np.array(w))
+    votes = _votes(spark, index, examples, k)
+    x, y = monotone(np.array(votes), np.array([e[1] for e in examples], float), np.array([weight[e[1]] for e in examples]))
     return Model(vocabulary, index, base, k, (x, y)), rows
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, with_evidence: bool = True, **options) -> DataFrame:
-    """doc_id, held_out, score, predicted and the evidence of each document: its
-    nearest examples with their cosine and label (without it, equal vectors are
-    searched once)."""
+EVIDENCE = "array<struct<doc_id: long, cosine: double, label: int>>"
+
+
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
+    """doc_id, held_out, score, predicted and the evidence of each document: its nearest
+    examples with their cosine and label."""
     model, rows = fit(docs, labels, **options)
     if rows is None:
-        rows = docs.select(F.col("doc_id").cast("long"), F.array().cast("array<int>").alias("terms"), F.array().cast("array<int>").alias("counts"))
-    schema = "doc_id long, score double" + ", evidence array<struct<doc_id: long, cosine: double, label: int>>" * with_evidence
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.array().cast("array<int>").alias("terms"), F.array().cast("array<int>").alias("counts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
         for batch in batches:
-            vectors = [tuple(zip(t, c, strict=True)) for t, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            if not with_evidence:
-                yield pa.record_batch([batch.column(0), pa.array([model.score(v) for v in vectors], pa.float64())], names=["doc_id", "score"])
-                continue
-            found = [model.explain(v) for v in vectors]
-            evidence = [[{"doc_id": int(model.index.ids[p]), "cosine": c, "label": int(model.index.labels[p])} for p, c in near] for _, near in found]
-            yield pa.record_batch([batch.column(0), pa.array([f[0] for f in found], pa.float64()), pa.array(evidence, kind)], names=["doc_id", "score", "evidence"])
+            score, evidence = model.explained(_pairs_of(batch.column(1), batch.column(2)))
+            yield pa.record_batch([batch.column(0), score, evidence], names=["doc_id", "score", "evidence"])
 
-    scored = rows.mapInArrow(run, schema)
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *(["evidence"] if with_evidence else []))
+    # The vectors are small files that Spark reads as a few tasks; the search is spread out.
+    dealt = rows.select("doc_id", "terms", "counts").repartition(partitions(docs.sparkSession))
+    scored = dealt.mapInArrow(run, f"doc_id long, score double, evidence {EVIDENCE}")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
 
 
 def filter_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
     """The documents whose score is below ``threshold``, with all their columns."""
-    model, _ = fit(docs, labels, **options)
-    at = docs.columns.index("text")
+    model, rows = fit(docs, labels, whole_rows=True, **options)
+    if rows is None:
+        return docs.filter(F.lit(model.base < threshold))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield batch.filter(pa.array([s < threshold for s in model.scores(batch.column(at).to_pylist())], pa.bool_()))
+            clean = [model.explain(v)[0] < threshold for v in _pairs_of(batch.column(1), batch.column(2))]
+            yield batch.select([0]).filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    kept = rows.select("row", "terms", "counts").mapInArrow(run, T.StructType([T.StructField("row", docs.schema)]))
+    return kept.select("row.*")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7, with_evidence=False)
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
