@@ -78,15 +78,15 @@ def _joins(edges: list, key: list[str]) -> list[tuple[int, int | None, bool]]:
     return [tuple(x) for x in out if x[1] is not None or x[2]]
 
 
-def reranked(rows: DataFrame, key: list[str], kind: str, ties: list[str] = (), weight: str | None = None, keep_unique: bool = False) -> DataFrame:
+def reranked(rows: DataFrame, key: list[str], kind: str, ties: list[str] = (), weight: str | None = None, keep_unique: bool = False, settle: bool = False) -> DataFrame:
     """``rows`` with ``rank`` (ascending with ``key``; equal for equal keys), ``alone`` (no other
     row has the key, and ``weight``, how many rows a row stands for, is 1) and ``first`` (true
     for one row of each rank). Rows that are alone are dropped unless ``keep_unique``.
     Columns of ``key`` and ``weight`` are integers without nulls; ``ties`` tell rows of one key
-    apart, so that a hot key can lie in several ranges."""
+    apart, so that a hot key can lie in several ranges; ``settle``: which row of a rank is
+    ``first`` depends on them too (else on chance, and the sort is cheaper)."""
     spark = rows.sparkSession
-    order = [*key, *ties]
-    sorted_ = rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    sorted_ = rows.repartitionByRange(partitions(spark), *key, *ties).sortWithinPartitions(*key, *(ties if settle else ()))
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     with batches_of(spark, RANK_ROWS):
         numbered = staged(sorted_.mapInArrow(_numbered(key, weight, keep_unique), f"{ddl}, {MARKS}"), kind)

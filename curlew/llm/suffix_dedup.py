@@ -290,29 +290,39 @@ CUT = 16  # positions are dealt out by document and stretches of 2 ** CUT bytes
 
 
 def _pairs_at(offset: int, level: int):
-    """Rows sorted by document, stretch and position to pairs of the ranks at i and at
-    i + offset, for positions that go through that many rounds."""
+    """Rows sorted by ``place`` (a hash of document and stretch above, the position in the
+    stretch below) to pairs of the ranks at i and at i + offset, for positions that go
+    through that many rounds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def paired(t: pa.RecordBatch) -> pa.RecordBatch:
-            doc, tag, stretch, pos, rank, lev = (t.column(c).to_numpy() for c in ("doc", "tag", "stretch", "pos", "rank", "level"))
-            group = np.cumsum(np.concatenate(([False], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (stretch[1:] != stretch[:-1]))))
-            place = (group << 40) + (pos - (stretch << CUT))
-            other = np.searchsorted(place, place + offset)
-            there = other < len(place)
-            there[there] = place[other[there]] == place[there] + offset
-            there &= (lev >= level) & (pos >> CUT == stretch)
-            keep = pa.array(there)
-            out = t.filter(keep)
-            return pa.record_batch([out.column("rank"), pa.array(rank[other[there]]), *(out.column(c) for c in ("doc_id", "tag", "pos", "level"))], names=["a", "b", "doc_id", "tag", "pos", "level"])
+            place, tag, pos, rank, lev = (t.column(c).to_numpy() for c in ("place", "tag", "pos", "rank", "level"))
+            doc = t.column("doc_id").fill_null(-(1 << 63)).to_numpy()
+            inner = place & ((1 << CUT + 1) - 1)
+            stretch = (pos - inner) >> CUT
+            new = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (stretch[1:] != stretch[:-1])
+            if (new & (place[1:] >> CUT + 1 == place[:-1] >> CUT + 1)).any():  # two of one hash
+                order = pa.array(np.lexsort((pos, stretch, tag, doc, place >> CUT + 1)))
+                return paired_in_order(t.take(order), *(x[order] for x in (doc, tag, stretch, pos, rank, lev, inner)))
+            return paired_in_order(t, doc, tag, stretch, pos, rank, lev, inner)
+
+        def paired_in_order(t, doc, tag, stretch, pos, rank, lev, inner) -> pa.RecordBatch:
+            new = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (stretch[1:] != stretch[:-1])
+            at = (np.concatenate(([0], np.cumsum(new))) << CUT + 2) + inner
+            other = np.searchsorted(at, at + offset)
+            there = other < len(at)
+            there[there] = at[other[there]] == at[there] + offset
+            there &= (lev >= level) & (inner < 1 << CUT)
+            out = t.select(["doc_id", "tag", "pos", "level"]).filter(pa.array(there))
+            return pa.record_batch([pa.array(rank[there]), pa.array(rank[other[there]]), *out.columns], names=["a", "b", "doc_id", "tag", "pos", "level"])
 
         left = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             rows = batch if left is None else pa.Table.from_batches([left, batch]).combine_chunks().to_batches()[0]
-            keys = np.stack([rows.column(c).to_numpy() for c in ("doc", "tag", "stretch")])
-            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0))
+            above = rows.column("place").to_numpy() >> CUT + 1
+            cuts = np.flatnonzero(above[1:] != above[:-1])
             if len(cuts):
                 yield paired(rows.slice(0, int(cuts[-1]) + 1))
                 rows = rows.slice(int(cuts[-1]) + 1)
@@ -329,8 +339,10 @@ def _doubled(ranked: DataFrame, offset: int, level: int) -> DataFrame:
     stretch = F.shiftright("pos", CUT)
     # A position just after a stretch's begin also goes to the stretch before.
     stretches = F.when((F.col("pos") >= 1 << CUT) & (F.col("pos") - F.shiftleft(stretch, CUT) < offset), F.array(stretch, stretch - 1)).otherwise(F.array(stretch))
-    rows = ranked.select("doc_id", "tag", "pos", "level", "rank", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.explode(stretches).alias("stretch"))
-    dealt = rows.repartition(partitions(spark), "doc", "tag", "stretch").sortWithinPartitions("doc", "tag", "stretch", "pos")
+    rows = ranked.select("doc_id", "tag", "pos", "level", "rank", F.explode(stretches).alias("stretch"))
+    above = F.shiftleft(F.shiftright(F.xxhash64("doc_id", "tag", "stretch"), CUT + 1), CUT + 1)
+    rows = rows.select("doc_id", "tag", "pos", "level", "rank", (above + F.col("pos") - F.shiftleft("stretch", CUT)).alias("place"))
+    dealt = rows.repartition(partitions(spark), F.shiftright("place", CUT + 1)).sortWithinPartitions("place")
     with batches_of(spark, OUT_ROWS):
         pairs = staged(dealt.mapInArrow(_pairs_at(offset, level), "a long, b long, doc_id long, tag long, pos long, level int"), "pairs")
     out = reranked(pairs, ["a", "b"], "pair-ranks", ["doc_id", "tag", "pos"])
@@ -363,7 +375,7 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     inside = staged(sampled.filter("n = 0").select(where), "inside")
     dropped(spark, sampled)
     # Round 2: pairs with the span; equal spans settle, and one of each kind goes on.
-    spans_ = reranked(alive.select(F.col("rank").alias("gram"), "span", *where, "place", "n"), ["gram", "span"], "spans", here, weight="n", keep_unique=True)
+    spans_ = reranked(alive.select(F.col("rank").alias("gram"), "span", *where, "place", "n"), ["gram", "span"], "spans", here, weight="n", keep_unique=True, settle=True)
     dropped(spark, alive)
     settled = spans_.filter("NOT alone").select(where)
     kinds = spans_.filter("first").select("gram", *where, "place")
@@ -376,7 +388,7 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     # Equal whole blocks settle, and one of each kind goes on; cut blocks are kinds of their own.
     cut = F.col("whole") == 0
     own = [F.when(cut, c).otherwise(0).alias(f"own_{k}") for k, c in (("doc", F.coalesce("doc_id", F.lit(-(1 << 63)))), ("tag", F.col("tag")), ("low", F.col("low")))]
-    wholes = reranked(left.select(F.col("rank").alias("gram"), "whole", *own, *where, "place"), ["gram", "whole", "own_doc", "own_tag", "own_low"], "wholes", here, keep_unique=True)
+    wholes = reranked(left.select(F.col("rank").alias("gram"), "whole", *own, *where, "place"), ["gram", "whole", "own_doc", "own_tag", "own_low"], "wholes", here, keep_unique=True, settle=True)
     dropped(spark, left)
     by_block = wholes.filter("whole != 0 AND NOT alone").select(where)
     open_ = reranked(wholes.filter("first").select("gram", *where, "place"), ["gram"], "open", here)

@@ -255,6 +255,21 @@ def test_ranks(spark, parts, keep):
     assert Counter((r.a, r.b) for r in got if r.first) == dict.fromkeys(names, 1)
 
 
+@pytest.mark.parametrize("cut", [2, 5, 16])
+def test_doubling_pairs_ranks(spark, cut, monkeypatch):
+    """Against brute force, also where positions lie in other stretches than their partners."""
+    monkeypatch.setattr(suffix_dedup, "CUT", cut)
+    rng = random.Random(cut)
+    rows = sorted({(rng.choice([1, 2, None]), rng.randint(0, 1), rng.randint(0, 60)) for _ in range(150)}, key=str)
+    rows = [(*r, rng.randint(0, 2), rng.randint(0, 2)) for r in rows]
+    df = spark.createDataFrame(rows, "doc_id long, tag long, pos long, level int, rank long")
+    got = suffix_dedup._doubled(df, 3, 1).collect()
+    at = {r[:3]: r for r in rows}
+    pairs = {r[:3]: (r[4], at[r[0], r[1], r[2] + 3][4]) for r in rows if r[3] >= 1 and (r[0], r[1], r[2] + 3) in at}
+    n = Counter(pairs.values())
+    assert {(r.doc_id, r.tag, r.pos): (r.a, r.b) for r in got} == {k: v for k, v in pairs.items() if n[v] > 1}
+
+
 def brute_sketch(text, k=5, scale=8):
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", text.lower()) if w]
     if not words:
