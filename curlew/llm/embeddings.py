@@ -11,8 +11,11 @@ Equal vectors of a label are one row of the comparison. A tile reports link coun
 a spanning forest of its links, never its pairs, so that a large group of near copies
 stays small; components run on the forests.
 
-The work is quadratic in the number of different vectors of a label, as an exact
-comparison of all of them is; a tile pair has a bounded size and is one task's group.
+Tiles are cut along the angle to the first axis: two vectors whose angles to it differ by
+more than the threshold's own angle cannot reach it, so tiles that lie that far apart never
+meet. Within that reach the work is quadratic in the number of different vectors of a
+label, as an exact comparison of all of them is; a tile pair has a bounded size and is one
+task's group.
 
 Defined cases: a vector that is null, empty, zero or holds a null or non-finite
 component, and any vector with a null label, links with nothing and is its own
@@ -29,17 +32,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import components
 from .shared import short_batches, staged, table
 
 TILE = 2048
 STRIPE = 512
+STEPS = 8  # bins of the angle within the reach of the threshold
+SUMS = 16  # partial sums of matrices that reach the driver, for each vector length
 
 
 def principal_axes(rows: DataFrame) -> dict[int, np.ndarray]:
     """For each vector length, the axes (columns) of all unit vectors by falling
-    variance. Each task adds up one matrix; the driver adds one per task."""
+    variance. Each task adds up one matrix, executors add those in groups, and the driver
+    gets at most ``SUMS`` of each length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}
@@ -54,13 +61,32 @@ def principal_axes(rows: DataFrame) -> dict[int, np.ndarray]:
         for n, m in totals.items():
             yield pa.record_batch([pa.array([n], pa.int32()), pa.array([m.ravel()], pa.list_(pa.float64()))], names=["n", "m"])
 
+    def add(group: pa.Table) -> pa.Table:
+        m = sum(x.values.to_numpy() for x in group.column("m"))
+        return pa.table([pa.array([group.column("n")[0].as_py()], pa.int32()), pa.array([m], pa.list_(pa.float64()))], names=["n", "m"])
+
+    parts = rows.select("v").mapInArrow(run, "n int, m array<double>").withColumn("g", F.spark_partition_id() % SUMS)
     found: dict[int, np.ndarray] = {}
-    for r in rows.select("v").mapInArrow(run, "n int, m array<double>").collect():
-        m = np.array(r.m).reshape(r.n, r.n)
-        found[r.n] = found.get(r.n, 0) + m
+    for r in parts.groupBy("n", "g").applyInArrow(lambda t: add(t.drop_columns(["g"])), "n int, m array<double>").collect():
+        found[r.n] = found.get(r.n, 0) + np.array(r.m).reshape(r.n, r.n)
     return {n: np.linalg.eigh(m)[1][:, ::-1] for n, m in found.items()}
 
 
+def _with_bins(rows: DataFrame, axes: dict[int, np.ndarray], threshold: float) -> DataFrame:
+    """Adds ``bin``: the angle to the first axis in ``STEPS`` of the threshold's angle."""
+    width = max(float(np.arccos(min(threshold, 1.0))), 1e-3) / STEPS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bins = []
+            for x in batch.column("v"):
+                v = x.values.to_numpy()
+                bins.append(int(np.arccos(np.clip(v @ axes[len(v)][:, 0] / np.linalg.norm(v), -1, 1)) / width))
+            yield pa.record_batch([*batch.columns, pa.array(bins, pa.int32())], names=[*batch.schema.names, "bin"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("bin", T.IntegerType())]))
+
+
 def tile_links(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (i of a, j of b) with a cosine of at least ``threshold``; if
     ``same``, a is b and i < j. Stripe by stripe."""
@@ -171,9 +197,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tile: int = TIL
     firsts = valid.join(classes.select(F.col("vec_id"), "label", "key", "copies"), ["vec_id", "label", "key"]).dropDuplicates(["vec_id", "label", "key"])
     firsts = staged(firsts, "first-vectors")
     axes = principal_axes(firsts)
-    sizes = firsts.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
-    placed = firsts.join(sizes, "label").withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("tiles")).cast("int"))
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
+    binned = staged(_with_bins(firsts, axes, threshold), "binned-vectors")
+    # A bin has as many tiles as its vectors need. Tile numbers ascend with bins.
+    sizes = binned.groupBy("label", "bin").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
+    number = lambda b, t: F.shiftleft(b.cast("long"), 32) + t
+    own = number(F.col("bin"), F.pmod(F.xxhash64("vec_id"), F.col("tiles")))
+    # A label has at most pi * STEPS / (the threshold's angle) bins: its list of them is short.
+    lists = sizes.groupBy("label").agg(F.collect_list(F.struct("bin", "tiles")).alias("bins"))
+    placed = binned.join(sizes, ["label", "bin"]).withColumn("own", own).join(lists, "label")
+    near = F.filter("bins", lambda x: F.abs(x["bin"] - F.col("bin")) <= STEPS + 1)
+    others = F.flatten(F.transform(near, lambda x: F.transform(F.sequence(F.lit(0), x["tiles"] - 1), lambda t: number(x["bin"], t))))
+    dealt = placed.withColumn("other", F.explode(others)).select(
         "label",
         F.least("own", "other").alias("i"),
         F.greatest("own", "other").alias("j"),

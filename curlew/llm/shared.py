@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import storage
+
 # An Arrow batch ends at so many rows or bytes, whichever comes first: a worker holds
 # one batch of texts, its results and its tables, however long the texts are.
 BATCH_ROWS = 512
@@ -20,17 +19,8 @@ BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of
-    the session. Only where that is unset (a local session, as in tests) a
-    folder of this machine is made and set."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if known:
-        return known.rstrip("/")
-    at = spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="curlew-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
+    """The folder that driver and executors share (``storage.shared_folder``)."""
+    return storage.shared_folder(spark)
 
 
 def fresh_path(spark: SparkSession, kind: str) -> str:
@@ -51,16 +41,7 @@ def short_batches(spark: SparkSession) -> None:
     path of every worker, whichever way the driver found it."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    sc = spark.sparkContext
-    if getattr(sc, "_curlew_shipped", None):
-        return
-    package = Path(__file__).resolve().parent.parent
-    at = Path(tempfile.mkdtemp(prefix="curlew-code-")) / "curlew_code.zip"
-    with zipfile.ZipFile(at, "w") as code:
-        for f in sorted(package.rglob("*.py")):
-            code.write(f, f.relative_to(package.parent))
-    sc.addPyFile(str(at))
-    sc._curlew_shipped = True
+    storage.ship(spark)
 
 
 @contextmanager
@@ -102,7 +83,6 @@ def dropped(spark: SparkSession, *tables: DataFrame) -> None:
 
 
 def apart(df: DataFrame) -> DataFrame:
-    """``df``, an aggregate that is joined by its own key, dealt out evenly. Left where
-    the aggregation put it, the join would take over that partitioning and Spark could
-    not split the partition of a hot key on the other side."""
-    return df.repartition(partitions(df.sparkSession))
+    """``df``, an aggregate that is joined by its own key, dealt out evenly
+    (``storage.dealt``), so that Spark can split a hot key on the other side."""
+    return storage.dealt(df)

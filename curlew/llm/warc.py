@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .files import write_whole
-from .shared import fresh_path, short_batches, table
+from .shared import apart, fresh_path, short_batches, table
 
 DICTIONARY_MAGIC = 0x184D2A5D
 SHARD_BYTES = 12 << 20  # a file is closed beyond so many bytes of records
@@ -122,18 +122,27 @@ def page_of(head: dict[str, str], block: bytes) -> tuple:
     return _id(head["WARC-Record-ID"]), length, digest, head["WARC-Type"], _id(refers) if refers else None
 
 
+def with_referral(pages: DataFrame, revisit_from: int = 1000) -> DataFrame:
+    """page_id, url, html and refers, the page that a revisit record refers to (else null)."""
+    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
+    long = F.octet_length("html") >= revisit_from
+    # Payloads too short to be revisited have a key that meets nothing, each its own, so that
+    # they are spread evenly.
+    own = F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string"))
+    rows = rows.withColumn("key", F.when(long, F.concat_ws(":", F.sha2("html", 256), F.octet_length("html"))).otherwise(own))
+    # Only keys with more than one page can have a revisit. They are dealt out evenly before
+    # they meet the pages, so that Spark can split a payload that very many pages share.
+    keepers = rows.filter(long).groupBy("key").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "keeper")
+    refers = F.when(F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper"))
+    return rows.join(apart(keepers), "key", "left").select("page_id", "url", "html", refers.alias("refers"))
+
+
 def write_archives(pages: DataFrame, folder: str, revisit_from: int = 1000) -> int:
     """Writes ``pages(page_id, url, html)`` to ``.warc.zst`` files and returns their number."""
     spark = pages.sparkSession
     short_batches(spark)
-    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
-    # Payloads too short to be revisited have no key and take no part in the join.
-    rows = rows.withColumn("key", F.when(F.octet_length("html") >= revisit_from, F.concat_ws(":", F.sha2("html", 256), F.octet_length("html"))))
-    # Only keys with more than one page can have a revisit.
-    keepers = rows.filter("key IS NOT NULL").groupBy("key").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "keeper")
-    joined = rows.join(keepers, "key", "left")
-    refers = F.when(F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper"))
+    joined = with_referral(pages, revisit_from)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -151,7 +160,7 @@ def write_archives(pages: DataFrame, folder: str, revisit_from: int = 1000) -> i
             shard += 1
         yield pa.record_batch([[shard]], names=["files"])
 
-    written = joined.select("page_id", "url", "html", refers.alias("refers_to")).mapInArrow(run, "files long")
+    written = joined.mapInArrow(run, "files long")
     return written.agg(F.sum("files")).first()[0] or 0
 
 

@@ -172,3 +172,20 @@ def test_archive_layout():
     bad = records[0].replace(b"common", b"uncommon"[:6], 1)
     with pytest.raises(ValueError, match="differs from its digest"):
         warc.page_of(*next(iter(warc.read_archive(warc.archive([bad])))))
+
+
+@pytest.mark.parametrize("text", ["'short'", "repeat('a popular page ', 100)"])
+def test_popular_and_short_pages_are_spread(spark, text):
+    """Nine of ten pages share one payload: no task has a third of the rows."""
+    pages = spark.range(0, 20_000, 1, 8).selectExpr("id AS page_id", "'u' AS url", f"IF(id % 10 = 0, repeat(CAST(id AS STRING), 300), {text}) AS html")
+    conf = {"spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        sizes = [r[0] for r in warc.with_referral(pages).selectExpr("spark_partition_id() AS p", "refers").rdd.map(lambda r: (r.p, 1)).reduceByKey(lambda a, b: a + b).map(lambda x: (x[1],)).collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sum(sizes) == 20_000
+    assert max(sizes) < 20_000 / 3
