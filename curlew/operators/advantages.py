@@ -1,4 +1,9 @@
-"""Group-normalised advantages, group filters and rollout metrics."""
+"""Group-normalised advantages, group filters and rollout metrics.
+
+Defined cases: rows with a null group are a group of their own; null scores count in no mean and
+have a null advantage; a group of one has none; an empty table gives no row (metrics: one
+row of nulls); further columns are kept.
+"""
 
 from __future__ import annotations
 

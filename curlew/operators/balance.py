@@ -2,6 +2,9 @@
 
 Partitioning is a sequential algorithm on one batch of lengths; batches are
 independent, so each is one group of ``applyInArrow`` (a batch has a bounded size).
+
+Defined cases: null lengths count 0; lengths of 0 fill parts too; a batch with fewer rows than parts
+has a part for each row; an empty table gives no row; further columns are ignored.
 """
 
 from __future__ import annotations

@@ -1,4 +1,8 @@
-"""Batch algebra on ordered rows (``row_id`` counts from 0)."""
+"""Batch algebra on ordered rows (``row_id`` counts from 0).
+
+Defined cases: ``row_id`` is never null; an empty table has no batches; columns of any name are
+kept, but for ``row_id`` itself.
+"""
 
 from __future__ import annotations
 
@@ -106,6 +110,43 @@ def batch_ids(df: DataFrame, size: int, drop_last: bool = False) -> DataFrame:
     return out.filter(F.col("batch") < df.count() // size) if drop_last else out
 
 
+def epoch_batches(df: DataFrame, size: int, epochs: int, seed: int, drop_last: bool = False) -> DataFrame:
+    """``epoch`` and ``batch`` of each row, in another fixed order in every epoch. Places within an
+    epoch come from a hash in [0, 1): batches are its equal parts, of about ``size`` rows."""
+    n = df.count()
+    parts = max(n // size if drop_last else -(-n // size), 1)
+    rows = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    place = F.pmod(F.xxhash64("row_id", "epoch", F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
+    return rows.withColumn("batch", F.floor(place * parts).cast("int"))
+
+
+class Cursor:
+    """How far a run has come: epoch and batch, kept in a small JSON document."""
+
+    def __init__(self, epoch: int = 0, batch: int = 0):
+        self.epoch, self.batch = epoch, batch
+
+    def rest(self, df: DataFrame) -> DataFrame:
+        """Rows of ``epoch_batches`` that have not been taken."""
+        return df.filter((F.col("epoch") > self.epoch) | (F.col("epoch") == self.epoch) & (F.col("batch") >= self.batch))
+
+    def save(self, spark, path: str) -> None:
+        spark.createDataFrame([(self.epoch, self.batch)], "epoch int, batch int").coalesce(1).write.mode("overwrite").json(path)
+
+    @classmethod
+    def load(cls, spark, path: str) -> Cursor:
+        row = spark.read.schema("epoch int, batch int").json(path).first()
+        return cls(row.epoch, row.batch)
+
+
+def inverse_order(order: list[int]) -> list[int]:
+    """Where each place of a permutation came from."""
+    out = [0] * len(order)
+    for i, o in enumerate(order):
+        out[o] = i
+    return out
+
+
 def retained_checkpoints(df: DataFrame, step: str, limit: int, best: int | None = None) -> DataFrame:
     """The best step and the newest ``limit - 1`` others."""
     others = df.filter(F.col(step) != best) if best is not None else df

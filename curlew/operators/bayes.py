@@ -1,4 +1,9 @@
-"""Scored libraries and Bayes rewards from neighbours' scores."""
+"""Scored libraries and Bayes rewards from neighbours' scores.
+
+Defined cases: rows whose score is no number are left out of a library; a query without a vector
+has no reward; ties between neighbours go to the smaller id; an empty library gives no
+reward (``with_default`` gives 0.5).
+"""
 
 from __future__ import annotations
 
@@ -55,6 +60,12 @@ def score_queries(queries: DataFrame, library: tuple[DataFrame, DataFrame, DataF
     return value_reward(posterior(histogram, t, p))
 
 
+def with_default(queries: DataFrame, rewards: DataFrame, default: float = 0.5) -> DataFrame:
+    """q and reward of every row of ``queries(id)``; those that no library scored (none for their
+    task, or an empty one) have the default."""
+    return queries.select(F.col("id").alias("q")).join(rewards.select("q", "reward"), "q", "left").select("q", F.coalesce("reward", F.lit(default)).alias("reward"))
+
+
 def write_library(library: tuple[DataFrame, DataFrame, DataFrame], task: str, folder: str) -> None:
     for part, df in zip(("rows", "transition", "prior"), library, strict=True):
         df.withColumn("task", F.lit(task)).write.mode("append").partitionBy("task").parquet(f"{folder}/{part}")

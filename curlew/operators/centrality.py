@@ -1,4 +1,8 @@
-"""LexRank centrality over a similarity graph, by power iterations on edges."""
+"""LexRank centrality over a similarity graph, by power iterations on edges.
+
+Defined cases: null ends are no links; a row without a partner scores 1; equal pairs add up; no
+pairs and no ids give no row.
+"""
 
 from __future__ import annotations
 

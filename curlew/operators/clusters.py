@@ -1,4 +1,8 @@
-"""Clusters of bounded size and the merge prompts made from them."""
+"""Clusters of bounded size and the merge prompts made from them.
+
+Defined cases: rows without an id or a vector are in no cluster; a block too small for the least
+size makes one smaller cluster; an empty table gives no row; further columns are ignored.
+"""
 
 from __future__ import annotations
 
@@ -56,8 +60,8 @@ def centres(df: DataFrame, vector: str, k: int, seed: int = 42, iterations: int
 
 
 def similarities(df: DataFrame, id: str, vector: str, middle: np.ndarray, top: int) -> DataFrame:  # noqa: A002
-    """id, centre, similarity: the ``top`` nearest centres of each row. Rows without a vector, or
-    of another length than the centres, have none."""
+    """id, centre, similarity: the ``top`` nearest centres of each row. Rows without an id or a
+    vector, or with one of another length than the centres, have none."""
 
     def run(batches):
         for b in batches:
@@ -71,7 +75,7 @@ def similarities(df: DataFrame, id: str, vector: str, middle: np.ndarray, top: i
             yield pa.record_batch([pa.array(ids), pa.array(at.ravel().astype("i4")), pa.array(np.take_along_axis(s, at, 1).ravel())], names=["id", "centre", "similarity"])
 
     rows = df.select(F.col(id).cast("long"), F.col(vector).cast("array<double>").alias("v"))
-    rows = rows.filter((F.size("v") == middle.shape[1]) & ~F.exists("v", lambda x: x.isNull()))
+    rows = rows.filter(F.col(id).isNotNull() & (F.size("v") == middle.shape[1]) & ~F.exists("v", lambda x: x.isNull()))
     return rows.mapInArrow(run, "id long, centre int, similarity double")
 
 

@@ -1,4 +1,8 @@
-"""Benchmark metrics: accuracies, exact match, F1, recall, log-probability roll-ups."""
+"""Benchmark metrics: accuracies, exact match, F1, recall, log-probability roll-ups.
+
+Defined cases: a null prediction is wrong; null levels are the group ``all`` by name; an
+empty table gives null means; further columns are ignored.
+"""
 
 from __future__ import annotations
 

@@ -4,6 +4,10 @@ Both sides are dealt into blocks by a hash of the id; each pair of blocks is one
 of bounded size, compared in NumPy; the k nearest of each tile are merged by rank.
 Nothing is collected or broadcast. Work is the product of both sides, as an exact
 search is; ties go to the smaller id.
+
+Defined cases: rows without an id or a vector, and vectors with a null component, take no
+part; vectors of different lengths are never compared; a zero vector has cosine 0 to every
+other one; equal ids are rows of their own; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -13,8 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-BLOCK = 4096
+BLOCK = 8192  # rows; a task holds two blocks and a stripe of their distances
 EDGES = "id long, neighbour long, distance double"
 METRICS = ("cosine", "euclidean", "manhattan")
 
@@ -33,7 +38,7 @@ def _tile(k: int, metric: str, drop_self: bool):
         side = group.column("side").to_numpy()
         ids = group.column("id").to_numpy()
         vectors = group.column("v").combine_chunks()
-        at = lambda rows: vectors.take(pa.array(rows)).flatten().to_numpy().reshape(len(rows), -1)
+        at = lambda rows: vectors.take(pa.array(rows)).flatten().to_numpy().reshape(len(rows), -1).astype(np.float64)
         q, l = np.flatnonzero(side == 0), np.flatnonzero(side == 1)  # noqa: E741
         l = l[np.argsort(ids[l], kind="stable")]  # noqa: E741
         out = ([], [], [])
@@ -56,6 +61,17 @@ def _tile(k: int, metric: str, drop_self: bool):
     return run
 
 
+def _single(df: DataFrame, name: str) -> bool:
+    """The column holds single-precision numbers: they travel as such, and are compared in
+    double precision."""
+    return isinstance(getattr(df.schema[name].dataType, "elementType", None), T.FloatType)
+
+
+def _sound(df: DataFrame) -> DataFrame:
+    """Rows of (id, v) that take part."""
+    return df.filter(F.col("id").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull()))
+
+
 def nearest(queries: DataFrame, library: DataFrame, k: int, metric: str = "cosine", drop_self: bool = False, by: str | None = None, block: int = BLOCK) -> DataFrame:
     """``id``, ``neighbour``, ``distance``, ``rank`` (from 1) of the ``k`` rows of
     ``library(id, v)`` nearest to each of ``queries(id, v)``; with ``by``, among rows of
@@ -63,7 +79,8 @@ def nearest(queries: DataFrame, library: DataFrame, k: int, metric: str = "cosin
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric}")
     key = F.col(by).cast("string") if by else F.lit("")
-    frame = lambda df: df.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"), key.alias("by")).filter("id IS NOT NULL AND v IS NOT NULL AND by IS NOT NULL")
+    kind = "array<float>" if all(_single(df, "v") for df in (queries, library)) else "array<double>"
+    frame = lambda df: _sound(df.select(F.col("id").cast("long").alias("id"), F.col("v").cast(kind).alias("v"), F.struct(key.alias("k"), F.size("v").alias("n")).alias("by"))).filter("by.k IS NOT NULL")
     q, l = frame(queries), frame(library)  # noqa: E741
     tiles = lambda df, name: df.groupBy("by").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
     sizes = tiles(q, "qn").join(tiles(l, "ln"), "by")
@@ -85,16 +102,17 @@ def knn_edges(df: DataFrame, id: str, vector: str, k: int, metric: str = "cosine
 
 def near_pairs(df: DataFrame, id: str, vector: str, threshold: float, block: int = BLOCK) -> DataFrame:  # noqa: A002
     """Pairs ``a < b`` with a cosine of at least ``threshold``, over all rows."""
-    rows = df.select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("id IS NOT NULL AND v IS NOT NULL")
-    n = rows.agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n"))
-    dealt = rows.crossJoin(F.broadcast(n)).withColumn("own", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))  # one row: the number of blocks
+    kind = "array<float>" if _single(df, vector) else "array<double>"
+    rows = _sound(df.select(F.col(id).cast("long").alias("id"), F.col(vector).cast(kind).alias("v"))).withColumn("size", F.size("v"))
+    n = rows.groupBy("size").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n"))  # one row for each vector length
+    dealt = rows.join(n, "size").withColumn("own", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    dealt = dealt.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "id", "v")
+    dealt = dealt.select("size", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "id", "v")
 
     def run(group: pa.Table) -> pa.Table:
         side, ids = group.column("side").to_numpy(), group.column("id").to_numpy()
         vectors = group.column("v").combine_chunks()
-        at = lambda rows: vectors.take(pa.array(rows)).flatten().to_numpy().reshape(len(rows), -1)
+        at = lambda rows: vectors.take(pa.array(rows)).flatten().to_numpy().reshape(len(rows), -1).astype(np.float64)
         first = np.flatnonzero(side == 0)
         second = first if group.column("i")[0].as_py() == group.column("j")[0].as_py() else np.flatnonzero(side == 1)
         a, b, s = [], [], []
@@ -112,4 +130,4 @@ def near_pairs(df: DataFrame, id: str, vector: str, threshold: float, block: int
         cat = lambda x, t: pa.array(np.concatenate(x).astype(t) if x else np.zeros(0, t))
         return pa.table([cat(a, "i8"), cat(b, "i8"), cat(s, "f8")], names=["a", "b", "similarity"])
 
-    return dealt.groupBy("i", "j").applyInArrow(run, "a long, b long, similarity double")
+    return dealt.groupBy("size", "i", "j").applyInArrow(lambda t: run(t), "a long, b long, similarity double")

@@ -1,4 +1,9 @@
-"""Score noise: consensus counts, transition matrices, detection and correction."""
+"""Score noise: consensus counts, transition matrices, detection and correction.
+
+Defined cases: rows without a vector have no neighbours and are never flagged; a null label
+is counted in no class; ties between labels go to the smaller; an empty table gives no row
+(matrices keep their smoothing); further columns are ignored.
+"""
 
 from __future__ import annotations
 
@@ -125,7 +130,7 @@ def label_distribution(df: DataFrame, id: str, vector: str, label: str, k: int =
     labels = df.select(F.col(id).cast("long").alias("neighbour"), F.col(label).cast("int").alias("y"))
     summed = edges.withColumn("d", d).join(labels, "neighbour").groupBy("id", "y").agg(F.sum(1 - F.col("d")).alias("x"))
     size = F.sqrt(F.sum(F.col("x") * F.col("x")).over(w)) if norm == "l2" else F.sum("x").over(w)
-    return summed.select("id", "y", (F.col("x") / size).alias("weight"))
+    return summed.select("id", "y", F.try_divide("x", size).alias("weight"))  # null where no neighbour has any weight
 
 
 def corruption_score(distribution: DataFrame, labels: DataFrame) -> DataFrame:
@@ -144,17 +149,35 @@ def _held(rates: dict[int, float]) -> dict[int, float]:
     return {c: 0.95 if r >= 1 else 0.05 if r <= 0 else r for c, r in rates.items()}
 
 
+def exact_percentiles(df: DataFrame, key: str, value: str, shares: dict[int, float], margin: float = 1e-3) -> DataFrame:
+    """``key`` and ``cut``, the percentile of each key's own share, interpolated. An approximate
+    percentile on both sides brackets the wanted rows; only the share of a key's values
+    inside the bracket (twice ``margin``) comes together, and the others are counted."""
+    rows = df.filter(F.col(key).isin(list(shares)) & F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).cast("double").alias("v"))
+    of = F.element_at(F.create_map(*(F.lit(x) for c, s in sorted(shares.items()) for x in (c, float(s)))), F.col("k"))
+    steps = sorted({x for s in shares.values() for x in (max(0.0, s - margin), min(1.0, s + margin))})
+    marks = rows.groupBy("k").agg(F.percentile_approx("v", steps, 100_000).alias("m"), F.count(F.lit(1)).alias("n"))
+    at = lambda x: F.array_position(F.array(*map(F.lit, steps)), x).cast("int")
+    low = F.element_at("m", at(F.greatest(F.lit(0.0), of - margin)))
+    high = F.element_at("m", at(F.least(F.lit(1.0), of + margin)))
+    few = F.col("n") <= 100_000  # then a margin is less than a few ranks: all values come together
+    marks = marks.select("k", "n", (of * (F.col("n") - 1)).alias("at"), F.when(few, F.lit(float("-inf"))).otherwise(low).alias("low"), F.when(few, F.lit(float("inf"))).otherwise(high).alias("high"))
+    # One row for each key. Ranks bracket the value to within a few steps of the approximation.
+    met = rows.join(F.broadcast(marks), "k")
+    inside = (F.col("v") >= F.col("low")) & (F.col("v") <= F.col("high"))
+    found = met.groupBy("k").agg(F.sum((F.col("v") < F.col("low")).cast("long")).alias("below"), F.array_sort(F.collect_list(F.when(inside, F.col("v")))).alias("vs"), F.first("at").alias("at"), F.first("n").alias("n"))
+    lower = F.floor("at")
+    pick = lambda i: F.get("vs", F.least(F.greatest(i - F.col("below"), F.lit(0)), F.size("vs") - 1).cast("int"))
+    a, b = pick(lower), pick(F.least(lower + 1, F.col("n") - 1))
+    return found.select(F.col("k").alias(key), (a + (b - a) * (F.col("at") - lower)).alias("cut"))
+
+
 def flag_noisy(scores: DataFrame, rates: dict[int, float]) -> DataFrame:
     """Rows at or above their class's percentile of the corruption score. ``rates``: noise
     rate per class, held to .95 from 1 on and to .05 from 0 down."""
     held = _held(rates)
-    out = None
-    for c, r in sorted(held.items()):
-        rows = scores.filter(F.col("label") == c)
-        cut = rows.agg(F.percentile("score", 1 - r).alias("cut"))
-        part = rows.crossJoin(F.broadcast(cut)).filter(F.col("score") >= F.col("cut")).drop("cut")  # one row
-        out = part if out is None else out.unionByName(part)
-    return out
+    cuts = exact_percentiles(scores, "label", "score", {c: 1 - r for c, r in held.items()})
+    return scores.join(F.broadcast(cuts), "label").filter(F.col("score") >= F.col("cut")).select(*scores.columns)  # one cut for each class
 
 
 def majority_noisy(distribution: DataFrame, labels: DataFrame) -> DataFrame:
@@ -197,9 +220,9 @@ def detect(df: DataFrame, id: str, vector: str, label: str, classes: int, epochs
         flags = judged.filter("suggested != y")
     else:
         held = _held(rates)
-        cuts = F.percentile("score", [1 - held[c] for c in range(classes)])
-        cut = judged.groupBy("round", "y").agg(cuts.alias("cuts")).select("round", "y", F.get("cuts", F.col("y")).alias("cut"))
-        flags = judged.join(cut, ["round", "y"]).filter("score >= cut AND suggested IS NOT NULL")
+        numbered = judged.withColumn("class", F.col("round") * classes + F.col("y"))
+        cut = exact_percentiles(numbered, "class", "score", {e * classes + c: 1 - held[c] for e in range(epochs) for c in range(classes)})
+        flags = numbered.join(F.broadcast(cut), "class").filter("score >= cut AND suggested IS NOT NULL")  # a cut for each round and class
     times = rows.select("id", F.size(F.filter("drawn", lambda x: x)).alias("times"))
     return vote(staged(flags.select("id", "suggested")), times, labels, classes)
 

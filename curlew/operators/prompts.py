@@ -1,7 +1,14 @@
-"""Few-shot prompts: demonstrations of each group, then the question."""
+"""Few-shot prompts: demonstrations of each group, then the question.
+
+Defined cases: null texts are left out of demonstrations; a group without examples has none; an
+empty table gives no row; further columns are kept.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,3 +50,21 @@ def without_reasoning(demos: Column, mark: str = "A: Let's think step by step.",
         return F.when(p.contains(mark) & p.contains(answer), F.concat(head, F.lit("A: "), tail)).otherwise(p)
 
     return F.array_join(F.transform(parts, one), "\n\n")
+
+
+def cut_to_tokens(df: DataFrame, text: str, encode: Callable[[str], list[int]], decode: Callable[[list[int]], str], at_most: int) -> DataFrame:
+    """Texts of more than ``at_most`` tokens end there; others stay as they are. The tokenizer is a
+    plug-in; texts go through it in Arrow batches."""
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for t in b.column(at).to_pylist():
+                ids = encode(t) if t is not None else []
+                out.append(decode(ids[:at_most]) if len(ids) > at_most else t)
+            cols = b.columns
+            cols[at] = pa.array(out, pa.string())
+            yield pa.record_batch(cols, names=b.schema.names)
+
+    return df.mapInArrow(run, df.schema)

@@ -1,4 +1,8 @@
-"""Rating runs: text choice, rubric prompts, plug-in raters, summaries."""
+"""Rating runs: text choice, rubric prompts, plug-in raters, summaries.
+
+Defined cases: rows without a rated text are left out; a reply that cannot be read counts as
+zeros; null scores are a value of their own in counts; an empty table gives no row.
+"""
 
 from __future__ import annotations
 

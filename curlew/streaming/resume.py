@@ -1,4 +1,8 @@
-"""Resumable incremental runs with Structured Streaming."""
+"""Resumable incremental runs with Structured Streaming.
+
+Defined cases: items with a null id are pending in every run; of several cached answers to
+an id one is taken; an empty source makes no batch; a run without new files returns 0.
+"""
 
 from __future__ import annotations
 
