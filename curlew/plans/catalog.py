@@ -354,10 +354,18 @@ def few_shot_prompt(spark, sf_dir):
     return prompts.few_shot(asked, shots, "g", F.concat(F.lit("Q: "), "c_mktsegment", F.lit("\nA:")), "Answer.\n").select("c_custkey", "prompt")
 
 
-@query()
+@query(f"""WITH RECURSIVE {KNN_SQL},
+    w AS (SELECT id AS a, neighbour AS b, 1 - distance AS w FROM d WHERE id != neighbour AND 1 - distance >= 0.35 UNION ALL SELECT vec_id, vec_id, 1.0::DOUBLE FROM e),
+    p AS (SELECT a, b, w / sum(w) OVER (PARTITION BY a) AS p FROM w),
+    r(round, id, score) AS (
+        SELECT 0, vec_id, 1.0::DOUBLE FROM e
+        UNION ALL
+        SELECT r.round + 1, p.b, 0.15::DOUBLE + 0.85::DOUBLE * sum(p.p * r.score) FROM r JOIN p ON p.a = r.id WHERE r.round < 120 GROUP BY r.round + 1, p.b)
+    SELECT id, round(score, 4) AS score FROM r WHERE round = 120""")
 def lexrank(spark, sf_dir):
     rows = vectors(spark, sf_dir)
-    return centrality.lexrank(neighbours.near_pairs(rows, "vec_id", "embedding", 0.35), rows.select(F.col("vec_id").alias("id")), damping=0.85)
+    found = centrality.lexrank(neighbours.near_pairs(rows, "vec_id", "embedding", 0.35), rows.select(F.col("vec_id").alias("id")), damping=0.85, tolerance=1e-9)
+    return found.select("id", _r("score", 4).alias("score"))
 
 
 # Selection
