@@ -228,3 +228,24 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tile: int = TIL
 
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+OP8_SQL = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), e AS (
+    SELECT *, sqrt(list_dot_product(v, v)) AS size FROM v WHERE list_dot_product(v, v) > 0
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id != b.vec_id AND len(a.v) = len(b.v)
+    WHERE list_dot_product(a.v, b.v) / (a.size * b.size) >= 0.93
+), reach(node, other) AS (
+    SELECT a, a FROM links UNION SELECT l.b, r.other FROM reach r JOIN links l ON l.a = r.node
+), c AS (
+    SELECT node, min(other) AS component FROM reach GROUP BY node
+), n AS (
+    SELECT a, count(*) AS n FROM links GROUP BY a
+)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(component, vec_id) AS component_id, coalesce(component, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN c ON c.node = vec_id LEFT JOIN n ON n.a = vec_id WHERE vec_id IS NOT NULL
+"""

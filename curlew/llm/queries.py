@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .embeddings import op8_embedding_near_dedup
+from .embeddings import OP8_SQL, op8_embedding_near_dedup
 from .packing import op1_best_fit_packing
 from .piece_bpe import op5_merge_dropout
 from .quality import op6_quality_classifier
@@ -27,5 +27,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_embedding_near_dedup": OP8_SQL,
     "op9_warc": OP9_SQL,
 }

@@ -9,6 +9,7 @@ import xxhash
 
 from curlew.llm import components as cc
 from curlew.llm import embeddings, ranks, simhash, sketch, suffix_dedup
+from curlew.llm.shared import fresh_path
 
 
 def find_components(n, links):
@@ -361,6 +362,21 @@ def test_embedding_links(spark, tile):
     assert got == {ids[i]: (n[i], ids[roots[i]], roots[i] == i) for i in range(len(rows))}
 
 
+def test_embedding_links_equal_their_sql(spark):
+    import duckdb
+
+    rows = [r for r in vector_rows(3) if r[0] not in (1006,)]
+    rows += [(2000 + i, rows[i][1], rows[i][2]) for i in range(20)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    folder = fresh_path(spark, "vectors")
+    df.write.parquet(folder)
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{folder.removeprefix('file://')}/*.parquet')")
+    told = sorted(db.execute(embeddings.OP8_SQL).fetchall())
+    assert sorted(tuple(r) for r in embeddings.near_duplicates(df).collect()) == told
+    assert sum(r[1] for r in told) > 50
+
+
 def test_no_vectors(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embeddings.near_duplicates(df).collect() == []
