@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..storage import staged
 
+STEPS = 6  # power iterations between two tables that are written
+
 
 def lexrank(edges: DataFrame, ids: DataFrame | None = None, damping: float = 1.0, tolerance: float = 1e-6, max_rounds: int = 1000) -> DataFrame:
     """id and score of each node of ``edges(a, b, similarity)`` (undirected, each pair once;
@@ -23,11 +25,19 @@ def lexrank(edges: DataFrame, ids: DataFrame | None = None, damping: float = 1.0
     out = links.groupBy("a").agg(F.sum("w").alias("t"))
     links = staged(links.join(out, "a").select("a", "b", (F.col("w") / F.col("t")).alias("p")))
     rank = staged(nodes.withColumn("score", F.lit(1.0)))
-    for _ in range(max_rounds):
-        moved = links.join(rank.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg((F.lit(1 - damping) + damping * F.sum(F.col("p") * F.col("score"))).alias("new"))
-        step = staged(rank.join(moved, "id"))
-        change = step.agg(F.max(F.abs(F.col("new") - F.col("score")))).first()[0]
+
+    def moved(rank: DataFrame) -> DataFrame:
+        into = links.join(rank.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id"))
+        return into.agg((F.lit(1 - damping) + damping * F.sum(F.col("p") * F.col("score"))).alias("score"))
+
+    for _ in range(-(-max_rounds // STEPS)):
+        last = rank
+        for _ in range(STEPS - 1):
+            last = moved(last)
+        # One table of the last two steps: they tell whether scores still move.
+        step = staged(last.join(moved(last).withColumnRenamed("score", "new"), "id"))
         rank = step.select("id", F.col("new").alias("score"))
+        change = step.agg(F.max(F.abs(F.col("new") - F.col("score")))).first()[0]
         if change is None or change < tolerance:
             return rank
     raise RuntimeError("lexrank did not converge")
