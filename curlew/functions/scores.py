@@ -180,16 +180,33 @@ def tagged_format_reward(response: ColumnLike) -> Column:
     return F.when(_c(response).rlike(r"(?s)^<think>.*?</think>\s*<answer>.*?</answer>$"), 1.0).otherwise(0.0)
 
 
-def math_accuracy(response: ColumnLike, truth: ColumnLike) -> Column:
-    """Equality of the boxed answer and the truth, spaces and case aside."""
+def number_of(x: Column) -> Column:
+    """The value of a number, percentage or simple fraction (``a/b``, ``\\frac{a}{b}``); null for
+    anything else."""
+    s = F.regexp_replace(F.regexp_replace(x, r"[\s$,]|\\[!,;]", ""), r"\\[dt]frac", r"\\frac")
+    parts = r"^(-?)(?:\\frac\{(-?[\d.]+)\}\{(-?[\d.]+)\}|(-?[\d.]+)/(-?[\d.]+))$"
+    side = lambda a, b: F.coalesce(F.regexp_extract(s, parts, a).try_cast("double"), F.regexp_extract(s, parts, b).try_cast("double"))
+    fraction = F.try_divide(side(2, 4), side(3, 5)) * F.when(F.regexp_extract(s, parts, 1) == "-", -1.0).otherwise(1.0)
+    percent = F.regexp_extract(s, r"^(-?[\d.]+)\\?%$", 1).try_cast("double") / 100
+    return F.coalesce(F.when(s.rlike(r"^-?(\d+\.?\d*|\.\d+)$"), s.try_cast("double")), F.when(s.rlike(parts), fraction), percent)
+
+
+def same_answer(a: Column, b: Column) -> Column:
+    """Equal text, spaces and case aside, or equal value."""
     plain = lambda x: F.lower(F.regexp_replace(x, r"\s+", ""))
-    return F.when(plain(boxed(response)) == plain(_c(truth)), 1.0).otherwise(0.0)
+    near = F.abs(number_of(a) - number_of(b)) <= 1e-9 * F.greatest(F.lit(1.0), F.abs(number_of(b)))
+    return F.coalesce((plain(a) == plain(b)) | F.coalesce(near, F.lit(False)), F.lit(False))
+
+
+def math_accuracy(response: ColumnLike, truth: ColumnLike) -> Column:
+    """Whether the boxed answer and the truth are the same text or number."""
+    return F.when(same_answer(boxed(response), _c(truth)), 1.0).otherwise(0.0)
 
 
 def tagged_accuracy(response: ColumnLike, truth: ColumnLike) -> Column:
-    """Equality of the first one-line ``<answer>`` and the truth."""
+    """Whether the first one-line ``<answer>`` and the truth are the same text or number."""
     found = F.when(_c(response).rlike("<answer>(.*?)</answer>"), strip(F.regexp_extract(_c(response), "<answer>(.*?)</answer>", 1))).otherwise(strip(response))
-    return F.when(found == strip(truth), 1.0).otherwise(0.0)
+    return F.when(same_answer(found, strip(truth)), 1.0).otherwise(0.0)
 
 
 # Replacements and removals that bring a final answer to its normal form.

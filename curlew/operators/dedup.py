@@ -1,4 +1,8 @@
-"""De-duplication of embeddings: leaders in row order, and buckets of rounded vectors."""
+"""De-duplication of embeddings: leaders in row order, and buckets of rounded vectors.
+
+Defined cases: rows without an id or a vector, and zero vectors, are near nothing and stay;
+ties go to the smaller id; an empty table gives no row; further columns are kept.
+"""
 
 from __future__ import annotations
 
@@ -68,8 +72,13 @@ def leaders(df: DataFrame, id: str, pairs: DataFrame) -> DataFrame:  # noqa: A00
 
 
 def leader_dedup(df: DataFrame, id: str, vector: str, threshold: float) -> DataFrame:  # noqa: A002
-    """Leader de-duplication by cosine, over all pairs."""
-    return leaders(df, id, near_pairs(df, id, vector, threshold))
+    """Leader de-duplication by cosine, over all pairs. Equal vectors are one row from the start:
+    a copy goes with its first, which is at least as early, so m copies make no m * m pairs."""
+    direction = F.exists(vector, lambda x: x != 0)
+    firsts = df.filter(F.col(id).isNotNull() & direction).groupBy(vector).agg(F.min(id).alias("_first")).select("_first")
+    rest = df.join(firsts, F.col(id) == F.col("_first"), "left_semi").unionByName(df.filter(F.col(id).isNull() | ~F.coalesce(direction, F.lit(False))))
+    rest = staged(rest)
+    return leaders(rest, id, near_pairs(rest, id, vector, threshold))
 
 
 def bucket_dedup(df: DataFrame, id: str, vector: str, threshold: float, digits: int = 2) -> DataFrame:  # noqa: A002

@@ -23,6 +23,13 @@ def micro_accuracy(df: DataFrame, correct: str, *levels: str) -> DataFrame:
     return out.select(level.alias("level"), F.coalesce(*(F.col(x).cast("string") for x in levels), F.lit("all")).alias("name"), "accuracy", "n")
 
 
+def category_accuracy(df: DataFrame, correct: str, subject: str, categories: DataFrame) -> DataFrame:
+    """Share of correct rows of each category. ``categories(subject, category)`` is small, and a
+    subject may be in several; subjects in none count nowhere."""
+    rows = df.join(F.broadcast(categories.select(F.col("subject").alias(subject), "category").distinct()), subject)  # a row for each subject and category
+    return rows.groupBy("category").agg(F.avg(F.col(correct).cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("n"))
+
+
 def macro_exact_match(df: DataFrame, task: str, predicted: str, truth: str) -> DataFrame:
     """Exact match per task, and the mean of the tasks."""
     each = df.groupBy(F.col(task).alias("task")).agg(F.avg((F.col(predicted) == F.col(truth)).cast("double")).alias("exact_match"))

@@ -43,10 +43,12 @@ def overwrite(df: DataFrame, changes: DataFrame, id: str, target: str, value: st
     return df.join(new, id, "left").withColumn(target, F.coalesce("_new", target)).drop("_new")
 
 
-def pending(items: DataFrame, done: DataFrame, id: str) -> DataFrame:  # noqa: A002
-    """Items that have not been processed. If any item lacks an id, processing is resumed
+def pending(items: DataFrame, done: DataFrame, id: str, by: str | None = None) -> DataFrame:  # noqa: A002
+    """Items that have not been processed (``by``: each source by itself, with ids of its own). If any item lacks an id, processing is resumed
     by count instead: the items after as many rows as are done, in the order of ``id``'s
     place (``row_id``)."""
+    if by:
+        return items.join(done.select(by, id).distinct(), [by, id], "left_anti")
     if "row_id" in items.columns and not items.filter(F.col(id).isNull()).isEmpty():
         return items.filter(F.col("row_id") >= done.count())
     return items.join(done.select(id).distinct(), id, "left_anti")

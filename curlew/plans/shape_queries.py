@@ -205,9 +205,34 @@ def fixed_sample(spark, sf_dir):
     return met.agg(F.count(F.lit(1)).cast("int").alias("n"), F.countDistinct("c_custkey").cast("int").alias("different")).withColumn("in_table", F.lit(1))
 
 
+@query("""SELECT doc_id, source FROM documents WHERE NOT (doc_id % 3 = 0 AND lang = 'en')""")
+def resume_by_source(spark, sf_dir):
+    """The same ids are done in one source and open in another."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    done = rows.filter("doc_id % 3 = 0").select("doc_id", F.lit("en").alias("lang"))
+    return selection.pending(rows, done, "doc_id", by="lang").select("doc_id", "source")
+
+
 # Metrics
 
 
+@query("""WITH c(subject, category) AS (VALUES ('en', 'germanic'), ('de', 'germanic'), ('fr', 'romance'), ('es', 'romance'), ('en', 'first'), ('none', 'empty'))
+    SELECT category, round(avg(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END), 6) AS accuracy, count(*) AS n FROM documents JOIN c ON lang = subject GROUP BY category""")
+def category_accuracy(spark, sf_dir):
+    known = spark.createDataFrame([("en", "germanic"), ("de", "germanic"), ("fr", "romance"), ("es", "romance"), ("en", "first"), ("none", "empty")], "subject string, category string")
+    rows = table(spark, sf_dir, "documents").select("lang", (F.col("doc_id") % 3 == 0).alias("correct"))
+    return evaluation.category_accuracy(rows, "correct", "lang", known).select("category", F.round("accuracy", 6).alias("accuracy"), "n")
+
+
+@query("""SELECT doc_id, CASE WHEN n_chars % 4 = 3 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS same FROM documents""")
+def numeric_answers(spark, sf_dir):
+    """Fractions, percentages, separators; one in four differs."""
+    n, at = F.col("n_chars").cast("string"), F.col("n_chars") % 4
+    said = F.when(at == 0, F.concat(F.lit(r"\frac{"), n, F.lit("}{4}"))).when(at == 1, F.concat(n, F.lit("/4"))).when(at == 2, F.concat((F.col("n_chars") * 25).cast("string"), F.lit(r"\%"))).otherwise(F.concat(n, F.lit(".5")))
+    answer = (F.col("n_chars") / 4.0).cast("decimal(20,2)").cast("string")
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(scores.same_answer(said, answer), 1.0).otherwise(0.0).alias("same"))
+
+
 @query("SELECT o_orderkey, round(o_totalprice * 1000 / (o_custkey + 1), 4) AS ms_per_token, round((o_custkey + 1) / (o_totalprice * 4), 8) AS rate FROM orders")
 def timing_metrics(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("s"), (F.col("o_custkey") + 1).alias("t"))

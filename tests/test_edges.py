@@ -204,6 +204,13 @@ def test_leaders_without_pairs(spark, vecs):
     assert dedup.leaders(vecs.filter("id IS NOT NULL"), "id", pairs).count() == 17
 
 
+def test_copies_go_with_their_first(spark):
+    rows = [(i, [1.0, 0.0]) for i in range(5, 60)] + [(1, [0.99, 0.05]), (70, [0.0, 1.0]), (71, None), (72, [0.0, 0.0]), (73, [0.0, 0.0]), (None, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "id long, v array<float>")
+    assert sorted((r.id for r in dedup.leader_dedup(df, "id", "v", 0.9).collect()), key=str) == [1, 70, 71, 72, 73, None]
+    assert dedup.leader_dedup(df.limit(0), "id", "v", 0.9).collect() == []
+
+
 def test_settings(tmp_path):
     (tmp_path / "base.json").write_text(json.dumps({"a": {"b": 1, "c": [1]}, "root": "/data"}))
     (tmp_path / "run.json").write_text(json.dumps({"_base_": str(tmp_path / "base.json"), "a": {"c": ["${a.b}"]}, "path": "${root}/x"}))
