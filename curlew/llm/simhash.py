@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import apart, batches_of, short_batches, staged, table
+from .shared import apart, batches_of, dropped, partitions, short_batches, staged, table
 
 SEED = 42
 MAX_BITS = 3
@@ -93,17 +93,24 @@ def with_fingerprints(docs: DataFrame, shingle: int = 5, length_ratio: float | N
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long, size int")
 
 
+def _part(fp: str, grid: int, grids: int) -> str:
+    bits = 64 // grids
+    return f"(shiftrightunsigned({fp}, {grid * bits}) & {(1 << bits) - 1}L)"
+
+
+def _counts(fp: str, grid: int, grids: int) -> str:
+    """Bit counts of the grid's 2-bit segments, packed in a long."""
+    x = _part(fp, grid, grids)
+    return f"({x} - (shiftrightunsigned({x}, 1) & {0x5555555555555555 & ((1 << 64 // grids) - 1)}L))"
+
+
 def _cells(prints: DataFrame, max_bits: int) -> DataFrame:
     """Each row of ``prints(fp, ...)`` once per grid: grid, cell (its bit counts of 2-bit
     segments, packed in a long) and ones (their sum)."""
     if not 0 <= max_bits <= 7:
         raise ValueError("the grids find distances up to 7")
     grids = 2 if max_bits <= 3 else 4
-    bits = 64 // grids
-    mask = (1 << bits) - 1
-    counts = lambda x: f"{x} - (shiftrightunsigned({x}, 1) & {0x5555555555555555 & mask}L)"
-    part = lambda g: f"(shiftrightunsigned(fp, {g * bits}) & {mask}L)"
-    cells = ", ".join(f"named_struct('grid', {g}, 'cell', {counts(part(g))}, 'ones', bit_count({part(g)}))" for g in range(grids))
+    cells = ", ".join(f"named_struct('grid', {g}, 'cell', {_counts('fp', g, grids)}, 'ones', bit_count({_part('fp', g, grids)}))" for g in range(grids))
     return prints.select(*prints.columns, F.explode(F.expr(f"array({cells})")).alias("h")).select(*prints.columns, "h.grid", "h.cell", "h.ones")
 
 
@@ -143,15 +150,27 @@ def near_pairs(fingerprints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return both.select(F.col("a.fp").alias("fp_a"), F.col("a.size").alias("size_a"), F.col("b.fp").alias("fp_b"), F.col("b.size").alias("size_b"))
 
 
-def _across(prints: DataFrame, max_bits: int) -> DataFrame:
-    """a, b: pairs of ``prints(first, own, seed, size, fp)`` of one seed that lie within
-    ``max_bits`` bits and one size of each other and are in different groups (``own``)."""
-    cells = _cells(prints, max_bits)
-    left = _probes(cells, max_bits, True).select("seed", "grid", "cell", "size", F.col("fp").alias("fp_l"), F.col("first").alias("first_l"), F.col("own").alias("own_l"))
-    right = cells.select(*(F.col(c).alias(f"{c}_r") for c in ("seed", "grid", "cell", "size", "fp", "first", "own")))
-    same = (F.col("seed") == F.col("seed_r")) & (F.col("grid") == F.col("grid_r")) & (F.col("cell") == F.col("cell_r")) & (F.col("size") == F.col("size_r"))
-    near = F.bit_count(F.col("fp_l").bitwiseXOR(F.col("fp_r"))) <= max_bits
-    met = left.join(right, same & near & (F.col("own_l") != F.col("own_r")))
+def _across(prints: DataFrame, max_bits: int, limit: int) -> DataFrame:
+    """a, b: pairs of ``prints(first, own, size, fp, sketch)`` that lie within ``max_bits`` bits,
+    one size and ``limit`` bits of the sketch of each other and are in different groups."""
+    kept, grids = ["first", "own", "size", "fp", *SKETCHED], 2 if max_bits <= 3 else 4
+    cells = _cells(prints, max_bits).withColumn("cell", F.col("cell") + F.shiftleft(F.col("grid").cast("long"), 48))
+    probes = _probes(cells, max_bits, False)
+    # One step away from a cell of one grid never is a cell of another: the grid's number is above.
+    left = probes.select("cell", "home", "grid", *(F.col("size_l" if c == "size" else c).alias(f"{c}_l") for c in kept))
+    right = cells.select(F.col("cell").alias("cell_r"), *(F.col(c).alias(f"{c}_r") for c in kept))
+    apart_by = lambda c: F.bit_count(F.col(f"{c}_l").bitwiseXOR(F.col(f"{c}_r")))
+    far = apart_by(SKETCHED[0])
+    for c in SKETCHED[1:]:
+        far = far + apart_by(c)
+    near = (F.col("own_l") != F.col("own_r")) & (F.abs(F.col("size_l") - F.col("size_r")) <= 1) & (apart_by("fp") <= max_bits) & (far <= limit)
+    # Two that share cells meet in the first one alone, two that share none as neighbours.
+    shares = lambda g: F.expr(f"{_counts('fp_l', g, grids)} = {_counts('fp_r', g, grids)}")
+    earlier, any_ = F.lit(False), F.lit(False)
+    for g in range(grids):
+        earlier, any_ = earlier | (F.col("grid") > g) & shares(g), any_ | shares(g)
+    once = F.when(F.col("home") == F.col("cell_r"), (F.col("first_l") < F.col("first_r")) & ~earlier).otherwise(~any_)
+    met = left.join(right, (F.col("cell") == F.col("cell_r")) & near & once)
     return met.select(F.least("first_l", "first_r").alias("a"), F.greatest("first_l", "first_r").alias("b")).distinct()
 
 
@@ -172,12 +191,23 @@ def grouped(docs: DataFrame, shingle: int = 5, max_bits: int = MAX_BITS, length_
 # Near-duplicates by words, verified by shingles
 
 
-SEEDS = (42, 7)  # of the two fingerprints over a text's distinct words
+SEEDS = (42, 7)  # of the fingerprints over a text's distinct words
 VERIFY_ROWS = 64  # pairs of texts in an Arrow batch
-STARS = 2  # rounds that link the members of a cell to one of them
+SKETCH = 8  # longs of the fingerprint over shingles that sorts pairs out before their texts are read
+ROUNDS = 3  # in which each document is linked to its nearest neighbour in a cell
+NEXT = 48  # rows after it in a cell that a row is compared with in a round
+IDS_BROADCAST = 1_000_000  # more ids than these are not broadcast
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _sketch_limit(threshold: float, deviations: float) -> int:
+    """Bits in which the sketches of sets of that Jaccard similarity differ at most: the mean and
+    so many deviations (two: all but 2 in a hundred; one: all but 16)."""
+    share = math.acos(2 * threshold / (1 + threshold)) / math.pi
+    n = 64 * SKETCH
+    return int(n * share + deviations * math.sqrt(n * share * (1 - share)))
+
+
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's word shingles (fewer words: the whole
     sequence; none: one of its own)."""
@@ -194,21 +224,33 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(rolled)
 
 
-def _traits(text: str | None, shingle: int) -> tuple[int, int, int, list[int]]:
-    """128 bits that name the sequence of words, the number of distinct shingles, and a
-    fingerprint over the distinct words for each seed."""
+def _majority(hashes: np.ndarray) -> np.ndarray:
+    """The 64 bits that more than half of the hashes have set, as one long."""
+    ones = np.zeros(64, np.int64)
+    for low in range(0, len(hashes), 65_536):
+        ones += np.unpackbits(hashes[low : low + 65_536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(ones * 2 > max(len(hashes), 1)).view(">u8")[0]
+
+
+def _traits(text: str | None, shingle: int) -> tuple[int, int, int, list[int], list[int]]:
+    """128 bits that name the sequence of words, the number of distinct shingles, a fingerprint
+    over the distinct words for each seed, and the sketch over the distinct shingles."""
     import xxhash
 
     words = (text or "").encode().lower().split()
     key = xxhash.xxh3_128_intdigest(b" ".join(words))
-    distinct, fps = set(words), []
-    for seed in SEEDS:
-        rows = np.array([xxhash.xxh64_intdigest(w, seed) for w in distinct], ">u8")
-        ones = np.zeros(64, np.int64)
-        for low in range(0, len(rows), 65_536):
-            ones += np.unpackbits(rows[low : low + 65_536].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-        fps.append(int.from_bytes(np.packbits(ones * 2 > max(len(rows), 1)).tobytes(), "big"))
-    return key >> 64, key & ((1 << 64) - 1), len(shingle_set(text, shingle)), fps
+    distinct, shingles = set(words), shingle_set(text, shingle)
+    fps = [int(_majority(np.array([xxhash.xxh64_intdigest(w, seed) for w in distinct], np.uint64))) for seed in SEEDS]
+    sketch, h = [], shingles
+    for _ in range(SKETCH):  # each long from another hash of the shingles
+        h = (h ^ (h >> np.uint64(31))) * _ODD
+        h ^= h >> np.uint64(29)
+        sketch.append(int(_majority(h)))
+    return key >> 64, key & ((1 << 64) - 1), len(shingles), fps, sketch
+
+
+SKETCHED = [f"p{i}" for i in range(SKETCH)]
+TRAITS = "doc_id long, high long, low long, size int, " + ", ".join(f"{c} long" for c in [f"fp{i}" for i in range(len(SEEDS))] + SKETCHED)
 
 
 def _with_traits(docs: DataFrame, shingle: int, threshold: float) -> DataFrame:
@@ -217,13 +259,12 @@ def _with_traits(docs: DataFrame, shingle: int, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [_traits(t, shingle) for t in batch.column(1).to_pylist()]
-            signed = lambda xs: pa.array(np.array(xs, np.uint64).view(np.int64))
-            size = [int(math.log(n) / -math.log(threshold)) for _, _, n, _ in found]
-            cols = [batch.column(0), signed([f[0] for f in found]), signed([f[1] for f in found]), pa.array(size, pa.int32())]
-            fps = np.array([f[3] for f in found], np.uint64).reshape(len(found), len(SEEDS)).view(np.int64)
-            yield pa.record_batch([*cols, pa.array(list(fps), pa.list_(pa.int64()))], names=["doc_id", "high", "low", "size", "fps"])
+            size = [int(math.log(n) / -math.log(threshold)) for _, _, n, _, _ in found]
+            longs = np.array([[h, w, *f, *p] for h, w, _, f, p in found], np.uint64).reshape(len(found), -1).view(np.int64)
+            cols = [pa.array(np.ascontiguousarray(c)) for c in longs.T]
+            yield pa.record_batch([batch.column(0), *cols[:2], pa.array(size, pa.int32()), *cols[2:]], names=[f.split()[0] for f in TRAITS.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, high long, low long, size int, fps array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, TRAITS)
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, shingle: int, threshold: float) -> DataFrame:
@@ -242,38 +283,80 @@ def _verified(docs: DataFrame, pairs: DataFrame, shingle: int, threshold: float)
                 keep.append(common >= threshold * (len(held) + len(other) - common) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("t")).filter("id IS NOT NULL")
+    ids = staged(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "asked")
+    few = ids.count() <= IDS_BROADCAST  # else Spark meets them in a shuffle
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("t"))
+    texts = staged(texts.join(F.broadcast(ids) if few else ids, "id", "left_semi"), "texts")
     first = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a")
     both = first.join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
     with batches_of(docs.sparkSession, VERIFY_ROWS):
-        return staged(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "verified")
+        out = staged(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "verified")
+    dropped(docs.sparkSession, ids, texts)
+    return out
+
+
+def _nearest_in_cells(max_bits: int, limit: int):
+    """Rows sorted by cell: each with the nearest of the ``NEXT`` rows on both sides of it in
+    its cell that is in another group and near enough; a and b (a < b), and d."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def met(rows: pa.RecordBatch, done: int) -> pa.RecordBatch:
+            column = lambda c: rows.column(c).to_numpy()
+            cell, first, own, size = (column(c) for c in ("cell", "first", "own", "size"))
+            fp, sketch = column("fp").view(np.uint64), np.stack([column(c).view(np.uint64) for c in SKETCHED])
+            n = len(cell)
+            best, other = np.full(n, 1 << 20), np.full(n, -1)
+            for step in range(1, min(NEXT, n - 1) + 1):
+                i = np.flatnonzero((cell[:-step] == cell[step:]) & (own[:-step] != own[step:]) & (np.abs(size[:-step] - size[step:]) <= 1))
+                i = i[i + step >= done]  # pairs of two rows that were here before are done
+                i = i[np.bitwise_count(fp[i] ^ fp[i + step]) <= max_bits]
+                if not len(i):
+                    continue
+                d = np.bitwise_count(sketch[:, i] ^ sketch[:, i + step]).sum(0, dtype=np.int64)
+                i, d = i[d <= limit], d[d <= limit]
+                for x, y in ((i, i + step), (i + step, i)):
+                    nearer = d < best[x]
+                    best[x[nearer]], other[x[nearer]] = d[nearer], y[nearer]
+            at = np.flatnonzero(other >= 0)
+            return pa.record_batch([pa.array(first[at]), pa.array(first[other[at]]), pa.array(best[at])], names=["first", "other", "d"])
+
+        before = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = batch if before is None else pa.Table.from_batches([before, batch]).combine_chunks().to_batches()[0]
+            yield met(rows, 0 if before is None else before.num_rows)
+            before = rows.slice(max(0, rows.num_rows - NEXT))
+
+    return run
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, max_bits: int = 7) -> DataFrame:
     """doc_id and component_id (the smallest doc_id reachable) of each document with an id.
-    Documents link if a fingerprint over their distinct words (one for each of ``SEEDS``)
-    differs in at most ``max_bits`` bits and their sets of word shingles have a Jaccard
-    similarity of at least ``threshold``, which is checked exactly.
-
-    Equal sequences of words are one row from the start. In rounds, each member of a grid cell
-    is compared with one member of that cell, so a large group of near copies comes
-    together over as many links as it has members; what then is left is compared only
-    across groups. Numbers of distinct shingles within a ratio of ``threshold`` are a
-    condition of that similarity, and a dimension of the grids.
+    Documents link if their sets of word shingles have a Jaccard similarity of at least
+    ``threshold``, checked exactly, and their fingerprints over distinct words differ in at
+    most ``max_bits`` bits for one of ``SEEDS``.
+
+    Equal sequences of words are one row from the start. In rounds, each document is
+    compared with a bounded number of others of its grid cells and linked to the nearest
+    one, so a large group of near copies comes together over as many links as it has
+    members; what is left is compared across groups. Before texts are read, a fingerprint
+    of 512 bits over the shingles sorts out pairs that are too far apart: across groups a
+    sixth of those of just that similarity go with them, hardly any of a higher one. Numbers of distinct shingles within a ratio of
+    ``threshold`` are a condition of the similarity.
 
     Defined cases as in the module; a text of fewer words than a shingle is similar only to
     the same sequence of words. Rows of equal doc_id are one node."""
+    spark = docs.sparkSession
     rows = staged(_with_traits(docs, shingle, threshold).filter("doc_id IS NOT NULL"), "traits")
-    classes = staged(rows.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.first("size").alias("size"), F.first("fps").alias("fps")), "classes")
-    parts = [classes.select("first", "size", F.lit(i).alias("seed"), F.col("fps")[i].alias("fp")) for i in range(len(SEEDS))]
-    prints = parts[0]
-    for p in parts[1:]:
-        prints = prints.unionByName(p)
+    rest = [c for c in rows.columns if c not in ("doc_id", "high", "low")]
+    classes = staged(rows.groupBy("high", "low").agg(F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in rest)), "classes")
     links: DataFrame | None = None
     groups: DataFrame | None = None
 
-    def labelled(df: DataFrame) -> DataFrame:
-        """With ``own``, the group of ``first`` so far."""
+    def prints(seed: int) -> DataFrame:
+        """The classes with one fingerprint, and ``own``, the group of ``first`` so far."""
+        df = classes.select("first", "size", F.col(f"fp{seed}").alias("fp"), *SKETCHED)
         if groups is None:
             return df.withColumn("own", F.col("first"))
         return df.join(groups.withColumnRenamed("node", "first"), "first", "left").withColumn("own", F.coalesce("component", "first")).drop("component")
@@ -284,19 +367,24 @@ def similar_groups(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, ma
         links = found if links is None else links.unionByName(found)
         groups = staged(components(links), "groups")
 
-    for turn in range(STARS):
-        cells = _cells(labelled(prints), max_bits)
-        key = ["seed", "grid", "cell", "size"]
-        order = F.xxhash64("own", F.lit(turn)) if turn else F.col("own")
-        heads = cells.groupBy(key).agg(F.min(F.struct(order.alias("k"), "own", "first", "fp")).alias("head"))
-        met = cells.join(apart(heads), key)
-        near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("head.fp"))) <= max_bits) & (F.col("own") != F.col("head.own"))
-        # One comparison for each member: its nearest head.
-        best = met.filter(near).groupBy("first").agg(F.min(F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("head.fp"))).alias("d"), F.col("head.first").alias("other"))).alias("best"))
-        add(staged(best.select(F.least("first", "best.other").alias("a"), F.greatest("first", "best.other").alias("b")).distinct(), "star"))
-    add(staged(_across(labelled(prints), max_bits), "across"))
+    for turn in range(ROUNDS):
+        cells = None
+        for seed in range(len(SEEDS)):
+            part = _cells(prints(seed), max_bits).withColumn("cell", F.col("cell") + F.shiftleft(F.col("grid").cast("long") + 4 * seed, 48)).drop("grid", "ones")
+            cells = part if cells is None else cells.unionByName(part)
+        # A cell's rows in another order in each round; a hot cell lies in several ranges.
+        cells = cells.withColumn("order", F.xxhash64("first", F.lit(turn)))
+        dealt = cells.repartitionByRange(partitions(spark), "cell", "order").sortWithinPartitions("cell", "order").drop("order")
+        with batches_of(spark, 1 << 15):
+            near = staged(dealt.mapInArrow(_nearest_in_cells(max_bits, _sketch_limit(threshold, 2)), "first long, other long, d long"), "near")
+        best = near.groupBy("first").agg(F.min(F.struct("d", "other")).alias("best"))
+        pairs = best.select(F.least("first", "best.other").alias("a"), F.greatest("first", "best.other").alias("b")).distinct()
+        add(staged(pairs, "pairs"))
+        dropped(spark, near)
+    for seed in range(len(SEEDS)):
+        add(staged(_across(prints(seed), max_bits, _sketch_limit(threshold, 1)), "pairs"))
     named = classes.join(groups, classes["first"] == groups["node"], "left").select("high", "low", F.coalesce("component", "first").alias("component_id"))
-    return rows.join(apart(named), ["high", "low"]).select("doc_id", "component_id")
+    return rows.select("doc_id", "high", "low").join(apart(named), ["high", "low"]).select("doc_id", "component_id")
 
 
 def deduplicate(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, max_bits: int = 7) -> DataFrame:

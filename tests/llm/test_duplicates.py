@@ -115,6 +115,27 @@ def test_repeated_bodies_are_grouped(spark):
     assert sorted(r.doc_id for r in got) == list(range(0, 40, 2))
 
 
+@pytest.mark.parametrize("bits", [2, 3, 7])
+def test_pairs_across_groups(spark, bits):
+    rng = random.Random(bits)
+    prints = set()
+    for _ in range(40):
+        x = rng.getrandbits(64)
+        for _ in range(8):
+            y = x
+            for b in rng.sample(range(64), rng.randint(0, 9)):
+                y ^= 1 << b
+            prints.add(y)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = [(i, rng.randint(0, 30), rng.randint(1, 4), fp, [rng.getrandbits(64) & rng.getrandbits(64) for _ in range(8)]) for i, fp in enumerate(sorted(prints))]
+    df = spark.createDataFrame([(i, o, s, signed(fp), *map(signed, p)) for i, o, s, fp, p in rows], "first long, own long, size int, fp long, " + ", ".join(f"{c} long" for c in simhash.SKETCHED))
+    got = [(r.a, r.b) for r in simhash._across(df, bits, 190).collect()]
+    far = lambda p, q: sum((x ^ y).bit_count() for x, y in zip(p, q, strict=True))
+    near = lambda a, b: (a[3] ^ b[3]).bit_count() <= bits and abs(a[2] - b[2]) <= 1 and a[1] != b[1] and far(a[4], b[4]) <= 190
+    assert len(got) == len(set(got))
+    assert set(got) == {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and near(a, b)}
+
+
 def test_large_groups_of_near_copies(spark):
     """Each copy has edits of its own; all come together, and few pairs are compared."""
     rng = random.Random(5)
