@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import held_out, short_batches, staged, table
+from .shared import held_out, short_batches, staged, table, text_key, without_texts
 
 FEATURES = (
     "log_chars", "log_words", "word_length", "word_length_spread", "distinct_words", "repeated_next",
@@ -202,21 +202,13 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Data
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The documents with a score of at least ``threshold``, all their columns. The
-    statistics of a text are computed once and written beside its row."""
-    short_batches(docs.sparkSession)
-    at = docs.columns.index("text")
-    # The columns travel as one struct, so that no name of theirs can clash.
-    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("x", T.ArrayType(T.DoubleType()))])
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = [statistics(t) for t in batch.column(0).field(at).cast(pa.string()).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(x, pa.list_(pa.float64()))], names=["row", "x"])
-
-    rows = staged(docs.select(F.struct("*").alias("row")).mapInArrow(measure, schema), "statistics")
-    model = fit(learned_from(rows.select(F.col("row.doc_id").cast("long").alias("doc_id"), "x"), labels, "quality"))
-    return score_with(rows, model).filter(F.col("score") >= threshold).select("row.*")
+    """The documents with a score of at least ``threshold``, all their columns. Statistics are
+    computed once and kept beside a text's name; rows then go by the names of the texts that
+    were rejected (a score depends on the text alone)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *text_key(F.col("text")))
+    rows = staged(with_statistics(rows, ("doc_id", "k0", "k1")), "statistics")
+    model = fit(learned_from(rows.select("doc_id", "x"), labels, "quality"))
+    return without_texts(docs, score_with(rows.select("k0", "k1", "x"), model).filter(F.col("score") < threshold))
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,6 +60,27 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+KEYS_BROADCAST = 500_000  # more keys than these are not broadcast
+
+
+def text_key(text) -> list:
+    """128 bits that name a text (null: as the empty one), as columns k0 and k1: whatever is
+    computed from the text alone is the same for rows that share them."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    return [F.xxhash64(text).alias("k0"), F.xxhash64(F.lit(0x5EED), text, F.octet_length(text)).alias("k1")]
+
+
+def without_texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose text is named by ``keys(k0, k1)``. Few keys are broadcast, and
+    no text is shuffled; more of them meet the texts in a join that Spark can split."""
+    keys = staged(keys.select("k0", "k1").distinct(), "keys")
+    few = keys.count() <= KEYS_BROADCAST
+    other = F.broadcast(keys) if few else apart(keys)
+    mine = [c.alias(f"_{i}") for i, c in enumerate(text_key(F.col("row.text")))]
+    rows = docs.select(F.struct("*").alias("row")).select("row", *mine)
+    return rows.join(other, (F.col("_0") == other["k0"]) & (F.col("_1") == other["k1"]), "left_anti").select("row.*")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

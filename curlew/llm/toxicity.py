@@ -34,9 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from .shared import held_out, partitions, short_batches, staged, table
+from .shared import held_out, partitions, short_batches, staged, table, text_key, without_texts
 
 PREFIXES = (4, 5, 6, 7)
 COMMON_WORDS = 50  # words for each occurrence of the common term
@@ -219,24 +217,18 @@ def _pairs_of(terms: pa.Array, counts: pa.Array) -> list[tuple]:
     return [tuple(zip(t, c, strict=True)) for t, c in zip(terms.to_pylist(), counts.to_pylist(), strict=True)]
 
 
-def _vectors(docs: DataFrame, vocabulary: list[str], whole_rows: bool) -> DataFrame:
-    """doc_id, terms and counts over the vocabulary for each document; ``whole_rows``: also
-    ``row``, all of its columns as one struct (so that no name of theirs can clash)."""
-    at = docs.columns.index("text")
-    fields = [T.StructField("doc_id", T.LongType()), T.StructField("terms", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType()))]
+def _vectors(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """doc_id, k0, k1 (the text's name), terms and counts over the vocabulary for each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Vectoriser(vocabulary)
         for batch in batches:
-            texts = batch.column(1).field(at).cast(pa.string()) if whole_rows else batch.column(1)
-            found = [made.counts(t) for t in texts.to_pylist()]
+            found = [made.counts(t) for t in batch.column(3).to_pylist()]
             cols = [pa.array([[p[i] for p in v] for v in found], pa.list_(pa.int32())) for i in (0, 1)]
-            rest = [batch.column(1)] if whole_rows else []
-            yield pa.record_batch([batch.column(0), *cols, *rest], names=["doc_id", "terms", "counts"] + ["row"] * whole_rows)
+            yield pa.record_batch([*batch.columns[:3], *cols], names=["doc_id", "k0", "k1", "terms", "counts"])
 
-    second = F.struct("*") if whole_rows else F.col("text").cast("string")
-    schema = T.StructType([*fields, T.StructField("row", docs.schema)] if whole_rows else fields)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), second.alias("text")).mapInArrow(run, schema)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(F.col("text")), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, k0 long, k1 long, terms array<int>, counts array<int>")
 
 
 def _document_frequencies(rows: DataFrame, size: int) -> tuple[np.ndarray, int]:
@@ -322,9 +314,8 @@ def fit(
     lift: float = 3.0,
     least_g: float = 15.0,
     k: int = 15,
-    whole_rows: bool = False,
 ) -> tuple[Model, DataFrame | None]:
-    """The model, and the staged vectors of all documents (``whole_rows``: with their rows)."""
+    """The model, and the staged vectors of all documents."""
     short_batches(docs.sparkSession)
     spark = docs.sparkSession
     chosen, totals = _examples(labels, column, max_examples)
@@ -337,7 +328,7 @@ def fit(
     vocabulary, _ = _vocabulary(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id"), least_documents, lift, least_g)
     if not vocabulary:
         return Model([], None, base), None
-    rows = staged(_vectors(docs, vocabulary, whole_rows), "vectors")
+    rows = staged(_vectors(docs, vocabulary), "vectors")
     df, everything = _document_frequencies(rows, len(vocabulary) + 1)
     idf = np.log((everything + 1) / (df + 1)) + 1
     idf[-1] = COMMON_WEIGHT
@@ -375,18 +366,19 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **optio
 
 
 def filter_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
-    """The documents whose score is below ``threshold``, with all their columns."""
-    model, rows = fit(docs, labels, whole_rows=True, **options)
+    """The documents whose score is below ``threshold``, with all their columns. Rows go by the
+    names of the texts that were rejected (a score depends on the text alone)."""
+    model, rows = fit(docs, labels, **options)
     if rows is None:
         return docs.filter(F.lit(model.base < threshold))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            clean = [model.explain(v)[0] < threshold for v in _pairs_of(batch.column(1), batch.column(2))]
-            yield batch.select([0]).filter(pa.array(clean, pa.bool_()))
+            toxic = [model.explain(v)[0] >= threshold for v in _pairs_of(batch.column(2), batch.column(3))]
+            yield batch.select([0, 1]).filter(pa.array(toxic, pa.bool_()))
 
-    kept = rows.select("row", "terms", "counts").mapInArrow(run, T.StructType([T.StructField("row", docs.schema)]))
-    return kept.select("row.*")
+    dealt = rows.select("k0", "k1", "terms", "counts").repartition(partitions(docs.sparkSession))
+    return without_texts(docs, dealt.mapInArrow(run, "k0 long, k1 long"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
