@@ -39,7 +39,6 @@ from .shared import short_batches, staged, table
 
 TILE = 2048
 STRIPE = 512
-STEPS = 8  # bins of the angle within the reach of the threshold
 SUMS = 16  # partial sums of matrices that reach the driver, for each vector length
 
 
@@ -73,8 +72,10 @@ def principal_axes(rows: DataFrame) -> dict[int, np.ndarray]:
 
 
 def _with_bins(rows: DataFrame, axes: dict[int, np.ndarray], threshold: float) -> DataFrame:
-    """Adds ``bin``: the angle to the first axis in ``STEPS`` of the threshold's angle."""
-    width = max(float(np.arccos(min(threshold, 1.0))), 1e-3) / STEPS
+    """Adds ``bin``: the angle to the first axis in steps of the threshold's angle (and a little
+    more, for rounding). Vectors that reach the threshold are in one bin or in two next to
+    each other."""
+    width = max(float(np.arccos(min(threshold, 1.0))), 1e-3) * (1 + 1e-6)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,10 +203,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tile: int = TIL
     sizes = binned.groupBy("label", "bin").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
     number = lambda b, t: F.shiftleft(b.cast("long"), 32) + t
     own = number(F.col("bin"), F.pmod(F.xxhash64("vec_id"), F.col("tiles")))
-    # A label has at most pi * STEPS / (the threshold's angle) bins: its list of them is short.
+    # A label has at most pi / (the threshold's angle) + 1 bins: its list of them is short.
     lists = sizes.groupBy("label").agg(F.collect_list(F.struct("bin", "tiles")).alias("bins"))
     placed = binned.join(sizes, ["label", "bin"]).withColumn("own", own).join(lists, "label")
-    near = F.filter("bins", lambda x: F.abs(x["bin"] - F.col("bin")) <= STEPS + 1)
+    near = F.filter("bins", lambda x: F.abs(x["bin"] - F.col("bin")) <= 1)
     others = F.flatten(F.transform(near, lambda x: F.transform(F.sequence(F.lit(0), x["tiles"] - 1), lambda t: number(x["bin"], t))))
     dealt = placed.withColumn("other", F.explode(others)).select(
         "label",
