@@ -18,7 +18,7 @@ _BYTE_TO_CHAR = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if
 
 # Chunks that a worker remembers within a task, about 170 bytes each. This bounds memory
 # only, ids do not depend on it.
-MEMO_CHUNKS = 300_000
+MEMO_CHUNKS = 500_000
 
 
 class _Memo(dict):
