@@ -77,7 +77,7 @@ def edited_pairs(spark, edits, pairs=100):
 
 
 # Similarity of five-word shingles: (396 - 5 edits) / (396 + 5 edits).
-@pytest.mark.parametrize(("edits", "least"), [(1, 0.98), (2, 0.98), (4, 0.95), (8, 0.9)])
+@pytest.mark.parametrize(("edits", "least"), [(1, 0.98), (4, 0.95), (8, 0.9)])
 def test_simhash_stage_finds_planted_edits(spark, edits, least):
     kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, edited_pairs(spark, edits), "").collect()}
     assert kept >= set(range(1, 200, 2))
