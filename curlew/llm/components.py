@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import apart, staged
+from .shared import apart, dropped, staged
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -45,8 +45,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     for _ in range(max_rounds):
         if not before[0]:
             break
-        edges = staged(_star(_star(edges, True), False), "links")
+        earlier, edges = edges, staged(_star(_star(edges, True), False), "links")
         now = _signature(edges)
+        dropped(edges.sparkSession, earlier)
         if now == before:
             break
         before = now

@@ -8,7 +8,8 @@ that lies in the larger estimates containment even if lengths differ widely.
 
 A fingerprint is the sketch as 12 hexadecimal digits per hash. If no hash of a text
 that has words is below the threshold, the fingerprint is ``~`` and the least hash, so
-that different short texts still differ; it counts as a sketch of one hash.
+that different short texts still differ; it counts as a sketch of one hash, which a longer
+sketch does not hold: such a text has likeness 0 to a long one that contains it whole.
 
 Defined cases: a null text is an empty text; a text without words has an empty
 fingerprint; a text with fewer words than a shingle is one shingle; two equal
