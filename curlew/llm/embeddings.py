@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .shared import short_batches, staged, table
+from .shared import short_batches, staged, table, tidy
 
 TILE = 2048
 STRIPE = 512
@@ -64,7 +64,7 @@ def principal_axes(rows: DataFrame) -> dict[int, np.ndarray]:
         m = sum(x.values.to_numpy() for x in group.column("m"))
         return pa.table([pa.array([group.column("n")[0].as_py()], pa.int32()), pa.array([m], pa.list_(pa.float64()))], names=["n", "m"])
 
-    parts = rows.select("v").mapInArrow(run, "n int, m array<double>").withColumn("g", F.spark_partition_id() % SUMS)
+    parts = rows.select("v").mapInArrow(tidy(run), "n int, m array<double>").withColumn("g", F.spark_partition_id() % SUMS)
     found: dict[int, np.ndarray] = {}
     for r in parts.groupBy("n", "g").applyInArrow(lambda t: add(t.drop_columns(["g"])), "n int, m array<double>").collect():
         found[r.n] = found.get(r.n, 0) + np.array(r.m).reshape(r.n, r.n)
@@ -85,7 +85,7 @@ def _with_bins(rows: DataFrame, axes: dict[int, np.ndarray], threshold: float) -
                 bins.append(int(np.arccos(np.clip(v @ axes[len(v)][:, 0] / np.linalg.norm(v), -1, 1)) / width))
             yield pa.record_batch([*batch.columns, pa.array(bins, pa.int32())], names=[*batch.schema.names, "bin"])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("bin", T.IntegerType())]))
+    return rows.mapInArrow(tidy(run), T.StructType([*rows.schema.fields, T.StructField("bin", T.IntegerType())]))
 
 
 def tile_links(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -34,7 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import byte_bpe
-from .shared import short_batches, staged, table
+from .shared import short_batches, staged, table, tidy
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 # Pieces of one length are numbered in so many independent buckets.
@@ -236,7 +236,7 @@ def pieces_of(docs: DataFrame, capacity: int, tokenizer: str, end_id: int) -> Da
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
         bpe.forget()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), PIECES)
 
 
 def assign(pieces: DataFrame, capacity: int) -> DataFrame:
@@ -269,7 +269,7 @@ def assign(pieces: DataFrame, capacity: int) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("length", "bucket").orderBy(*order))
     ranked = pieces.withColumn("rank", rank.cast("long")).join(base, ["length", "bucket"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("rank") - 1).alias("rank"))
-    return ranked.mapInArrow(run, PIECES + ", sequence_id long, offset long")
+    return ranked.mapInArrow(tidy(run), PIECES + ", sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, capacity: int = 1024, tokenizer: str | None = None, end_id: int = 2) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .pair_merges import Pairs, first_ranks, matrix, merge, mixed, skipped
-from .shared import short_batches, table
+from .shared import short_batches, table, tidy
 
 SPACE = "▁"
 LONG = 48  # characters of a segment that still is a row of a matrix
@@ -305,7 +305,7 @@ def encode(docs: DataFrame, path: str | None = None, dropout: float = 0.1, seed:
             ids, starts = bpe.encode_batch(batch.column(1), batch.column(0).to_pylist())
             yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(starts.astype(np.int32), pa.array(ids))], names=["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -330,7 +330,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
                 names=["doc_id", "n_tokens", "ids_crc32", "text"],
             )
 
-    return encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, text string")
+    return encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_crc32 long, text string")
 
 
 def op5_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import held_out, short_batches, staged, table, text_key, without_texts
+from .shared import held_out, short_batches, staged, table, text_key, tidy, without_texts
 
 FEATURES = (
     "log_chars", "log_words", "word_length", "word_length_spread", "distinct_words", "repeated_next",
@@ -116,7 +116,7 @@ def with_statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> Dat
             rest = batch.columns[:-1]
             yield pa.record_batch([*rest, pa.array(rows, pa.list_(pa.float64()))], names=[*batch.schema.names[:-1], "x"])
 
-    return chosen.mapInArrow(run, schema)
+    return chosen.mapInArrow(tidy(run), schema)
 
 
 @dataclass(frozen=True)
@@ -152,7 +152,7 @@ def fit(labelled: DataFrame, shrink_pooled: float = 0.1, shrink_diagonal: float
                 sums[c] += np.concatenate(([len(z)], z.sum(0), (z.T @ z).ravel()))
         yield pa.record_batch([pa.array([0, 1], pa.int32()), pa.array(list(sums), pa.list_(pa.float64()))], names=["label", "sums"])
 
-    rows = labelled.select("x", F.col("label").cast("int").alias("label")).mapInArrow(run, "label int, sums array<double>")
+    rows = labelled.select("x", F.col("label").cast("int").alias("label")).mapInArrow(tidy(run), "label int, sums array<double>")
     added = rows.select("label", F.posexplode("sums").alias("at", "v")).groupBy("label", "at").agg(F.sum("v").alias("v"))
     total = np.zeros((2, width))
     for r in added.collect():
@@ -191,7 +191,7 @@ def score_with(rows: DataFrame, model: Discriminant) -> DataFrame:
             yield pa.record_batch([*batch.columns[:-1], pa.array(model.score(x), pa.float64())], names=[*rest, "score"])
 
     chosen = rows.select(*rest, "x")
-    return chosen.mapInArrow(run, chosen.drop("x").schema.add("score", "double"))
+    return chosen.mapInArrow(tidy(run), chosen.drop("x").schema.add("score", "double"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:

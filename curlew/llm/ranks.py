@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import batches_of, partitions, staged
+from .shared import batches_of, partitions, staged, tidy
 
 MARKS = "_part int, _number long, _edge int, _alone boolean, _first boolean"
 NUMBER_WIDTH = 40  # bits of a group's number within its range
@@ -89,7 +89,7 @@ def reranked(rows: DataFrame, key: list[str], kind: str, ties: list[str] = (), w
     sorted_ = rows.repartitionByRange(partitions(spark), *key, *ties).sortWithinPartitions(*key, *(ties if settle else ()))
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     with batches_of(spark, RANK_ROWS):
-        numbered = staged(sorted_.mapInArrow(_numbered(key, weight, keep_unique), f"{ddl}, {MARKS}"), kind)
+        numbered = staged(sorted_.mapInArrow(tidy(_numbered(key, weight, keep_unique)), f"{ddl}, {MARKS}"), kind)
     edges = numbered.filter("_edge > 0").select("_part", "_number", "_edge", *key).collect()
     joins = spark.createDataFrame(_joins(edges, key), "_part int, _root long, _goes_on boolean")
     met = numbered.join(F.broadcast(joins), "_part", "left")  # at most one row for each partition

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import apart, batches_of, dropped, partitions, short_batches, staged, table
+from .shared import apart, batches_of, dropped, partitions, short_batches, staged, table, tidy
 
 SEED = 42
 MAX_BITS = 3
@@ -90,7 +90,7 @@ def with_fingerprints(docs: DataFrame, shingle: int = 5, length_ratio: float | N
             size = [0 if length_ratio is None else -2 if not n else int(math.log(n) / -math.log(length_ratio)) for _, _, n in found]
             yield pa.record_batch([batch.column(0), pa.array(fp.view(np.int64)), pa.array(size, pa.int32())], names=["doc_id", "fp", "size"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long, size int")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, fp long, size int")
 
 
 def _part(fp: str, grid: int, grids: int) -> str:
@@ -264,7 +264,7 @@ def _with_traits(docs: DataFrame, shingle: int, threshold: float) -> DataFrame:
             cols = [pa.array(np.ascontiguousarray(c)) for c in longs.T]
             yield pa.record_batch([batch.column(0), *cols[:2], pa.array(size, pa.int32()), *cols[2:]], names=[f.split()[0] for f in TRAITS.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, TRAITS)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), TRAITS)
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, shingle: int, threshold: float) -> DataFrame:
@@ -290,7 +290,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, shingle: int, threshold: float)
     first = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a")
     both = first.join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
     with batches_of(docs.sparkSession, VERIFY_ROWS):
-        out = staged(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "verified")
+        out = staged(both.select("a", "b", "ta", "tb").mapInArrow(tidy(run), "a long, b long"), "verified")
     dropped(docs.sparkSession, ids, texts)
     return out
 
@@ -377,7 +377,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, ma
         cells = cells.withColumn("order", F.xxhash64("first", F.lit(turn)))
         dealt = cells.repartitionByRange(partitions(spark), "cell", "order").sortWithinPartitions("cell", "order").drop("order")
         with batches_of(spark, 1 << 15):
-            near = staged(dealt.mapInArrow(_nearest_in_cells(max_bits, _sketch_limit(threshold, 2)), "first long, other long, d long"), "near")
+            near = staged(dealt.mapInArrow(tidy(_nearest_in_cells(max_bits, _sketch_limit(threshold, 2))), "first long, other long, d long"), "near")
         best = near.groupBy("first").agg(F.min(F.struct("d", "other")).alias("best"))
         pairs = best.select(F.least("first", "best.other").alias("a"), F.greatest("first", "best.other").alias("b")).distinct()
         add(staged(pairs, "pairs"))

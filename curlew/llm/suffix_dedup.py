@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ranks import reranked
-from .shared import batches_of, dropped, partitions, short_batches, staged, table
+from .shared import batches_of, dropped, partitions, short_batches, staged, table, tidy
 
 LENGTH = 200
 GRAM = 40
@@ -344,7 +344,7 @@ def _doubled(ranked: DataFrame, offset: int, level: int) -> DataFrame:
     rows = rows.select("doc_id", "tag", "pos", "level", "rank", (above + F.col("pos") - F.shiftleft("stretch", CUT)).alias("place"))
     dealt = rows.repartition(partitions(spark), F.shiftright("place", CUT + 1)).sortWithinPartitions("place")
     with batches_of(spark, OUT_ROWS):
-        pairs = staged(dealt.mapInArrow(_pairs_at(offset, level), "a long, b long, doc_id long, tag long, pos long, level int"), "pairs")
+        pairs = staged(dealt.mapInArrow(tidy(_pairs_at(offset, level)), "a long, b long, doc_id long, tag long, pos long, level int"), "pairs")
     out = reranked(pairs, ["a", "b"], "pair-ranks", ["doc_id", "tag", "pos"])
     dropped(spark, pairs)
     return out
@@ -360,7 +360,7 @@ def _asked_of(docs: DataFrame, asked: DataFrame, cut, ddl: str) -> DataFrame:
     """Runs ``cut`` on each document of which stretches are asked, beside their list."""
     lists = asked.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("gram", "low", "more", "place")).alias("asked"))
     met = _identified(docs).join(lists.withColumnRenamed("doc_id", "id_").withColumnRenamed("tag", "tag_"), F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("tag") == F.col("tag_")))
-    return met.select("doc_id", "tag", "text", "asked").mapInArrow(cut, ddl)
+    return met.select("doc_id", "tag", "text", "asked").mapInArrow(tidy(cut), ddl)
 
 
 def repeated_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -369,7 +369,7 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spark = docs.sparkSession
     short_batches(spark)
     where, here = ["doc_id", "tag", "low", "more"], ["doc_id", "tag", "low"]
-    sampled = staged(_identified(docs).select("doc_id", "tag", "text").mapInArrow(_sampled(length), SPANS_DDL), "sampled")
+    sampled = staged(_identified(docs).select("doc_id", "tag", "text").mapInArrow(tidy(_sampled(length)), SPANS_DDL), "sampled")
     # Round 1: ranks of 40 bytes; unique ones drop out.
     alive = reranked(sampled.filter("n > 0"), ["gram"], "ranks", here, weight="n")
     inside = staged(sampled.filter("n = 0").select(where), "inside")
@@ -451,7 +451,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             digests = pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())
             yield pa.record_batch([batch.column(0), *numbers, pa.array(kept, pa.binary()), digests], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    return joined.select("doc_id", "text", "runs").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    return joined.select("doc_id", "text", "runs").mapInArrow(tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -492,5 +492,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.record_batch(cols, names=docs_columns)
 
     docs_columns = docs.columns
-    out = joined.mapInArrow(run, docs.schema)
+    out = joined.mapInArrow(tidy(run), docs.schema)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

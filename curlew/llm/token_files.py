@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import byte_bpe
 from .files import read_whole, write_whole
-from .shared import fresh_path, partitions, short_batches, staged, table
+from .shared import fresh_path, partitions, short_batches, staged, table, tidy
 
 MAGIC = b"CTOKID01"
 HEAD = struct.Struct("<8s32sII")
@@ -135,7 +135,7 @@ def _sample(docs: DataFrame, tokenizer: str, end_id: int, width: int, n_docs: in
             keep = pa.array([len(x) <= max_bytes // 8 for x in out])
             yield pa.record_batch([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "ids"]).filter(keep)
 
-    rows = docs.filter(F.col("doc_id").isin(known)).mapInArrow(run, "doc_id long, ids binary").collect()
+    rows = docs.filter(F.col("doc_id").isin(known)).mapInArrow(tidy(run), "doc_id long, ids binary").collect()
     place, left, out = {k: i for i, k in enumerate(known)}, max_bytes, []
     for r in sorted(rows, key=lambda r: (place[r.doc_id], r.ids)):
         if len(r.ids) <= left:
@@ -216,9 +216,9 @@ def write_token_files(
         if writer.index:
             yield close()
 
-    rows = docs.mapInArrow(encode, "part int, doc_id long, crc long, n int, frame binary").repartitionById(n_parts, "part")
+    rows = docs.mapInArrow(tidy(encode), "part int, doc_id long, crc long, n int, frame binary").repartitionById(n_parts, "part")
     ordered = rows.sortWithinPartitions("doc_id", "crc", "frame").select("doc_id", "n", "frame")
-    return staged(ordered.mapInArrow(run, "path string, part long, shard long, n_docs long, n_ids long"), "manifest")
+    return staged(ordered.mapInArrow(tidy(run), "path string, part long, shard long, n_docs long, n_ids long"), "manifest")
 
 
 def with_starts(manifest: DataFrame) -> DataFrame:
@@ -260,7 +260,7 @@ def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame) -> D
                     )
 
     files = with_starts(manifest).select("path", "start").repartition(partitions(spark))
-    return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return files.mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from .shared import held_out, partitions, short_batches, staged, table, text_key, without_texts
+from .shared import held_out, partitions, short_batches, staged, table, text_key, tidy, without_texts
 
 PREFIXES = (4, 5, 6, 7)
 COMMON_WORDS = 50  # words for each occurrence of the common term
@@ -228,7 +228,7 @@ def _vectors(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
             yield pa.record_batch([*batch.columns[:3], *cols], names=["doc_id", "k0", "k1", "terms", "counts"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(F.col("text")), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, k0 long, k1 long, terms array<int>, counts array<int>")
+    return rows.mapInArrow(tidy(run), "doc_id long, k0 long, k1 long, terms array<int>, counts array<int>")
 
 
 def _document_frequencies(rows: DataFrame, size: int) -> tuple[np.ndarray, int]:
@@ -270,7 +270,7 @@ def _vocabulary(docs: DataFrame, least: int, lift: float, least_g: float) -> tup
 
     # Copies of a text under one label are one example of what marks the label.
     kinds = docs.select(F.col("text").cast("string").alias("text"), "label").withColumn("h", F.sha2("text", 256)).dropDuplicates(["h", "label"]).select("text", "label")
-    counted = kinds.mapInArrow(run, "term string, a long, b long")
+    counted = kinds.mapInArrow(tidy(run), "term string, a long, b long")
     counted = staged(counted.groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "terms")
     total = counted.filter(F.col("term").isNull()).collect()
     n = (total[0].a, total[0].b) if total else (0, 0)
@@ -301,7 +301,7 @@ def _votes(spark: SparkSession, index: Index, examples: list, k: int) -> list[fl
             yield pa.record_batch([batch.column(0), pa.array(votes, pa.float64())], names=["place", "vote"])
 
     asked = spark.createDataFrame([(p,) for p in first.values()], "place long").repartition(partitions(spark))
-    known = {r.place: r.vote for r in asked.mapInArrow(run, "place long, vote double").collect()}
+    known = {r.place: r.vote for r in asked.mapInArrow(tidy(run), "place long, vote double").collect()}
     return [known[first[counts, label]] for _, label, counts in examples]
 
 
@@ -361,7 +361,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **optio
 
     # The vectors are small files that Spark reads as a few tasks; the search is spread out.
     dealt = rows.select("doc_id", "terms", "counts").repartition(partitions(docs.sparkSession))
-    scored = dealt.mapInArrow(run, f"doc_id long, score double, evidence {EVIDENCE}")
+    scored = dealt.mapInArrow(tidy(run), f"doc_id long, score double, evidence {EVIDENCE}")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
 
 
@@ -378,7 +378,7 @@ def filter_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **o
             yield batch.select([0, 1]).filter(pa.array(toxic, pa.bool_()))
 
     dealt = rows.select("k0", "k1", "terms", "counts").repartition(partitions(docs.sparkSession))
-    return without_texts(docs, dealt.mapInArrow(run, "k0 long, k1 long"))
+    return without_texts(docs, dealt.mapInArrow(tidy(run), "k0 long, k1 long"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .files import write_whole
-from .shared import apart, fresh_path, short_batches, table
+from .shared import apart, fresh_path, short_batches, table, tidy
 
 DICTIONARY_MAGIC = 0x184D2A5D
 SHARD_BYTES = 12 << 20  # a file is closed beyond so many bytes of records
@@ -160,7 +160,7 @@ def write_archives(pages: DataFrame, folder: str, revisit_from: int = 1000) -> i
             shard += 1
         yield pa.record_batch([[shard]], names=["files"])
 
-    written = joined.mapInArrow(run, "files long")
+    written = joined.mapInArrow(tidy(run), "files long")
     return written.agg(F.sum("files")).first()[0] or 0
 
 
@@ -178,7 +178,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[f.split()[0] for f in schema.split(", ")])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
-    return files.select("content").mapInArrow(run, schema)
+    return files.select("content").mapInArrow(tidy(run), schema)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
