@@ -395,7 +395,7 @@ def cluster_size_summary(spark, sf_dir):
     return found.withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
 
 
-@query("SELECT lang AS part, sum(n_chars) AS total FROM documents GROUP BY lang")
+@query("SELECT lang AS part, sum(n_chars)::BIGINT AS total FROM documents GROUP BY lang")
 def ordered_sums(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("part")).agg(F.sum("n_chars").alias("total"))
     return rows.orderBy("part")
@@ -411,7 +411,7 @@ def micro_batch_invariants(spark, sf_dir):
     return found.join(n, "id").join(sums, ["batch", "p"]).select("id", (F.col("k") == 1).alias("once"), (F.col("c") > 0).alias("held"))
 
 
-@query("SELECT doc_id // 32 AS batch, count(*) AS rows, sum(n_chars) AS total, true AS all_filled FROM documents GROUP BY 1")
+@query("SELECT doc_id // 32 AS batch, count(*) AS rows, sum(n_chars)::BIGINT AS total, true AS all_filled FROM documents GROUP BY 1")
 def partition_invariants(spark, sf_dir):
     """Balanced parts hold every row of their batch, and no part is empty."""
     rows = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 32).alias("batch"), F.col("doc_id").alias("id"), "n_chars")
