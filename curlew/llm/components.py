@@ -4,14 +4,42 @@ Alternating large-star and small-star steps: each node hands its neighbours to t
 smallest node it knows. A node's smallest neighbour comes from an aggregation with
 partial sums and goes back by a join that Spark can split, so a node with very many
 links makes no large task. Each round is written to the shared folder.
+
+A table of few links (``FEW``, counted before) is settled by one task instead, with the same
+result: rounds cost many jobs, whatever they move.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import apart, dropped, staged
+from .shared import apart, dropped, staged, tidy
+
+FEW = 200_000  # links that one task may hold, some 40 MB
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node and component, by a union of all links (a, b)."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = find(root.setdefault(a, a)), find(root.setdefault(b, b))
+            root[max(x, y)] = min(x, y)
+    nodes = list(root)
+    for low in range(0, len(nodes), 10_000):
+        part = nodes[low : low + 10_000]
+        yield pa.record_batch([pa.array(part, pa.int64()), pa.array(map(find, part), pa.int64())], names=["node", "component"])
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -42,6 +70,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = staged(edges, "links")
     before = _signature(edges)
+    if before[0] <= FEW:
+        return edges.coalesce(1).mapInArrow(tidy(_settled), "node long, component long")
     for _ in range(max_rounds):
         if not before[0]:
             break

@@ -27,7 +27,9 @@ def find_components(n, links):
 
 
 @pytest.mark.parametrize("links", [[], [(0, 1)], [(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 30)], [(3, 3), (5, 2), (2, 9), (8, 7)]])
-def test_components(spark, links):
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_components(spark, links, few, monkeypatch):
+    monkeypatch.setattr(cc, "FEW", few)
     df = spark.createDataFrame(links, "a long, b long")
     got = {r.node: r.component for r in cc.components(df).collect()}
     brute = find_components(60, links)
