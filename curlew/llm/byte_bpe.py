@@ -9,6 +9,9 @@ from array import array
 # no piece of the pre-tokenizer reaches across such a space, it opens the next piece.
 _VISIBLE = str.isprintable
 
+# A run of these after a word is one piece of the pre-tokenizer.
+_MARKS = ".,!?;:"
+
 _LATIN_WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 
 # The byte-level alphabet. Printable bytes stand for themselves, the
@@ -22,13 +25,19 @@ MEMO_CHUNKS = 500_000
 
 
 class _Memo(dict):
-    """Chunk -> ids, for the first chunks that come: frequent ones come early."""
+    """Chunk -> ids, for the first chunks that come: frequent ones come early. What ``joined``
+    puts together from others has a quarter of the room and words the rest; pairs of lines,
+    which hardly ever come twice, have none."""
 
-    def __init__(self, encode):
+    def __init__(self, encode, joined):
         super().__init__()
-        self.encode = encode
+        self.encode, self.joined = encode, joined
 
     def __missing__(self, chunk):
+        if not chunk.isalpha() and (known := self.joined(chunk)) is not None:
+            if len(chunk) <= 64 and len(self) < MEMO_CHUNKS // 4 and "\n" not in chunk:
+                self[chunk] = known
+            return known
         out = self.encode(chunk)
         if len(chunk) <= 64 and len(self) < MEMO_CHUNKS:
             self[chunk] = out
@@ -76,8 +85,8 @@ class ByteBpe:
         self._tok = Tokenizer.from_file(path)
         self._tok.encode_special_tokens = True
         self._model = self._tok.model
-        self._first = _Memo(self._encode_first)
-        self._next = _Memo(self._encode_next)
+        self._first = _Memo(self._encode_first, lambda chunk: None)
+        self._next = _Memo(self._encode_next, self._join_next)
         self.vocab_size = self._tok.get_vocab_size()
 
     def _encode(self, text: str) -> bytes:
@@ -92,23 +101,25 @@ class ByteBpe:
         return self._word("", chunk) if _LATIN_WORD(chunk) else self._encode(chunk)
 
     def _encode_next(self, chunk: str) -> bytes:
-        if chunk.isalpha():
-            if chunk.isascii() or _LATIN_WORD(chunk):
-                return self._word("Ġ", chunk)
-            return self._encode(" " + chunk)
-        stem, last = chunk[:-1], chunk[-1:]
-        if last in ".,!?;:" and stem.isalpha() and (stem.isascii() or _LATIN_WORD(stem)):
-            return self._next[stem] + self._first[last]
+        if chunk.isalpha() and (chunk.isascii() or _LATIN_WORD(chunk)):
+            return self._word("Ġ", chunk)
+        return self._encode(" " + chunk)
+
+    def _join_next(self, chunk: str) -> bytes | None:
+        """A word and the marks after it, or the end of a line and the start of another."""
+        stem = chunk.rstrip(_MARKS)
+        if stem.isalpha() and (stem.isascii() or _LATIN_WORD(stem)):
+            return self._next[stem] + self._first[chunk[len(stem) :]]
         before, line, after = chunk.partition("\n")
         if line and before and after and _VISIBLE(before[-1]) and _VISIBLE(after[0]):
             return self._next[before] + self._first["\n"] + self._encode_lines(after)
-        return self._encode(" " + chunk)
+        return None
 
     def _encode_lines(self, chunk: str) -> bytes:
         """Text from the start of a line to the next cut."""
-        stem, last = chunk[:-1], chunk[-1:]
-        if last in ".,!?;:" and _LATIN_WORD(stem):
-            return self._first[stem] + self._first[last]
+        stem = chunk.rstrip(_MARKS)
+        if len(stem) < len(chunk) and _LATIN_WORD(stem):
+            return self._first[stem] + self._first[chunk[len(stem) :]]
         return self._first[chunk]
 
     def encode(self, text: str | None) -> bytes:

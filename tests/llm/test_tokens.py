@@ -39,6 +39,17 @@ def test_memo_does_not_change_ids(library, texts, monkeypatch):
         assert bpe.encode(text) == raw(library(text))
 
 
+def test_memo_leaves_room_to_words(library, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "MEMO_CHUNKS", 8)
+    bpe = byte_bpe.ByteBpe(byte_bpe.default_path())
+    texts = ["x a, b.\nC d!! e? f; Äb: g.\nHa", "Ab ab.,!?;: ab.. ab.a ab!?1 ab'! ab.'s x.!\ny!! z!!\n.w", "A b!!\n\nc d.!\u0301 e.\u200b"]
+    for text in texts:
+        assert bpe.encode(text) == raw(library(text)), repr(text)
+    bpe.forget()
+    bpe.encode(texts[0])
+    assert sorted(bpe._next) == sorted(["a", "a,", "b", "d", "e", "f", "g", "Äb"])
+
+
 def test_token_files_round_trip(spark, edge, library):
     folder = fresh_path(spark, "t")
     manifest = token_files.write_token_files(edge, folder)
