@@ -59,7 +59,8 @@ def _below(every: Column, bound: int) -> Column:
 def as_text(found: Column) -> Column:
     """The fingerprint of a sketch."""
     digits = lambda x: F.lpad(F.lower(F.hex(x)), 12, "0")
-    return F.when(F.element_at(found, 1) < 0, F.concat(F.lit("~"), digits(-1 - F.element_at(found, 1)))).otherwise(F.array_join(F.transform(found, digits), ""))
+    head = F.get(found, F.lit(0))  # null in an empty sketch, where element_at is an error in ANSI mode
+    return F.when(head < 0, F.concat(F.lit("~"), digits(-1 - head))).otherwise(F.array_join(F.transform(found, digits), ""))
 
 
 def likeness(a: Column, b: Column) -> Column:

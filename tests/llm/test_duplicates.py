@@ -331,6 +331,23 @@ def test_sketches(spark, documents, sf, texts):
             assert got == pytest.approx(1.0 if a == b else len(a & b) / min(len(a), len(b)) if a and b else 0.0)
 
 
+@pytest.mark.parametrize("odd", [[""], [None], [" \n\t "], ["", None, "a", " ", "\x0b", "b c", "a b c d e", "", "a b c d e f g h", None]])
+def test_sketches_of_texts_without_words(spark, odd, tmp_path):
+    rows = [(i, t) for i, t in enumerate([*odd, "one two three four five six seven eight", *odd])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in sketch.op10_scaled_sketch(spark, str(tmp_path)).collect()}
+    texts = [t or "" for _, t in rows]
+    assert sorted(got) == list(range(len(texts)))
+    for i, (t, after) in enumerate(zip(texts, texts[1:] + texts[:1], strict=True)):
+        q = len(t) // 4
+        edited = t[: len(t) - q] + after[:q]
+        assert (got[i].n_chars, got[i].edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (brute_sketch(t), brute_sketch(edited))
+        for near, other in ((got[i].near_edited, edited), (got[i].near_next, after)):
+            if not t.split() or not other.split():
+                assert near == float(not t.split() and not other.split())
+
+
 def test_containment_estimates(spark):
     rng = random.Random(1)
     long = [f"w{rng.randint(0, 10**6)}" for _ in range(8000)]
