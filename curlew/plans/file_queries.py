@@ -211,7 +211,8 @@ def read_task_examples(spark, sf_dir):
 @query("SELECT lang || '-' || doc_id AS id, lang, 'ctx ' || lang AS context, 'q ' || doc_id AS question, n_chars::VARCHAR AS answer FROM documents")
 def read_reading_questions(spark, sf_dir):
     qas = F.struct(F.concat_ws("-", "lang", "doc_id").alias("id"), F.concat_ws(" ", F.lit("q"), "doc_id").alias("question"), F.array(F.struct(F.col("n_chars").cast("string").alias("text"))).alias("answers"))
-    rows = _documents(spark, sf_dir).groupBy("lang").agg(F.collect_list(qas).alias("qas"))
+    # A file for each language and 40,000 ids: none grows with the table.
+    rows = _documents(spark, sf_dir).groupBy("lang", F.floor(F.col("doc_id") / 40_000)).agg(F.collect_list(qas).alias("qas"))
     body = F.to_json(F.struct(F.array(F.struct(F.array(F.struct(F.concat_ws(" ", F.lit("ctx"), "lang").alias("context"), "qas")).alias("paragraphs"))).alias("data")))
     folder = fresh_folder(spark, "reading")
     rows.select(body.alias("value")).write.option("maxRecordsPerFile", 1).text(folder)

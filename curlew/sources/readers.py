@@ -204,7 +204,9 @@ def reading_questions(spark: SparkSession, path: str) -> DataFrame:
     """article > paragraph > question JSON as rows; the language is the id's first part."""
     kind = "struct<data: array<struct<paragraphs: array<struct<context: string, qas: array<struct<id: string, question: string, answers: array<struct<text: string>>>>>>>>>"
     rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", kind)["data"]).alias("a"))
-    rows = rows.select(F.explode("a.paragraphs").alias("p")).select("p.context", F.explode("p.qas").alias("q"))
+    # Exploded as a column of its own: else each question would carry its paragraph's whole list.
+    rows = rows.select(F.explode("a.paragraphs").alias("p")).select(F.col("p.context").alias("context"), F.col("p.qas").alias("qas"))
+    rows = rows.select("context", F.explode("qas").alias("q"))
     return rows.select("q.id", F.split("q.id", "-")[0].alias("lang"), "context", "q.question", F.transform("q.answers", lambda a: a["text"]).alias("answers"))
 
 

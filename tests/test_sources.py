@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -57,6 +58,14 @@ def test_benchmark_readers(spark, tmp_path):
     assert readers.question_table(spark, p).columns == ["Question"]
 
 
+def test_a_question_does_not_carry_its_paragraph(spark, tmp_path):
+    asked = [{"id": f"fi-{i}", "question": f"q{i}", "answers": [{"text": str(i)}]} for i in range(300)]
+    path = put(tmp_path / "tydi.json", json.dumps({"data": [{"paragraphs": [{"context": "c", "qas": asked}]}, {"paragraphs": []}]}))
+    rows = readers.reading_questions(spark, path)
+    assert re.search(r"explode\(qas#\d+\), \[context#\d+\]", rows._jdf.queryExecution().executedPlan().toString())
+    assert sorted((r.question, r.context, r.answers[0]) for r in rows.collect()) == sorted((f"q{i}", "c", str(i)) for i in range(300))
+
+
 def test_merged_lines(spark, tmp_path):
     put(tmp_path / "m/qa_x.jsonl", '{"a": 1}\n\n')
     put(tmp_path / "m/cs_x.jsonl", '{"a": 2}\n')
