@@ -35,6 +35,51 @@ def test_knn_is_exact(points, block, metric):
             assert got[i, rank][1] == pytest.approx(d[i, j])
 
 
+@pytest.mark.parametrize("block", [16, 4096])
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_distances_are_sums_in_order_and_ties_go_to_the_smaller_id(spark, block, kind):
+    """As DuckDB adds them, to the last bit; many copies, zero vectors and one half as long."""
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((120, 24)).astype("f4" if kind == "float" else "f8").astype(float)
+    v[rng.permutation(120)[:50]] = v[3]
+    v[[7, 8, 90]] = 0
+    v[60] = v[20] / 2
+    total, size = np.zeros((120, 120)), np.zeros(120)
+    for x in v.T:
+        total += np.outer(x, x)
+        size += x * x
+    root = np.sqrt(np.outer(size, size))
+    d = 1 - np.where(root > 0, np.clip(total / np.where(root > 0, root, 1), -1, 1), 0)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], f"id long, v array<{kind}>")
+    for own in (True, False):
+        got = neighbours.knn_edges(df, "id", "v", 5, include_self=own, block=block).collect()
+        want = {(i, r): (int(j), d[i, j]) for i in range(120) for r, j in enumerate([j for j in np.lexsort((np.arange(120), d[i])) if own or j != i][:5], 1)}
+        assert {(r.id, r.rank): (r.neighbour, r.distance) for r in got} == want
+    pairs = {(r.a, r.b): r.similarity for r in neighbours.near_pairs(df, "id", "v", 0.3, block).collect()}
+    assert pairs == {(i, j): 1 - d[i, j] for i in range(120) for j in range(i + 1, 120) if 1 - d[i, j] >= 0.3}
+
+
+def test_near_ties_are_told_apart_in_double_precision(spark):
+    v = np.ones((300, 8)) + np.random.default_rng(6).standard_normal((300, 8)) * 1e-7
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    d = np.stack([((v - x) ** 2).sum(1) - ((v - x).sum(1)) ** 2 / 8 for x in v])  # as the angle, for nearly equal vectors
+    np.fill_diagonal(d, np.inf)
+    got = {r.id: r.neighbour for r in neighbours.knn_edges(df, "id", "v", 1, "euclidean", block=64).collect()}
+    e = np.stack([((v - x) ** 2).sum(1) for x in v])
+    np.fill_diagonal(e, np.inf)
+    assert got == dict(enumerate(e.argmin(1)))
+    wide = {(r.id, r.neighbour) for r in neighbours.knn_edges(df, "id", "v", 40, block=64).collect()}
+    assert np.mean([(i, j) in wide for i, j in enumerate(d.argmin(1))]) > 0.9
+
+
+def test_tiles_are_dealt_out_evenly(points):
+    chunks = neighbours.packed(points[0], 7)
+    found = neighbours.tiles(chunks, chunks).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    n = chunks.count()
+    assert sum(r["count"] for r in found) == n * n
+    assert max(r["count"] for r in found) <= -(-n // 4)
+
+
 def test_knn_edges_of_small_tables(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0])], "id long, v array<double>")
     assert diversity.long_tail(df, "id", "v", 5).collect()[0].score == 0.0
