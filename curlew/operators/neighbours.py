@@ -292,7 +292,7 @@ def packed(df: DataFrame, block: int = BLOCK, kind: str = "f8", copies: int = 0,
     rows = rows.filter(F.col("k").isNotNull() & F.col("id").isNotNull() & sound("v")).select("k", F.size("v").alias("n"), "id", "v")
     if ordered:
         rows = rows.repartitionByRange("id").sortWithinPartitions("id")
-    return staged(rows.mapInArrow(_pack(block, kind, copies), CHUNKS))
+    return staged(rows.mapInArrow(_pack(block, kind, copies), CHUNKS), large=True)
 
 
 def side_of(row: dict, kind: str, metric: str, prefix: str = "", library: bool = False) -> _Side:
@@ -317,6 +317,21 @@ def tiles(left: DataFrame, right: DataFrame, condition: str = "true", parts: int
     return left.hint("shuffle_replicate_nl").join(right, F.expr(f"k = l_k AND n = l_n AND {condition}"))
 
 
+def chunk_row(row: dict, ids: np.ndarray, v: np.ndarray, **more: int) -> pa.RecordBatch:
+    """A chunk of some rows, with the key and number of ``row``."""
+    found = {"k": pa.array([row["k"].as_py()], pa.string()), "n": pa.array([row["n"].as_py()], pa.int32()), "chunk": pa.array([row["chunk"].as_py()], pa.int64()), "rows": pa.array([len(ids)], pa.int32())}
+    found |= {"ids": pa.array([ids.tobytes()], pa.binary()), "vs": pa.array([np.ascontiguousarray(v).tobytes()], pa.binary()), "kept": pa.nulls(1, pa.binary())}
+    return pa.record_batch(found | {name: pa.array([x], pa.int64()) for name, x in more.items()})
+
+
+def ids_of(chunks: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            yield pa.record_batch([pa.array(np.frombuffer(row["ids"].as_buffer(), np.int64))], names=["id"])
+
+    return chunks.select("ids").mapInArrow(run, "id long")
+
+
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for b in batches:
         for i in range(b.num_rows):

@@ -33,9 +33,12 @@ def dealt(df: DataFrame) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def staged(df: DataFrame) -> DataFrame:
+def staged(df: DataFrame, large: bool = False) -> DataFrame:
+    """``df``, written and read back. ``large``: rows of up to some MB each, in row groups of some
+    16 MB, as a reader and a writer hold one as a whole."""
     path = fresh_folder(df.sparkSession, "stage")
-    df.write.parquet(path)
+    sizes = {"parquet.block.size": 16 << 20, "parquet.page.size.row.check.min": 4} if large else {}
+    df.write.options(**sizes).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

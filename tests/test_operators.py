@@ -99,6 +99,34 @@ def test_leader_dedup(points, block):
     assert len(kept) <= 50
 
 
+@pytest.mark.parametrize("twice", [False, True])
+@pytest.mark.parametrize("threshold", [0.3, 0.95])
+def test_leader_dedup_in_rounds(spark, monkeypatch, twice, threshold):
+    """Several rounds and pieces, with zero vectors, copies and (as pairs) an id of two rows; but for
+    the latter, no pair is written."""
+    monkeypatch.setattr(dedup, "PIECE", 16)
+    monkeypatch.setattr(dedup, "ROUND", 64)
+    if not twice:
+        monkeypatch.setattr(dedup, "near_pairs", None)
+    rng = np.random.default_rng(9)
+    v = rng.standard_normal((400, 6))
+    v[100:140] = v[:40] * 2
+    v[rng.permutation(400)[:30]] = v[5]
+    v[[50, 399]] = 0
+    ids = rng.permutation(400)
+    rows = [(int(i), x.tolist()) for i, x in zip(ids, v, strict=True)]
+    kept = []
+    for j in np.argsort(ids):
+        size = np.linalg.norm(v[j])
+        if not size or not any(v[j] @ v[i] / (size * np.linalg.norm(v[i])) >= threshold - 1e-12 for i in kept if v[i].any()):
+            kept.append(j)
+    if twice:
+        rows += [(500, [1.0] + [0.0] * 5), (500, [0.0] * 5 + [1.0])]
+    df = spark.createDataFrame([*rows, (600, None)], "id long, v array<double>")
+    got = sorted(r.id for r in dedup.leader_dedup(df, "id", "v", threshold).collect() if r.id != 500)
+    assert got == sorted([*(int(ids[j]) for j in kept), 600])
+
+
 def test_leaders_of_a_long_chain(spark):
     df = spark.range(1001)
     chain = df.filter("id < 1000").selectExpr("id AS a", "id + 1 AS b")
