@@ -7,6 +7,7 @@ size makes one smaller cluster; an empty table gives no row; further columns are
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import qa_pair
 
+SIMILARITIES = 4_000_000  # numbers held at a time
+
 
 def sample_capacities(n: int, low: int, high: int, mean: float, std: float, seed: int = 42) -> list[int]:
     """Cluster sizes between ``low`` and ``high`` that add up to ``n``, near a normal
@@ -79,15 +82,28 @@ def similarities(df: DataFrame, id: str, vector: str, middle: np.ndarray, top: i
     return rows.mapInArrow(run, "id long, centre int, similarity double")
 
 
-def constrained_assign(ids: np.ndarray, s: np.ndarray, capacities: list[int]) -> np.ndarray:
-    """Rows in falling order of their best similarity take the nearest centre with room."""
+def _sliced(n: int, clusters: int):
+    """Ranges of rows whose similarities to all clusters take some 32 MB."""
+    step = max(1, SIMILARITIES // max(clusters, 1))
+    return [slice(low, low + step) for low in range(0, n, step)]
+
+
+def constrained_assign(ids: np.ndarray, similar: Callable[[np.ndarray | slice], np.ndarray], capacities: list[int]) -> np.ndarray:
+    """Rows in falling order of their best similarity take the nearest centre with room.
+    ``similar`` gives the similarities of some rows to all centres."""
     room, out = np.array(capacities), np.full(len(ids), -1)
-    for i in np.lexsort((ids, -s.max(1))):
-        for c in np.argsort(-s[i], kind="stable"):
+    full = np.where(room > 0, 0.0, -np.inf)
+    slices = _sliced(len(ids), len(room))
+    best = np.concatenate([similar(at).max(1) for at in slices]) if slices else np.zeros(0)
+    order = np.lexsort((ids, -best))
+    for at in slices:
+        for i, s in zip(order[at], similar(order[at]), strict=True):
+            c = (s + full).argmax()
             if room[c] > 0:
                 room[c] -= 1
                 out[i] = c
-                break
+                if not room[c]:
+                    full[c] = -np.inf
     return out
 
 
@@ -106,12 +122,12 @@ def capacity_clusters(df: DataFrame, id: str, vector: str, block: str, low: int,
         rng = np.random.default_rng(seed)
         mid = v[rng.choice(len(ids), len(sizes), replace=False)]
         for _ in range(10):  # k-means within the block
-            near = (v @ mid.T).argmax(1)
+            near = np.concatenate([(v[at] @ mid.T).argmax(1) for at in _sliced(len(v), len(mid))])
             sums = np.zeros_like(mid)
             np.add.at(sums, near, v)
             n = np.linalg.norm(sums, axis=1, keepdims=True)
             mid = np.where(n > 0, sums / np.where(n > 0, n, 1), mid)
-        found = constrained_assign(ids, v @ mid.T, sizes)
+        found = constrained_assign(ids, lambda at: v[at] @ mid.T, sizes)
         return pa.table([pa.array(ids), pa.array([t.column("block")[0].as_py()] * len(ids), pa.string()), pa.array(found.astype("i4"))], names=["id", "block", "cluster"])
 
     rows = df.select(F.col(id).cast("long").alias("id"), F.col(block).cast("string").alias("block"), F.col(vector).cast("array<double>").alias("v"))

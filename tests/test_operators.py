@@ -466,3 +466,21 @@ def test_lexrank_of_vectors(spark, monkeypatch):
         assert got == pytest.approx(want, abs=1e-3)
     with pytest.raises(RuntimeError):
         centrality.lexrank_of_vectors(df, "id", "v", 0.4, 0.4, 1e-5, max_rounds=1)
+
+
+def test_clusters_hold_few_similarities_at_a_time(monkeypatch):
+    """The same clusters as over the whole matrix, whose rows and columns both grow with the block."""
+    monkeypatch.setattr(clusters, "SIMILARITIES", 60)
+    rng = np.random.default_rng(4)
+    s, ids, sizes, seen = rng.integers(0, 6, (100, 12)).astype(float), rng.permutation(100), [9] * 8 + [7] * 4, []
+    room, want = sizes.copy(), np.full(100, -1)
+    for i in np.lexsort((ids, -s.max(1))):
+        want[i] = next(c for c in np.argsort(-s[i], kind="stable") if room[c])
+        room[want[i]] -= 1
+
+    def similar(at):
+        seen.append(s[at].size)
+        return s[at]
+
+    assert clusters.constrained_assign(ids, similar, sizes).tolist() == want.tolist()
+    assert max(seen) <= 60
